@@ -1,0 +1,102 @@
+"""Parquet tables that are replaced partition by partition.
+
+A write puts the touched partitions into a new ``data/version=N`` folder and
+then a small manifest that says in which version each partition lives. Readers
+use the newest finished manifest, so a crashed write is never seen and a
+partition that became empty is dropped from the manifest.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+_NO_VERSION = -1
+
+
+class VersionedTable:
+    def __init__(self, spark: SparkSession, root: str, schema: T.StructType, partition: str):
+        self.spark, self.root, self.partition = spark, root.rstrip("/"), partition
+        self.schema = T.StructType(list(schema.fields) + [T.StructField(partition, T.StringType(), True)])
+
+    def _manifest_path(self, version: int) -> str:
+        return f"{self.root}/manifest/version={version}"
+
+    def current_version(self) -> int:
+        """Newest version whose manifest is complete; -1 for a new table."""
+        jvm = self.spark._jvm
+        folder = jvm.org.apache.hadoop.fs.Path(f"{self.root}/manifest")
+        fs = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not fs.exists(folder):
+            return _NO_VERSION
+        done = [int(s.getPath().getName().split("=")[1]) for s in fs.listStatus(folder)
+                if fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
+        return max(done, default=_NO_VERSION)
+
+    def partitions(self) -> dict[str, int]:
+        """Partition value → version that holds it. One entry per partition, so small."""
+        version = self.current_version()
+        if version == _NO_VERSION:
+            return {}
+        return {r.value: r.version for r in self.spark.read.parquet(self._manifest_path(version)).collect()}
+
+    def read(self, only: list[str] | None = None) -> DataFrame:
+        """Current rows, or those of the named partitions."""
+        held = {v: n for v, n in self.partitions().items() if only is None or v in only}
+        if not held:
+            return self.spark.createDataFrame([], self.schema)
+        folders = [f"{self.root}/data/version={n}/{self.partition}={v}" for v, n in held.items()]
+        rows = self.spark.read.schema(T.StructType([*self.schema.fields, T.StructField("version", T.IntegerType())])) \
+            .option("basePath", f"{self.root}/data").parquet(*folders)
+        return rows.select(*self.schema.names)
+
+    def create(self) -> None:
+        """An empty table, when there is none."""
+        if self.current_version() == _NO_VERSION:
+            self._commit({}, 0)
+
+    def replace(self, rows: DataFrame, touched: list[str], version: int | None = None) -> int:
+        """Make ``rows`` the content of the touched partitions; others stay as they are.
+
+        The rebalance splits a hot partition over several files and keeps small ones whole.
+        """
+        version = self.current_version() + 1 if version is None else version
+        folder = f"{self.root}/data/version={version}"
+        held = {v: n for v, n in self.partitions().items() if v not in touched}
+        rows.select(*self.schema.names).hint("rebalance", F.col(self.partition)) \
+            .write.mode("overwrite").option("partitionOverwriteMode", "static") \
+            .partitionBy(self.partition).parquet(folder)
+        held.update({v: version for v in self._written(folder)})
+        self._commit(held, version)
+        return version
+
+    def _written(self, folder: str) -> list[str]:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
+        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        names = [s.getPath().getName() for s in fs.listStatus(path) if s.isDirectory()]
+        return [n.split("=", 1)[1] for n in names if n.startswith(f"{self.partition}=")]
+
+    def _commit(self, held: dict[str, int], version: int) -> None:
+        self.spark.createDataFrame(list(held.items()), "value string, version int").coalesce(1) \
+            .write.mode("overwrite").parquet(self._manifest_path(version))
+
+
+def read_log(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """Append-only log; empty when nothing was written yet."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    full = T.StructType([*schema.fields, T.StructField("batch_id", T.LongType(), True)])
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return spark.createDataFrame([], full)
+    return spark.read.schema(full).parquet(path)
+
+
+def append_log(rows: DataFrame, path: str, schema: T.StructType, batch_id: int) -> None:
+    """Add the rows whose ``log_key`` is not logged yet, as one batch folder.
+
+    Replaying a batch rewrites its own folder only, so the log never holds a row twice.
+    """
+    spark = rows.sparkSession
+    logged = read_log(spark, path, schema).where(F.col("batch_id") != batch_id).select("log_key")
+    new = rows.select(*schema.names).dropDuplicates(["log_key"]).join(logged, "log_key", "left_anti")
+    new.select(*schema.names).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
