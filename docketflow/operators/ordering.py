@@ -25,12 +25,12 @@ def running_total(df: DataFrame, group: list[str], order: list[str], value: Colu
     keys = [*group, _SLICE]
     before = Window.partitionBy(*group).orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
     offsets = ranged.groupBy(*keys).agg(F.sum(name).alias("_total")) \
-        .select(*keys, F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_before"))
-    matched = [ranged[k].eqNullSafe(offsets[k]) if k != _SLICE else ranged[k] == offsets[k] for k in keys]
-    condition = matched[0]
-    for part in matched[1:]:
-        condition = condition & part
-    joined = ranged.join(offsets, condition).select(*[ranged[c] for c in ranged.columns], offsets["_before"])
+        .select(*[F.col(k).alias(f"_o{k}") for k in keys],
+                F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_before"))
+    condition = F.lit(True)
+    for key in keys:
+        condition = condition & F.col(key).eqNullSafe(F.col(f"_o{key}"))
+    joined = ranged.join(offsets, condition).select(*ranged.columns, "_before")
     inside = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return joined.withColumn(name, F.sum(name).over(inside) + F.col("_before")).drop(_SLICE, "_before")
 

@@ -22,20 +22,28 @@ def with_month(docket: DataFrame) -> DataFrame:
     return docket.withColumn(PUB_MONTH, F.date_format("pub_date", "yyyy-MM"))
 
 
-def upsert_docket(table: VersionedTable, batch: DataFrame, order_column: str, version: int | None = None) -> int:
-    """Merge a batch into the docket table: later scrape wins, then later batch position.
+def upsert(table: VersionedTable, batch: DataFrame, keys: list[str], order: list[str], position: str,
+           version: int | None = None) -> int:
+    """Merge a batch into a table: the row that is newest by ``order``, then by batch position, wins.
 
-    Reads and writes only the months the batch touches (the key holds the
-    publication time, so an entry never changes its month).
+    Reads and writes only the partitions the batch touches; the partition column
+    has to follow from the key. Rows with a null key cannot be merged and stay out.
     """
-    batch = with_month(batch.where(F.col("case_number").isNotNull() & F.col("pub_date").isNotNull()))
-    months = sorted(r[0] for r in batch.select(PUB_MONTH).distinct().collect())
-    if not months:
+    complete = batch.dropna(subset=keys)
+    touched = sorted(r[0] for r in complete.select(table.partition).distinct().collect())
+    if not touched:
         return table.current_version()
-    held = table.read(months).withColumn(order_column, F.lit(-1).cast("bigint"))
-    both = held.unionByName(batch.select(*held.columns))
-    merged = latest_per_key(both, DOCKET_KEY, "scrape_date", order_column)
-    return table.replace(merged, months, version)
+    held = table.read(touched).withColumn(position, F.lit(-1).cast("bigint"))
+    both = held.unionByName(complete.select(*held.columns))
+    return table.replace(latest_per_key(both, keys, *order, position), touched, version)
+
+
+def upsert_docket(table: VersionedTable, batch: DataFrame, position: str, version: int | None = None) -> int:
+    """Merge scraped entries: the later scrape wins, then the later position in the batch.
+
+    An entry's key holds its publication time, so it never changes its month.
+    """
+    return upsert(table, with_month(batch), DOCKET_KEY, ["scrape_date"], position, version)
 
 
 def log_key(prediction_type: str, *columns: str) -> Column:

@@ -45,7 +45,7 @@ def matches_terms(text: Column, query: str) -> Column:
     """Every word of ``query`` occurs as a word of ``text``, in any order and case."""
     hit = F.lit(True)
     for word in query.split():
-        hit = hit & text.rlike(rf"(?i)\b{word}\b")
+        hit = hit & text.rlike(rf"(?i)(^|[^A-Za-z0-9_]){word}([^A-Za-z0-9_]|$)")
     return hit
 
 
