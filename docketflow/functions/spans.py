@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from docketflow.functions.text import bioes_prefix, canonical_label, tail
+from docketflow.functions.text import bioes_prefix, canonical_label, let, tail
 
 SPAN_TYPE = "struct<start:int,end:int,text:string,tag:string>"
 
@@ -38,21 +38,26 @@ def biluo_tags(tokens: Column, spans: Column) -> Column:
 
     Tokens touched by a span that does not begin and end on token edges get ``-``.
     """
-    starts = F.transform(tokens, lambda t: t["start"])
-    ends = F.transform(tokens, lambda t: t["end"])
-    aligned = F.filter(
-        spans, lambda s: F.array_contains(starts, s["start"]) & F.array_contains(ends, s["end"]))
+    def edges(field: str) -> Column:
+        return F.transform(tokens, lambda t: t[field])
 
-    def tag(token: Column) -> Column:
-        inside = F.get(F.filter(aligned, lambda s: (token["start"] >= s["start"]) & (token["end"] <= s["end"])),
-                       F.lit(0))
-        touched = F.exists(spans, lambda s: (token["start"] < s["end"]) & (token["end"] > s["start"]))
-        at_start, at_end = token["start"] == inside["start"], token["end"] == inside["end"]
-        prefix = F.when(at_start & at_end, "U-").when(at_start, "B-").when(at_end, "L-").otherwise("I-")
-        return F.when(inside.isNotNull(), F.concat(prefix, inside["label"])).when(touched, F.lit("-")) \
-            .otherwise(F.lit("O"))
+    def tags(aligned: Column) -> Column:
+        def tag(token: Column) -> Column:
+            covering = F.filter(aligned, lambda s: (token["start"] >= s["start"]) & (token["end"] <= s["end"]))
+            touched = F.exists(spans, lambda s: (token["start"] < s["end"]) & (token["end"] > s["start"]))
+            return let(F.get(covering, F.lit(0)), lambda span: _biluo_tag(token, span, touched))
+        return F.transform(tokens, tag)
 
-    return F.transform(tokens, tag)
+    starts_and_ends = F.struct(edges("start").alias("a"), edges("end").alias("b"))
+    aligned = let(starts_and_ends, lambda e: F.filter(
+        spans, lambda s: F.array_contains(e["a"], s["start"]) & F.array_contains(e["b"], s["end"])))
+    return let(aligned, tags)
+
+
+def _biluo_tag(token: Column, span: Column, touched: Column) -> Column:
+    at_start, at_end = token["start"] == span["start"], token["end"] == span["end"]
+    prefix = F.when(at_start & at_end, "U-").when(at_start, "B-").when(at_end, "L-").otherwise("I-")
+    return F.when(span.isNotNull(), F.concat(prefix, span["label"])).when(touched, F.lit("-")).otherwise(F.lit("O"))
 
 
 def to_bioes(tags: Column) -> Column:
@@ -62,12 +67,12 @@ def to_bioes(tags: Column) -> Column:
 def repair_raw_tags(tags: Column) -> Column:
     """Label-tool export → BIOES: an ``I-`` not followed by the same raw tag ends its span."""
 
-    def fix(raw: Column, i: Column) -> Column:
+    def fix(raw: Column, following: Column) -> Column:
         tag = bioes_prefix(raw)
-        ends = F.startswith(tag, F.lit("I")) & ~F.equal_null(F.get(tags, i + 1), tag)
+        ends = F.startswith(tag, F.lit("I")) & ~F.equal_null(following, tag)
         return canonical_label(F.when(ends, F.concat(F.lit("E"), tail(tag, 2))).otherwise(tag))
 
-    return F.transform(tags, fix)
+    return let(tags, lambda all_tags: F.transform(all_tags, lambda t, i: fix(t, F.get(all_tags, i + 1))))
 
 
 def repair_stray_tags(tags: Column, stray: str = ")") -> Column:
@@ -81,6 +86,10 @@ def decode_spans(tokens: Column, tags: Column) -> Column:
     A span begins at B or S, after an outside token, or where the class changes,
     so sequences without an opener are still read.
     """
+    return let(F.struct(tokens.alias("w"), tags.alias("t")), lambda s: _decode(s["w"], s["t"]))
+
+
+def _decode(tokens: Column, tags: Column) -> Column:
     def inside(i: Column) -> Column:
         tag = F.get(tags, i)
         return F.coalesce(F.contains(tag, F.lit("-")) & (F.length(tag) > 2), F.lit(False))
@@ -118,14 +127,16 @@ def rewrite_after_marker(words: Column, tags: Column, marker: tuple[str, str], r
 
     Empty when the marker only occurs inside longer words.
     """
-    hits = F.transform(words, lambda w, i: _marker_hit(words, i, marker))
-    first = F.array_position(hits, F.lit(True)).cast("int")
     inserted = F.array(*[F.struct(F.lit(w).alias("token"), F.lit("O").alias("tag")) for w in replacement])
 
     def emit(row: Column) -> Column:
         kept = F.array(F.struct(row["w"].alias("token"), row["t"].alias("tag")))
         return F.when(row["h"], inserted).otherwise(kept)
 
-    rows = F.arrays_zip(words.alias("w"), tags.alias("t"), hits.alias("h"))
-    rest = F.slice(rows, F.greatest(first, F.lit(1)), F.size(rows))
-    return F.when(first > 0, F.flatten(F.transform(rest, emit)))
+    def from_first(hits: Column) -> Column:
+        first = F.array_position(hits, F.lit(True)).cast("int")
+        rows = F.arrays_zip(words.alias("w"), tags.alias("t"), hits.alias("h"))
+        rest = F.slice(rows, F.greatest(first, F.lit(1)), F.size(rows))
+        return F.when(first > 0, F.flatten(F.transform(rest, emit)))
+
+    return let(F.transform(words, lambda w, i: _marker_hit(words, i, marker)), from_first)

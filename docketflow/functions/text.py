@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from html import unescape
+from typing import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -38,6 +39,15 @@ def unescape_known(text: Column, entities: dict[str, str] | None = None) -> Colu
     return F.replace(text, F.lit("&amp;"), F.lit("&"))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once per row.
+
+    An expression that is used inside a lambda would be computed again for every
+    array element; bound as a lambda variable it is computed once.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def strip_whitespace(text: Column) -> Column:
     return F.btrim(text, F.lit(WHITESPACE))
 

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docketflow.fixed_values import CLS_ID, MAX_TOKENS, PAD_ID, SEP_ID
-from docketflow.functions.text import match_form, words
+from docketflow.functions.text import let, match_form, words
 
 FIRST_WORD_ID = 1000
 VOCABULARY = 29000
@@ -67,8 +67,8 @@ def encode(text: Column, max_len: int = MAX_TOKENS) -> Column:
 
     ids = F.concat(F.array(F.lit(CLS_ID)), F.transform(F.transform(words(text), match_form), word_id),
                    F.array(F.lit(SEP_ID)))
-    cut = F.slice(ids, 1, max_len)
-    return F.concat(cut, F.array_repeat(F.lit(PAD_ID), F.lit(max_len) - F.size(cut)))
+    return let(F.slice(ids, 1, max_len),
+               lambda cut: F.concat(cut, F.array_repeat(F.lit(PAD_ID), F.lit(max_len) - F.size(cut))))
 
 
 def attention_mask(ids: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from docketflow.fixed_values import NO_CATEGORY
 from docketflow.functions.spans import SPAN_TYPE, _indices
-from docketflow.functions.text import match_form, words
+from docketflow.functions.text import let, match_form, words
 
 # Dictionaries up to this many phrases may become part of the plan.
 MAX_INLINE_PHRASES = 2000
@@ -43,11 +43,9 @@ def dictionary_spans(text: Column, gazetteer: dict[str, str]) -> Column:
     by_length: dict[int, dict[str, str]] = {}
     for phrase, tag in gazetteer.items():
         by_length.setdefault(len(phrase.split()), {})[phrase.lower()] = tag
-    plain = words(text)
-    forms = F.transform(plain, match_form)
     nothing = F.lit(None).cast(SPAN_TYPE)
 
-    def hit_at(i: Column) -> Column:
+    def hit_at(plain: Column, forms: Column, i: Column) -> Column:
         best = nothing
         for length, phrases in sorted(by_length.items()):   # longest ends up outermost
             gram = F.get(forms, i) if length == 1 else F.array_join(F.slice(forms, i + 1, length), " ")
@@ -59,8 +57,11 @@ def dictionary_spans(text: Column, gazetteer: dict[str, str]) -> Column:
             best = F.when(gram.isin(list(phrases)), span).otherwise(best)
         return best
 
-    hits = F.array_compact(F.transform(_indices(forms), hit_at))
-    return hits if max(by_length, default=1) == 1 else _leftmost_longest(hits)
+    def hits(plain: Column, forms: Column) -> Column:
+        return F.array_compact(F.transform(_indices(forms), lambda i: hit_at(plain, forms, i)))
+
+    found = let(words(text), lambda plain: let(F.transform(plain, match_form), lambda forms: hits(plain, forms)))
+    return found if max(by_length, default=1) == 1 else _leftmost_longest(found)
 
 
 def dictionary_matches(

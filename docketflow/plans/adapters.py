@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docketflow.functions import spans as S
-from docketflow.functions.text import unescape_known, words
+from docketflow.functions.text import let, unescape_known, words
 from docketflow.sources.feeds import normalise_entries
 
 
@@ -165,11 +165,11 @@ def raw_tags(tokens: Column, word_class: dict[str, str]) -> Column:
     lookup = F.create_map(*[F.lit(x) for pair in word_class.items() for x in pair])
     classes = F.transform(tokens, lambda w: F.try_element_at(lookup, w))
 
-    def tag(c: Column, i: Column) -> Column:
-        return F.when(c.isNull(), "O").when((i > 0) & (c == F.get(classes, i - 1)), F.concat(F.lit("I-"), c)) \
+    def tag(c: Column, before: Column, i: Column) -> Column:
+        return F.when(c.isNull(), "O").when((i > 0) & (c == before), F.concat(F.lit("I-"), c)) \
             .otherwise(F.concat(F.lit("B-"), c))
 
-    return F.transform(classes, tag)
+    return let(classes, lambda cs: F.transform(cs, lambda c, i: tag(c, F.get(cs, i - 1), i)))
 
 
 def annotations(spark: SparkSession, folder: str) -> DataFrame:
