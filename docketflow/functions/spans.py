@@ -38,6 +38,10 @@ def biluo_tags(tokens: Column, spans: Column) -> Column:
 
     Tokens touched by a span that does not begin and end on token edges get ``-``.
     """
+    return let(F.struct(tokens.alias("t"), spans.alias("s")), lambda x: _biluo(x["t"], x["s"]))
+
+
+def _biluo(tokens: Column, spans: Column) -> Column:
     def edges(field: str) -> Column:
         return F.transform(tokens, lambda t: t[field])
 
@@ -127,6 +131,10 @@ def rewrite_after_marker(words: Column, tags: Column, marker: tuple[str, str], r
 
     Empty when the marker only occurs inside longer words.
     """
+    return let(F.struct(words.alias("w"), tags.alias("t")), lambda s: _rewrite(s["w"], s["t"], marker, replacement))
+
+
+def _rewrite(words: Column, tags: Column, marker: tuple[str, str], replacement: list[str]) -> Column:
     inserted = F.array(*[F.struct(F.lit(w).alias("token"), F.lit("O").alias("tag")) for w in replacement])
 
     def emit(row: Column) -> Column:

@@ -9,7 +9,7 @@ from docketflow.fixed_values import (
     DEFAULT_LABEL, DEV_SHARE, GENERIC_SPAN_LABEL, MARKER, MARKER_REPLACEMENT, TRAIN_SHARE,
 )
 from docketflow.functions import spans as S
-from docketflow.functions.text import hash_fraction, span_text, tail
+from docketflow.functions.text import hash_fraction, let, span_text, tail
 from docketflow.operators.ordering import top_per_group
 
 VALID_PREFIXES = ("B", "I", "E", "S")
@@ -117,15 +117,13 @@ def corpus_audit(sentences: DataFrame, suspect_classes: tuple[str, ...] = ("MIST
 
     Each rule is checked on a tag and its neighbours inside the sentence.
     """
-    tags, words = F.col("tags"), F.col("words")
-
     def continues(tag: Column) -> Column:
         return F.substring(tag, 1, 1).isin("I", "E")
 
     def same_class(a: Column, b: Column) -> Column:
         return F.equal_null(tail(a, 3), tail(b, 3))
 
-    def rules(tag: Column, i: Column) -> Column:
+    def rules(tags: Column, words: Column, tag: Column, i: Column) -> Column:
         before = F.when(i > 0, F.get(tags, i - 1))
         after = F.get(tags, i + 1)
         prefix = F.substring(tag, 1, 1)
@@ -138,7 +136,8 @@ def corpus_audit(sentences: DataFrame, suspect_classes: tuple[str, ...] = ("MIST
             F.when(tail(tag, 3).isin(*suspect_classes), "suspect_class"),
             F.when(F.coalesce(F.trim(F.get(words, i)), F.lit("")) == "", "blank_token")))
 
-    broken = F.flatten(F.transform(tags, rules))
+    broken = let(F.struct("tags", "words"), lambda s: F.flatten(
+        F.transform(s["tags"], lambda tag, i: rules(s["tags"], s["words"], tag, i))))
     return sentences.select(F.explode(broken).alias("rule")).groupBy("rule").agg(F.count(F.lit(1)).alias("n_tokens"))
 
 

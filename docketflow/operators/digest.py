@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from docketflow.fixed_values import MESSAGE_BLOCKS, NO_CATEGORY
 from docketflow.functions.text import is_mentioned, unescape_known
 from docketflow.operators.ordering import first_per_key, number_rows
+from docketflow.session import cut_lineage
 
 LINES_PER_PART = 500
 _ORDER = ["doc_order", "span_pos"]
@@ -96,24 +97,25 @@ def message_blocks(cases: DataFrame, intro: str | None = None, lines_per_part: i
 
     ``block_no`` runs over the whole digest and ``message_no`` groups blocks into messages.
     """
-    sections = court_sections(cases, "link_line", lines_per_part)
+    cases = cut_lineage(cases)   # read by the sections and the titles; selected and scored once
     first = category_order(cases).select("category", "first_doc_order", "first_span_pos")
     body = F.concat(F.lit("*"), F.col("court_id"), F.lit(":*\n\n"), F.col("body"))
-    rows = sections.join(first, "category").select(
+    sections = court_sections(cases, "link_line", lines_per_part).join(first, "category").select(
         "first_doc_order", "first_span_pos", F.lit(2).alias("rank"), "category", "court_id", "part_no",
         F.lit("section").alias("kind"), F.when(F.col("part_no") == 0, body).otherwise(F.col("body")).alias("text"))
-    head = [(0, "divider", F.lit(None).cast("string")),
-            (1, "section", F.concat(F.lit("*"), F.col("category"), F.lit(":*")))]
-    none, zero = F.lit("").alias("court_id"), F.lit(0).cast("bigint").alias("part_no")
-    for rank, kind, text in head:
-        rows = rows.unionByName(first.select("first_doc_order", "first_span_pos", F.lit(rank).alias("rank"),
-                                             "category", none, zero, F.lit(kind).alias("kind"), text.alias("text")))
+
+    def heading(rank: int, kind: str, text: Column) -> Column:
+        return F.struct(F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), text.alias("text"))
+
+    titles = F.array(heading(0, "divider", F.lit(None).cast("string")),
+                     heading(1, "section", F.concat(F.lit("*"), F.col("category"), F.lit(":*"))))
+    columns = ["first_doc_order", "first_span_pos", "h.rank", "category", F.lit("").alias("court_id"),
+               F.lit(0).cast("bigint").alias("part_no"), "h.kind", "h.text"]
+    rows = sections.unionByName(first.withColumn("h", F.explode(titles)).select(*columns))
     if intro:
-        # The intro leads the first block row, so an empty digest has no blocks at all.
-        lead = first.orderBy("first_doc_order", "first_span_pos").limit(1)
-        rows = rows.unionByName(lead.select(
-            "first_doc_order", "first_span_pos", F.lit(-1).alias("rank"), F.lit("").alias("category"), none, zero,
-            F.lit("section").alias("kind"), F.lit(f"*{intro}:*").alias("text")))
+        # The intro leads the first category, so an empty digest has no blocks at all.
+        lead = first.orderBy("first_doc_order", "first_span_pos").limit(1).withColumn("category", F.lit(""))
+        rows = rows.unionByName(lead.withColumn("h", heading(-1, "section", F.lit(f"*{intro}:*"))).select(*columns))
     order = ["first_doc_order", "first_span_pos", "rank", "court_id", "part_no"]
     numbered = number_rows(rows, [], order, "block_no")
     return numbered.select("block_no", F.floor((F.col("block_no") - 1) / max_blocks).alias("message_no"),

@@ -182,19 +182,20 @@ def annotations(spark: SparkSession, folder: str) -> DataFrame:
         F.concat_ws("/", "conv_id", "turn").alias("sent_id"), "role",
         F.translate("text", "\n\t\r", "   ").alias("text"))
     tokens = turns.withColumn("tokens", S.with_offsets(F.split("text", " ")))
-    plain = F.transform("tokens", lambda t: t["text"])
-    found = S.decode_spans(plain, raw_tags(plain, WORD_CLASS))
 
-    def span(s: Column) -> Column:
-        last = F.get(F.col("tokens"), s["end"] - 1)["end"]
+    def char_span(words_held: Column, s: Column) -> Column:
+        last = F.get(words_held, s["end"] - 1)["end"]
         end = F.when(s["tag"] == MISALIGNED_CLASS, last - 1).otherwise(last)
         label = F.when(s["tag"].isin(LOOKED_UP_CLASSES), "OBJ").otherwise(s["tag"])
-        return F.struct(F.get(F.col("tokens"), s["start"])["start"].alias("start"), end.alias("end"),
-                        label.alias("label"))
+        return F.struct(F.get(words_held, s["start"])["start"].alias("start"), end.alias("end"), label.alias("label"))
+
+    def char_spans(held: Column) -> Column:
+        found = let(F.transform(held, lambda t: t["text"]), lambda plain: S.decode_spans(plain, raw_tags(plain, WORD_CLASS)))
+        return F.transform(found, lambda s: char_span(held, s))
 
     is_system = F.col("role") == "system"
     return tokens.withColumns({
-        "spans": F.when(~is_system, F.transform(found, span)),
+        "spans": F.when(~is_system, let(F.col("tokens"), char_spans)),
         "answer": F.when(is_system, "reject").otherwise("accept")})
 
 
