@@ -23,7 +23,7 @@ def start_ingest(entries: DataFrame, docket: VersionedTable, quarantine_path: st
                  unescape=html_unescape) -> StreamingQuery:
     """Upsert feed entries as they land and set broken ones aside.
 
-    A replayed batch writes the same versions and the same quarantine folder again.
+    A replayed batch leaves the same rows in the table and rewrites its own quarantine folder.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
         state.upsert_docket(docket, with_position(normalise_entries(batch, unescape)), POSITION)
