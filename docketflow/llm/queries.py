@@ -6,8 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketflow.llm import bpe, decontam, quality, secrets, simhash
+from docketflow.llm import bpe, decontam, quality, secrets, simhash, tokenfile
 from docketflow.llm.registry import ORACLES, QUERIES, query, table
+from docketflow.session import scratch_path
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -40,3 +41,11 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(table(spark, sf_dir, "documents", "doc_id", "text"),
                                   table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
+@query("op9_token_files")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch_path(spark, "token-files")
+    tokenizer = tokenfile.read_tokenizer(public_tokenizers.path("word_bpe_49k.json"))
+    manifest = tokenfile.write_tokens(table(spark, sf_dir, "documents", "doc_id", "text"), folder, tokenizer)
+    return tokenfile.digests(tokenfile.read_documents(manifest, folder))
