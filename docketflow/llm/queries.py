@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketflow.llm import bpe, decontam, quality, secrets, simhash, tokenfile
+from docketflow.llm import ann, bpe, decontam, html_text, quality, secrets, simhash, tokenfile
 from docketflow.llm.registry import ORACLES, QUERIES, query, table
 from docketflow.session import scratch_path
 
@@ -49,3 +49,13 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokenizer = tokenfile.read_tokenizer(public_tokenizers.path("word_bpe_49k.json"))
     manifest = tokenfile.write_tokens(table(spark, sf_dir, "documents", "doc_id", "text"), folder, tokenizer)
     return tokenfile.digests(tokenfile.read_documents(manifest, folder))
+
+
+@query("op4_html_text")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.texts(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
+@query("op1_nearest_neighbours")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings", "vec_id", "embedding"), F.col("id") % 50 == 0)
