@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketflow.llm import ann, bpe, decontam, hmm, html_text, quality, secrets, simhash, tokenfile
+from docketflow.llm import ann, bpe, decontam, hmm, html_text, quality, secrets, simhash, suffix, tokenfile
 from docketflow.llm.registry import ORACLES, QUERIES, query, table
 from docketflow.session import scratch_path
 
@@ -66,3 +66,8 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, F.lit(False))
     return hmm.model_scores(docs.withColumn("held", held), "held")
+
+
+@query("op7_suffix_dedup")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.removals(table(spark, sf_dir, "documents", "doc_id", "text"))
