@@ -45,7 +45,9 @@ STATES = 8
 ROUNDS = 4
 BLOCK_CHARS = 12_000_000
 #: Pseudo-tokens that pull the states' shares of a class to their overall shares, and pseudo-counts of every transition.
-CLASS_PRIOR, MOVE_PRIOR = 20.0, 1.0
+CLASS_PRIOR, MOVE_PRIOR = 8.0, 1.0
+#: Tokens' worth of room that every class has for unknown words.
+UNKNOWN_SHARE = 0.5
 CLASS_SLICE = 1_024
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -121,6 +123,11 @@ class Model:
     class_tokens: np.ndarray
     class_words: np.ndarray
 
+    @property
+    def mass(self) -> np.ndarray:
+        """What each class weighs: its tokens, one for each distinct word, and a share for unknown words."""
+        return self.class_tokens + self.class_words + UNKNOWN_SHARE
+
     @property
     def tokens(self) -> int:
         return int(self.class_tokens.sum())
@@ -133,11 +140,12 @@ class Model:
 def initial(class_tokens: np.ndarray, class_words: np.ndarray, states: int = STATES, seed: int = 3) -> Model:
     """States that stay put and differ by random tilts of the corpus-wide class shares."""
     rng = np.random.default_rng(seed)
-    share = (class_tokens + 1) / (class_tokens + 1).sum()
-    emit = share[:, None] * np.exp(rng.normal(0, 0.5, (len(share), states)))
     moves = np.full((states, states), 0.1 / max(1, states - 1))
     np.fill_diagonal(moves, 0.9 if states > 1 else 1.0)
-    return Model(np.full(states, 1 / states), moves, emit / emit.sum(0), class_tokens, class_words)
+    model = Model(np.full(states, 1 / states), moves, np.zeros(0), class_tokens, class_words)
+    emit = model.mass[:, None] * np.exp(rng.normal(0, 0.5, (len(class_tokens), states)))
+    model.emit = emit / emit.sum(0)
+    return model
 
 
 class _Steps:
@@ -205,7 +213,7 @@ def improved(model: Model, starts: np.ndarray, moves: np.ndarray, emissions: np.
     """
     overall = emissions.sum(0) / max(1e-9, emissions.sum())
     emit = (emissions + CLASS_PRIOR * overall) / (emissions.sum(1, keepdims=True) + CLASS_PRIOR)
-    emit = emit * (model.class_tokens + 1)[:, None] + 1e-12
+    emit *= model.mass[:, None]
     start, move = starts + MOVE_PRIOR, moves + MOVE_PRIOR
     return Model(start / start.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(0), model.class_tokens, model.class_words)
 
