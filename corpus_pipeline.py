@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docketflow.llm import bpe, decontam, quality, secrets, simhash
-from docketflow.session import scratch_path
+from docketflow.session import cut_lineage, scratch_path
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,11 +29,15 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Of rows that repeat this id one stays. A group without any id keeps one row of each content.
     """
     group = simhash.groups(docs.select(F.struct("doc_id", F.xxhash64("text").alias("mark")).alias("key"), "text"), key="key")
-    first = group.where(F.col("key").eqNullSafe(F.col("component"))).select(
-        F.col("key.doc_id").alias("__id"), F.col("key.mark").alias("__mark")).distinct()
-    kept = docs.withColumn("__hash", F.xxhash64("text")).join(
-        first, F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("__hash").eqNullSafe(F.col("__mark")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "__hash"]).select(*docs.columns)
+    group = cut_lineage(group.select("key", "component"))
+    first = group.where(F.col("key").eqNullSafe(F.col("component"))).select("key").distinct() \
+        .select(F.col("key.doc_id").alias("k_id"), F.col("key.mark").alias("k_mark"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("mark"))
+    kept = rows.join(first, F.col("id").eqNullSafe(F.col("k_id")) & F.col("mark").eqNullSafe(F.col("k_mark")), "left_semi")
+    # Whole texts are shuffled once more only if there are repeated rows, which the narrow table tells.
+    if not group.groupBy("key").count().where("count > 1").isEmpty():
+        kept = kept.dropDuplicates(["id", "mark"])
+    return kept.select("row.*")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
