@@ -7,6 +7,8 @@ character offsets where offsets matter and plain strings elsewhere.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,48 +22,50 @@ def _indices(array: Column) -> Column:
     return F.when(size > 0, F.sequence(F.lit(0), size - 1)).otherwise(F.array().cast("array<int>"))
 
 
-def with_offsets(words: Column) -> Column:
-    """Words that were separated by one character each → token structs with offsets."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<text:string,start:int,end:int>>").alias("out"))
-
-    def step(acc: Column, word: Column) -> Column:
-        end = acc["at"] + F.length(word)
-        token = F.struct(word.alias("text"), acc["at"].alias("start"), end.alias("end"))
-        out = F.when(word != "", F.array_append(acc["out"], token)).otherwise(acc["out"])
-        return F.struct((end + 1).alias("at"), out.alias("out"))
+@F.pandas_udf("array<int>")
+def _running_ends(lengths: pd.Series) -> pd.Series:
+    """Where each word ends when one character separates it from the next."""
+    return lengths.map(lambda n: np.cumsum(n + 1) - 1 if n is not None else None)
 
-    return F.aggregate(words, start, step, lambda acc: acc["out"])
 
+def with_offsets(words: Column) -> Column:
+    """Words that were separated by one character each → token structs with offsets.
 
-def biluo_tags(tokens: Column, spans: Column) -> Column:
-    """Tags of tokens from character spans: B/I/L inside, U alone, O outside.
-
-    Tokens touched by a span that does not begin and end on token edges get ``-``.
+    A running sum has no array expression that does not copy the array at every
+    step, so the sums (only the numbers) are made in Arrow batches.
     """
-    return let(F.struct(tokens.alias("t"), spans.alias("s")), lambda x: _biluo(x["t"], x["s"]))
+    def token(word: Column, end: Column) -> Column:
+        return F.struct(word.alias("text"), (end - F.length(word)).alias("start"), end.alias("end"))
 
+    ends = _running_ends(F.transform(words, F.length))
+    return F.filter(F.zip_with(words, ends, token), lambda t: t["text"] != "")
 
-def _biluo(tokens: Column, spans: Column) -> Column:
-    def edges(field: str) -> Column:
-        return F.transform(tokens, lambda t: t[field])
 
-    def tags(aligned: Column) -> Column:
-        def tag(token: Column) -> Column:
-            covering = F.filter(aligned, lambda s: (token["start"] >= s["start"]) & (token["end"] <= s["end"]))
-            touched = F.exists(spans, lambda s: (token["start"] < s["end"]) & (token["end"] > s["start"]))
-            return let(F.get(covering, F.lit(0)), lambda span: _biluo_tag(token, span, touched))
-        return F.transform(tokens, tag)
+@F.pandas_udf("array<string>")
+def _biluo(starts: pd.Series, ends: pd.Series, span_starts: pd.Series, span_ends: pd.Series, labels: pd.Series) -> pd.Series:
+    def tags(first, last, a, b, names):
+        if first is None or a is None:
+            return None
+        made = np.full(len(first), "O", object)
+        for x, y in zip(a, b):
+            made[np.searchsorted(last, x, side="right"):np.searchsorted(first, y)] = "-"
+        for x, y, name in zip(a[::-1], b[::-1], names[::-1]):   # of overlapping spans the first one counts
+            i, j = np.searchsorted(first, x), np.searchsorted(last, y)
+            if i <= j < len(first) and first[i] == x and last[j] == y:
+                made[i:j + 1] = f"I-{name}"
+                made[i], made[j] = (f"B-{name}", f"L-{name}") if i < j else (f"U-{name}", f"U-{name}")
+        return made
 
-    starts_and_ends = F.struct(edges("start").alias("a"), edges("end").alias("b"))
-    aligned = let(starts_and_ends, lambda e: F.filter(
-        spans, lambda s: F.array_contains(e["a"], s["start"]) & F.array_contains(e["b"], s["end"])))
-    return let(aligned, tags)
+    return pd.Series([tags(*row) for row in zip(starts, ends, span_starts, span_ends, labels)])
 
 
-def _biluo_tag(token: Column, span: Column, touched: Column) -> Column:
-    at_start, at_end = token["start"] == span["start"], token["end"] == span["end"]
-    prefix = F.when(at_start & at_end, "U-").when(at_start, "B-").when(at_end, "L-").otherwise("I-")
-    return F.when(span.isNotNull(), F.concat(prefix, span["label"])).when(touched, F.lit("-")).otherwise(F.lit("O"))
+def biluo_tags(tokens: Column, spans: Column) -> Column:
+    """Tags of tokens from character spans: B/I/L inside, U alone, O outside.
+
+    Tokens touched by a span that does not begin and end on token edges get ``-``.
+    Every span finds its tokens by binary search; the tokens have to be in order.
+    """
+    return _biluo(tokens["start"], tokens["end"], spans["start"], spans["end"], spans["label"])
 
 
 def to_bioes(tags: Column) -> Column:
@@ -119,32 +123,38 @@ def has_marker_text(words: Column, marker: tuple[str, str]) -> Column:
     return F.contains(F.array_join(words, " "), F.lit(" ".join(marker)))
 
 
-def _marker_hit(words: Column, i: Column, marker: tuple[str, str]) -> Column:
-    """True where the second marker word follows the first, repeats of it included."""
-    before = F.filter(F.slice(words, 1, i), lambda w: w != marker[1])
-    return F.when(F.get(words, i) == marker[1], F.equal_null(F.try_element_at(before, F.lit(-1)), F.lit(marker[0]))) \
-        .otherwise(F.lit(False))
+def _marker_hits(marker: tuple[str, str]):
+    @F.pandas_udf("array<boolean>")
+    def hits(rows: pd.Series) -> pd.Series:
+        def mark(words):
+            if words is None:
+                return None
+            second = words == marker[1]
+            before = np.maximum.accumulate(np.where(second, -1, np.arange(len(words)))) if len(words) else np.zeros(0, int)
+            return second & (before >= 0) & (words[before] == marker[0])
+        return rows.map(mark)
+    return hits
 
 
 def rewrite_after_marker(words: Column, tags: Column, marker: tuple[str, str], replacement: list[str]) -> Column:
     """Sentence from its first marker on, every marker replaced, as ``(token, tag)`` structs.
 
+    The second marker word counts where it follows the first, repeats of it included.
     Empty when the marker only occurs inside longer words.
     """
-    return let(F.struct(words.alias("w"), tags.alias("t")), lambda s: _rewrite(s["w"], s["t"], marker, replacement))
+    hits = _marker_hits(marker)(F.when(has_marker_text(words, marker), words))
+    return let(F.struct(words.alias("w"), tags.alias("t"), hits.alias("h")),
+               lambda s: _rewrite(s["w"], s["t"], s["h"], replacement))
 
 
-def _rewrite(words: Column, tags: Column, marker: tuple[str, str], replacement: list[str]) -> Column:
+def _rewrite(words: Column, tags: Column, hits: Column, replacement: list[str]) -> Column:
     inserted = F.array(*[F.struct(F.lit(w).alias("token"), F.lit("O").alias("tag")) for w in replacement])
 
     def emit(row: Column) -> Column:
         kept = F.array(F.struct(row["w"].alias("token"), row["t"].alias("tag")))
         return F.when(row["h"], inserted).otherwise(kept)
 
-    def from_first(hits: Column) -> Column:
-        first = F.array_position(hits, F.lit(True)).cast("int")
-        rows = F.arrays_zip(words.alias("w"), tags.alias("t"), hits.alias("h"))
-        rest = F.slice(rows, F.greatest(first, F.lit(1)), F.size(rows))
-        return F.when(first > 0, F.flatten(F.transform(rest, emit)))
-
-    return let(F.transform(words, lambda w, i: _marker_hit(words, i, marker)), from_first)
+    first = F.array_position(hits, F.lit(True)).cast("int")
+    rows = F.arrays_zip(words.alias("w"), tags.alias("t"), hits.alias("h"))
+    rest = F.slice(rows, F.greatest(first, F.lit(1)), F.size(rows))
+    return F.when(first > 0, F.flatten(F.transform(rest, emit)))

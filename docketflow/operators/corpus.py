@@ -11,6 +11,7 @@ from docketflow.fixed_values import (
 from docketflow.functions import spans as S
 from docketflow.functions.text import hash_fraction, let, span_text, tail
 from docketflow.operators.ordering import top_per_group
+from docketflow.session import cut_lineage
 
 VALID_PREFIXES = ("B", "I", "E", "S")
 
@@ -34,24 +35,26 @@ def exported_entities(examples: DataFrame, *keep: str) -> DataFrame:
                            F.lit("").alias("label"))
 
 
-def lookup_span_labels(examples: DataFrame, key: str, labels: DataFrame) -> DataFrame:
+def lookup_span_labels(examples: DataFrame, labels: DataFrame) -> DataFrame:
     """Generic span labels become the class of their text in ``labels`` (token, label).
 
-    Other labels stay; texts the table does not know get the default class. Only
-    spans, not whole examples, go through the lookup.
+    Other labels stay; texts the table does not know get the default class; of a
+    token listed twice the largest label counts. The examples are materialised once
+    under row numbers, so examples may share a key; only the distinct texts of
+    their generic spans are looked up.
     """
-    exploded = examples.select(key, "text", F.posexplode("spans").alias("n", "s")).select(
-        key, "n", "s.start", "s.end", F.col("s.label").alias("given"),
-        span_text(F.col("text"), F.col("s.start"), F.col("s.end")).alias("token"))
-    known = exploded.join(labels.select("token", F.col("label").alias("looked_up")), "token", "left")
-    label = F.when(F.col("given") == GENERIC_SPAN_LABEL, F.coalesce("looked_up", F.lit(DEFAULT_LABEL))) \
-        .otherwise(F.col("given"))
-    span = F.struct("n", F.struct("start", "end", label.alias("label")).alias("s"))
-    regrouped = known.groupBy(key).agg(
-        F.transform(F.array_sort(F.collect_list(span)), lambda x: x["s"]).alias("_spans"))
-    empty = F.array().cast("array<struct<start:int,end:int,label:string>>")
-    return examples.join(regrouped, key, "left") \
-        .withColumn("spans", F.coalesce("_spans", empty)).drop("_spans")
+    rows = cut_lineage(examples.withColumn("_row", F.monotonically_increasing_id()))
+    generic = rows.select("_row", "text", F.explode("spans").alias("s")).where(F.col("s.label") == GENERIC_SPAN_LABEL) \
+        .select("_row", span_text(F.col("text"), F.col("s.start"), F.col("s.end")).alias("token")).distinct()
+    known = labels.groupBy("token").agg(F.max("label").alias("label"))
+    looked_up = generic.join(known, "token").groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("token", "label"))).alias("_known"))
+
+    def labelled(s: Column) -> Column:
+        found = F.try_element_at(F.col("_known"), span_text(F.col("text"), s["start"], s["end"]))
+        label = F.when(s["label"] == GENERIC_SPAN_LABEL, F.coalesce(found, F.lit(DEFAULT_LABEL))).otherwise(s["label"])
+        return F.struct(s["start"].alias("start"), s["end"].alias("end"), label.alias("label"))
+
+    return rows.join(looked_up, "_row", "left").withColumn("spans", F.transform("spans", labelled)).drop("_row", "_known")
 
 
 def tagged_sentences(examples: DataFrame, *keep: str) -> DataFrame:
@@ -70,8 +73,7 @@ def with_marker_variants(sentences: DataFrame, marker: tuple[str, str] = MARKER,
     """
     replacement = MARKER_REPLACEMENT if replacement is None else replacement
     original = F.struct(F.lit(0).alias("variant"), F.col("words"), F.col("tags"))
-    rewritten = F.when(S.has_marker_text(F.col("words"), marker),
-                       S.rewrite_after_marker(F.col("words"), F.col("tags"), marker, replacement))
+    rewritten = S.rewrite_after_marker(F.col("words"), F.col("tags"), marker, replacement)
     variant = F.when(F.col("_r").isNotNull(), F.struct(
         F.lit(1).alias("variant"), F.transform("_r", lambda p: p["token"]).alias("words"),
         F.transform("_r", lambda p: p["tag"]).alias("tags")))

@@ -65,8 +65,8 @@ def encode(text: Column, max_len: int = MAX_TOKENS) -> Column:
     def word_id(word: Column) -> Column:
         return (F.conv(F.substring(F.md5(word), 1, 8), 16, 10).cast("bigint") % VOCABULARY + FIRST_WORD_ID).cast("int")
 
-    ids = F.concat(F.array(F.lit(CLS_ID)), F.transform(F.transform(words(text), match_form), word_id),
-                   F.array(F.lit(SEP_ID)))
+    forms = F.transform(F.slice(words(text), 1, max_len), match_form)   # later words cannot reach the result
+    ids = F.concat(F.array(F.lit(CLS_ID)), F.transform(forms, word_id), F.array(F.lit(SEP_ID)))
     return let(F.slice(ids, 1, max_len),
                lambda cut: F.concat(cut, F.array_repeat(F.lit(PAD_ID), F.lit(max_len) - F.size(cut))))
 
@@ -105,13 +105,20 @@ def score_with(df: DataFrame, text_column: str, factory: ScorerFactory, batch_si
 
 
 def linear_factory(weights: dict[str, float], bias: float = 0.0, max_tokens: int | None = None) -> ScorerFactory:
-    """The linear model as a batch scorer, for the Arrow harness."""
-    drop = str.maketrans("", "", ".,;:!?()")
+    """The linear model as a batch scorer, for the Arrow harness.
+
+    Words are cut as :func:`words` does. A batch is one list of word numbers; only
+    its distinct words are brought into match form and weighed.
+    """
+    breaks, drop = str.maketrans("\n\t\r", "   "), str.maketrans("", "", ".,;:!?()")
 
     def build() -> Callable[[list], np.ndarray]:
         def logits(texts: list) -> np.ndarray:
-            totals = [bias + sum(weights.get(w.translate(drop).lower(), 0.0) for w in (t or "").split()[:max_tokens])
-                      for t in texts]
+            cut = [[w for w in (t or "").translate(breaks).split(" ") if w][:max_tokens] for t in texts]
+            numbers, distinct = pd.factorize(np.array([w for row in cut for w in row], object))
+            worth = np.array([weights.get(w.translate(drop).lower(), 0.0) for w in distinct], float)
+            rows = np.repeat(np.arange(len(texts)), [len(row) for row in cut])
+            totals = bias + np.bincount(rows, worth[numbers] if len(numbers) else None, len(texts))
             return np.column_stack([np.zeros(len(texts)), totals])
         return logits
 

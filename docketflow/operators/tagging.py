@@ -12,15 +12,11 @@ from docketflow.fixed_values import NO_CATEGORY
 from docketflow.functions.spans import SPAN_TYPE, _indices
 from docketflow.functions.text import let, match_form, words
 
-# Dictionaries up to this many phrases may become part of the plan.
-MAX_INLINE_PHRASES = 2000
-
-
 def phrase_form(phrase: Column) -> Column:
     return F.array_join(F.transform(words(phrase), match_form), " ")
 
 
-def _leftmost_longest(hits: Column) -> Column:
+def _fold(hits: Column) -> Column:
     """Walks hits by start position and drops those that begin inside a kept one."""
     start = F.struct(F.lit(0).alias("upto"), F.array().cast(f"array<{SPAN_TYPE}>").alias("kept"))
 
@@ -32,17 +28,37 @@ def _leftmost_longest(hits: Column) -> Column:
     return F.aggregate(hits, start, step, lambda acc: acc["kept"])
 
 
+def _leftmost_longest(hits: Column) -> Column:
+    """Leftmost, then longest hits without overlaps; hits come by start, one for each start.
+
+    The walk copies what it has kept at every hit, so it is made in short stretches:
+    a hit that none of those before it reaches begins a new one. Only hits up to the
+    longest hit's words before can reach it.
+    """
+    def stretches(all_hits: Column, begins: Column) -> Column:
+        return F.flatten(F.transform(begins, lambda i, k: _fold(
+            F.slice(all_hits, i + 1, F.coalesce(F.get(begins, k + 1), F.size(all_hits)) - i))))
+
+    def begun(x: Column) -> Column:
+        def free(i: Column) -> Column:
+            before = F.slice(x["h"], F.greatest(i - x["n"] + 2, F.lit(1)), F.least(i, x["n"] - 1))
+            return ~F.exists(before, lambda p: p["end"] > F.get(x["h"], i)["start"])
+        return let(F.filter(_indices(x["h"]), free), lambda begins: stretches(x["h"], begins))
+
+    longest = F.coalesce(F.array_max(F.transform(hits, lambda h: h["end"] - h["start"])), F.lit(1))
+    return let(F.struct(hits.alias("h"), longest.alias("n")), begun)
+
+
 def dictionary_spans(text: Column, gazetteer: dict[str, str]) -> Column:
-    """Phrases of a small dictionary found in a text: leftmost, then longest, no overlaps.
+    """Phrases of a dictionary given in the plan: leftmost, then longest, no overlaps.
 
-    Row-local expressions: no join, no shuffle, no Python. Larger dictionaries go
-    through :func:`dictionary_matches`.
+    No join, no shuffle. The dictionary becomes part of the plan, so this is for
+    lists written by hand; :func:`dictionary_matches` takes a table.
     """
-    if len(gazetteer) > MAX_INLINE_PHRASES:
-        raise ValueError("dictionary too large for the plan; use dictionary_matches")
     by_length: dict[int, dict[str, str]] = {}
     for phrase, tag in gazetteer.items():
         by_length.setdefault(len(phrase.split()), {})[phrase.lower()] = tag
+    beginnings = sorted({phrase.split()[0].lower() for phrase in gazetteer})
     nothing = F.lit(None).cast(SPAN_TYPE)
 
     def hit_at(plain: Column, forms: Column, i: Column) -> Column:
@@ -58,38 +74,39 @@ def dictionary_spans(text: Column, gazetteer: dict[str, str]) -> Column:
         return best
 
     def hits(plain: Column, forms: Column) -> Column:
-        return F.array_compact(F.transform(_indices(forms), lambda i: hit_at(plain, forms, i)))
+        begun = F.filter(_indices(forms), lambda i: F.get(forms, i).isin(beginnings))
+        return F.array_compact(F.transform(begun, lambda i: hit_at(plain, forms, i)))
 
     found = let(words(text), lambda plain: let(F.transform(plain, match_form), lambda forms: hits(plain, forms)))
-    return found if max(by_length, default=1) == 1 else _leftmost_longest(found)
+    return found if max(by_length, default=1) == 1 else let(found, _leftmost_longest)
 
 
-def dictionary_matches(
-    df: DataFrame, key: str, text_column: str, gazetteer: DataFrame, max_words: int = 4
-) -> DataFrame:
-    """The same matching against a dictionary table (``phrase, tag``) of any size.
+def dictionary_matches(df: DataFrame, key: str, text_column: str, gazetteer: DataFrame) -> DataFrame:
+    """The same matching against a dictionary table (``phrase, tag``) of any size and any phrase length.
 
-    Word n-grams join the table on the phrase; Spark broadcasts it when its size
-    allows and splits hot phrases when not. Only matches are grouped per text, so a
-    group is bounded by the words of one text. Rows: key, start, end, text, tag.
+    Single words look up which phrases begin with them; only there, and only in the
+    lengths these phrases have, word groups are built and joined with the table. So
+    what is shuffled is (key, place, word) and candidates, never texts; candidates of
+    a text meet again at the text, so a group is bounded by one text.
+    Rows: key, start, end, text, tag. Keys must not repeat.
     """
-    table = gazetteer.groupBy(phrase_form(F.col("phrase")).alias("gram")).agg(F.min("tag").alias("tag"))
+    table = gazetteer.groupBy(phrase_form(F.col("phrase")).alias("gram")).agg(F.min("tag").alias("tag")) \
+        .where(F.col("gram") != "")
+    begins = table.select(F.substring_index("gram", " ", 1).alias("word"), F.size(F.split("gram", " ")).alias("n")).distinct()
     split = df.select(F.col(key), words(F.col(text_column)).alias("w"))
-
-    def gram(i: Column, n: Column) -> Column:
-        return F.struct(i.alias("start"), (i + n).alias("end"),
-                        F.array_join(F.slice(F.col("w"), i + 1, n), " ").alias("text"))
-
-    grams = F.flatten(F.transform(_indices(F.col("w")), lambda i: F.transform(
-        F.sequence(F.lit(1), F.least(F.lit(max_words), F.size("w") - i)), lambda n: gram(i, n))))
-    exploded = split.select(key, F.explode(grams).alias("g")) \
-        .select(key, "g.*", F.array_join(F.transform(F.split("g.text", " "), match_form), " ").alias("gram"))
-    found = exploded.join(table, "gram").select(key, F.struct("start", "end", "text", "tag").alias("hit"))
-    longest = F.array_sort(F.collect_list("hit"), lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"])
-                           .otherwise(b["end"] - a["end"]))
-    return found.groupBy(key).agg(longest.alias("hits")) \
-        .select(key, F.explode(_leftmost_longest(F.col("hits").cast(f"array<{SPAN_TYPE}>"))).alias("s")) \
-        .select(key, "s.*")
+    places = split.select(key, F.posexplode(F.transform("w", match_form)).alias("i", "word"))
+    near = places.join(begins, "word").groupBy(key).agg(F.collect_list(F.struct("i", "n")).alias("near"))
+    grams = split.join(near, key).select(key, "w", F.explode("near").alias("c")) \
+        .where(F.col("c.i") + F.col("c.n") <= F.size("w")) \
+        .select(key, F.col("c.i").alias("start"), (F.col("c.i") + F.col("c.n")).alias("end"),
+                F.slice("w", F.col("c.i") + 1, F.col("c.n")).alias("part"))
+    found = grams.select(key, "start", "end", F.array_join("part", " ").alias("text"),
+                         F.array_join(F.transform("part", match_form), " ").alias("gram")) \
+        .join(table, "gram").select(key, F.struct("start", "end", "text", "tag").alias("hit"))
+    longest = found.groupBy(key, "hit.start").agg(F.max_by("hit", "hit.end").alias("hit"))
+    hits = F.array_sort(F.collect_list("hit")).cast(f"array<{SPAN_TYPE}>")
+    return longest.groupBy(key).agg(hits.alias("hits")) \
+        .select(key, F.explode(_leftmost_longest(F.col("hits"))).alias("s")).select(key, "s.*")
 
 
 # A tagger factory runs once per Python task and returns a function from one text

@@ -16,7 +16,7 @@ def from_annotations(examples: DataFrame, key: str, labels: DataFrame, marker: t
     The split belongs to the example, drawn before any filter.
     """
     drawn = examples.withColumn("split", corpus.split_name(F.col(key)))
-    labelled = corpus.lookup_span_labels(corpus.accepted(drawn), key, labels)
+    labelled = corpus.lookup_span_labels(corpus.accepted(drawn), labels)
     tagged = corpus.tagged_sentences(labelled, F.col(key).alias("sent_id"), "split")
     return corpus.with_marker_variants(tagged, marker, replacement or MARKER_REPLACEMENT)
 

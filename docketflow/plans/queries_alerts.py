@@ -14,6 +14,7 @@ from docketflow.plans.adapters import (
 from docketflow.plans.queries_feed import START, _SQL_CANDIDATE, _SQL_SEEN
 from docketflow.plans.registry import query
 from docketflow.functions import spans as S
+from docketflow.functions.text import match_form, words
 from docketflow.schemas import DOCKET_KEY
 
 # --- scorers ------------------------------------------------------------------------------------------------------
@@ -83,24 +84,20 @@ DOCUMENT_GAZETTEER = {"license": "DOCUMENT", "the of": "PAIR", "of the": "PAIR",
                       "and the of": "TRIPLE", "de la": "PAIR"}
 
 
-def _sql_longest(gazetteer: dict[str, str], source: str, key: str, max_words: int) -> str:
+def _sql_longest(gazetteer: dict[str, str], source: str, key: str) -> str:
     """Leftmost-longest dictionary matches as SQL: n-grams, longest per start, then one fold per text."""
     values = ", ".join(f"('{p}', '{t}')" for p, t in gazetteer.items())
-    return _sql_fold(f"SELECT * FROM (VALUES {values}) v(phrase, tag)", source, key, max_words)
+    return _sql_fold(f"SELECT * FROM (VALUES {values}) v(phrase, tag)", source, key)
 
 
-def _sql_fold(gazetteer_sql: str, source: str, key: str, max_words: int) -> str:
-    def gram(column: str, n: int) -> str:
-        return " || ' ' || ".join([column] + [f"lead({column}, {k}) OVER t" for k in range(1, n)])
-
-    grams = " UNION ALL ".join(
-        f"SELECT {key}, i, {n} AS n, {gram('word', n)} AS text, {gram('form', n)} AS gram FROM toks "
-        f"WINDOW t AS (PARTITION BY {key} ORDER BY i)" for n in range(1, max_words + 1))
+def _sql_fold(gazetteer_sql: str, source: str, key: str) -> str:
     return f"""
 WITH gaz AS ({gazetteer_sql}),
-toks AS (SELECT {key}, unnest({SQL_WORDS}) AS word, unnest({_SQL_FORMS}) AS form,
-  generate_subscripts({SQL_WORDS}, 1) - 1 AS i FROM {source}),
-grams AS ({grams}),
+lens AS (SELECT DISTINCT len(string_split(phrase, ' ')) AS n FROM gaz),
+texts AS (SELECT {key}, {SQL_WORDS} AS ws, {_SQL_FORMS} AS fs FROM {source}),
+places AS (SELECT {key}, ws, fs, n, unnest(range(0, len(ws) - n + 1)) AS i FROM texts, lens),
+grams AS (SELECT {key}, i, n, array_to_string(ws[i + 1:i + n], ' ') AS text, array_to_string(fs[i + 1:i + n], ' ') AS gram
+  FROM places),
 best AS (SELECT {key}, i, n, text, tag FROM grams JOIN gaz ON gram = phrase
   QUALIFY row_number() OVER (PARTITION BY {key}, i ORDER BY n DESC) = 1),
 lists AS (SELECT {key}, list({{'s': i, 'e': i + n, 'x': text, 't': tag}} ORDER BY i) AS hs FROM best GROUP BY 1),
@@ -114,25 +111,36 @@ def _span_rows(tagged, key):
                          .alias("end_pos"), "text", "tag")
 
 
-@query("dictionary_tagger", _sql_longest(DOCUMENT_GAZETTEER, "documents", "doc_id", 3))
+@query("dictionary_tagger", _sql_longest(DOCUMENT_GAZETTEER, "documents", "doc_id"))
 def dictionary_tagger(spark, d):
-    tagged = table(spark, d, "documents").select(
-        "doc_id", F.explode(tagging.dictionary_spans(F.col("text"), DOCUMENT_GAZETTEER)).alias("s"))
+    spans = table(spark, d, "documents").select(
+        "doc_id", tagging.dictionary_spans(F.col("text"), DOCUMENT_GAZETTEER).alias("spans"))
+    tagged = spans.select("doc_id", F.explode("spans").alias("s"))
     return _span_rows(tagged.select("doc_id", "s.*"), "doc_id")
 
 
-@query("learnt_dictionary_tagger", _sql_fold(with_views("spans", """
-SELECT phrase, arg_max(class, (n, class)) AS tag FROM (SELECT lower(text) AS phrase, class, count(*) AS n FROM spans
-  GROUP BY 1, 2) GROUP BY 1"""), "benchmark", "item_id", 4))
+_LEARNT = f"""SELECT phrase, arg_max(class, (n, class)) AS tag FROM (SELECT lower(text) AS phrase, class, count(*) AS n
+    FROM spans GROUP BY 1, 2) GROUP BY 1"""
+_OPENINGS = f"""SELECT array_to_string({_SQL_FORMS}[1:6], ' ') AS phrase, 'OPENING' AS tag FROM benchmark
+  UNION SELECT array_to_string({_SQL_FORMS}[8:12], ' '), 'MIDDLE' FROM benchmark"""
+
+
+@query("learnt_dictionary_tagger", _sql_fold(with_views(
+    "spans", f"SELECT phrase, min(tag) AS tag FROM ({_LEARNT} UNION ALL {_OPENINGS}) WHERE phrase <> '' GROUP BY 1"),
+    "benchmark", "item_id"))
 def learnt_dictionary_tagger(spark, d):
-    """A dictionary learnt from the tagged sentences, applied to other texts through a join."""
+    """A dictionary learnt from the tagged sentences, with phrases of five and six words, applied through joins."""
     decoded = sentences(spark, d).select(F.explode(S.decode_spans(F.col("words"), F.col("tags"))).alias("s"))
-    gazetteer = tagging.gazetteer_from_spans(decoded.select("s.text", "s.tag"))
-    return _span_rows(tagging.dictionary_matches(table(spark, d, "benchmark"), "item_id", "text", gazetteer, 4),
-                      "item_id")
+    learnt = tagging.gazetteer_from_spans(decoded.select("s.text", "s.tag"))
+    benchmark = table(spark, d, "benchmark")
+    forms = F.transform(words(F.col("text")), match_form)
+    openings = benchmark.select(F.explode(F.array(
+        F.struct(F.array_join(F.slice(forms, 1, 6), " ").alias("phrase"), F.lit("OPENING").alias("tag")),
+        F.struct(F.array_join(F.slice(forms, 8, 5), " ").alias("phrase"), F.lit("MIDDLE").alias("tag")))).alias("p")).select("p.*")
+    return _span_rows(tagging.dictionary_matches(benchmark, "item_id", "text", learnt.unionByName(openings)), "item_id")
 
 
-@query("arrow_tagger", _sql_longest({"license": "DOCUMENT"}, "documents", "doc_id", 1))
+@query("arrow_tagger", _sql_longest({"license": "DOCUMENT"}, "documents", "doc_id"))
 def arrow_tagger(spark, d):
     """The harness for external taggers, here with a one-word tagger."""
     def factory():
