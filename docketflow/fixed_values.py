@@ -26,6 +26,7 @@ ARCHIVE_PREFIXES = ["/storage", "/sata"]
 # Producers recorded in the prediction logs.
 FEED_CLASS_TYPE = "swornot"
 FEED_ENTITY_TYPE = "swobjectner"
+CANDIDATE_TYPE = "candidate"
 SEARCH_CLASS_TYPE = "swornot_recap"
 SEARCH_ENTITY_TYPE = "swobjectner_recap"
 
@@ -46,7 +47,7 @@ SEARCH_INTRO = "search warrants from the CourtListener API"
 FEED_LOOKBACK_DAYS = 1
 SEARCH_LOOKBACK_DAYS = 800
 SEARCH_ALERT_CAP = 500
-SEARCH_DEFAULT_CAP = 1000
+SEARCH_PHRASE = "search warrant"
 MESSAGE_BLOCKS = 46
 MAX_TOKENS = 64
 
@@ -64,18 +65,3 @@ WHITESPACE = (
     "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007"
     "\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
-
-# Model files the scorers look for.
-MODEL_FILES = [
-    "models/classifier/casename_desc_model/config.json",
-    "models/classifier/casename_desc_model/pytorch_model.bin",
-    "models/classifier/casename_desc_model/special_tokens_map.json",
-    "models/classifier/casename_desc_model/tokenizer_config.json",
-    "models/classifier/casename_desc_model/vocab.txt",
-    "models/classifier/casename_shortdesc_model/config.json",
-    "models/classifier/casename_shortdesc_model/pytorch_model.bin",
-    "models/classifier/casename_shortdesc_model/special_tokens_map.json",
-    "models/classifier/casename_shortdesc_model/tokenizer_config.json",
-    "models/classifier/casename_shortdesc_model/vocab.txt",
-    "models/flairner/best-model.pt",
-]

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from typing import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -65,9 +63,12 @@ def query_parameter(url: Column, name: str) -> Column:
     return F.try_url_decode(F.nullif(raw, F.lit("")))
 
 
+def entry_seq_text(description: Column) -> Column:
+    return query_parameter(first_anchor_href(_link_part(description)), "de_seq_num")
+
+
 def entry_seq_number(description: Column) -> Column:
-    href = first_anchor_href(_link_part(description))
-    return query_parameter(href, "de_seq_num").try_cast("int")
+    return entry_seq_text(description).try_cast("int")
 
 
 def entry_number_text(description: Column) -> Column:
@@ -146,5 +147,3 @@ def pdf_path(doc_url: Column, host_url: Column) -> Column:
     """Target path of a press-release attachment; null for malformed addresses."""
     return F.concat(F.lit("pdfs/"), url_segment(host_url, -1), F.lit("/"), url_segment(doc_url, -2), F.lit(".pdf"))
 
-
-Unescape = Callable[[Column], Column]

@@ -11,6 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docketflow.functions.text import bioes_prefix, canonical_label, let, tail
 
@@ -22,7 +23,7 @@ def _indices(array: Column) -> Column:
     return F.when(size > 0, F.sequence(F.lit(0), size - 1)).otherwise(F.array().cast("array<int>"))
 
 
-@F.pandas_udf("array<int>")
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
 def _running_ends(lengths: pd.Series) -> pd.Series:
     """Where each word ends when one character separates it from the next."""
     return lengths.map(lambda n: np.cumsum(n + 1) - 1 if n is not None else None)
@@ -41,7 +42,7 @@ def with_offsets(words: Column) -> Column:
     return F.filter(F.zip_with(words, ends, token), lambda t: t["text"] != "")
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def _biluo(starts: pd.Series, ends: pd.Series, span_starts: pd.Series, span_ends: pd.Series, labels: pd.Series) -> pd.Series:
     def tags(first, last, a, b, names):
         if first is None or a is None:
@@ -124,7 +125,7 @@ def has_marker_text(words: Column, marker: tuple[str, str]) -> Column:
 
 
 def _marker_hits(marker: tuple[str, str]):
-    @F.pandas_udf("array<boolean>")
+    @F.pandas_udf(T.ArrayType(T.BooleanType()))
     def hits(rows: pd.Series) -> pd.Series:
         def mark(words):
             if words is None:

@@ -19,7 +19,3 @@ def orphan_keys(child: DataFrame, parent: DataFrame, on: dict[str, str]) -> Data
     counted = child.groupBy(*on).agg(F.count(F.lit(1)).alias("n_rows"))
     parents = parent.select(*[F.col(p).alias(c) for c, p in on.items()]).distinct()
     return counted.join(parents, list(on), "left_anti")
-
-
-def blank_count(df: DataFrame, column: str) -> DataFrame:
-    return df.agg(F.count_if(F.length(column) == 0).alias("n_blank"), F.count(F.lit(1)).alias("n_rows"))

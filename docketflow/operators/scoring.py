@@ -1,6 +1,6 @@
-"""Scorers: keyword rule, linear model, Arrow harness for any model, pyspark.ml training.
+"""Scorers: keyword rule, linear model, Arrow harness for any model, naive Bayes from word counts.
 
-Every scorer adds ``predicted_class`` (0/1) and ``likelihood`` to a DataFrame,
+Every scorer but the last adds ``predicted_class`` (0/1) and ``likelihood`` to a DataFrame,
 reading one text column, and is narrow: no shuffle.
 """
 
@@ -10,10 +10,6 @@ from typing import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import Pipeline
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -125,20 +121,29 @@ def linear_factory(weights: dict[str, float], bias: float = 0.0, max_tokens: int
     return build
 
 
-def text_classifier(text_column: str, label_column: str, n_features: int = 1 << 16) -> Pipeline:
-    """Trainable scorer: hashed word counts, inverse document frequency, logistic regression."""
-    return Pipeline(stages=[
-        RegexTokenizer(inputCol=text_column, outputCol="_words", pattern=r"\W+"),
-        HashingTF(inputCol="_words", outputCol="_counts", numFeatures=n_features),
-        IDF(inputCol="_counts", outputCol="_features"),
-        LogisticRegression(featuresCol="_features", labelCol=label_column, predictionCol="_prediction",
-                           probabilityCol="_probability", maxIter=20, regParam=0.01),
-    ])
+def word_counts(documents: DataFrame, key: str, text_column: str) -> DataFrame:
+    """(key, word, n): how often each word, in match form, occurs in each text; combined before the shuffle."""
+    split = documents.select(key, F.explode(F.transform(words(F.col(text_column)), match_form)).alias("word"))
+    return split.where(F.col("word") != "").groupBy(key, "word").agg(F.count(F.lit(1)).alias("n"))
 
 
-def score_with_pipeline(model, df: DataFrame) -> DataFrame:
-    """Apply a trained pipeline; leaves only the two score columns beside the input."""
-    scored = model.transform(df)
-    return scored.select(
-        *df.columns, F.col("_prediction").cast("int").alias("predicted_class"),
-        vector_to_array("_probability")[1].alias("likelihood"))
+def class_counts(counts: DataFrame, labels: DataFrame, key: str) -> DataFrame:
+    """(word, n0, n1): occurrences of each word in the texts of either class. ``labels``: key and a 0/1 ``label``."""
+    joined = counts.join(labels.select(key, "label"), key)
+    return joined.groupBy("word").agg(F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("n0"),
+                                      F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("n1"))
+
+
+def bayes_weights(by_class: DataFrame) -> DataFrame:
+    """(word, weight): log odds of class 1, counts raised by one; the totals are one row."""
+    totals = by_class.agg(F.sum("n0").alias("t0"), F.sum("n1").alias("t1"), F.count(F.lit(1)).alias("v")).first()
+    t0, t1, v = (float(x or 0) for x in totals)
+    weight = F.log((F.col("n1") + 1) / F.lit(t1 + v)) - F.log((F.col("n0") + 1) / F.lit(t0 + v))
+    return by_class.select("word", weight.alias("weight"))
+
+
+def bayes_score(counts: DataFrame, weights: DataFrame, key: str, prior: float) -> DataFrame:
+    """Multinomial naive Bayes: key, predicted_class, likelihood of every text that holds a known word."""
+    total = counts.join(weights, "word").groupBy(key).agg((F.sum(F.col("n") * F.col("weight")) + F.lit(prior)).alias("total"))
+    predicted, likelihood = class_and_likelihood(F.lit(0.0), F.col("total"))
+    return total.select(key, predicted, likelihood)

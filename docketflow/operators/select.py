@@ -69,11 +69,6 @@ def classification_text(rows: DataFrame, name: str = "to_classify") -> DataFrame
     return rows.withColumn(name, text).where(F.col(name).isNotNull())
 
 
-def search_text() -> Column:
-    """Case name and description of a search result, the alternative text to score."""
-    return F.concat("caseName", F.lit(" "), "description")
-
-
 def to_alert_shape(rows: DataFrame, order_column: str, *keep: str, substring: bool = False) -> DataFrame:
     """Docket entries → the columns alerts are built from.
 

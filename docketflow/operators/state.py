@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from docketflow.operators.ordering import first_per_key
 from docketflow.operators.select import with_match, without_match
 from docketflow.schemas import DOCKET_KEY
-from docketflow.sources.versioned import VersionedTable
+from docketflow.session import remove_path
+from docketflow.sources.tables import Table, staged
 
-PUB_MONTH = "pub_month"
 
 
 def latest_per_key(rows: DataFrame, keys: list[str], *order: str) -> DataFrame:
@@ -18,32 +18,42 @@ def latest_per_key(rows: DataFrame, keys: list[str], *order: str) -> DataFrame:
     return first_per_key(rows, keys, [F.desc_nulls_last(c) for c in order])
 
 
-def with_month(docket: DataFrame) -> DataFrame:
-    return docket.withColumn(PUB_MONTH, F.date_format("pub_date", "yyyy-MM"))
+def has_key(keys: list[str]) -> Column:
+    """True for rows that an upsert can merge."""
+    complete = F.lit(True)
+    for key in keys:
+        complete = complete & F.col(key).isNotNull()
+    return complete
 
 
-def upsert(table: VersionedTable, batch: DataFrame, keys: list[str], order: list[str], position: str,
-           version: int | None = None) -> int:
+def rejected(batch: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of a batch that no upsert can merge, because a part of their key is null."""
+    return batch.where(~has_key(keys))
+
+
+def upsert(table: Table, batch: DataFrame, keys: list[str], order: list[str], position: str) -> None:
     """Merge a batch into a table: the row that is newest by ``order``, then by batch position, wins.
 
     Reads and writes only the partitions the batch touches; the partition column
-    has to follow from the key. Rows with a null key cannot be merged and stay out.
+    has to follow from the key. Rows of :func:`rejected` stay out; callers keep them.
+    The batch is read several times, so it should be a stored one.
     """
-    complete = batch.dropna(subset=keys)
-    touched = sorted(r[0] for r in complete.select(table.partition).distinct().collect())
+    complete = batch.where(has_key(keys))
+    touched = table.touched(table.placed(complete))
     if not touched:
-        return table.current_version()
-    held = table.read(touched).withColumn(position, F.lit(-1).cast("bigint"))
-    both = held.unionByName(complete.select(*held.columns))
-    return table.replace(latest_per_key(both, keys, *order, position), touched, version)
+        return
+    columns = [*table.schema.names, *[k for k in keys if k not in table.schema.names]]
+    held = table.read(touched).select(*columns, F.lit(-1).cast("bigint").alias(position))
+    both = held.unionByName(complete.select(*columns, position))
+    table.replace(latest_per_key(both, keys, *order, position), touched)
 
 
-def upsert_docket(table: VersionedTable, batch: DataFrame, position: str, version: int | None = None) -> int:
+def upsert_docket(table: Table, batch: DataFrame, position: str) -> None:
     """Merge scraped entries: the later scrape wins, then the later position in the batch.
 
     An entry's key holds its publication time, so it never changes its month.
     """
-    return upsert(table, with_month(batch), DOCKET_KEY, ["scrape_date"], position, version)
+    upsert(table, batch, DOCKET_KEY, ["scrape_date"], position)
 
 
 def log_key(prediction_type: str, *columns: str) -> Column:
@@ -89,13 +99,13 @@ def purge_removed(docket: DataFrame, predictions: DataFrame, scraped_until=None)
     return without_match(rows, predictions, DOCKET_KEY)
 
 
-def purge_docket(table: VersionedTable, predictions: DataFrame, scraped_until=None) -> int:
-    """Rewrite the months that lose entries; emptied months leave the table."""
-    removed = purge_removed(table.read(), predictions, scraped_until)
-    months = sorted(r[0] for r in removed.select(PUB_MONTH).distinct().collect())
-    if not months:
-        return table.current_version()
-    return table.replace(purge_keep(table.read(months), predictions, scraped_until), months)
+def purge_docket(table: Table, predictions: DataFrame, scraped_until=None) -> None:
+    """Rewrite the partitions that lose entries; emptied ones leave the table."""
+    removed, path = staged(table.placed(purge_removed(table.read(), predictions, scraped_until)))
+    touched = table.touched(removed)
+    if touched:
+        table.replace(purge_keep(table.read(touched), predictions, scraped_until), touched)
+    remove_path(table.spark, path)
 
 
 def entries_with_counts(docket: DataFrame, class_log: DataFrame, entity_log: DataFrame) -> DataFrame:
@@ -109,5 +119,10 @@ def entries_with_counts(docket: DataFrame, class_log: DataFrame, entity_log: Dat
 
 
 def entry_children(docket: DataFrame, log: DataFrame) -> DataFrame:
-    """Entry ↔ log navigation in long form: one row per pair, entries without log rows kept."""
-    return docket.join(log, DOCKET_KEY, "left")
+    """Entry ↔ log navigation in long form: one row per pair, entries without log rows kept.
+
+    An inner join and the entries without a match: skew handling may then split
+    the log rows of a hot entry, which a left outer join does not allow.
+    """
+    matched = docket.join(log, DOCKET_KEY)
+    return matched.unionByName(without_match(docket, log, DOCKET_KEY), allowMissingColumns=True)

@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from docketflow import schemas
 from docketflow.fixed_values import FEED_CLASS_TYPE, FEED_ENTITY_TYPE, FEED_INTRO
-from docketflow.functions.text import html_unescape
 from docketflow.operators import digest, select, state, tagging
-from docketflow.sources.versioned import append_log
+from docketflow.session import is_complete
+from docketflow.sources.tables import Warehouse
 
 Scorer = Callable[[DataFrame, str], DataFrame]
 Tagger = Callable[[Column], Column]
@@ -64,27 +64,27 @@ def run(docket: DataFrame, predictions: DataFrame, start: dt.date | str, order_c
     return from_scored(score_candidates(docket, predictions, start, scorer), order_column, tagger)
 
 
-def publish(docket: DataFrame, predictions: DataFrame, start: dt.date | str, order_column: str, scorer: Scorer,
-            tagger: Tagger, root: str, batch_id: int, intro: str = FEED_INTRO) -> bool:
+def publish(docket: DataFrame, warehouse: Warehouse, start: dt.date | str, order_column: str, scorer: Scorer,
+            tagger: Tagger, root: str, run: str, batch_id: int, intro: str = FEED_INTRO,
+            predictions: DataFrame | None = None) -> bool:
     """Score once, then write both logs and the outbox; False when there was nothing to score.
 
-    The scored rows are written first and read back, so the scorer runs once and
-    lost executors do not repeat it. Every output is one folder per batch, so a
-    replayed batch overwrites its own rows and changes nothing else.
+    Candidates are entries without a row in the class log (or in ``predictions``, a
+    larger set that holds it). The scored rows are written first, under the run and
+    the batch, and a replayed batch takes them up again; so it writes the same outbox,
+    and the logs, to which only missing keys are added, stay as they are.
     """
     spark = docket.sparkSession
-    folder = f"{root}/scored/batch_id={batch_id}"
-    score_candidates(docket, predictions, start, scorer).write.mode("overwrite").parquet(folder)
+    log = warehouse.table("predictions")
+    folder = f"{root}/scored/run={run}/batch_id={batch_id}"
+    if not is_complete(spark, folder):
+        seen = log.read() if predictions is None else predictions
+        score_candidates(docket, seen, start, scorer).write.mode("overwrite").parquet(folder)
     scored = spark.read.parquet(folder)
     if scored.isEmpty():
         return False
     alert = from_scored(scored, order_column, tagger)
-    append_log(alert.class_log, f"{root}/predictions", schemas.CLASS_LOG, batch_id)
-    append_log(alert.entity_log, f"{root}/ner_predictions", schemas.ENTITY_LOG, batch_id)
-    digest.outbox(alert.blocks(intro)).write.mode("overwrite").parquet(f"{root}/outbox/batch_id={batch_id}")
+    log.append(alert.class_log, "log_key")
+    warehouse.table("ner_predictions").append(alert.entity_log, "log_key")
+    digest.outbox(alert.blocks(intro)).write.mode("overwrite").parquet(f"{root}/outbox/run={run}/batch_id={batch_id}")
     return True
-
-
-def full_unescape_lines(cases: DataFrame) -> DataFrame:
-    """Digest lines with the whole entity table, for names outside the known entity set."""
-    return digest.with_lines(cases, html_unescape)

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from docketflow.fixed_values import FEED_CLASS_TYPE, FEED_INTRO, SEARCH_CLASS_TYPE, SEARCH_ENTITY_TYPE
 from docketflow.operators import digest, evaluate, scoring, select, state, tagging
-from docketflow.operators.ordering import number_rows
 from docketflow.plans import feed_alert, search_alert
 from docketflow.plans.adapters import (
     SQL_WORDS, WORD_CLASS, docket, predictions, search_results, sentences, table, with_views,
@@ -69,15 +68,6 @@ def encode_tokens(spark, d):
                           attended.cast("bigint").alias("n_attended"))
 
 
-@query("ml_text_classifier")
-def ml_text_classifier(spark, d):
-    documents = table(spark, d, "documents").select("doc_id", "text")
-    labelled = documents.join(table(spark, d, "labels").select("doc_id", F.col("quality").cast("double")
-                                                               .alias("label")), "doc_id")
-    model = scoring.text_classifier("text", "label").fit(labelled)
-    return _rounded(scoring.score_with_pipeline(model, documents))
-
-
 # --- taggers ------------------------------------------------------------------------------------------------------
 
 DOCUMENT_GAZETTEER = {"license": "DOCUMENT", "the of": "PAIR", "of the": "PAIR", "the the": "TWIN", "the": "WORD",
@@ -158,16 +148,16 @@ def arrow_tagger(spark, d):
 
 # --- feed alert ---------------------------------------------------------------------------------------------------
 
-def _feed_scorer(rows, text_column):
+def feed_scorer(rows, text_column):
     return scoring.keyword_score(rows, text_column, feed_alert.KEYWORDS)
 
 
-def _feed_tagger(text):
+def feed_tagger(text):
     return tagging.dictionary_spans(text, feed_alert.GAZETTEER)
 
 
 def _feed_alert(spark, d):
-    return feed_alert.run(docket(spark, d), predictions(spark, d), START, "entry_id", _feed_scorer, _feed_tagger)
+    return feed_alert.run(docket(spark, d), predictions(spark, d), START, "entry_id", feed_scorer, feed_tagger)
 
 
 _FEED_VIEWS = "docket predictions"
@@ -234,11 +224,11 @@ def prediction_log(spark, d):
 
 # --- search alert -------------------------------------------------------------------------------------------------
 
-def _search_scorer(rows, text_column):
+def search_scorer(rows, text_column):
     return scoring.keyword_score(rows, text_column, feed_alert.KEYWORDS)
 
 
-def _search_tagger(text):
+def search_tagger(text):
     return tagging.dictionary_spans(text, search_alert.GAZETTEER)
 
 
@@ -251,7 +241,7 @@ def _search_log(spark, d):
 
 
 def _search_alert(spark, d):
-    return search_alert.run(search_results(spark, d), _search_log(spark, d), _search_scorer, _search_tagger)
+    return search_alert.run(search_results(spark, d), _search_log(spark, d), search_scorer, search_tagger)
 
 
 _SEARCH_SCORED = """SELECT * EXCLUDE (absolute_url), 'https://www.courtlistener.com' || absolute_url AS absolute_url,
@@ -295,14 +285,57 @@ def search_prediction_log(spark, d):
     return _search_alert(spark, d).class_log
 
 
+_NULL_VIEWS = {
+    "gaps": """SELECT * REPLACE (CASE WHEN suit_nature <> 'BUILDING' THEN caseName || ' &eacute; &#38; &ndash;' END AS caseName,
+      CASE WHEN is_available THEN court_id END AS court_id) FROM search_results""",
+    "scored": """SELECT * EXCLUDE (absolute_url), 'https://www.courtlistener.com' || absolute_url AS absolute_url,
+      (description ILIKE '%warrant%')::int AS predicted_class FROM gaps""",
+    "found": _SEARCH_FOUND, "entities": "SELECT * FROM found WHERE NOT starts_with(category, 'L-')",
+}
+
+
+def _gap_alert(spark, d):
+    """Search alert over results of which some lack a name and some a court, and names hold references."""
+    name = F.concat("caseName", F.lit(" &eacute; &#38; &ndash;"))
+    gaps = search_results(spark, d).withColumns({
+        "caseName": F.when(F.col("suit_nature") != "BUILDING", name), "court_id": F.when(F.col("is_available"), F.col("court_id"))})
+    return search_alert.run(gaps, gaps.select("absolute_url").limit(0), search_scorer, search_tagger)
+
+
+@query("digest_null_names", with_views("search_results", """
+SELECT category, '- ' || coalesce(case_name, absolute_url) || '    *' || coalesce(court_id, '') || '*' || CASE WHEN
+    thing_searched <> '' AND NOT coalesce(contains(replace(replace(lower(case_name), ' ', ''), ',', ''),
+    replace(replace(lower(thing_searched), ' ', ''), ',', '')), false) THEN chr(10) || '  ' || thing_searched ELSE '' END
+  AS case_string, count(*) AS n_entities, min(doc_order) AS doc_order
+FROM entities WHERE category <> 'no category detected' GROUP BY 1, 2""", **_NULL_VIEWS))
+def digest_null_names(spark, d):
+    """Every entity belongs to a case, whatever its case lacks."""
+    alert = _gap_alert(spark, d)
+    named = alert.entities.where(F.col("category") != "no category detected").groupBy("category", digest.case_string(
+        F.col("case_name"), F.col("court_id"), F.col("thing_searched"), F.col("absolute_url")).alias("case_string")) \
+        .agg(F.count(F.lit(1)).alias("n_entities"))
+    return alert.cases.select("category", "case_string", "doc_order").join(named, ["category", "case_string"])
+
+
+@query("digest_unescaped", with_views("search_results", """
+SELECT category, doc_order, '<' || absolute_url || '|' || coalesce(replace(case_name, '&eacute; &#38; &ndash;', 'é & –'),
+    absolute_url) || '> ' || CASE WHEN thing_searched <> '' AND NOT coalesce(contains(replace(replace(lower(case_name), ' ', ''),
+    ',', ''), replace(replace(lower(thing_searched), ' ', ''), ',', '')), false) THEN thing_searched ELSE '' END || ' ' || chr(10)
+  AS link_line FROM entities WHERE category <> 'no category detected'
+  QUALIFY row_number() OVER (PARTITION BY category, coalesce(case_name, absolute_url), coalesce(court_id, ''),
+    thing_searched ORDER BY doc_order, span_pos) = 1""", **_NULL_VIEWS))
+def digest_unescaped(spark, d):
+    """Digest lines with all references resolved."""
+    return digest.with_lines(_gap_alert(spark, d).cases).select("category", "doc_order", "link_line")
+
+
 @query("category_counts", with_views("search_results", """
 SELECT category, count(*) AS n_cases, min(doc_order) AS first_doc_order,
   arg_min(span_pos, (doc_order, span_pos))::int AS first_span_pos,
   row_number() OVER (ORDER BY min((doc_order, span_pos))) AS place FROM cases GROUP BY 1""", **_SEARCH))
 def category_counts(spark, d):
     """Cases per category, in order of first appearance."""
-    ordered = digest.category_order(_search_alert(spark, d).cases)
-    return number_rows(ordered, [], ["first_doc_order", "first_span_pos"], "place")
+    return digest.ordered_categories(_search_alert(spark, d).cases)
 
 
 @query("sorted_by_court", with_views("search_results", """
@@ -314,31 +347,33 @@ def sorted_by_court(spark, d):
 
 
 PART = 3
-_SECTIONS = f"""SELECT category, court_id, part_no, count(*) AS n_lines,
+def _sql_sections(part: int) -> str:
+    return f"""SELECT category, court_id, part_no, count(*) AS n_lines,
   string_agg('• ' || link_line, chr(10) ORDER BY line_no) AS body
-  FROM (SELECT *, (line_no - 1) // {PART} AS part_no FROM (SELECT *, row_number() OVER (PARTITION BY category, court_id
+  FROM (SELECT *, (line_no - 1) // {part} AS part_no FROM (SELECT *, row_number() OVER (PARTITION BY category, court_id
     ORDER BY doc_order, span_pos) AS line_no FROM lines)) GROUP BY 1, 2, 3"""
 
 
-@query("court_sections", with_views("search_results", "SELECT * FROM sections", **_SEARCH_LINES, sections=_SECTIONS))
+@query("court_sections", with_views("search_results", "SELECT * FROM sections", **_SEARCH_LINES, sections=_sql_sections(PART)))
 def court_sections(spark, d):
     return digest.court_sections(_search_alert(spark, d).cases, lines_per_part=PART)
 
 
-def _sql_blocks(intro: str) -> dict[str, str]:
+def _sql_blocks(intro: str, part: int) -> dict[str, str]:
     first = "SELECT category, min((doc_order, span_pos)) AS f FROM cases GROUP BY 1"
-    raw = f"""SELECT f, 2 AS rank, category, court_id, part_no, 'section' AS kind, CASE WHEN part_no = 0 THEN
-      '*' || court_id || ':*' || chr(10) || chr(10) || body ELSE body END AS text FROM sections JOIN firsts USING (category)
+    raw = f"""SELECT f, 2 AS rank, category, court_id, part_no, 'section' AS kind, 
+      '*' || court_id || CASE WHEN part_no > 0 THEN ' (' || (part_no + 1) || ')' ELSE '' END || ':*' || chr(10) || chr(10)
+      || body AS text FROM sections JOIN firsts USING (category)
     UNION ALL SELECT f, 0, category, '', 0, 'divider', NULL FROM firsts
     UNION ALL SELECT f, 1, category, '', 0, 'section', '*' || category || ':*' FROM firsts
     UNION ALL SELECT min(f), -1, '', '', 0, 'section', '*{intro}:*' FROM firsts HAVING count(*) > 0"""
-    return {"sections": _SECTIONS, "firsts": first, "raw_blocks": raw, "numbered": """SELECT *,
+    return {"sections": _sql_sections(part), "firsts": first, "raw_blocks": raw, "numbered": """SELECT *,
       row_number() OVER (ORDER BY f, rank, court_id, part_no) AS block_no FROM raw_blocks""",
             "blocks": """SELECT block_no, (block_no - 1) // 46 AS message_no, kind, category, court_id, part_no, text
       FROM numbered"""}
 
 
-_BLOCK_VIEWS = {**_SEARCH_LINES, **_sql_blocks("found by search")}
+_BLOCK_VIEWS = {**_SEARCH_LINES, **_sql_blocks("found by search", PART)}
 
 
 @query("message_chunks", with_views("search_results", "SELECT * FROM blocks", **_BLOCK_VIEWS))
@@ -354,12 +389,13 @@ def message_outbox(spark, d):
     return digest.outbox(digest.message_blocks(_search_alert(spark, d).cases, "found by search", PART))
 
 
-_FEED_BLOCKS = {**_FEED_LINES, **_sql_blocks(FEED_INTRO)}
+_FEED_BLOCKS = {**_FEED_LINES, **_sql_blocks(FEED_INTRO, digest.LINES_PER_PART)}
 
 
 @query("feed_message_chunks", with_views(_FEED_VIEWS, "SELECT * FROM blocks", **_FEED_BLOCKS))
 def feed_message_chunks(spark, d):
-    return digest.message_blocks(_feed_alert(spark, d).cases, FEED_INTRO, PART)
+    """With the default size of a part."""
+    return digest.message_blocks(_feed_alert(spark, d).cases, FEED_INTRO)
 
 
 @query("digest_json", with_views("search_results", """

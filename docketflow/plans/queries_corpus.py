@@ -162,13 +162,11 @@ def entity_export(spark, d):
 
 
 @query("annotation_lines", """
-SELECT doc_id, '{"id":' || doc_id || ',"text":' || to_json(text) || '}' AS line FROM documents
-WHERE doc_id IN (SELECT doc_id FROM labels)""")
+SELECT doc_id, '{"id":' || doc_id || ',"text":' || to_json(text) || '}' AS line FROM documents""")
 def annotation_lines(spark, d):
-    """Labelled documents as JSON lines for an annotation tool."""
-    chosen = table(spark, d, "documents").join(table(spark, d, "labels").select("doc_id").distinct(), "doc_id",
-                                               "left_semi")
-    return chosen.select("doc_id", F.to_json(F.struct(F.col("doc_id").alias("id"), "text")).alias("line"))
+    """Documents as JSON lines for an annotation tool."""
+    documents = table(spark, d, "documents")
+    return documents.select("doc_id", F.to_json(F.struct(F.col("doc_id").alias("id"), "text")).alias("line"))
 
 
 @query("sample_per_group", """

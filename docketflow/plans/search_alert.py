@@ -6,14 +6,19 @@ type), in the text that is scored, in carrying the description and in the report
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import datetime as dt
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketflow import schemas
-from docketflow.fixed_values import SEARCH_CLASS_TYPE, SEARCH_ENTITY_TYPE, SEARCH_INTRO
+from docketflow.fixed_values import (
+    SEARCH_ALERT_CAP, SEARCH_CLASS_TYPE, SEARCH_ENTITY_TYPE, SEARCH_INTRO, SEARCH_LOOKBACK_DAYS, SEARCH_PHRASE,
+)
 from docketflow.operators import digest, select, state, tagging
 from docketflow.plans.feed_alert import Alert, Scorer, Tagger
-from docketflow.sources.versioned import append_log
+from docketflow.session import is_complete
+from docketflow.sources import search_results
+from docketflow.sources.tables import Warehouse
 
 URL_KEY = ["absolute_url"]
 
@@ -38,17 +43,38 @@ def run(results: DataFrame, log: DataFrame, scorer: Scorer, tagger: Tagger, text
     return from_scored(scorer(select.unseen_documents(results, log), text_column), tagger)
 
 
-def publish(results: DataFrame, log: DataFrame, scorer: Scorer, tagger: Tagger, root: str, batch_id: int,
+def landed_results(spark: SparkSession, path: str, run_date: dt.date, phrase: str = SEARCH_PHRASE,
+                   lookback_days: int = SEARCH_LOOKBACK_DAYS, cap: int | None = SEARCH_ALERT_CAP) -> DataFrame:
+    """What the alert's search finds in landed pages, with ``doc_order``.
+
+    Documents that hold the phrase and were filed since the lookback, of the pages
+    up to the one that brings their number beyond ``cap`` (None reads all).
+    """
+    found = search_results.search_by_description(
+        search_results.explode_pages(search_results.read_search_pages(spark, path)).withColumnRenamed("dateFiled", "date_filed"),
+        phrase, filed_after=select.lookback_start(run_date, lookback_days))
+    if cap is not None:
+        sizes = found.groupBy("page_no", "page_path").agg(F.count(F.lit(1)).alias("n_records"))
+        found = found.join(search_results.kept_pages(sizes, cap).select("page_no", "page_path"), ["page_no", "page_path"], "left_semi")
+    # Pages hold far fewer than a million results, so this is their order.
+    return found.withColumn("doc_order", F.col("page_no") * 1_000_000 + F.col("pos")).drop("page_no", "page_path", "pos")
+
+
+def publish(results: DataFrame, warehouse: Warehouse, scorer: Scorer, tagger: Tagger, root: str, run: str, batch_id: int,
             intro: str = SEARCH_INTRO) -> bool:
     """Score once, write logs, outbox and the JSON report; False when nothing was new."""
-    folder = f"{root}/scored/batch_id={batch_id}"
-    scorer(select.unseen_documents(results, log), "description").write.mode("overwrite").parquet(folder)
-    scored = results.sparkSession.read.parquet(folder)
+    spark = results.sparkSession
+    log = warehouse.table("courtlistener_predictions")
+    folder = f"{root}/scored/run={run}/batch_id={batch_id}"
+    if not is_complete(spark, folder):
+        scorer(select.unseen_documents(results, log.read()), "description").write.mode("overwrite").parquet(folder)
+    scored = spark.read.parquet(folder)
     if scored.isEmpty():
         return False
     alert = from_scored(scored, tagger)
-    append_log(alert.class_log, f"{root}/courtlistener_predictions", schemas.URL_CLASS_LOG, batch_id)
-    append_log(alert.entity_log, f"{root}/courtlistener_ner_predictions", schemas.URL_ENTITY_LOG, batch_id)
-    digest.outbox(alert.blocks(intro)).write.mode("overwrite").parquet(f"{root}/outbox/batch_id={batch_id}")
-    digest.json_report(alert.cases).write.mode("overwrite").json(f"{root}/report/batch_id={batch_id}")
+    log.append(alert.class_log, "log_key")
+    warehouse.table("courtlistener_ner_predictions").append(alert.entity_log, "log_key")
+    place = f"run={run}/batch_id={batch_id}"
+    digest.outbox(alert.blocks(intro)).write.mode("overwrite").parquet(f"{root}/outbox/{place}")
+    digest.json_report(alert.cases).write.mode("overwrite").json(f"{root}/report/{place}")
     return True

@@ -25,24 +25,35 @@ ENTITY_LOG = _struct(("log_key", _S), ("case_number", _S), ("pub_date", _NTZ), *
 URL_CLASS_LOG = _struct(("log_key", _S), ("absolute_url", _S), *_CLASS_VALUE)
 URL_ENTITY_LOG = _struct(("log_key", _S), ("absolute_url", _S), *_ENTITY_VALUE)
 
-# Tables a new warehouse needs, with their partition column.
+_MONTH = ("pub_month", "date_format(pub_date, 'yyyy-MM')")
+_ADDRESS = ("url_part", "substring(md5(absolute_url), 1, 1)")
+
+# Tables a new warehouse needs, with their partition column and how it follows from a row.
 TABLES = {
-    "rss_docket_entries": (DOCKET, "pub_month"),
-    "predictions": (CLASS_LOG, "batch_id"),
-    "ner_predictions": (ENTITY_LOG, "batch_id"),
-    "courtlistener_predictions": (URL_CLASS_LOG, "batch_id"),
-    "courtlistener_ner_predictions": (URL_ENTITY_LOG, "batch_id"),
+    "rss_docket_entries": (DOCKET, *_MONTH),
+    "predictions": (CLASS_LOG, *_MONTH),
+    "ner_predictions": (ENTITY_LOG, *_MONTH),
+    "courtlistener_predictions": (URL_CLASS_LOG, *_ADDRESS),
+    "courtlistener_ner_predictions": (URL_ENTITY_LOG, *_ADDRESS),
 }
 
+
+def ddl(schema: T.StructType) -> list[str]:
+    """Column definitions of a schema."""
+    return [f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields]
+
+
 FEED_ITEM = _struct(("title", _S), ("link", _S), ("description", _S), ("guid", _S), ("pubDate", _S))
 
-SEARCH_RESULT = _struct(("absolute_url", _S), ("caseName", _S), ("court_id", _S), ("description", _S))
+SEARCH_RESULT = _struct(("absolute_url", _S), ("caseName", _S), ("court_id", _S), ("description", _S),
+                        ("dateFiled", _NTZ))
 SEARCH_PAGE = T.StructType([
     T.StructField("results", T.ArrayType(SEARCH_RESULT), True),
     T.StructField("next", _S, True),
 ])
 
 ANNOTATION = T.StructType([
+    T.StructField("id", _S, True),
     T.StructField("text", _S, True),
     T.StructField("tokens", T.ArrayType(_struct(("text", _S), ("start", _I), ("end", _I), ("id", _I))), True),
     T.StructField("spans", T.ArrayType(_struct(("start", _I), ("end", _I), ("label", _S))), True),

@@ -5,19 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketflow.fixed_values import MODEL_FILES
-
 
 def list_files(spark: SparkSession, path: str) -> DataFrame:
     """Paths below ``path``; the content column is pruned, so files are listed and not read."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path")
 
 
-def model_manifest(spark: SparkSession, matching: str | None = None) -> DataFrame:
-    files = spark.range(1).select(F.explode(F.array(*map(F.lit, MODEL_FILES))).alias("artifact"))
-    return files.where(F.contains("artifact", F.lit(matching))) if matching else files
-
-
 def missing_artifacts(manifest: DataFrame, existing: DataFrame, on: str = "artifact") -> DataFrame:
     return manifest.join(existing.select(on).distinct(), on, "left_anti")
 

@@ -14,9 +14,10 @@ _DOCUMENT_MARK = "-DOCSTART-"
 
 
 def _sentence_blocks(spark: SparkSession, path: str) -> DataFrame:
+    """Blocks of lines, known by their content: equal sentences share a key, and so a split, however files are packed."""
     blocks = spark.read.option("lineSep", "\n\n").text(path)
     return blocks.select(
-        F.concat_ws(":", F.col("_metadata.file_name"), F.monotonically_increasing_id()).alias("sent_id"),
+        F.md5("value").alias("sent_id"),
         F.filter(F.split("value", "\n"), lambda line: (line != "") & ~F.contains(line, F.lit(_DOCUMENT_MARK)))
         .alias("lines"),
     ).where(F.size("lines") > 0)
@@ -46,7 +47,10 @@ def read_label_tool_export(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_annotations(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(schemas.ANNOTATION).json(path)
+    """Annotated examples with a key: their ``id``, or the hash of all they hold."""
+    rows = spark.read.schema(schemas.ANNOTATION).json(path)
+    content = F.md5(F.to_json(F.struct("text", "tokens", "spans", "answer")))
+    return rows.select(F.coalesce("id", content).alias("sent_id"), "text", "tokens", "spans", "answer")
 
 
 def sentence_text(words: Column, tags: Column) -> Column:
@@ -57,14 +61,13 @@ def sentence_text(words: Column, tags: Column) -> Column:
 
 
 def write_corpus(sentences: DataFrame, path: str) -> None:
-    """One folder ``split=<name>`` per split. No shuffle: sentences are rows already."""
-    sentences.select(sentence_text(F.col("words"), F.col("tags")).alias("value"), "split") \
-        .write.mode("overwrite").partitionBy("split").option("lineSep", "\n\n").text(path)
-
+    """One folder ``split=<name>`` per split. No shuffle: sentences are rows already.
 
-def write_annotation_lines(rows: DataFrame, path: str) -> None:
-    """Rows as JSON lines for an annotation tool."""
-    rows.write.mode("overwrite").json(path)
+    Everything held there before goes, splits that have become empty included.
+    """
+    sentences.select(sentence_text(F.col("words"), F.col("tags")).alias("value"), "split") \
+        .write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("split") \
+        .option("lineSep", "\n\n").text(path)
 
 
 def token_rows(sentences: DataFrame, *keep: str) -> DataFrame:

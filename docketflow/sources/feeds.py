@@ -75,10 +75,12 @@ def feed_quarantine(entries: DataFrame, unescape: Callable[[Column], Column] = h
     """One row per entry and rule it breaks: guid, court, rule, offending text."""
     description = unescape(F.col("description"))
     number_text = parse.entry_number_text(description)
+    seq_text = parse.entry_seq_text(description)
     published = F.col("published") if "published" in entries.columns else F.col("pub_date").cast("string")
     when_parsed = F.col("pub_date") if "pub_date" in entries.columns else parse.feed_time(F.col("published"))
     checks = {
         "docket_id": (parse.docket_id(F.col("link")).isNull() & F.col("link").isNotNull(), F.col("link")),
+        "docket_entry_seq_num": (seq_text.isNotNull() & seq_text.try_cast("int").isNull(), seq_text),
         "docket_entry_num": (number_text.isNotNull() & number_text.try_cast("int").isNull(), number_text),
         "pub_date": (when_parsed.isNull(), published),
         "case_number": (F.coalesce(parse.case_number(F.col("title")), F.lit("")) == "", F.col("title")),
@@ -86,8 +88,3 @@ def feed_quarantine(entries: DataFrame, unescape: Callable[[Column], Column] = h
     rows = F.array(*[F.when(bad, F.struct(F.lit(rule).alias("rule"), text.alias("text")))
                      for rule, (bad, text) in checks.items()])
     return entries.select("guid", "court", F.explode(F.array_compact(rows)).alias("q")).select("guid", "court", "q.*")
-
-
-def courts_without_feed(all_courts: DataFrame, docket: DataFrame) -> DataFrame:
-    """Coverage audit: courts that no docket row came from."""
-    return all_courts.join(docket.select("court").distinct(), "court", "left_anti")

@@ -6,39 +6,59 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docketflow import schemas
-from docketflow.fixed_values import SEARCH_DEFAULT_CAP
+from docketflow.fixed_values import SEARCH_PHRASE
+from docketflow.functions.parse import query_parameter
 from docketflow.operators.ordering import running_total
 
-_PAGE_IN_PATH = r"page[=_-]?(\d+)"
+_PAGE_IN_PATH = r"page[=_-]?(\d+)(?!.*page[=_-]?\d)"
+_LAST = 2**40
 
 
 def read_search_pages(spark: SparkSession, path: str) -> DataFrame:
-    """One row per landed page: ``page_no, results, next``. Page number from the file name."""
+    """One row per landed page: ``page_no, page_path, results, next``.
+
+    The number is the last one in the page's path, or that before the page its
+    ``next`` address asks for. A page with neither comes after all others.
+    """
     pages = spark.read.schema(schemas.SEARCH_PAGE).json(path, multiLine=True)
-    number = F.regexp_extract(F.col("_metadata.file_name"), _PAGE_IN_PATH, 1).try_cast("bigint")
-    return pages.select(number.alias("page_no"), "results", "next")
+    file = F.col("_metadata.file_path")
+    number = F.coalesce(F.regexp_extract(file, _PAGE_IN_PATH, 1).try_cast("bigint"),
+                        query_parameter(F.col("next"), "page").try_cast("bigint") - 1, F.lit(_LAST))
+    return pages.select(number.alias("page_no"), file.alias("page_path"), "results", "next")
+
+
+def unnumbered_pages(pages: DataFrame) -> DataFrame:
+    """Pages whose place is unknown; they are read all the same, last."""
+    return pages.where(F.col("page_no") == _LAST).select("page_path")
 
 
 def explode_pages(pages: DataFrame) -> DataFrame:
     """Search results in page order; a page without results gives none."""
-    return pages.select("page_no", F.posexplode("results").alias("pos", "r")).select("page_no", "pos", "r.*")
+    rows = pages.select("page_no", "page_path", F.posexplode("results").alias("pos", "r"))
+    return rows.select("page_no", "page_path", "pos", "r.*")
 
 
-def kept_pages(page_sizes: DataFrame, cap: int = SEARCH_DEFAULT_CAP) -> DataFrame:
+def kept_pages(page_sizes: DataFrame, cap: int) -> DataFrame:
     """Pages a reader fetches that stops once it holds more than ``cap`` records.
 
     Page k is kept while the pages before it hold at most ``cap`` records, so
-    whole pages are kept and the total overshoots. ``page_sizes``: page_no, n_records.
+    whole pages are kept and the total overshoots. ``page_sizes``: page_no, n_records
+    and, where numbers may repeat, page_path.
     """
-    totals = running_total(page_sizes, [], ["page_no"], F.col("n_records"), "records_so_far")
+    order = [c for c in ("page_no", "page_path") if c in page_sizes.columns]
+    totals = running_total(page_sizes, [], order, F.col("n_records"), "records_so_far")
     before = F.col("records_so_far") - F.col("n_records")
     return totals.withColumn("records_before", before).where(F.col("records_before") <= cap)
 
 
-def read_capped(spark: SparkSession, path: str, cap: int = SEARCH_DEFAULT_CAP) -> DataFrame:
+def read_capped(spark: SparkSession, path: str, cap: int | None = None) -> DataFrame:
+    """Results of landed pages; with ``cap`` only of the pages up to the one that exceeds it."""
     pages = read_search_pages(spark, path)
-    sizes = pages.select("page_no", F.coalesce(F.size("results"), F.lit(0)).alias("n_records"))
-    return explode_pages(pages.join(kept_pages(sizes, cap).select("page_no"), "page_no", "left_semi"))
+    if cap is None:
+        return explode_pages(pages)
+    sizes = pages.select("page_no", "page_path", F.coalesce(F.size("results"), F.lit(0)).alias("n_records"))
+    kept = kept_pages(sizes, cap).select("page_no", "page_path")
+    return explode_pages(pages.join(kept, ["page_no", "page_path"], "left_semi"))
 
 
 def matches_terms(text: Column, query: str) -> Column:
@@ -78,7 +98,7 @@ def search(
     return found.orderBy(*ordering).limit(n) if n is not None else found
 
 
-def search_by_description(documents: DataFrame, phrase: str = "search warrant", **filters) -> DataFrame:
+def search_by_description(documents: DataFrame, phrase: str = SEARCH_PHRASE, **filters) -> DataFrame:
     return search(documents, description=phrase, **filters)
 
 

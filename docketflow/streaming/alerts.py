@@ -9,34 +9,50 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from docketflow import schemas
+from docketflow.fixed_values import CANDIDATE_TYPE
 from docketflow.operators import select, state
 from docketflow.plans import feed_alert
-from docketflow.sources.versioned import append_log, read_log
-from docketflow.streaming.ingest import _start
+from docketflow.sources.tables import Warehouse
+from docketflow.streaming.ingest import _start, run_id, start_docket
 
 
-def start_candidates(docket: DataFrame, known: DataFrame, start: dt.date, root: str, checkpoint: str) -> StreamingQuery:
-    """Log every candidate once: known predictions and earlier batches are left out."""
-    spark = docket.sparkSession
-    path = f"{root}/predictions"
+def start_candidates(docket: DataFrame, known: DataFrame, start: dt.date, warehouse: Warehouse,
+                     checkpoint: str) -> StreamingQuery:
+    """Note every candidate once, under a type of its own: nothing is scored here.
+
+    Candidates are entries without a known prediction; noted ones are not noted again.
+    """
+    log = warehouse.table("predictions")
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        seen = read_log(spark, path, schemas.CLASS_LOG).where(F.col("batch_id") != batch_id)
-        fresh = select.without_match(batch, seen, schemas.DOCKET_KEY)
-        scored = select.candidates(fresh, known, start).withColumns(
-            {"predicted_class": F.lit(1), "likelihood": F.lit(1.0)})
-        append_log(state.class_log_rows(scored, schemas.DOCKET_KEY, "swornot"), path, schemas.CLASS_LOG, batch_id)
+        found = select.candidates(batch, known, start).withColumns(
+            {"predicted_class": F.lit(None).cast("int"), "likelihood": F.lit(None).cast("double")})
+        log.append(state.class_log_rows(found, schemas.DOCKET_KEY, CANDIDATE_TYPE), "log_key")
 
     return _start(docket, write, checkpoint)
 
 
-def start_feed_alert(docket: DataFrame, start: dt.date, order_column: str, scorer, tagger, root: str,
-                     checkpoint: str) -> StreamingQuery:
-    """Score, log and digest every micro-batch; logs and outbox are one folder per batch."""
-    spark = docket.sparkSession
-
+def start_feed_alert(docket: DataFrame, start: dt.date, order_column: str, scorer, tagger, warehouse: Warehouse,
+                     root: str, checkpoint: str) -> StreamingQuery:
+    """Score, log and digest every micro-batch of docket rows."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        log = read_log(spark, f"{root}/predictions", schemas.CLASS_LOG).where(F.col("batch_id") != batch_id)
-        feed_alert.publish(batch, log, start, order_column, scorer, tagger, root, batch_id)
+        feed_alert.publish(batch, warehouse, start, order_column, scorer, tagger, root, run_id(batch), batch_id)
 
     return _start(docket, write, checkpoint)
+
+
+def start_feed_run(entries: DataFrame, start: dt.date, scorer, tagger, warehouse: Warehouse, root: str,
+                   checkpoint: str) -> StreamingQuery:
+    """The whole feed run: upsert the docket, alert on what is unscored, purge what was never a candidate.
+
+    The purge follows a run that scored something; after an empty one nothing happens.
+    """
+    docket = warehouse.table("rss_docket_entries")
+    log = warehouse.table("predictions")
+
+    def alert(batch: DataFrame, batch_id: int) -> None:
+        rows = docket.read().withColumn("entry_order", F.concat_ws(" ", *reversed(schemas.DOCKET_KEY)))
+        if feed_alert.publish(rows, warehouse, start, "entry_order", scorer, tagger, root, run_id(batch), batch_id):
+            state.purge_docket(docket, log.read())
+
+    return start_docket(entries, docket, checkpoint, alert)

@@ -8,39 +8,66 @@ from pyspark.sql.streaming import StreamingQuery
 
 from docketflow.functions.text import html_unescape
 from docketflow.operators import state
+from docketflow.schemas import DOCKET_KEY
+from docketflow.session import remove_path
 from docketflow.sources.feeds import feed_quarantine, normalise_entries
-from docketflow.sources.versioned import VersionedTable
+from docketflow.sources.tables import Table, staged
 
 POSITION = "batch_position"
 
 
-def with_position(batch: DataFrame) -> DataFrame:
-    """Order of rows inside a batch: by file and place in it."""
-    return batch.withColumn(POSITION, F.monotonically_increasing_id())
+def run_id(batch: DataFrame) -> str:
+    """Name of the stream a batch belongs to; it outlives restarts and changes with a new checkpoint."""
+    return batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or "batch"
 
 
-def start_ingest(entries: DataFrame, docket: VersionedTable, quarantine_path: str, checkpoint: str,
+def stored_batch(batch: DataFrame) -> tuple[DataFrame, str]:
+    """The batch, parsed once and stored, with the order of its rows by file and place; and its path."""
+    return staged(batch.withColumn(POSITION, F.monotonically_increasing_id()), "batch")
+
+
+def start_ingest(entries: DataFrame, docket: Table, quarantine_path: str, checkpoint: str,
                  unescape=html_unescape) -> StreamingQuery:
     """Upsert feed entries as they land and set broken ones aside.
 
-    A replayed batch leaves the same rows in the table and rewrites its own quarantine folder.
+    A replayed batch leaves the same rows in the table and rewrites its own
+    quarantine folder. Entries without a full key are quarantined by its rules.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        state.upsert_docket(docket, with_position(normalise_entries(batch, unescape)), POSITION)
-        feed_quarantine(batch, unescape).write.mode("overwrite").parquet(f"{quarantine_path}/batch_id={batch_id}")
+        rows, path = stored_batch(batch)
+        state.upsert_docket(docket, normalise_entries(rows, unescape, keep=(POSITION,)), POSITION)
+        feed_quarantine(rows, unescape).write.mode("overwrite") \
+            .parquet(f"{quarantine_path}/run={run_id(batch)}/batch_id={batch_id}")
+        remove_path(batch.sparkSession, path)
 
     return _start(entries, write, checkpoint)
 
 
-def start_upsert(rows: DataFrame, target: VersionedTable, keys: list[str], order: list[str],
+def start_upsert(rows: DataFrame, target: Table, keys: list[str], order: list[str], rejects_path: str,
                  checkpoint: str) -> StreamingQuery:
-    """Keep the newest row of every key of a stream in a table."""
+    """Keep the newest row of every key of a stream in a table; rows without a full key go to ``rejects_path``."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        state.upsert(target, with_position(batch), keys, order, POSITION)
+        stored, path = stored_batch(batch)
+        state.upsert(target, stored, keys, order, POSITION)
+        state.rejected(stored, keys).drop(POSITION).write.mode("overwrite") \
+            .parquet(f"{rejects_path}/run={run_id(batch)}/batch_id={batch_id}")
+        remove_path(batch.sparkSession, path)
 
     return _start(rows, write, checkpoint)
 
 
+def start_docket(entries: DataFrame, docket: Table, checkpoint: str, after=None) -> StreamingQuery:
+    """Upsert docket rows; ``after(batch, batch_id)`` runs when the batch is in the table."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        stored, path = stored_batch(batch)
+        state.upsert(docket, stored, DOCKET_KEY, ["scrape_date"], POSITION)
+        if after is not None:
+            after(stored, batch_id)
+        remove_path(batch.sparkSession, path)
+
+    return _start(entries, write, checkpoint)
+
+
 def _start(rows: DataFrame, write, checkpoint: str) -> StreamingQuery:
     return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint) \
         .trigger(availableNow=True).start()

@@ -1,7 +1,9 @@
 """Edge rules on hand-written rows."""
 
 import datetime as dt
+import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from docketflow import schemas
@@ -9,9 +11,9 @@ from docketflow.functions import parse, spans as S
 from docketflow.functions.text import html_unescape, unescape_known
 from docketflow.operators import corpus, digest, select, state, tagging
 from docketflow.operators.ordering import number_rows
-from docketflow.session import scratch_path
-from docketflow.sources import corpora
-from docketflow.sources.versioned import VersionedTable, append_log, read_log
+from docketflow.sources import corpora, feeds
+from docketflow.plans.queries_streaming import _warehouse
+from docketflow.operators import scoring
 
 
 def values(spark, rows, column):
@@ -77,7 +79,7 @@ def test_biluo_marks_misaligned(spark):
     text = "seize black phone now"
     tokens = [{"text": w, "start": text.index(w), "end": text.index(w) + len(w), "id": i}
               for i, w in enumerate(text.split())]
-    df = spark.createDataFrame([(text, tokens, [{"start": 6, "end": 17, "label": "PHONE"},
+    df = spark.createDataFrame([(None, text, tokens, [{"start": 6, "end": 17, "label": "PHONE"},
                                                 {"start": 18, "end": 20, "label": "X"}], "accept")],
                                schemas.ANNOTATION)
     assert corpus.tagged_sentences(df).first().tags == ["O", "B-PHONE", "E-PHONE", "-"]
@@ -118,7 +120,7 @@ def test_blocks_and_parts(spark):
 
 
 def test_upsert_is_idempotent_and_purge_empties_months(spark):
-    target = VersionedTable(spark, scratch_path(spark, "t"), schemas.DOCKET, "pub_month")
+    target = _warehouse(spark).table("rss_docket_entries")
     base = {c: None for c in schemas.DOCKET.names}
     day = dt.datetime(2021, 6, 1)
 
@@ -136,16 +138,79 @@ def test_upsert_is_idempotent_and_purge_empties_months(spark):
         assert sorted((r.case_number, r.case_name) for r in target.read().collect()) == [("1", None), ("2", "x")]
     seen = spark.createDataFrame([("1", day)], "case_number string, pub_date timestamp_ntz")
     state.purge_docket(target, seen)
-    assert list(target.partitions()) == ["2021-06"] and target.read().count() == 1
+    assert target.partitions() == ["2021-06"] and target.read().count() == 1
+
+
+def test_replacing_other_partitions_is_refused(spark):
+    target = _warehouse(spark).table("courtlistener_predictions")
+    rows = spark.createDataFrame([("k", "u", "t", True, 1.0)], schemas.URL_CLASS_LOG)
+    with pytest.raises(ValueError):
+        target.replace(rows, [])
+    assert target.read().count() == 0
 
 
 def test_log_replay_adds_nothing(spark):
-    path = scratch_path(spark, "log")
+    log = _warehouse(spark).table("courtlistener_predictions")
     scored = spark.createDataFrame([("u", 1, 0.9)], "absolute_url string, predicted_class int, likelihood double")
-    rows = state.class_log_rows(scored, ["absolute_url"], "swornot_recap")
-    for batch_id in (0, 0, 1):
-        append_log(rows, path, schemas.URL_CLASS_LOG, batch_id)
-    assert read_log(spark, path, schemas.URL_CLASS_LOG).count() == 1
+    for kind in ("swornot_recap", "swornot_recap", "other"):
+        log.append(state.class_log_rows(scored, ["absolute_url"], kind), "log_key")
+    assert sorted(r.prediction_type for r in log.read().collect()) == ["other", "swornot_recap"]
+
+
+def test_parts_carry_heading_and_number(spark):
+    rows = [(i, 0, "CAR", "c1" if i < 1100 else None, f"n{i}", f"u{i}", None) for i in range(1103)]
+    entities = spark.createDataFrame(rows, "doc_order long, span_pos int, category string, court_id string, "
+                                     "case_name string, absolute_url string, thing_searched string")
+    blocks = digest.message_blocks(digest.digest_cases(entities)).where("kind = 'section'").orderBy("block_no").collect()
+    assert [b.text.split("\n")[0] for b in blocks] == ["*CAR:*", "*:*", "*c1:*", "*c1 (2):*", "*c1 (3):*"]
+    assert sum(b.text.count("• ") for b in blocks) == 1103
+
+
+def test_words_are_the_same_for_both_linear_scorers(spark):
+    texts = ["the\u00a0of the", "the\x0bthe the.", " the\tTHE!\r\nof ", None, "\u2003the"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, x string")
+    weights = {"the": 2.0, "of": -5.0}
+    a = scoring.linear_score(df.fillna(""), "x", weights, -0.5).orderBy("i").collect()
+    b = scoring.score_with(df, "x", scoring.linear_factory(weights, -0.5)).orderBy("i").collect()
+    assert [(r.predicted_class, round(r.likelihood, 9)) for r in a] == [(r.predicted_class, round(r.likelihood, 9)) for r in b]
+
+
+def test_long_texts_take_time_in_proportion(spark):
+    """Four times the words, far less than sixteen times the time."""
+    def seconds(n):
+        df = spark.createDataFrame([(i, "the of license de the lorem ipsum dolor sit amet " * (n // 10)) for i in range(3)],
+                                   "i int, x string").coalesce(1)
+        best = []
+        for _ in range(3):
+            begin = time.perf_counter()
+            df.select(F.size(tagging.dictionary_spans(F.col("x"), {"license": "D", "the of": "P", "of license de": "Q"})),
+                      F.size(S.with_offsets(F.split("x", " ")))).collect()
+            best.append(time.perf_counter() - begin)
+        return min(best)
+    seconds(1_000)
+    short, long = seconds(5_000), seconds(20_000)
+    assert long < 9 * short + 0.5
+
+
+def test_phrases_of_any_length(spark):
+    df = spark.createDataFrame([(1, "a b c d e f g h"), (2, "x a b c. D e")], "k int, t string")
+    phrases = spark.createDataFrame([("a b c d e f", "SIX"), ("a b c d e", "FIVE"), ("g", "ONE"), ("b", "IN")], "phrase string, tag string")
+    found = {(r.k, r.start, r.end, r.tag) for r in tagging.dictionary_matches(df, "k", "t", phrases).collect()}
+    assert found == {(1, 0, 6, "SIX"), (1, 6, 7, "ONE"), (2, 1, 6, "FIVE")}
+
+
+def test_examples_may_share_a_key(spark):
+    examples = spark.createDataFrame([("k", "car x", [(0, 3, "OBJ")]), ("k", "bus y", [(0, 3, "OBJ")])],
+                                     "k string, text string, spans array<struct<start:int,end:int,label:string>>")
+    labels = spark.createDataFrame([("car", "CAR"), ("car", "AUTO")], "token string, label string")
+    got = corpus.lookup_span_labels(examples, labels).collect()
+    assert sorted((r.text, r.spans[0].label) for r in got) == [("bus y", "MISC"), ("car x", "CAR")]
+
+
+def test_rejected_sequence_numbers_are_quarantined(spark):
+    df = spark.createDataFrame([("g", "c", "1:21-sw-1 x", "h?1", "[A] (<a href=\"h?de_seq_num=x7\">3</a>)", dt.datetime(2021, 1, 1))],
+                               "guid string, court string, title string, link string, description string, pub_date timestamp_ntz")
+    assert [(r.rule, r.text) for r in feeds.feed_quarantine(df).collect()] == [("docket_entry_seq_num", "x7")]
 
 
 def test_corpus_files(spark, tmp_path):
