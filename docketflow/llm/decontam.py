@@ -1,10 +1,13 @@
 r"""Benchmark decontamination with DataFrame functions only.
 
 Words are runs of ASCII letters and digits and of non-ASCII characters, after lower-casing A-Z. The windows of an item
-are its runs of ``size`` consecutive words; an item of fewer words (but not none) is one window. Distinct windows become
-a hash table on (length, 64-bit hash of the words); the windows of every document are hashed, looked up, and each hit is
-verified word by word. The table is broadcast when it has at most MAX_BROADCAST_WINDOWS windows; a larger one is joined
-by shuffling (hash, document, position) only, and the hits are verified by a second join with their documents.
+are its runs of ``size`` consecutive words; an item of fewer words (but not none) is one window. The distinct windows are
+a broadcast hash table. Hashing every window of every document would cost more than all the rest, so the table is keyed
+by each window's longest word: a document's words are looked up as they are scanned, and where one is the longest word
+of a window, the whole window around it is verified word by word. Nothing but verified hits leaves a scan task.
+
+At most MAX_BROADCAST_WINDOWS windows are broadcast at once; a larger table is split by hash and takes as many passes
+over the documents, so no text is ever shuffled.
 
 A null text has no words and no hits. Rows are matched by id and content, so repeated ids, null ids and repeated rows
 each get their own, right result. Without items no document has a hit.
@@ -12,6 +15,7 @@ each get their own, right result. Without items no document has a hit.
 
 from __future__ import annotations
 
+import math
 import string
 
 from pyspark.sql import Column, DataFrame, Window
@@ -29,43 +33,34 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(lower, SEPARATORS), "")
 
 
-def _windows(column: str, length: Column | int, first: Column) -> Column:
-    return F.transform(first, lambda i: F.struct(
-        i.alias("pos"), F.lit(length).cast("int").alias("len"),
-        F.xxhash64(F.slice(F.col(column), i, F.lit(length).cast("int"))).alias("hash")))
-
-
 def item_windows(items: DataFrame, size: int = SIZE, key: str = "item_id", text: str = "text") -> DataFrame:
-    """Distinct windows: w_len, w_hash, w_words, w_items (the ids that hold it, as strings)."""
+    """Distinct windows: w_words, w_items (the ids that hold it, as strings), w_anchor (its longest word), w_at (where)."""
     prepared = items.select(F.col(key).cast("string").alias("id"), words(F.col(text)).alias("words")) \
         .where(F.size("words") > 0).withColumn("len", F.least(F.lit(size), F.size("words")))
     each = prepared.select("id", "words", "len", F.explode(F.sequence(F.lit(1), F.size("words") - F.col("len") + 1)).alias("pos"))
-    return each.select("id", F.col("len").alias("w_len"), F.slice("words", F.col("pos"), F.col("len")).alias("w_words")) \
-        .withColumn("w_hash", F.xxhash64("w_words")) \
-        .groupBy("w_len", "w_hash", "w_words").agg(F.collect_set("id").alias("w_items"))
+    distinct = each.select("id", F.slice("words", F.col("pos"), F.col("len")).alias("w_words")) \
+        .groupBy("w_words").agg(F.collect_set("id").alias("w_items"))
+    longest = F.array_max(F.transform("w_words", lambda w, i: F.struct(F.length(w).alias("n"), (-i).alias("before"), w.alias("word"))))
+    return distinct.withColumn("longest", longest) \
+        .select("w_words", "w_items", F.col("longest.word").alias("w_anchor"), (-F.col("longest.before")).alias("w_at"))
 
 
 def document_hits(docs: DataFrame, windows: DataFrame, key: str = "doc_id", text: str = "text",
                   max_broadcast: int = MAX_BROADCAST_WINDOWS) -> DataFrame:
     """Verified hits: d_key, d_mark (hash of the text), pos (from 1), len, w_items."""
-    sizes = {r["w_len"]: r["n"] for r in windows.groupBy("w_len").agg(F.count("*").alias("n")).collect()}
-    base = docs.select(F.col(key).alias("d_key"), F.xxhash64(text).alias("d_mark"), words(F.col(text)).alias("words"))
-    starts = [F.when(F.size("words") >= n, _windows("words", n, F.sequence(F.lit(1), F.size("words") - F.lit(n - 1))))
-              .otherwise(F.array()) for n in sorted(sizes)]
-    kind = "array<struct<pos:int,len:int,hash:bigint>>"
-    found = F.concat(*starts) if starts else F.array().cast(kind)
-    # Two inequalities, because Spark would take an equality for a join key and build every window's words.
-    same = lambda: (F.slice("words", F.col("w.pos"), F.col("w.len")) <= F.col("w_words")) & \
-        (F.slice("words", F.col("w.pos"), F.col("w.len")) >= F.col("w_words"))
-    on = (F.col("w.len") == F.col("w_len")) & (F.col("w.hash") == F.col("w_hash"))
-    if sum(sizes.values()) <= max_broadcast:
-        hits = base.select("d_key", "d_mark", "words", F.explode(found.cast(kind)).alias("w")) \
-            .join(F.broadcast(windows), on & same())
-        return hits.select("d_key", "d_mark", "w.pos", "w.len", "w_items")
-    near = base.select("d_key", "d_mark", F.explode(found.cast(kind)).alias("w")).join(windows, on)
-    texts = base.distinct().select(F.col("d_key").alias("t_key"), F.col("d_mark").alias("t_mark"), "words")
-    return near.join(texts, F.col("d_key").eqNullSafe(F.col("t_key")) & F.col("d_mark").eqNullSafe(F.col("t_mark")) & same()) \
-        .select("d_key", "d_mark", "w.pos", "w.len", "w_items")
+    passes = max(1, math.ceil(windows.count() / max_broadcast))
+    found = docs.select(F.col(key).alias("d_key"), F.xxhash64(text).alias("d_mark"), words(F.col(text)).alias("words")) \
+        .select("d_key", "d_mark", "words", F.posexplode("words").alias("p", "word"))
+    pos, size = F.col("p") - F.col("w_at") + 1, F.size("w_words")
+    around = F.slice("words", F.greatest(pos, F.lit(1)), size)
+    # Two inequalities, because Spark would take an equality for a join key and cut a window out at every word.
+    same = (F.col("word") == F.col("w_anchor")) & (pos >= 1) & (around <= F.col("w_words")) & (around >= F.col("w_words"))
+    hits = None
+    for i in range(passes):
+        part = windows if passes == 1 else windows.where(F.pmod(F.xxhash64("w_words"), F.lit(passes)) == i)
+        hit = found.join(F.broadcast(part), same).select("d_key", "d_mark", pos.alias("pos"), size.alias("len"), "w_items")
+        hits = hit if hits is None else hits.union(hit)
+    return hits
 
 
 def contamination(docs: DataFrame, items: DataFrame, size: int = SIZE, key: str = "doc_id", text: str = "text",
@@ -76,12 +71,12 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = SIZE, key: str
     A word inside several hits counts once. ``keep`` columns named like a result column are not allowed.
     """
     windows = item_windows(items, size, item_key, item_text)
-    hits = document_hits(docs, windows, key, text, max_broadcast).distinct()
+    hits = document_hits(docs, windows, key, text, max_broadcast)
     ids = ["d_key", "d_mark"]
     before = F.max(F.col("pos") + F.col("len")).over(
         Window.partitionBy(*ids).orderBy("pos", "len").rowsBetween(Window.unboundedPreceding, -1))
     end = F.col("pos") + F.col("len")
-    per_doc = hits.withColumn("new", F.greatest(F.lit(0), end - F.greatest(F.col("pos"), F.coalesce(before, F.col("pos"))))) \
+    per_doc = hits.distinct().withColumn("new", F.greatest(F.lit(0), end - F.greatest(F.col("pos"), F.coalesce(before, F.col("pos"))))) \
         .groupBy(*ids).agg(F.sum("new").alias("h_words"),
                            F.array_sort(F.array_distinct(F.flatten(F.collect_set("w_items")))).alias("h_items")) \
         .withColumnsRenamed({"d_key": "h_key", "d_mark": "h_mark"})
