@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from typing import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -109,23 +110,50 @@ def dictionary_matches(df: DataFrame, key: str, text_column: str, gazetteer: Dat
         .select(key, F.explode(_leftmost_longest(F.col("hits"))).alias("s")).select(key, "s.*")
 
 
-# A tagger factory runs once per Python task and returns a function from one text
-# to a list of (start, end, text, tag).
-TaggerFactory = Callable[[], Callable[[str], list]]
+# A tagger factory runs once per Python task and returns a function from a list of
+# texts to a list of (start, end, text, tag) for each.
+TaggerFactory = Callable[[], Callable[[list], list]]
 
 
-def tag_with(df: DataFrame, text_column: str, factory: TaggerFactory, name: str = "spans") -> DataFrame:
-    """Tag a text column with any tagger, in Arrow batches; only the text travels."""
+def tag_with(df: DataFrame, text_column: str, factory: TaggerFactory, name: str = "spans", batch_size: int = 256) -> DataFrame:
+    """Tag a text column with any tagger, in Arrow batches; only the text travels.
+
+    The tagger sees ``batch_size`` texts at a time; nulls come to it as empty texts.
+    """
+    fields = ("start", "end", "text", "tag")
+
     @F.pandas_udf(f"array<{SPAN_TYPE}>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         tagger = factory()
         for texts in batches:
-            yield texts.map(lambda t: [dict(zip(("start", "end", "text", "tag"), s)) for s in tagger(t)]
-                            if t is not None else [])
+            values = texts.fillna("").tolist()
+            found = [spans for at in range(0, len(values), batch_size) for spans in tagger(values[at:at + batch_size])]
+            yield pd.Series([[dict(zip(fields, s)) for s in spans] for spans in found])
 
     return df.withColumn(name, run(F.col(text_column)))
 
 
+def word_tagger(tags: dict[str, str]) -> TaggerFactory:
+    """Tags single words by their match form; only the distinct words of a batch are looked up."""
+    breaks, drop = str.maketrans("\n\t\r", "   "), str.maketrans("", "", ".,;:!?()")
+
+    def build() -> Callable[[list], list]:
+        def tag(texts: list) -> list:
+            cut = [[w for w in t.translate(breaks).split(" ") if w] for t in texts]
+            ends = np.cumsum([len(row) for row in cut])
+            numbers, distinct = pd.factorize(np.array([w for row in cut for w in row], object))
+            known = [tags.get(w.translate(drop).lower()) for w in distinct]
+            hits = np.flatnonzero(np.array([k is not None for k in known], bool)[numbers]) if len(numbers) else []
+            found: list[list] = [[] for _ in texts]
+            for hit, row in zip(hits, np.searchsorted(ends, hits, side="right")):
+                at = int(hit - (ends[row - 1] if row else 0))
+                found[row].append((at, at + 1, distinct[numbers[hit]], known[numbers[hit]]))
+            return found
+        return tag
+
+    return build
+
+
 def gazetteer_from_spans(spans: DataFrame) -> DataFrame:
     """Dictionary learnt from tagged corpora: the most frequent class of every span text."""
     counts = spans.groupBy(phrase_form(F.col("text")).alias("phrase"), "tag").count()

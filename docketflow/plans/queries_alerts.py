@@ -132,17 +132,9 @@ def learnt_dictionary_tagger(spark, d):
 
 @query("arrow_tagger", _sql_longest({"license": "DOCUMENT"}, "documents", "doc_id"))
 def arrow_tagger(spark, d):
-    """The harness for external taggers, here with a one-word tagger."""
-    def factory():
-        drop = str.maketrans("", "", ".,;:!?()")
-        breaks = str.maketrans("\n\t\r", "   ")
-
-        def tag(text):
-            found = [w for w in text.translate(breaks).split(" ") if w]
-            return [(i, i + 1, w, "DOCUMENT") for i, w in enumerate(found) if w.translate(drop).lower() == "license"]
-        return tag
-
-    tagged = tagging.tag_with(table(spark, d, "documents").select("doc_id", "text"), "text", factory)
+    """The harness for external taggers, here with a tagger of single words."""
+    documents = table(spark, d, "documents").select("doc_id", "text")
+    tagged = tagging.tag_with(documents, "text", tagging.word_tagger({"license": "DOCUMENT"}))
     return _span_rows(tagged.select("doc_id", F.explode("spans").alias("s")).select("doc_id", "s.*"), "doc_id")
 
 

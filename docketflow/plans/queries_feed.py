@@ -6,7 +6,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from docketflow.fixed_values import ARCHIVE_HOST, BANKRUPTCY_COURTS, DISTRICT_COURTS
+from docketflow.fixed_values import ARCHIVE_HOST, BANKRUPTCY_COURTS, BARE_CASE_NAME, BARE_CASE_SENTENCE, DISTRICT_COURTS
 from docketflow.functions import parse
 from docketflow.functions.text import html_unescape, unescape_known
 from docketflow.operators import audit, select, state, tagging
@@ -183,6 +183,15 @@ def classify_text(spark, d):
     return select.classification_text(docket(spark, d)).select("entry_id", "to_classify")
 
 
+@query("bare_case_names", with_views("docket", f"""
+SELECT entry_id AS doc_order, name AS case_name, CASE WHEN name = '{BARE_CASE_NAME}' THEN '{BARE_CASE_SENTENCE}' ELSE name END
+  AS description, court AS court_id FROM (SELECT *, replace(case_name, ' Black phone', '') AS name FROM docket)"""))
+def bare_case_names(spark, d):
+    """Names without a thing are tagged through a whole sentence."""
+    entries = docket(spark, d).withColumn("case_name", F.replace("case_name", F.lit(" Black phone"), F.lit("")))
+    return select.to_alert_shape(entries, "entry_id").select("doc_order", "case_name", "description", "court_id")
+
+
 @query("funnel_counts", with_views("docket", f"""
 SELECT count(*) AS n_rows, count(*) FILTER ({_SQL_CANDIDATE}) AS n_candidates,
   count(*) FILTER ({_SQL_CANDIDATE} AND case_name IS NOT NULL) AS n_scored,

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from docketflow import schemas
 from docketflow.fixed_values import FEED_CLASS_TYPE
 from docketflow.functions import parse
-from docketflow.operators import state
+from docketflow.operators import select, state
 from docketflow.operators.corpus import repaired_export
 from docketflow.plans.adapters import docket, docket_raw, predictions, search_results, sentences, table, with_views
 from docketflow.plans.queries_alerts import feed_scorer, feed_tagger
@@ -113,6 +113,19 @@ def stream_feed_alert(spark, d):
         .na.fill(0, ["n_entities", "n_named"])
 
 
+@query("feed_run_empty", with_views("docket", f"""
+SELECT case_number, pub_date, case_name FROM single WHERE NOT coalesce({_SQL_CANDIDATE}, false)""", single=_ONE_PER_KEY))
+def feed_run_empty(spark, d):
+    """A run without a candidate scores, sends and purges nothing: the docket keeps all entries."""
+    warehouse, root = _warehouse(spark), scratch_path(spark, "alerts")
+    entries = _one_per_key(spark, d).where(~F.coalesce(select.is_candidate(F.col("document_type")), F.lit(False)))
+    path = _landed(entries.select(*schemas.DOCKET.names), "entries")
+    alerts.start_feed_run(_stream(spark, path), START, feed_scorer, feed_tagger, warehouse, root,
+                          scratch_path(spark, "offsets")).awaitTermination()
+    logged = warehouse.table("predictions").read().select(*schemas.DOCKET_KEY, F.lit("logged").alias("case_name"))
+    return warehouse.table("rss_docket_entries").read().select(*schemas.DOCKET_KEY, "case_name").unionByName(logged)
+
+
 @query("log_after_restart", with_views("docket", f"""
 SELECT md5(case_number || '|' || strftime(pub_date, '%Y-%m-%d %H:%M:%S') || '|{FEED_CLASS_TYPE}') AS log_key,
   case_number, pub_date, positive AS prediction_value FROM scored""", single=_ONE_PER_KEY, scored=_UNIQUE_SCORED))
