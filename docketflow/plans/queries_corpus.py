@@ -13,6 +13,7 @@ from docketflow.plans.adapters import (
     with_views,
 )
 from docketflow.plans.registry import query
+from docketflow.session import cut_lineage
 from docketflow.sources.corpora import token_rows
 
 _TOKEN = "sent_id, pos, token, tag"
@@ -30,7 +31,8 @@ _OBJ = "CASE WHEN class IN ('" + "', '".join(LOOKED_UP_CLASSES) + "') THEN 'OBJ'
     "SELECT sent_id, role, pos, token, class, CASE", "SELECT sent_id, pos, token, CASE", 1)))
 def tokens_bioes(spark, d):
     empty = F.array().cast("array<struct<start:int,end:int,label:string>>")
-    examples = annotations(spark, d).withColumn("spans", F.coalesce("spans", empty))
+    # Stored like the examples of a corpus build: the planner loses Arrow functions above nested lambda expressions.
+    examples = cut_lineage(annotations(spark, d).withColumn("spans", F.coalesce("spans", empty)))
     return token_rows(corpus.tagged_sentences(examples, "sent_id"))
 
 
