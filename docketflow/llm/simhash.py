@@ -102,7 +102,9 @@ def _variants(nodes: DataFrame, max_bits: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(values), place, np.int8)), pa.array(values),
                                                       pa.array(np.repeat(part, len(flips)))], names=["place", "value", "fp"])
 
-    return nodes.select("fp").mapInArrow(emit, "place byte, value long, fp long")
+    # Eight bytes a fingerprint look small to the planner, which would leave the work to a few tasks.
+    tasks = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return nodes.select("fp").repartition(tasks, "fp").mapInArrow(emit, "place byte, value long, fp long")
 
 
 def _forest(fps: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
