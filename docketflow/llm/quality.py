@@ -157,16 +157,18 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     # At most max_rows rows of two numbers: small by construction.
     picked = given.join(F.broadcast(chosen), F.col("d_key") == F.col("l_key")) \
         .select(_features_of(F.col("d_text")).alias("x"), "l_label", "d_key").orderBy("d_key", "l_label").limit(max_rows).collect()
-    made = [(np.array(r["x"]["ids"], np.int64), np.array(r["x"]["weights"]), list(r["x"]["stats"])) for r in picked]
+    made = [(np.frombuffer(r["x"]["ids"], "<i4").astype(np.int64), np.frombuffer(r["x"]["weights"], "<f4").astype(float),
+             list(r["x"]["stats"])) for r in picked]
     return train(made, np.array([r["l_label"] for r in picked], float))
 
 
 def _features_of(text: Column) -> Column:
-    """Features as a column: at most WORD_BUCKETS numbers a text, however long it is."""
+    """Features as a column, packed: at most WORD_BUCKETS numbers a text, however long it is."""
     def work(texts: pd.Series) -> pd.DataFrame:
         made = [features(t) for t in texts]
-        return pd.DataFrame({"ids": [m[0] for m in made], "weights": [m[1] for m in made], "stats": [m[2] for m in made]})
-    return F.pandas_udf(work, "ids array<bigint>, weights array<double>, stats array<double>")(text)
+        return pd.DataFrame({"ids": [m[0].astype("<i4").tobytes() for m in made],
+                             "weights": [m[1].astype("<f4").tobytes() for m in made], "stats": [m[2] for m in made]})
+    return F.pandas_udf(work, "ids binary, weights binary, stats array<double>")(text)
 
 
 def score(text: Column, machine: Machine) -> Column:
