@@ -34,9 +34,9 @@ def _stream(spark, path: str):
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(path)
 
 
-def _warehouse(spark) -> Warehouse:
+def _warehouse(spark, parts: int = 1) -> Warehouse:
     path = scratch_path(spark, "warehouse")
-    return Warehouse(spark, "docketflow_" + path[-32:], path)
+    return Warehouse(spark, "docketflow_" + path[-32:], path, parts)
 
 
 def _keyed_events(spark, d):
@@ -49,8 +49,8 @@ def _latest_events(spark, events):
     path = scratch_path(spark, "latest")
     spark.sql(f"CREATE DATABASE IF NOT EXISTS docketflow_{path[-32:]} LOCATION '{path}'")
     fields = [f for f in events.schema.fields if f.name != "day"]
-    target = Table(spark, f"docketflow_{path[-32:]}.latest", T.StructType(fields), "day",
-                   "date_format(ts, 'yyyy-MM-dd')").create()
+    target = Table(spark, f"docketflow_{path[-32:]}.latest", T.StructType(fields),
+                   {"day": "date_format(ts, 'yyyy-MM-dd')"}).create()
     rejects = scratch_path(spark, "rejects")
     ingest.start_upsert(_stream(spark, _landed(events, "events")), target, ["user_id", "day"], ["ts", "event_id"],
                         rejects, scratch_path(spark, "offsets")).awaitTermination()
@@ -160,7 +160,7 @@ def feed_file_ingest(spark, d):
     target = _warehouse(spark).table("rss_docket_entries")
     ingest.start_ingest(feeds.stream_feed_snapshots(spark, path), target, scratch_path(spark, "quarantine"),
                         scratch_path(spark, "offsets")).awaitTermination()
-    return target.read().drop("scrape_date", "pub_month")
+    return target.read().select(*[c for c in schemas.DOCKET.names if c != "scrape_date"])
 
 
 @query("file_roundtrips", with_views("classed", """

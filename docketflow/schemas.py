@@ -25,10 +25,10 @@ ENTITY_LOG = _struct(("log_key", _S), ("case_number", _S), ("pub_date", _NTZ), *
 URL_CLASS_LOG = _struct(("log_key", _S), ("absolute_url", _S), *_CLASS_VALUE)
 URL_ENTITY_LOG = _struct(("log_key", _S), ("absolute_url", _S), *_ENTITY_VALUE)
 
-_MONTH = ("pub_month", "date_format(pub_date, 'yyyy-MM')")
-_ADDRESS = ("url_part", "substring(md5(absolute_url), 1, 1)")
+_MONTH = (DOCKET_KEY, {"pub_month": "date_format(pub_date, 'yyyy-MM')"})
+_ADDRESS = (["absolute_url"], {"url_part": "substring(md5(absolute_url), 1, 1)"})
 
-# Tables a new warehouse needs, with their partition column and how it follows from a row.
+# Tables a new warehouse needs: columns, the key rows are found by, and how partition columns follow from a row.
 TABLES = {
     "rss_docket_entries": (DOCKET, *_MONTH),
     "predictions": (CLASS_LOG, *_MONTH),

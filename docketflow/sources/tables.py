@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import contextlib
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,51 +39,67 @@ def _only_written_partitions(spark: SparkSession):
 
 
 class Table:
-    """One partitioned table; ``partition_of`` is the SQL expression of its partition column."""
+    """One partitioned table; ``partition_by`` maps its partition columns to the SQL expressions they follow from."""
 
-    def __init__(self, spark: SparkSession, name: str, schema: T.StructType, partition: str, partition_of: str):
-        self.spark, self.name, self.schema = spark, name, schema
-        self.partition, self.partition_of = partition, partition_of
+    def __init__(self, spark: SparkSession, name: str, schema: T.StructType, partition_by: dict[str, str]):
+        self.spark, self.name, self.schema, self.partition_by = spark, name, schema, partition_by
 
     def create(self) -> Table:
-        columns = [*schemas.ddl(self.schema), f"`{self.partition}` string"]
+        columns = [*schemas.ddl(self.schema), *[f"`{c}` string" for c in self.partition_by]]
         self.spark.sql(f"CREATE TABLE IF NOT EXISTS {self.name} ({', '.join(columns)}) USING parquet "
-                       f"PARTITIONED BY (`{self.partition}`)")
+                       f"PARTITIONED BY ({', '.join(f'`{c}`' for c in self.partition_by)})")
         return self
 
-    def partitions(self) -> list[str]:
-        """Partition values; one for each month or digit, so few."""
-        return sorted(r[0].split("=", 1)[1] for r in self.spark.sql(f"SHOW PARTITIONS {self.name}").collect())
+    def partitions(self) -> list[tuple[str, ...]]:
+        """Values of the partition columns of every partition."""
+        shown = self.spark.sql(f"SHOW PARTITIONS {self.name}").collect()
+        return sorted(tuple(part.split("=", 1)[1] for part in r[0].split("/")) for r in shown)
 
-    def read(self, only: list[str] | None = None) -> DataFrame:
-        """All rows, or those of the named partitions."""
+    def read(self, only: list[tuple[str, ...]] | None = None) -> DataFrame:
+        """All rows, or those of the named partitions; other partitions are not opened."""
         self.spark.catalog.refreshTable(self.name)
         rows = self.spark.table(self.name)
-        return rows if only is None else rows.where(F.col(self.partition).isin(only))
+        return rows if only is None else rows.where(self._in(only))
+
+    def _in(self, only: list[tuple[str, ...]]) -> Column:
+        """Row belongs to one of the partitions: for each first value a list of the last ones."""
+        *outer, last = self.partition_by
+        found: dict[tuple[str, ...], list[str]] = {}
+        for values in only:
+            found.setdefault(values[:-1], []).append(values[-1])
+        hit = F.lit(False)
+        for values, inner in found.items():
+            one = F.col(last).isin(inner)
+            for column, value in zip(outer, values):
+                one = one & (F.col(column) == value)
+            hit = hit | one
+        return hit
 
     def placed(self, rows: DataFrame) -> DataFrame:
         """The table's columns, with the partition each row belongs to."""
-        where = F.coalesce(F.expr(self.partition_of).cast("string"), F.lit(NO_VALUE))
-        return rows.select(*self.schema.names, where.alias(self.partition))
+        where = [F.coalesce(F.expr(e).cast("string"), F.lit(NO_VALUE)).alias(c) for c, e in self.partition_by.items()]
+        return rows.select(*self.schema.names, *where)
 
-    def touched(self, placed: DataFrame) -> list[str]:
-        return sorted(r[0] for r in placed.select(self.partition).distinct().collect())
+    def touched(self, placed: DataFrame) -> list[tuple[str, ...]]:
+        """Partitions that hold any of the rows: at most one for each row of a batch, and for each partition there is."""
+        return sorted(tuple(r) for r in placed.select(*self.partition_by).distinct().collect())
 
-    def replace(self, rows: DataFrame, touched: list[str]) -> None:
+    def replace(self, rows: DataFrame, touched: list[tuple[str, ...]]) -> None:
         """Make ``rows`` the content of the touched partitions; those without rows leave the table.
 
         All rows have to belong to touched partitions. The rebalance splits a hot
         partition over several files and keeps small ones whole.
         """
-        new, path = staged(self.placed(rows).hint("rebalance", F.col(self.partition)))
+        new, path = staged(self.placed(rows).hint("rebalance", *[F.col(c) for c in self.partition_by]))
         written = self.touched(new)
         if stray := set(written) - set(touched):
             raise ValueError(f"rows of partitions that are not replaced: {sorted(stray)[:5]}")
         if written:
             with _only_written_partitions(self.spark):
                 new.write.insertInto(self.name, overwrite=True)
-        for value in set(touched) - set(written):
-            self.spark.sql(f"ALTER TABLE {self.name} DROP IF EXISTS PARTITION (`{self.partition}` = '{value}')")
+        for values in set(touched) - set(written):
+            named = ", ".join(f"`{c}` = '{v}'" for c, v in zip(self.partition_by, values))
+            self.spark.sql(f"ALTER TABLE {self.name} DROP IF EXISTS PARTITION ({named})")
         remove_path(self.spark, path)
 
     def append(self, rows: DataFrame, key: str) -> None:
@@ -99,15 +115,21 @@ class Table:
 
 
 class Warehouse:
-    """The library's tables in one database below ``location``."""
+    """The library's tables in one database below ``location``.
 
-    def __init__(self, spark: SparkSession, database: str, location: str):
-        self.spark, self.database = spark, database
+    With ``parts`` above 1 every month (or hash digit) is split further by a hash of
+    the key. A small batch then rewrites little of a large month.
+    """
+
+    def __init__(self, spark: SparkSession, database: str, location: str, parts: int = 1):
+        self.spark, self.database, self.parts = spark, database, parts
         spark.sql(f"CREATE DATABASE IF NOT EXISTS {database} LOCATION '{location}'")
 
     def table(self, name: str) -> Table:
-        schema, partition, partition_of = schemas.TABLES[name]
-        return Table(self.spark, f"{self.database}.{name}", schema, partition, partition_of).create()
+        schema, key, partition_by = schemas.TABLES[name]
+        if self.parts > 1:
+            partition_by = {**partition_by, "key_part": f"pmod(xxhash64({', '.join(key)}), {self.parts})"}
+        return Table(self.spark, f"{self.database}.{name}", schema, partition_by).create()
 
     def tables(self) -> dict[str, Table]:
         return {name: self.table(name) for name in schemas.TABLES}
