@@ -48,7 +48,7 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_path(spark, "token-files")
     tokenizer = tokenfile.read_tokenizer(public_tokenizers.path("word_bpe_49k.json"))
     manifest = tokenfile.write_tokens(table(spark, sf_dir, "documents", "doc_id", "text"), folder, tokenizer)
-    return tokenfile.digests(tokenfile.read_documents(manifest, folder))
+    return tokenfile.read_digests(manifest, folder)
 
 
 @query("op4_html_text")

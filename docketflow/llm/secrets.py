@@ -2,9 +2,10 @@ r"""Secret scan that looks below nested encodings.
 
 Base findings are those of the text itself. Beyond them a worklist decodes layers: the text with its percent escapes
 resolved, with its ``\uXXXX``, ``\u{X}``, ``\UXXXXXXXX`` and ``\xXX`` escapes resolved, and the content of every base64
-run, unpacked when it is zlib, gzip, bz2 or xz data. Every new layer is scanned and decoded in turn until no new layer
-appears; layers seen before (same content from the same place) are not taken up again, so data that decode to
-themselves end. Each character of a layer carries the range of the original text it comes from, so findings map back.
+run, also of one wrapped over lines, unpacked when it is zlib, gzip, bz2 or xz data. Every new layer is scanned and
+decoded in turn until no new layer appears; layers seen before (same content from the same place) are not taken up again,
+so data that decode to themselves end. Each character of a layer carries the range of the original text it comes from, so
+findings map back.
 
 Unpacking stops at MAX_UNPACKED bytes a layer and MAX_LAYERS layers a text, against data made to explode; neither bound
 touches the text itself. A null text is treated as empty. Rows are independent; repeated rows give equal results.
@@ -12,7 +13,6 @@ touches the text itself. A null text is treated as empty. Rows are independent;
 
 from __future__ import annotations
 
-import base64
 import binascii
 import bz2
 import hashlib
@@ -39,6 +39,7 @@ _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2})+")
 _ONE = re.compile(r"\\u\{([0-9A-Fa-f]+)\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})")
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{%d,}={0,2}" % MIN_BASE64)
+_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{40,}\r?\n)+[A-Za-z0-9+/_-]+={0,2}")
 _URLSAFE = bytes.maketrans(b"-_", b"+/")
 
 Span = tuple[int, str, int]
@@ -123,8 +124,8 @@ def _readable(text: str) -> bool:
 
 
 def _base64(text, begin, end):
-    for m in _BASE64.finditer(text):
-        body = m[0].rstrip("=").encode().translate(_URLSAFE)
+    for m in [*_WRAPPED.finditer(text), *_BASE64.finditer(text)]:
+        body = "".join(m[0].split()).rstrip("=").encode().translate(_URLSAFE)
         if len(body) % 4 == 1:
             continue
         try:
@@ -141,8 +142,11 @@ def _base64(text, begin, end):
             n = len(made[0])
             yield made[0], np.full(n, begin[m.start()]), np.full(n, end[m.end() - 1])
         else:
+            at = m.start() + np.flatnonzero(np.array([c not in "\r\n=" for c in m[0]]))
             first, last = np.asarray(made[1]) * 8 // 6, -(-np.asarray(made[2]) * 8 // 6)
-            yield made[0], begin[m.start() + first], end[m.start() + np.minimum(last, len(body)) - 1]
+            ends = end[at[np.minimum(last, len(body)) - 1]].copy()
+            ends[-1] = end[m.end() - 1]   # padding belongs to the last character
+            yield made[0], begin[at[first]], ends
 
 
 def layers(text: str):

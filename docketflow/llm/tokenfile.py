@@ -20,31 +20,42 @@ rows, ordered by text. An empty table gives no file.
 
 from __future__ import annotations
 
+import json
 import os
-import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs, ipc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docketflow.llm.rows import slices
 from docketflow.operators.ordering import running_total
 
 LENGTH = 2_048
 FILE_TOKENS = 4_000_000
 END_ID = 1
 MAX_TOKENIZER_BYTES = 64_000_000
-MEMO_CHUNKS = 600_000
+MEMO_CHUNKS = 350_000
 
-#: Separators Python splits at and the tokenizer does not.
-_ODD = re.compile("[\x1c-\x1f]")
+#: Bytes of text cut into chunks at once.
+SLICE_BYTES = 6_000_000
+PIECES_AT_ONCE = 4_000
+
+_LETTERS = "[a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+"
+_SIGNS = r"[!-&(-/:-@\[-`{-~]"
+_PLAIN = f"^{_LETTERS}{_SIGNS}*$"
+_PIECES = f"^({_LETTERS})({_SIGNS}+)$"
+#: Characters that stand for bytes in the byte-level alphabet: themselves, or the next ones from 256 on for those that
+#: are no printable character; a blank stays one.
+_BYTE_CHARACTERS = np.arange(256, dtype="<u4")
+_UNPRINTABLE = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)]
+_BYTE_CHARACTERS[_UNPRINTABLE] = 256 + np.arange(len(_UNPRINTABLE))
+_BYTE_CHARACTERS[32] = 32
 
 
 def read_tokenizer(path: str) -> bytes:
@@ -59,10 +70,16 @@ def read_tokenizer(path: str) -> bytes:
 class ChunkEncoder:
     """Ids of whole texts; every distinct run of non-blank characters is encoded once.
 
-    This holds for tokenizers that drop white space and never look beyond it, which ``splits_at_blanks`` says. Others
-    encode each text as a whole. New chunks go through the tokenizer many at a time, with MARK between them, whose ids
-    tell them apart; chunks that hold MARK go alone. The memo starts anew when it holds MEMO_CHUNKS chunks; that changes
-    no result.
+    This holds for tokenizers that lower-case, drop white space and never look beyond it, which ``splits_at_blanks``
+    says; texts that hold the beginning of a special token, and all texts of other tokenizers, are encoded as a whole.
+    Arrow lower-cases A-Z, cuts and numbers the chunks. New ones go through the tokenizer many at a time:
+
+    * Latin letters with punctuation behind them are the two pieces the tokenizer would make of them, and need none of its
+      normalisation; the same model encodes them cut at blanks only, and word-end tokens tell the pieces apart;
+    * all others go through the whole tokenizer, with MARK between them, whose id tells them apart; chunks that hold
+      MARK go alone.
+
+    When the memo holds MEMO_CHUNKS chunks, those go that no later slice asked for; that changes no result.
     """
 
     MARK = "\x01"
@@ -73,51 +90,129 @@ class ChunkEncoder:
         self._tokenizer = Tokenizer.from_buffer(data)
         self._mark = self._whole(self.MARK)
         self._split = splits_at_blanks and len(self._mark) == 1
-        self.dtype = np.uint16 if self._tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
+        vocabulary = self._tokenizer.get_vocab()
+        self.dtype = np.uint16 if len(vocabulary) <= 1 << 16 else np.uint32
+        bare = json.loads(data)
+        suffix = bare["model"].get("end_of_word_suffix")
+        bare |= {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}
+        self._bare = Tokenizer.from_str(json.dumps(bare)) if suffix else None
+        self._ends_word = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self._ends_word[[i for token, i in vocabulary.items() if suffix and token.endswith(suffix)]] = True
         self._forget()
 
     def _forget(self) -> None:
         self._numbers: dict[str, int] = {}
         self._ids = np.zeros(0, self.dtype)
-        self._ends = np.zeros(0, np.int64)
+        self._ends = np.zeros(1, np.int64)   # where the ids of chunk i end, at i + 1
+        self._asked = np.zeros(0, bool)
+
+    def _keep_asked(self) -> None:
+        """Forget all chunks that were met in one slice only; everything, if that leaves little room."""
+        kept = np.flatnonzero(self._asked)
+        if 4 * len(kept) > 3 * MEMO_CHUNKS:
+            self._forget()
+            return
+        names = list(self._numbers)
+        self._numbers = {names[i]: n for n, i in enumerate(kept)}
+        sizes = self._ends[kept + 1] - self._ends[kept]
+        stops = np.cumsum(sizes)
+        self._ids = self._ids[np.arange(stops[-1] if len(stops) else 0) + np.repeat(self._ends[kept + 1] - stops, sizes)]
+        self._ends = np.concatenate([[0], stops])
+        self._asked = np.zeros(len(kept), bool)
 
     def _whole(self, text: str) -> list[int]:
         return self._tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
-    def _learn(self, chunks: list[str]) -> None:
-        odd = [c for c in chunks if self.MARK in c]
-        plain = [c for c in chunks if self.MARK not in c]
-        ids, ends, total = [self._ids], [self._ends], len(self._ids)
-        for at in range(0, len(plain), 2_000):
-            got = np.array(self._whole(f" {self.MARK} ".join([*plain[at:at + 2_000], ""])), self.dtype)
+    def _pieces(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids and ends of chunks that are letters and punctuation; None if word ends don't tell them apart."""
+        parted = pc.replace_substring_regex(pc.utf8_lower(chunks), _PIECES, r"\1 \2")
+        joined = pc.binary_join(pa.ListArray.from_arrays([0, len(parted)], parted), " ")[0].as_buffer()
+        text = _BYTE_CHARACTERS[np.frombuffer(joined, np.uint8)].tobytes().decode("utf-32-le")
+        ids = np.array(self._bare.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
+        stops = np.flatnonzero(self._ends_word[ids]) + 1
+        words = np.cumsum(1 + pc.match_substring(parted, " ").to_numpy(zero_copy_only=False))
+        return (ids, stops[words - 1]) if len(stops) == words[-1] and stops[-1] == len(ids) else None
+
+    def _marked(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if len(chunks) > 1:
+            got = np.array(self._whole(f" {self.MARK} ".join([*chunks, ""])), self.dtype)
             marks = got == self._mark[0]
-            ids.append(got[~marks])
-            ends.append(total + np.flatnonzero(marks) - np.arange(marks.sum()))
-            total += len(ids[-1])
+            return got[~marks], np.flatnonzero(marks) - np.arange(marks.sum())
+        got = np.array(self._whole(chunks[0]), self.dtype)
+        return got, np.array([len(got)])
+
+    def _learn(self, chunks: list[str]) -> None:
+        if not chunks:
+            return
+        every = pa.array(chunks)
+        plain = pc.match_substring_regex(every, _PLAIN).to_numpy(zero_copy_only=False) & (self._bare is not None)
+        names = np.array(chunks, object)
+        ids, ends, order, total = [self._ids], [self._ends], [], len(self._ids)
+
+        def add(made: tuple[np.ndarray, np.ndarray], of: list[str]) -> None:
+            nonlocal total
+            ids.append(made[0])
+            ends.append(total + made[1])
+            order.extend(of)
+            total += len(made[0])
+
+        fast, fast_names, rest = every.filter(pa.array(plain)), names[plain].tolist(), names[~plain].tolist()
+        for at in range(0, len(fast), PIECES_AT_ONCE):
+            made = self._pieces(fast.slice(at, PIECES_AT_ONCE))
+            if made is None:
+                rest += fast_names[at:at + PIECES_AT_ONCE]
+            else:
+                add(made, fast_names[at:at + PIECES_AT_ONCE])
+        odd = [c for c in rest if self.MARK in c]
+        rest = [c for c in rest if self.MARK not in c] if odd else rest
+        for at in range(0, len(rest), 2_000):
+            add(self._marked(rest[at:at + 2_000]), rest[at:at + 2_000])
         for chunk in odd:
-            ids.append(np.array(self._whole(chunk), self.dtype))
-            total += len(ids[-1])
-            ends.append(np.array([total]))
+            add(self._marked([chunk]), [chunk])
         first = len(self._numbers)
-        self._numbers.update(zip([*plain, *odd], range(first, first + len(chunks))))
+        self._numbers.update(zip(order, range(first, first + len(order))))
         self._ids, self._ends = np.concatenate(ids), np.concatenate(ends)
 
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        texts = [t or "" for t in texts]
+    def encode(self, texts: pa.StringArray) -> list[np.ndarray]:
+        """Ids of every text; null is empty."""
+        texts = pc.fill_null(texts, "")
         if not self._split:
-            return [np.array(self._whole(t), self.dtype) for t in texts]
+            return [np.array(self._whole(t), self.dtype) for t in texts.to_pylist()]
         if len(self._numbers) > MEMO_CHUNKS:
-            self._forget()
-        split = [t.split() for t in texts]
-        every = list(chain.from_iterable(split))
-        self._learn(list(set(every).difference(self._numbers)))
-        numbers = np.fromiter(map(self._numbers.__getitem__, every), np.int64, len(every))
-        ends = self._ends[numbers]
-        sizes = ends - np.where(numbers > 0, self._ends[numbers - 1], 0)
+            self._keep_asked()
+        cut = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+        coded = cut.flatten().dictionary_encode()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        before = len(self._numbers)
+        self._learn([c for c in distinct if c not in self._numbers])
+        known = np.fromiter(map(self._numbers.__getitem__, distinct), np.int32, len(distinct))
+        self._asked = np.concatenate([self._asked, np.zeros(len(self._numbers) - before, bool)])
+        self._asked[known[known < before]] = True
+        del distinct
+        numbers = known[coded.indices.to_numpy()] if len(known) else np.zeros(0, np.int32)
+        begins = self._ends[numbers].astype(np.int32)
+        sizes = self._ends[numbers + 1].astype(np.int32) - begins
         stops = np.cumsum(sizes)
-        flat = self._ids[np.arange(stops[-1] if len(stops) else 0) + np.repeat(ends - stops, sizes)]
-        cuts = np.concatenate([[0], stops])[np.cumsum([0, *map(len, split)])]
-        return [np.array(self._whole(t), self.dtype) if _ODD.search(t) else flat[a:b] for t, a, b in zip(texts, cuts, cuts[1:])]
+        shift = (begins + sizes - stops).astype(np.int32)
+        flat = self._ids[np.arange(stops[-1] if len(stops) else 0, dtype=np.int32) + np.repeat(shift, sizes)]
+        offsets = cut.offsets.to_numpy()
+        cuts = np.concatenate([[0], stops])[offsets - offsets[0]]
+        out = [flat[a:b] for a, b in zip(cuts, cuts[1:])]
+        for i in np.flatnonzero(pc.match_substring(texts, "<|").to_numpy(zero_copy_only=False)):
+            out[i] = np.array(self._whole(texts[i].as_py()), self.dtype)
+        return out
+
+
+def _by_bytes(batches: Iterator[pa.RecordBatch], column: int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of ``most`` bytes of a text column, or of one row."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        ends = np.cumsum(sizes)
+        at = 0
+        while at < batch.num_rows:
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
+            yield batch.slice(at, to - at)
+            at = to
 
 
 @lru_cache(maxsize=2)
@@ -182,9 +277,8 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: bytes, key: str = "doc
         encoder = _encoder(tokenizer, splits_at_blanks)
         writer = _Writer(files, TaskContext.get().partitionId(), length, encoder.dtype, kind)
         done = []
-        for part in slices(batches, 128):
-            texts = part.column(1).to_pylist()
-            for one, ids in zip(part.column(0).to_pylist(), encoder.encode(texts)):
+        for part in _by_bytes(batches, 1):
+            for one, ids in zip(part.column(0).to_pylist(), encoder.encode(part.column(1))):
                 writer.add(one, np.append(ids, np.array([end_id], encoder.dtype)))
                 if writer.size >= file_tokens:
                     done.append(writer.close())
@@ -206,8 +300,8 @@ def open_sequences(path: str) -> ipc.RecordBatchFileReader:
     return ipc.open_file(pa.memory_map(path))
 
 
-def read_documents(manifest: DataFrame, folder: str, key_type: str = "long") -> DataFrame:
-    """doc_id, start (ids of all documents before), ids, from the files the manifest lists."""
+def _read_files(manifest: DataFrame, folder: str, schema: str, make) -> DataFrame:
+    """A row for each document in the files of the manifest: ``make(keys, starts, id lists)`` gives batches."""
     files = f"{folder}/files"
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,23 +320,26 @@ def read_documents(manifest: DataFrame, folder: str, key_type: str = "long") ->
                 ends = np.append(at[1:], valid)
                 for lo in range(0, len(at), 256):
                     hi = min(lo + 256, len(at))
-                    yield pa.RecordBatch.from_arrays(
-                        [keys.slice(lo, hi - lo), pa.array(start + at[lo:hi]),
-                         pa.array([ids[a:b].astype(np.int32) for a, b in zip(at[lo:hi], ends[lo:hi])], pa.list_(pa.int32()))],
-                        ["doc_id", "start", "ids"])
+                    yield make(keys.slice(lo, hi - lo), start + at[lo:hi], [ids[a:b] for a, b in zip(at[lo:hi], ends[lo:hi])])
 
-    return manifest.select("name", "start").repartition("name").mapInArrow(read, f"doc_id {key_type}, start long, ids array<int>")
+    tasks = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return manifest.select("name", "start").repartition(tasks, "name").mapInArrow(read, schema)
 
 
-def digests(read: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of documents read back."""
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column(2)
-            offsets, flat = lists.offsets.to_numpy(), lists.values.to_numpy().astype("<u4")
-            sums = [zlib.crc32(flat[a:b].tobytes()) for a, b in zip(offsets, offsets[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(offsets).astype(np.int64)),
-                                              pa.array(sums, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
-
-    kind = dict(read.dtypes)["doc_id"]
-    return read.mapInArrow(work, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long")
+def read_documents(manifest: DataFrame, folder: str, key_type: str = "long") -> DataFrame:
+    """doc_id, start (ids of all documents before), ids, from the files the manifest lists."""
+    def make(keys, starts, ids):
+        lists = pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32()))
+        return pa.RecordBatch.from_arrays([keys, pa.array(starts), lists], ["doc_id", "start", "ids"])
+
+    return _read_files(manifest, folder, f"doc_id {key_type}, start long, ids array<int>", make)
+
+
+def read_digests(manifest: DataFrame, folder: str, key_type: str = "long") -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 of the documents in the files; their ids stay in the reading task."""
+    def make(keys, starts, ids):
+        sums = pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in ids], pa.int64())
+        return pa.RecordBatch.from_arrays([keys, pa.array(starts), pa.array([len(x) for x in ids], pa.int64()), sums],
+                                          ["doc_id", "start", "n_tokens", "ids_crc32"])
+
+    return _read_files(manifest, folder, f"doc_id {key_type}, start long, n_tokens long, ids_crc32 long", make)

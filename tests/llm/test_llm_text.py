@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from llm import brute  # noqa: F401
@@ -40,11 +41,12 @@ def test_failing_match_still_consumes():
     assert secrets.scan("ſecret=abcdefgh")[0] == []
 
 
-@pytest.mark.parametrize("wrap", ["b64", "zlib", "gzip", "url", "url2", "unicode", "b64url", "nested"])
+@pytest.mark.parametrize("wrap", ["b64", "lines", "zlib", "gzip", "url", "url2", "unicode", "b64url", "nested"])
 def test_layers_map_back(wrap):
     secret = "password=hunter2hunter2"
     made = {
         "b64": base64.b64encode(secret.encode()).decode(),
+        "lines": base64.encodebytes(zlib.compress(random.Random(1).randbytes(90).hex(" ").encode() + secret.encode())).decode().strip(),
         "zlib": base64.b64encode(zlib.compress(secret.encode())).decode(),
         "gzip": base64.b64encode(__import__("gzip").compress(secret.encode())).decode(),
         "url": "".join(f"%{c:02x}" for c in secret.encode()),
@@ -145,8 +147,10 @@ def test_token_files(spark, tokenizer, length, file_tokens):
     folder = scratch_path(spark, "tokens")
     df = spark.createDataFrame([(a, b, "s") for a, b in rows], "doc_id long, text string, start string").repartition(5)
     manifest = tokenfile.write_tokens(df, folder, data, length=length, file_tokens=file_tokens)
-    got = sorted(tuple(r) for r in tokenfile.digests(tokenfile.read_documents(manifest, folder)).collect())
-    assert got == sorted(expected_files(tokenizer, sorted(rows, key=lambda r: (r[0], r[1] or ""))))
+    want = sorted(expected_files(tokenizer, sorted(rows, key=lambda r: (r[0], r[1] or ""))))
+    assert sorted(tuple(r) for r in tokenfile.read_digests(manifest, folder).collect()) == want
+    read = tokenfile.read_documents(manifest, folder).collect()
+    assert sorted((r["doc_id"], r["start"], len(r["ids"]), zlib.crc32(np.array(r["ids"], "<u4").tobytes())) for r in read) == want
     name = manifest.orderBy("name").first()["name"]
     with tokenfile.open_sequences(f"{folder}/files/{name}") as file:
         batch = file.get_batch(0)
@@ -165,11 +169,21 @@ def test_token_files_empty_and_whole_table(spark, tokenizer):
     assert got == expected_files(tokenizer, docs)
 
 
+def test_chunks_equal_whole_texts(tokenizer):
+    encoder = tokenfile.ChunkEncoder(tokenfile.read_tokenizer(public_tokenizers.path("word_bpe_49k.json")))
+    rng = random.Random(3)
+    letters = "aZbÉéßŸſÿ'.,!_-(\"0١Σςİıǅ中\u0301\u2003\xa0 \x85\x1c\x01 \n\t<|e>"
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 60))) for _ in range(2_000)]
+    texts += ["<|endoftext|> a <|ENDOFTEXT|>", "don't I'LL we're 'S's", None, "straße.. (naïve) été,"]
+    for text, ids in zip(texts, encoder.encode(pa.array(texts))):
+        assert ids.tolist() == tokenizer.encode(text or "", add_special_tokens=False).ids
+
+
 def test_memo_starts_anew(tokenizer, monkeypatch):
     encoder = tokenfile.ChunkEncoder(tokenfile.read_tokenizer(public_tokenizers.path("word_bpe_49k.json")))
     monkeypatch.setattr(tokenfile, "MEMO_CHUNKS", 3)
     for _ in range(3):
-        got = encoder.encode(ODD)
+        got = encoder.encode(pa.array(ODD))
         assert all(g.tolist() == tokenizer.encode(t or "", add_special_tokens=False).ids for g, t in zip(got, ODD))
 
 
