@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,7 +39,9 @@ LENGTH = 400
 GRAM = 32
 #: Bytes sorted at once; below 2^21 a rank pair and a place fit one 64-bit number.
 CHUNK_BYTES = 1_900_000
-SHARD_BYTES = 8_000_000
+SHARD_BYTES = 400_000
+#: Suffixes of a segment that are compared one after the other.
+STRETCH = 64
 
 _RNG = np.random.default_rng(5)
 _TABLE = _RNG.integers(1, 1 << 63, (2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -150,41 +153,43 @@ def suffix_order(text: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.nda
     return order, rank
 
 
-def common_prefixes(text: np.ndarray, order: np.ndarray, rank: np.ndarray, starts: np.ndarray, ends: np.ndarray,
-                    limit: int) -> np.ndarray:
-    """Bytes, up to ``limit``, that each suffix shares with the one before it in order.
+def common_prefixes(text: np.ndarray, order: np.ndarray, rank: np.ndarray, starts: np.ndarray, counts: np.ndarray,
+                    ends: np.ndarray, limit: int) -> np.ndarray:
+    """Bytes, up to ``limit``, that the first ``counts`` suffixes of each segment share with the one before them in order.
 
     Kasai's recurrence: what suffix i shares with its neighbour, suffix i + 1 shares with its own but for one byte. All
-    segments take this walk in step, eight bytes at a time.
+    segments take this walk in step, eight bytes at a time, and start anew every STRETCH suffixes, so that one very long
+    segment does not make the walk long. Other suffixes get 0.
     """
     n = len(text)
     words = np.zeros(n, np.uint64)
     padded = np.concatenate([text, np.zeros(8, np.uint8)]).astype(np.uint64)
     for k in range(8):
         words |= padded[k:k + n] << np.uint64(8 * k)
+    pieces = -(-counts // STRETCH)
+    first = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    sizes = np.minimum(np.repeat(counts, pieces) - first * STRETCH, STRETCH)
+    starts = np.repeat(starts, pieces) + first * STRETCH
+    by_size = np.argsort(-sizes, kind="stable")
+    starts, sizes = starts[by_size], sizes[by_size]
     stops = ends[starts]
-    by_size = np.argsort(starts - stops, kind="stable")
-    starts, stops = starts[by_size], stops[by_size]
-    sizes = stops - starts
     shared = np.zeros(n, np.int32)
     have = np.zeros(len(starts), np.int64)
     for t in range(int(sizes[0]) if len(sizes) else 0):
         count = len(sizes) - int(np.searchsorted(sizes[::-1], t, side="right"))
         here = starts[:count] + t
-        have = np.maximum(have[:count] - 1, 0)
         place = rank[here]
         before = order[np.maximum(place - 1, 0)]
         most = np.minimum(np.minimum(stops[:count] - here, ends[before] - before), limit)
         most[place == 0] = 0
-        have = np.minimum(have, most)
+        have = np.minimum(np.maximum(have[:count] - 1, 0), most)
         todo = np.flatnonzero(have < most)
         while len(todo):
-            h = have[todo]
+            h, top = have[todo], most[todo]
             differ = words[here[todo] + h] ^ words[before[todo] + h]
-            low = differ & (~differ + np.uint64(1))
-            same = np.where(differ == 0, 8, np.bitwise_count(low - np.uint64(1)).astype(np.int64) >> 3)
-            have[todo] = np.minimum(h + same, most[todo])
-            todo = todo[(same == 8) & (have[todo] < most[todo])]
+            same = np.bitwise_count((differ & (~differ + np.uint64(1))) - np.uint64(1)) >> 3   # 8 where nothing differs
+            have[todo] = np.minimum(h + same, top)
+            todo = todo[(same == 8) & (h + 8 < top)]
         shared[here] = have
     return shared
 
@@ -196,7 +201,7 @@ def repeated_windows(parts: list[bytes], length: int = LENGTH) -> list[np.ndarra
     text = np.frombuffer(b"".join(parts), np.uint8)
     ends = np.repeat(stops, sizes)
     order, rank = suffix_order(text, ends)
-    shared = common_prefixes(text, order, rank, stops - sizes, ends, length)
+    shared = common_prefixes(text, order, rank, stops - sizes, np.maximum(sizes - length + 1, 0), ends, length)
     equal = shared >= length
     equal[order[:-1]] |= shared[order[1:]] >= length
     return [equal[b - s:b - length + 1] for s, b in zip(sizes, stops)]
@@ -296,8 +301,13 @@ def repeated(shards: DataFrame, length: int, chunk: int) -> DataFrame:
     """sid and the byte ranges of its segment that windows repeated within the shard cover."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held in _groups(batches, chunk):
-            flags = repeated_windows([row[4] for row in held], length)
-            found = [(row[2], [(0, len(row[4]))] if row[3] > 1 else _ranges(f, length)) for row, f in zip(held, flags)]
+            members = Counter((row[0], row[1]) for row in held)
+            # A segment that was met twice and meets no other one has nothing left to find.
+            alone = [row for row in held if row[3] > 1 and members[row[0], row[1]] == 1]
+            others = [row for row in held if row[3] == 1 or members[row[0], row[1]] > 1]
+            flags = repeated_windows([row[4] for row in others], length) if others else []
+            found = [(row[2], [(0, len(row[4]))]) for row in alone]
+            found += [(row[2], [(0, len(row[4]))] if row[3] > 1 else _ranges(f, length)) for row, f in zip(others, flags)]
             yield _range_batch([x for x in found if x[1]])
 
     return shards.mapInArrow(work, _RANGES)

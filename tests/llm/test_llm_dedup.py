@@ -123,7 +123,7 @@ def test_suffix_order_is_sorted():
     order, rank = suffix.suffix_order(np.frombuffer(data, np.uint8), ends)
     cut = [data[i:ends[i]] for i in order]
     assert cut == sorted(cut) and (rank[order] == np.arange(len(data))).all()
-    shared = suffix.common_prefixes(np.frombuffer(data, np.uint8), order, rank, np.cumsum(sizes) - sizes, ends, 25)
+    shared = suffix.common_prefixes(np.frombuffer(data, np.uint8), order, rank, np.cumsum(sizes) - sizes, sizes, ends, 25)
     for i in range(1, len(order)):
         a, b = cut[i - 1], cut[i]
         same = next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
