@@ -25,6 +25,7 @@ import hashlib
 import os
 from collections import Counter
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -318,31 +319,39 @@ def merged(shards: DataFrame, length: int, chunk: int) -> DataFrame:
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held in _groups(batches, chunk):
             rows = []
-            for low, part, sid, _, data, parts in held:
-                text = np.frombuffer(data, np.uint8)
-                value, check = _hashes(text, length), _hashes(text, length, 1)
-                piece = (value % np.uint64(parts)).astype(np.int64)
+            for (low, part), members in groupby(held, key=lambda row: (row[0], row[1])):
+                members = list(members)
+                texts = [np.frombuffer(row[4], np.uint8) for row in members]
+                made = [(_hashes(t, length), _hashes(t, length, 1)) for t in texts]
+                value, check = (np.concatenate(x) for x in zip(*made))
+                sizes = [len(v) for v, _ in made]
+                at = np.concatenate([np.arange(n, dtype=np.int32) for n in sizes])
+                owner = np.repeat(np.arange(len(members), dtype=np.int32), sizes)
+                piece = (value % np.uint64(members[0][5])).astype(np.int64)
                 for p in np.unique(piece):
-                    at = np.flatnonzero(piece == p)
-                    rows.append((low, int(p), part, sid, value[at].tobytes(), check[at].tobytes(), at.astype("<i4").tobytes()))
-            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
-            names = ["low", "piece", "part", "sid", "value", "check", "at"]
+                    one = np.flatnonzero(piece == p)
+                    rows.append((low, int(p), part, [row[2] for row in members], owner[one].astype("<i4").tobytes(),
+                                 value[one].tobytes(), check[one].tobytes(), at[one].astype("<i4").tobytes()))
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.binary()), *[pa.binary()] * 4)
+            names = ["low", "piece", "part", "sids", "owner", "value", "check", "at"]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
     def search(group: pd.DataFrame) -> pd.DataFrame:
-        sids, parts = group["sid"].tolist(), group["part"].to_numpy()
+        sids = [sid for held in group["sids"] for sid in held]
+        before = np.cumsum([0, *[len(held) for held in group["sids"]]])[:-1]
         own = [np.frombuffer(x, np.uint64) for x in group["value"]]
         sizes = [len(x) for x in own]
         value, check = np.concatenate(own), np.concatenate([np.frombuffer(x, np.uint64) for x in group["check"]])
         at = np.concatenate([np.frombuffer(x, "<i4") for x in group["at"]])
-        row, part = np.repeat(np.arange(len(sids)), sizes), np.repeat(parts, sizes)
+        owner = np.concatenate([np.frombuffer(x, "<i4") + n for x, n in zip(group["owner"], before)])
+        part = np.repeat(group["part"].to_numpy(), sizes)
         hit = np.zeros(len(value), bool)
-        sorted_parts = {}
+        ordered = {}
         for p in np.unique(part):
             mine = np.flatnonzero(part == p)
-            sorted_parts[p] = mine[np.lexsort((check[mine], value[mine]))]
-        for p, mine in sorted_parts.items():
-            for q, other in sorted_parts.items():
+            ordered[p] = mine[np.lexsort((check[mine], value[mine]))]
+        for p, mine in ordered.items():
+            for q, other in ordered.items():
                 if p != q:
                     place = np.searchsorted(value[other], value[mine])
                     last = np.searchsorted(value[other], value[mine], side="right")
@@ -350,14 +359,17 @@ def merged(shards: DataFrame, length: int, chunk: int) -> DataFrame:
                     hit[mine[one]] = True
                     for i in np.flatnonzero((last - place > 1) & ~one):
                         hit[mine[i]] |= bool((check[other[place[i]:last[i]]] == check[mine[i]]).any())
+        found = np.flatnonzero(hit)
+        found = found[np.lexsort((at[found], owner[found]))]
         out = []
-        for r in np.unique(row[hit]):
-            flags = np.zeros(int(at[(row == r) & hit].max()) + 1, bool)
-            flags[at[(row == r) & hit]] = True
-            out.append((sids[r], [{"a": a, "b": b} for a, b in _ranges(flags, length)]))
+        for run in np.split(found, np.flatnonzero(np.diff(owner[found])) + 1) if len(found) else []:
+            flags = np.zeros(int(at[run[-1]]) + 1, bool)
+            flags[at[run]] = True
+            out.append((sids[owner[run[0]]], [{"a": a, "b": b} for a, b in _ranges(flags, length)]))
         return pd.DataFrame(out, columns=["sid", "ranges"])
 
-    rows = shards.mapInArrow(digest, "low long, piece int, part int, sid binary, value binary, check binary, at binary")
+    rows = shards.mapInArrow(digest, "low long, piece int, part int, sids array<binary>, owner binary, value binary, "
+                             "check binary, at binary")
     return rows.groupBy("low", "piece").applyInPandas(search, _RANGES)
 
 
