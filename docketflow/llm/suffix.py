@@ -40,7 +40,7 @@ LENGTH = 400
 GRAM = 32
 #: Bytes sorted at once; below 2^21 a rank pair and a place fit one 64-bit number.
 CHUNK_BYTES = 1_900_000
-SHARD_BYTES = 400_000
+SHARD_BYTES = 300_000
 #: Suffixes of a segment that are compared one after the other.
 STRETCH = 64
 
