@@ -10,9 +10,9 @@ from docketflow.session import build_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     session = build_session("tests", "local[8]", spark_sql_shuffle_partitions="8", spark_driver_memory="4g",
-                            spark_ui_showConsoleProgress="false")
+                            spark_ui_showConsoleProgress="false", spark_checkpoint_dir=str(tmp_path_factory.mktemp("shared")))
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
