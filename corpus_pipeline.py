@@ -26,27 +26,33 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: the one with the smallest id.
 
-    Of rows that repeat this id one stays. A group without any id keeps one row of each content.
+    Rows without an id come after all others, and of rows that repeat the id the smallest content hash stays, once.
     """
-    group = simhash.groups(docs.select(F.struct("doc_id", F.xxhash64("text").alias("mark")).alias("key"), "text"), key="key")
+    key = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.xxhash64("text").alias("mark")).alias("key")
+    group = simhash.groups(docs.select(key, "text"), key="key")
     group = cut_lineage(group.select("key", "component"))
-    first = group.where(F.col("key").eqNullSafe(F.col("component"))).select("key").distinct() \
-        .select(F.col("key.doc_id").alias("k_id"), F.col("key.mark").alias("k_mark"))
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("mark"))
-    kept = rows.join(first, F.col("id").eqNullSafe(F.col("k_id")) & F.col("mark").eqNullSafe(F.col("k_mark")), "left_semi")
-    # Whole texts are shuffled once more only if there are repeated rows, which the narrow table tells.
+    others = group.where(~F.col("key").eqNullSafe(F.col("component"))).select("key").distinct()
+    kept = _without(docs, others.select(F.col("key.doc_id").alias("k_id"), F.col("key.mark").alias("k_mark")))
+    # Whole texts are shuffled for repeated rows only if there are any, which the narrow table tells.
     if not group.groupBy("key").count().where("count > 1").isEmpty():
         kept = kept.dropDuplicates(["id", "mark"])
     return kept.select("row.*")
 
 
+def _without(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """Rows (as ``row``, with ``id`` and ``mark``) whose id and content are not among ``keys`` (k_id, k_mark).
+
+    The keys are narrow and mostly few, so Spark can keep the texts where they are.
+    """
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("mark"))
+    return rows.join(keys, F.col("id").eqNullSafe(F.col("k_id")) & F.col("mark").eqNullSafe(F.col("k_mark")), "left_anti")
+
+
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the contamination rule does not mark."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
-    renamed = docs.select(*[F.col(c).alias(f"__{i}") for i, c in enumerate(docs.columns)])
-    at = {c: f"__{i}" for i, c in enumerate(docs.columns)}
-    marked = decontam.contamination(renamed, items, key=at["doc_id"], text=at["text"], keep=list(at.values()))
-    return marked.where(~F.col("contaminated")).select(*[F.col(a).alias(c) for c, a in at.items()])
+    keys = decontam.contaminated_keys(docs.select("doc_id", "text"), items)
+    return _without(docs, keys.withColumnsRenamed({"h_key": "k_id", "h_mark": "k_mark"})).select("row.*")
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
