@@ -47,7 +47,7 @@ def item_windows(items: DataFrame, size: int = SIZE, key: str = "item_id", text:
 
 def document_hits(docs: DataFrame, windows: DataFrame, key: str = "doc_id", text: str = "text",
                   max_broadcast: int = MAX_BROADCAST_WINDOWS) -> DataFrame:
-    """Verified hits: d_key, d_mark (hash of the text), pos (from 1), len, w_items."""
+    """Verified hits: d_key, d_mark (hash of the text), d_words (its words), pos (from 1), len, w_items."""
     passes = max(1, math.ceil(windows.count() / max_broadcast))
     found = docs.select(F.col(key).alias("d_key"), F.xxhash64(text).alias("d_mark"), words(F.col(text)).alias("words")) \
         .select("d_key", "d_mark", "words", F.posexplode("words").alias("p", "word"))
@@ -58,35 +58,49 @@ def document_hits(docs: DataFrame, windows: DataFrame, key: str = "doc_id", text
     hits = None
     for i in range(passes):
         part = windows if passes == 1 else windows.where(F.pmod(F.xxhash64("w_words"), F.lit(passes)) == i)
-        hit = found.join(F.broadcast(part), same).select("d_key", "d_mark", pos.alias("pos"), size.alias("len"), "w_items")
+        hit = found.join(F.broadcast(part), same).select(
+            "d_key", "d_mark", F.size("words").cast("long").alias("d_words"), pos.alias("pos"), size.alias("len"), "w_items")
         hits = hit if hits is None else hits.union(hit)
     return hits
 
 
-def contamination(docs: DataFrame, items: DataFrame, size: int = SIZE, key: str = "doc_id", text: str = "text",
-                  item_key: str = "item_id", item_text: str = "text", keep: list[str] | None = None,
+def hit_documents(docs: DataFrame, items: DataFrame, size: int = SIZE, key: str = "doc_id", text: str = "text",
+                  item_key: str = "item_id", item_text: str = "text",
                   max_broadcast: int = MAX_BROADCAST_WINDOWS) -> DataFrame:
-    """One row per document row: the ``keep`` columns (default: the key), n_words, n_hit, n_items, items_sha256, contaminated.
-
-    A word inside several hits counts once. ``keep`` columns named like a result column are not allowed.
-    """
-    windows = item_windows(items, size, item_key, item_text)
-    hits = document_hits(docs, windows, key, text, max_broadcast)
-    ids = ["d_key", "d_mark"]
+    """Documents with a hit: h_key, h_mark (hash of the text), d_words, h_words (words hit, each once), h_items."""
+    hits = document_hits(docs, item_windows(items, size, item_key, item_text), key, text, max_broadcast).distinct()
+    ids = ["d_key", "d_mark", "d_words"]
     before = F.max(F.col("pos") + F.col("len")).over(
         Window.partitionBy(*ids).orderBy("pos", "len").rowsBetween(Window.unboundedPreceding, -1))
     end = F.col("pos") + F.col("len")
-    per_doc = hits.distinct().withColumn("new", F.greatest(F.lit(0), end - F.greatest(F.col("pos"), F.coalesce(before, F.col("pos"))))) \
-        .groupBy(*ids).agg(F.sum("new").alias("h_words"),
+    return hits.withColumn("new", F.greatest(F.lit(0), end - F.greatest(F.col("pos"), F.coalesce(before, F.col("pos"))))) \
+        .groupBy(*ids).agg(F.sum("new").cast("long").alias("h_words"),
                            F.array_sort(F.array_distinct(F.flatten(F.collect_set("w_items")))).alias("h_items")) \
         .withColumnsRenamed({"d_key": "h_key", "d_mark": "h_mark"})
-    left = docs.select(*[F.col(c) for c in keep or [key]], F.col(key).alias("d_key"), F.xxhash64(text).alias("d_mark"),
-                       F.size(words(F.col(text))).cast("long").alias("n_words"))
-    joined = left.join(per_doc, F.col("d_key").eqNullSafe(F.col("h_key")) & F.col("d_mark").eqNullSafe(F.col("h_mark")), "left")
+
+
+def is_contaminated(n_hit: Column, n_words: Column) -> Column:
+    return (n_hit > 0) & (n_hit * 20 >= n_words)
+
+
+def contaminated_keys(docs: DataFrame, items: DataFrame, size: int = SIZE, key: str = "doc_id", text: str = "text",
+                      item_key: str = "item_id", item_text: str = "text") -> DataFrame:
+    """h_key, h_mark of the contaminated documents; few, so a filter by them need not shuffle the texts."""
+    marked = hit_documents(docs, items, size, key, text, item_key, item_text)
+    return marked.where(is_contaminated(F.col("h_words"), F.col("d_words"))).select("h_key", "h_mark")
+
+
+def contamination(docs: DataFrame, items: DataFrame, size: int = SIZE, key: str = "doc_id", text: str = "text",
+                  item_key: str = "item_id", item_text: str = "text",
+                  max_broadcast: int = MAX_BROADCAST_WINDOWS) -> DataFrame:
+    """key, n_words, n_hit, n_items, items_sha256, contaminated of every document row; a word inside several hits counts once."""
+    per_doc = hit_documents(docs, items, size, key, text, item_key, item_text, max_broadcast).drop("d_words")
+    left = docs.select(key, F.xxhash64(text).alias("d_mark"), F.size(words(F.col(text))).cast("long").alias("n_words"))
+    joined = left.join(per_doc, F.col(key).eqNullSafe(F.col("h_key")) & F.col("d_mark").eqNullSafe(F.col("h_mark")), "left")
     n_hit, held = F.coalesce("h_words", F.lit(0)).cast("long"), F.coalesce("h_items", F.array().cast("array<string>"))
-    return joined.select(*[F.col(c) for c in keep or [key]], "n_words", n_hit.alias("n_hit"),
-                         F.size(held).cast("long").alias("n_items"), F.sha2(F.array_join(held, ","), 256).alias("items_sha256"),
-                         ((n_hit > 0) & (n_hit * 20 >= F.col("n_words"))).alias("contaminated"))
+    return joined.select(key, "n_words", n_hit.alias("n_hit"), F.size(held).cast("long").alias("n_items"),
+                         F.sha2(F.array_join(held, ","), 256).alias("items_sha256"),
+                         is_contaminated(n_hit, F.col("n_words")).alias("contaminated"))
 
 
 ORACLE = r"""

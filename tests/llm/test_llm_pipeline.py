@@ -69,6 +69,14 @@ def test_stages_on_awkward_rows(spark, awkward):
         assert stage(spark, awkward.limit(0), folder).count() == 0, name
 
 
+def test_near_duplicates_keep_the_smallest_id(spark):
+    text = "some words of a text that goes on for a while and has an end"
+    rows = [(None, text), (7, text), (5, text + "  "), (5, text + "  "), (None, "quite another one"), (None, "quite another one")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = dict(corpus_pipeline.STAGES)["near_duplicates"](spark, docs, FOLDER)
+    assert sorted((str(r["doc_id"]), r["text"]) for r in kept.collect()) == [("5", text + "  "), ("None", "quite another one")]
+
+
 def test_registered():
     import __spark_entry__ as entry
     names = set(entry.queries())
