@@ -36,9 +36,9 @@ def quarantine(spark, d):
 
 
 @query("html_title_unescape", r"""
-WITH t AS (SELECT page_id, replace(replace(replace(replace(replace(replace(
-    regexp_extract(html, '<title>([^<]*)</title>', 1), '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&lt;', '<'),
-    '&gt;', '>'), '&amp;', '&') AS title FROM pages)
+WITH t AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
+    regexp_extract(html, '<title>([^<]*)</title>', 1), '&copy;?', '©', 'g'), '&middot;?', '·', 'g'), '&quot;?', '"', 'g'),
+    '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&amp;?', '&', 'g') AS title FROM pages)
 SELECT page_id, title, split_part(title, ' ', 1) AS first_word,
   CASE WHEN strpos(title, ' ') > 0 THEN substr(title, strpos(title, ' ') + 1) END AS remainder FROM t""")
 def html_title_unescape(spark, d):
