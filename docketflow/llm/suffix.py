@@ -41,6 +41,8 @@ GRAM = 32
 #: Bytes sorted at once; below 2^21 a rank pair and a place fit one 64-bit number.
 CHUNK_BYTES = 1_900_000
 SHARD_BYTES = 300_000
+#: Ranges that the digests of a split minimum are dealt to, for each of its parts.
+PIECES = 8
 #: Suffixes of a segment that are compared one after the other.
 STRETCH = 64
 
@@ -327,7 +329,7 @@ def merged(shards: DataFrame, length: int, chunk: int) -> DataFrame:
                 sizes = [len(v) for v, _ in made]
                 at = np.concatenate([np.arange(n, dtype=np.int32) for n in sizes])
                 owner = np.repeat(np.arange(len(members), dtype=np.int32), sizes)
-                piece = (value % np.uint64(members[0][5])).astype(np.int64)
+                piece = (value % np.uint64(members[0][5] * PIECES)).astype(np.int64)
                 for p in np.unique(piece):
                     one = np.flatnonzero(piece == p)
                     rows.append((low, int(p), part, [row[2] for row in members], owner[one].astype("<i4").tobytes(),
