@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from docketflow.fixed_values import CLS_ID, MAX_TOKENS, PAD_ID, SEP_ID
 from docketflow.functions.text import let, match_form, words
+from docketflow.session import cut_lineage
 
 FIRST_WORD_ID = 1000
 VOCABULARY = 29000
@@ -135,7 +136,11 @@ def class_counts(counts: DataFrame, labels: DataFrame, key: str) -> DataFrame:
 
 
 def bayes_weights(by_class: DataFrame) -> DataFrame:
-    """(word, weight): log odds of class 1, counts raised by one; the totals are one row."""
+    """(word, weight): log odds of class 1, counts raised by one; the totals are one row.
+
+    The counts are kept in the shared folder, since both the totals and the weights read them.
+    """
+    by_class = cut_lineage(by_class)
     totals = by_class.agg(F.sum("n0").alias("t0"), F.sum("n1").alias("t1"), F.count(F.lit(1)).alias("v")).first()
     t0, t1, v = (float(x or 0) for x in totals)
     weight = F.log((F.col("n1") + 1) / F.lit(t1 + v)) - F.log((F.col("n0") + 1) / F.lit(t0 + v))

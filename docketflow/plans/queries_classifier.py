@@ -28,35 +28,42 @@ scored AS (SELECT doc_id, (sum(n * weight) + any_value(p) > 0)::int AS predicted
   FROM counts JOIN weights USING (word), prior GROUP BY 1)"""
 
 
-def _parts(spark, d):
-    """Word counts of all documents, and labels with their split."""
-    counts = scoring.word_counts(table(spark, d, "documents"), "doc_id", "text")
-    labels = table(spark, d, "labels").select("doc_id", F.col("quality").alias("label"),
-                                              corpus.split_name(F.col("doc_id").cast("string")).alias("split"))
-    return counts, labels
+def _labels(spark, d):
+    """Labels with the split of their document."""
+    return table(spark, d, "labels").select("doc_id", F.col("quality").alias("label"),
+                                            corpus.split_name(F.col("doc_id").cast("string")).alias("split"))
 
 
-def _by_class(counts, labels):
-    return scoring.class_counts(counts, labels.where(F.col("split") == "train"), "doc_id")
+def _counts(spark, d, only=None):
+    """Word counts of all documents, or of those in ``only``, which are picked before their words are cut."""
+    documents = table(spark, d, "documents").select("doc_id", "text")
+    if only is not None:
+        documents = documents.join(only.select("doc_id").distinct(), "doc_id", "left_semi")
+    return scoring.word_counts(documents, "doc_id", "text")
 
 
-def _scored(spark, d):
-    counts, labels = _parts(spark, d)
-    seen = labels.where(F.col("split") == "train").agg(F.count_if(F.col("label") == 1), F.count_if(F.col("label") == 0)).first()
+def _by_class(spark, d):
+    train = _labels(spark, d).where(F.col("split") == "train")
+    return scoring.class_counts(_counts(spark, d, train), train, "doc_id")
+
+
+def _scored(spark, d, only=None):
+    train = _labels(spark, d).where(F.col("split") == "train")
+    seen = train.agg(F.count_if(F.col("label") == 1), F.count_if(F.col("label") == 0)).first()
     prior = math.log((seen[0] + 1.0) / (seen[1] + 1.0))
-    return scoring.bayes_score(counts, scoring.bayes_weights(_by_class(counts, labels)), "doc_id", prior), labels
+    return scoring.bayes_score(_counts(spark, d, only), scoring.bayes_weights(_by_class(spark, d)), "doc_id", prior)
 
 
 @query("text_classifier_counts", f"WITH {_COUNTS} SELECT word, n0, n1 FROM by_class")
 def text_classifier_counts(spark, d):
     """What the classifier is trained on: occurrences of words in the texts of either class."""
-    return _by_class(*_parts(spark, d))
+    return _by_class(spark, d)
 
 
 @query("ml_text_classifier", f"WITH {_SCORED} SELECT doc_id, predicted_class FROM scored")
 def ml_text_classifier(spark, d):
     """Trained on the labelled training split, applied to all documents."""
-    return _scored(spark, d)[0].select("doc_id", "predicted_class")
+    return _scored(spark, d).select("doc_id", "predicted_class")
 
 
 _METRICS = ", ".join(f"{expr} AS {name}" for name, expr in {
@@ -75,7 +82,8 @@ c AS (SELECT scorer, CASE WHEN split = 'train' THEN 'train' ELSE 'held out' END
 SELECT scorer, part, n, tp, fp, fn, tn, {_METRICS} FROM c""")
 def classifier_comparison(spark, d):
     """The model beside a keyword rule, on the texts it was trained on and on the others."""
-    scored, labels = _scored(spark, d)
+    labels = _labels(spark, d)
+    scored = _scored(spark, d, labels)
     rule = scoring.keyword_score(table(spark, d, "documents"), "text", ["|"]) \
         .select("doc_id", (1 - F.col("predicted_class")).alias("predicted_class"))
     both = scored.select(F.lit("model").alias("scorer"), "doc_id", "predicted_class") \
