@@ -15,6 +15,7 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",   # whole texts travel in these batches
     "spark.ui.enabled": "false",
 }
 
