@@ -140,15 +140,8 @@ def log_after_restart(spark, d):
     return warehouse.table("predictions").read().select("log_key", *schemas.DOCKET_KEY, "prediction_value")
 
 
-@query("feed_file_ingest", with_views("docket", f"""
-SELECT {DOCKET_COLUMNS.replace(', scrape_date', '').replace('description', 'trim(description) AS description')} FROM docket
-QUALIFY row_number() OVER (PARTITION BY case_number, pub_date ORDER BY entry_id DESC) = 1"""))
-def feed_file_ingest(spark, d):
-    """Entries written as feed XML per court, streamed into the docket table.
-
-    Snapshots hold one entry of a key, as feeds do; a court's entries may lie in several files.
-    Reading a feed drops the blanks around an element's text.
-    """
+def _landed_feeds(spark, d) -> str:
+    """Entries as feed XML per court; snapshots hold one entry of a key, and a court's entries may lie in several files."""
     newest = state.latest_per_key(docket_raw(spark, d).withColumn("case_number", parse.case_number(F.col("title"))),
                                   schemas.DOCKET_KEY, "entry_id")
     raw = newest.select(
@@ -157,8 +150,24 @@ def feed_file_ingest(spark, d):
     path = scratch_path(spark, "feeds")
     raw.hint("rebalance", F.col("court")).write.format("xml") \
         .option("rootTag", "channel").option("rowTag", "item").partitionBy("court").save(path)
+    return path
+
+
+@query("feed_snapshots_read", with_views("docket_raw", """
+SELECT title, link, trim(description) AS description, guid, court FROM docket_raw
+QUALIFY row_number() OVER (PARTITION BY split_part(title, ' ', 1), pub_date ORDER BY entry_id DESC) = 1"""))
+def feed_snapshots_read(spark, d):
+    """Landed snapshots as they are; reading a feed drops the blanks around an element's text."""
+    return feeds.read_feed_snapshots(spark, _landed_feeds(spark, d)).select("title", "link", "description", "guid", "court")
+
+
+@query("feed_file_ingest", with_views("docket", f"""
+SELECT {DOCKET_COLUMNS.replace(', scrape_date', '').replace('description', 'trim(description) AS description')} FROM docket
+QUALIFY row_number() OVER (PARTITION BY case_number, pub_date ORDER BY entry_id DESC) = 1"""))
+def feed_file_ingest(spark, d):
+    """Landed snapshots streamed into the docket table."""
     target = _warehouse(spark).table("rss_docket_entries")
-    ingest.start_ingest(feeds.stream_feed_snapshots(spark, path), target, scratch_path(spark, "quarantine"),
+    ingest.start_ingest(feeds.stream_feed_snapshots(spark, _landed_feeds(spark, d)), target, scratch_path(spark, "quarantine"),
                         scratch_path(spark, "offsets")).awaitTermination()
     return target.read().select(*[c for c in schemas.DOCKET.names if c != "scrape_date"])
 
