@@ -168,6 +168,19 @@ def test_recall(spark):
     assert recall >= 0.9 and np.mean(hits) >= 0.7
 
 
+def test_reach_grows_with_the_table(spark):
+    """A table that is large beside its windows: with a fixed number of orderings most neighbours were lost."""
+    assert ann.orderings_for(50_000) == ann.ORDERINGS and ann.orderings_for(4_000_000) >= 1.9 * ann.orderings_for(1_000_000)
+    vectors = np.random.default_rng(7).normal(size=(6_000, 64))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    got = ann.search(df, F.col("id") % 200 == 0, window=24).collect()
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    scores = unit[::200] @ unit.T
+    scores[np.arange(30), np.arange(0, 6_000, 200)] = -1
+    want = {(200 * q, v) for q, row in enumerate(np.argsort(-scores, axis=1)[:, :5]) for v in row}
+    assert len(want & {(r["query_id"], r["vec_id"]) for r in got}) >= 0.9 * len(want)
+
+
 def test_folds_agree(spark):
     rows = spark.range(200).select(F.crc32(F.col("id").cast("string")).alias("c"), "id").collect()
     assert all(r["c"] == zlib.crc32(str(r["id"]).encode()) for r in rows)
