@@ -7,8 +7,8 @@ decoded in turn until no new layer appears; layers seen before (same content fro
 so data that decode to themselves end. Each character of a layer carries the range of the original text it comes from, so
 findings map back.
 
-Unpacking stops at MAX_UNPACKED bytes a layer and MAX_LAYERS layers a text, against data made to explode; neither bound
-touches the text itself. A null text is treated as empty. Rows are independent; repeated rows give equal results.
+Unpacking stops at MAX_UNPACKED bytes a layer, against data made to explode; the other decodings only shrink their text,
+so their layers end by themselves and are not counted. A null text is treated as empty. Rows are independent; repeated rows give equal results.
 """
 
 from __future__ import annotations
@@ -29,7 +29,6 @@ from docketflow.llm.rows import map_rows
 
 KINDS = ("assign", "access", "hex")
 MAX_UNPACKED = 32_000_000
-MAX_LAYERS = 10_000
 MIN_BASE64 = 18
 
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -162,7 +161,7 @@ def layers(text: str):
                 if not made[0]:
                     continue
                 mark = (hashlib.sha256(made[0].encode("utf-8", "replace")).digest(), int(made[1][0]), int(made[2][-1]))
-                if mark in seen or len(seen) > MAX_LAYERS:
+                if mark in seen:
                     continue
                 seen.add(mark)
                 yield made

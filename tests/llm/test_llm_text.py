@@ -75,6 +75,13 @@ def test_cycles_and_bombs_end():
     assert [x[0] for x in secrets.scan(deep)[1]] == ["assign"]
 
 
+def test_layers_are_not_counted():
+    """More than 10,000 layers, the secret in the one that was taken up last."""
+    many = " ".join(base64.b64encode(f"entry number {i:08d}".encode()).decode() for i in range(11_000))
+    text = f"{many} {base64.b64encode(b'password=hunter2hunter2').decode()}"
+    assert [x[0] for x in secrets.scan(text)[1]] == ["assign"] and secrets.mask(text).endswith("<assign>")
+
+
 def test_secret_rows(spark):
     rows = [(1, None, "s"), (2, "", "s"), (2, "token=abcdefgh1", "s"), (None, "x " * 50_000 + "secret: abcdefgh", "s")]
     got = secrets.digests(spark.createDataFrame(rows, "doc_id long, text string, spans string")).collect()
