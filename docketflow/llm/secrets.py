@@ -2,7 +2,8 @@ r"""Secret scan that looks below nested encodings.
 
 Base findings are those of the text itself. Beyond them a worklist decodes layers: the text with its percent escapes
 resolved, with its ``\uXXXX``, ``\u{X}``, ``\UXXXXXXXX`` and ``\xXX`` escapes resolved, and the content of every base64
-run, also of one wrapped over lines, unpacked when it is zlib, gzip, bz2 or xz data. Every new layer is scanned and
+run, also of one wrapped over lines, unpacked when it is zlib, gzip, bz2 or xz data. Such content is read as Latin-1, a
+character a byte, whatever it holds: all patterns are ASCII, so text in UTF-8 or beside binary data gives the same findings. Every new layer is scanned and
 decoded in turn until no new layer appears; layers seen before (same content from the same place) are not taken up again,
 so data that decode to themselves end. Each character of a layer carries the range of the original text it comes from, so
 findings map back.
@@ -118,10 +119,6 @@ def _unpack(data: bytes) -> bytes | None:
         return None
 
 
-def _readable(text: str) -> bool:
-    return not re.search(r"[\x00-\x08\x0e-\x1f\x7f]", text)
-
-
 def _base64(text, begin, end):
     for m in [*_WRAPPED.finditer(text), *_BASE64.finditer(text)]:
         body = "".join(m[0].split()).rstrip("=").encode().translate(_URLSAFE)
@@ -134,18 +131,16 @@ def _base64(text, begin, end):
         packed, unpacked = data, False
         while (inner := _unpack(packed)) is not None and inner != packed:
             packed, unpacked = inner, True
-        made = _from_utf8(packed)
-        if not made or not made[0] or not _readable(made[0]):
-            continue
+        made, n = packed.decode("latin-1"), len(packed)
         if unpacked:
-            n = len(made[0])
-            yield made[0], np.full(n, begin[m.start()]), np.full(n, end[m.end() - 1])
+            yield made, np.full(n, begin[m.start()]), np.full(n, end[m.end() - 1])
         else:
-            at = m.start() + np.flatnonzero(np.array([c not in "\r\n=" for c in m[0]]))
-            first, last = np.asarray(made[1]) * 8 // 6, -(-np.asarray(made[2]) * 8 // 6)
+            signs = np.frombuffer(m[0].encode(), np.uint8)
+            at = m.start() + np.flatnonzero((signs != 10) & (signs != 13) & (signs != 61))
+            first, last = np.arange(n) * 8 // 6, -(-np.arange(1, n + 1) * 8 // 6)
             ends = end[at[np.minimum(last, len(body)) - 1]].copy()
             ends[-1] = end[m.end() - 1]   # padding belongs to the last character
-            yield made[0], begin[at[first]], ends
+            yield made, begin[at[first]], ends
 
 
 def layers(text: str):

@@ -75,6 +75,16 @@ def test_cycles_and_bombs_end():
     assert [x[0] for x in secrets.scan(deep)[1]] == ["assign"]
 
 
+@pytest.mark.parametrize("noise", [b"\0", b"\x1b[31m", b"\xe9", "é".encode() + b"\xff"])
+@pytest.mark.parametrize("pack", [bytes, zlib.compress])
+def test_layers_that_are_not_plain_text(noise, pack):
+    made = base64.b64encode(pack(b"some = thing" + noise + b"password=hunter2hunter2" + noise + b"end")).decode()
+    text = f"before {made} after"
+    (kind, start, end), = secrets.scan(text)[1]
+    assert kind == "assign" and 7 <= start < end <= 7 + len(made) and secrets.mask(text) != text
+    assert pack is zlib.compress or b"password=hunter2hunter2" in base64.b64decode(made[(start - 7) // 4 * 4:-(-(end - 7) // 4) * 4])
+
+
 def test_layers_are_not_counted():
     """More than 10,000 layers, the secret in the one that was taken up last."""
     many = " ".join(base64.b64encode(f"entry number {i:08d}".encode()).decode() for i in range(11_000))
