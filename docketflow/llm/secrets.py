@@ -8,8 +8,10 @@ decoded in turn until no new layer appears; layers seen before (same content fro
 so data that decode to themselves end. Each character of a layer carries the range of the original text it comes from, so
 findings map back.
 
-Unpacking stops at MAX_UNPACKED bytes a layer, against data made to explode; the other decodings only shrink their text,
-so their layers end by themselves and are not counted. A null text is treated as empty. Rows are independent; repeated rows give equal results.
+Compressed data are unpacked to the end of their last member and read in windows of some WINDOW characters. A window ends
+behind a character that no finding and no encoded run can hold, so nothing is cut; only an unbroken run longer than a
+window makes it grow. Data made to explode end where a run has given MAX_GROWTH bytes for each character of the text, more
+than deflate can give in one go; the other decodings only shrink their text, so their layers are not counted. A null text is treated as empty. Rows are independent; repeated rows give equal results.
 """
 
 from __future__ import annotations
@@ -17,9 +19,11 @@ from __future__ import annotations
 import binascii
 import bz2
 import hashlib
+import itertools
 import lzma
 import re
 import zlib
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -29,7 +33,9 @@ from pyspark.sql.types import StringType
 from docketflow.llm.rows import map_rows
 
 KINDS = ("assign", "access", "hex")
-MAX_UNPACKED = 32_000_000
+MAX_GROWTH = 2_000
+CHUNK = 1_000_000
+WINDOW = 8_000_000
 MIN_BASE64 = 18
 
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -41,6 +47,8 @@ _ONE = re.compile(r"\\u\{([0-9A-Fa-f]+)\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8}
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{%d,}={0,2}" % MIN_BASE64)
 _WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{40,}\r?\n)+[A-Za-z0-9+/_-]+={0,2}")
 _URLSAFE = bytes.maketrans(b"-_", b"+/")
+#: By byte: whether no finding and no encoded run can hold it.
+_BREAKS = np.array([not re.match(rb"""[A-Za-z0-9+/_.=%\\{}:"'\x20\r\n-]""", bytes([i])) for i in range(256)])
 
 Span = tuple[int, str, int]
 
@@ -105,21 +113,86 @@ def _escapes(text, begin, end):
         yield _replaced(text, begin, end, runs)
 
 
-def _unpack(data: bytes) -> bytes | None:
-    """The content of compressed data, cut at MAX_UNPACKED bytes; None if it isn't compressed."""
+def _packer(data: bytes):
+    """What unpacks data that begin like this; None if nothing does."""
     makers = {b"\x1f\x8b": lambda: zlib.decompressobj(31), b"BZh": bz2.BZ2Decompressor, b"\xfd7zXZ": lzma.LZMADecompressor}
     make = next((f for magic, f in makers.items() if data.startswith(magic)), None)
     if make is None and len(data) > 2 and data[0] == 0x78 and (data[0] * 256 + data[1]) % 31 == 0:
         make = zlib.decompressobj
-    if make is None:
-        return None
-    try:
-        return make().decompress(data, MAX_UNPACKED)
-    except (zlib.error, OSError, EOFError, ValueError, lzma.LZMAError):
-        return None
-
-
-def _base64(text, begin, end):
+    return make() if make else None
+
+
+def _unpack(chunks: Iterable[bytes]) -> Iterator[bytes]:
+    """The content of compressed data, member after member, as far as it can be read; nothing if it isn't compressed."""
+    packer, rest = None, b""
+    for chunk in chunks:
+        rest += chunk
+        while rest:
+            if packer is None:
+                rest = rest.lstrip(b"\0")   # padding between members
+                if len(rest) < 6:
+                    break
+                packer = _packer(rest)
+                if packer is None:
+                    return
+            try:
+                made = packer.decompress(rest, CHUNK)
+                while made:
+                    yield made
+                    rest, full = getattr(packer, "unconsumed_tail", b""), len(made) == CHUNK
+                    made = packer.decompress(rest, CHUNK) if not packer.eof and (rest or full) else b""
+            except (zlib.error, OSError, EOFError, ValueError, lzma.LZMAError):
+                return
+            rest = packer.unused_data if packer.eof else getattr(packer, "unconsumed_tail", b"")
+            if not packer.eof:
+                break
+            packer = None
+
+
+def _windows(chunks: Iterable[bytes]) -> Iterator[str]:
+    """The bytes as Latin-1 text, cut only behind characters that no finding and no encoded run can hold."""
+    held, size, wanted = [], 0, WINDOW
+    for chunk in chunks:
+        held.append(chunk)
+        size += len(chunk)
+        if size >= wanted:
+            data = b"".join(held)
+            breaks = np.flatnonzero(_BREAKS[np.frombuffer(data, np.uint8)])
+            at = int(breaks[-1]) + 1 if len(breaks) else 0
+            if at:
+                yield data[:at].decode("latin-1")
+            held, size = [data[at:]], len(data) - at
+            wanted = max(WINDOW, 2 * size)
+    if size:
+        yield b"".join(held).decode("latin-1")
+
+
+def _contents(data: bytes, begin: int, end: int, room: int) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+    """Layers of compressed data, of what is compressed inside them, and so on; ``room`` bytes at most."""
+    known = {hashlib.sha256(data).digest()}
+    for depth in itertools.count(1):
+        chunks, whole, empty = iter([data]), hashlib.sha256(), True
+        for _ in range(depth):
+            chunks = _unpack(chunks)
+
+        def counted(chunks=chunks, whole=whole):
+            nonlocal room, empty
+            for chunk in chunks:
+                empty, room = False, room - len(chunk)
+                whole.update(chunk)
+                yield chunk
+                if room <= 0:
+                    return
+
+        for text in _windows(counted()):
+            yield text, np.broadcast_to(begin, len(text)), np.broadcast_to(end, len(text))
+        if empty or room <= 0 or whole.digest() in known:   # some data unpack to themselves
+            return
+        known.add(whole.digest())
+
+
+def _base64(text, begin, end, room):
+    """The bytes of each base64 run; and, if they are compressed, an iterator over the layers inside."""
     for m in [*_WRAPPED.finditer(text), *_BASE64.finditer(text)]:
         body = "".join(m[0].split()).rstrip("=").encode().translate(_URLSAFE)
         if len(body) % 4 == 1:
@@ -128,19 +201,14 @@ def _base64(text, begin, end):
             data = binascii.a2b_base64(body + b"=" * (-len(body) % 4))
         except binascii.Error:
             continue
-        packed, unpacked = data, False
-        while (inner := _unpack(packed)) is not None and inner != packed:
-            packed, unpacked = inner, True
-        made, n = packed.decode("latin-1"), len(packed)
-        if unpacked:
-            yield made, np.full(n, begin[m.start()]), np.full(n, end[m.end() - 1])
-        else:
-            signs = np.frombuffer(m[0].encode(), np.uint8)
-            at = m.start() + np.flatnonzero((signs != 10) & (signs != 13) & (signs != 61))
-            first, last = np.arange(n) * 8 // 6, -(-np.arange(1, n + 1) * 8 // 6)
-            ends = end[at[np.minimum(last, len(body)) - 1]].copy()
-            ends[-1] = end[m.end() - 1]   # padding belongs to the last character
-            yield made, begin[at[first]], ends
+        signs = np.frombuffer(m[0].encode(), np.uint8)
+        at = m.start() + np.flatnonzero((signs != 10) & (signs != 13) & (signs != 61))
+        first, last = np.arange(len(data)) * 8 // 6, -(-np.arange(1, len(data) + 1) * 8 // 6)
+        ends = end[at[np.minimum(last, len(body)) - 1]].copy()
+        ends[-1] = end[m.end() - 1]   # padding belongs to the last character
+        yield data.decode("latin-1"), begin[at[first]], ends
+        if _packer(data):
+            yield _contents(data, begin[m.start()], end[m.end() - 1], room)
 
 
 def layers(text: str):
@@ -149,18 +217,27 @@ def layers(text: str):
         return
     whole = np.arange(len(text))
     waiting, seen = [(text, whole, whole + 1)], {(text, 0, len(text))}
+    room = MAX_GROWTH * len(text)
     while waiting:
         layer = waiting.pop()
-        for decode in (_percent, _escapes, _base64):
-            for made in decode(*layer):
-                if not made[0]:
-                    continue
-                mark = (hashlib.sha256(made[0].encode("utf-8", "replace")).digest(), int(made[1][0]), int(made[2][-1]))
-                if mark in seen:
-                    continue
-                seen.add(mark)
-                yield made
-                waiting.append(made)
+        if isinstance(layer, Iterator):   # compressed data: one window at a time
+            made = [m] if (m := next(layer, None)) else []
+            if made:
+                waiting.append(layer)
+        else:
+            made = itertools.chain(_percent(*layer), _escapes(*layer), _base64(*layer, room))
+        for one in made:
+            if isinstance(one, Iterator):
+                waiting.append(one)
+                continue
+            if not one[0]:
+                continue
+            mark = (hashlib.sha256(one[0].encode("utf-8", "replace")).digest(), int(one[1][0]), int(one[2][-1]))
+            if mark in seen:
+                continue
+            seen.add(mark)
+            yield one
+            waiting.append(one)
 
 
 def scan(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:

@@ -85,6 +85,26 @@ def test_layers_that_are_not_plain_text(noise, pack):
     assert pack is zlib.compress or b"password=hunter2hunter2" in base64.b64decode(made[(start - 7) // 4 * 4:-(-(end - 7) // 4) * 4])
 
 
+@pytest.mark.parametrize("module", ["gzip", "bz2", "lzma"])
+def test_layers_of_several_members(module):
+    pack = __import__(module).compress
+    text = base64.b64encode(pack(b"nothing, ") + pack(b"password=hunter2hunter2")).decode()
+    assert ("assign", 0, len(text)) in secrets.scan(text)[1]
+    text = base64.b64encode(pack(pack(b"nothing, ") + pack(b"password=hunter2hunter2"))).decode()
+    assert ("assign", 0, len(text)) in secrets.scan(text)[1]
+
+
+def test_layers_beyond_32_mb(monkeypatch):
+    data = "é, some line of a log\n".encode() * 1_500_000 + b"password=hunter2hunter2"
+    text = base64.b64encode(zlib.compress(data)).decode()
+    assert secrets.scan(text)[1] == [("assign", 0, len(text))]
+    monkeypatch.setattr(secrets, "CHUNK", 7)
+    monkeypatch.setattr(secrets, "WINDOW", 10)
+    inner = base64.b64encode(b"secret=abcdefghi, " * 9)
+    text = base64.b64encode(zlib.compress(b"x, " * 99 + inner)).decode()
+    assert secrets.scan(text)[1] == [("assign", 0, len(text))]
+
+
 def test_layers_are_not_counted():
     """More than 10,000 layers, the secret in the one that was taken up last."""
     many = " ".join(base64.b64encode(f"entry number {i:08d}".encode()).decode() for i in range(11_000))
