@@ -42,7 +42,7 @@ from docketflow.session import scratch_path
 
 CLASSES = 1 << 16
 STATES = 8
-ROUNDS = 3
+ROUNDS = 4
 BLOCK_CHARS = 12_000_000
 #: Pseudo-tokens that pull the states' shares of a class to their overall shares, and pseudo-counts of every transition.
 CLASS_PRIOR, MOVE_PRIOR = 8.0, 1.0

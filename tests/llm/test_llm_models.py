@@ -80,6 +80,14 @@ def test_model_beats_its_base(spark):
     assert sum(r["score"] for r in got) > sum(r["base_score"] for r in got)
 
 
+def test_model_is_trained_in_four_rounds(spark):
+    df = spark.createDataFrame([(i, f"a b {'c d' if i % 3 else 'e f g'} {i % 7}", i % 5 == 0) for i in range(60)],
+                               "doc_id long, text string, held boolean")
+    default, three, four = ({r["doc_id"]: r["score"] for r in hmm.model_scores(df, "held", **given).collect()}
+                            for given in ({}, {"rounds": 3}, {"rounds": 4}))
+    assert default == pytest.approx(four, rel=1e-9) and default != pytest.approx(three, rel=1e-9)
+
+
 def test_machine_uses_the_sum_of_squares():
     rng = np.random.default_rng(1)
     size = quality.WORD_BUCKETS + quality.N_STATS * quality.BINS
