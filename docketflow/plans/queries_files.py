@@ -10,6 +10,7 @@ from docketflow import schemas
 from docketflow.fixed_values import ARCHIVE_HOST, SEARCH_ALERT_CAP, SEARCH_CLASS_TYPE, SEARCH_ENTITY_TYPE
 from docketflow.functions import spans as S
 from docketflow.operators import corpus
+from docketflow.operators.ordering import number_rows
 from docketflow.plans import corpus_build, search_alert
 from docketflow.plans.adapters import (
     MARKER_PAIR, annotations, docket, search_results, sentences, span_labels, table, with_views,
@@ -140,9 +141,9 @@ def token_labels_read(spark, d):
     """Span texts and their classes as CSV; of repeated tokens the last row, here the greatest class, counts."""
     found = sentences(spark, d).select(F.explode(S.decode_spans(F.col("words"), F.col("tags"))).alias("s"))
     path = scratch_path(spark, "token-labels")
-    tabular.write_csv(found.select(F.col("s.text").alias("token"), F.col("s.tag").alias("label")).distinct()
-                      .orderBy("label", "token").coalesce(1), path)
-    return tabular.read_token_labels(spark, path)
+    rows = found.select(F.col("s.text").alias("token"), F.col("s.tag").alias("label")).distinct()
+    tabular.write_csv(number_rows(rows, [], ["label", "token"], "row_no"), path)
+    return tabular.read_token_labels(spark, path, numbered=True)
 
 
 # --- CSV ----------------------------------------------------------------------------------------------------------

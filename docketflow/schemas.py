@@ -62,6 +62,7 @@ ANNOTATION = T.StructType([
 
 PRESS_RELEASE = _struct(("date", _S), ("title", _S), ("doc_url", _S), ("host_url", _S))
 TOKEN_LABEL = _struct(("token", _S), ("label", _S))
+NUMBERED_TOKEN_LABEL = T.StructType([*TOKEN_LABEL.fields, T.StructField("row_no", T.LongType())])
 LABELLED_DOCKET = _struct(
     ("row_no", _I), ("case_name", _S), ("document_type", _S), ("case_number", _S), ("court", _S),
     ("is_search_warrant", _B),

@@ -25,9 +25,15 @@ def read_labelled_dockets(spark: SparkSession, path: str) -> DataFrame:
     return read_csv(spark, path, schemas.LABELLED_DOCKET)
 
 
-def read_token_labels(spark: SparkSession, path: str) -> DataFrame:
-    """Token → canonical label; of duplicate tokens the last row wins."""
-    rows = read_csv(spark, path, schemas.TOKEN_LABEL).withColumn("row_no", F.monotonically_increasing_id())
+def read_token_labels(spark: SparkSession, path: str, numbered: bool = False) -> DataFrame:
+    """Token → canonical label; of duplicate tokens the last row wins.
+
+    ``numbered`` files have a third column ``row_no`` that gives the order, so they may be many; others are read in file order.
+    """
+    if numbered:
+        rows = read_csv(spark, path, schemas.NUMBERED_TOKEN_LABEL)
+    else:
+        rows = read_csv(spark, path, schemas.TOKEN_LABEL).withColumn("row_no", F.monotonically_increasing_id())
     return rows.groupBy("token").agg(canonical_label(F.max_by("label", "row_no")).alias("label"))
 
 

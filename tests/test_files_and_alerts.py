@@ -117,3 +117,10 @@ def test_published_search_alert(spark):
     report = spark.read.json(f"{root}/report/run=a/batch_id=0")
     body = json.loads(report.where(F.col("category") == "BAG").first().body)
     assert list(body) == sorted(body)
+
+
+def test_numbered_token_labels_in_many_files(spark, tmp_path):
+    """The number counts, whatever file a row is in."""
+    for name, line in (("a", "Ann,JUDGE,2"), ("b", "Ann,COURT,1")):
+        (tmp_path / f"{name}.csv").write_text(f"token,label,row_no\n{line}\n")
+    assert [tuple(r) for r in tabular.read_token_labels(spark, str(tmp_path), numbered=True).collect()] == [("Ann", "JUDGE")]
