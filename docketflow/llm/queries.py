@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketflow.llm import ann, bpe, decontam, hmm, html_text, quality, secrets, simhash, suffix, tokenfile
+from docketflow.llm import ann, bpe, decontam, hmm, html_text, infill, quality, secrets, simhash, suffix, tokenfile
 from docketflow.llm.registry import ORACLES, QUERIES, query, table
 from docketflow.session import scratch_path
 
@@ -71,3 +71,8 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_suffix_dedup")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.removals(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@query("op11_infill", infill.ORACLE)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.digests(table(spark, sf_dir, "documents", "doc_id", "text"))
