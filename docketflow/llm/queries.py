@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketflow.llm import ann, bpe, decontam, hmm, html_text, infill, quality, secrets, simhash, suffix, tokenfile
+from docketflow.llm import (
+    ann, bpe, decontam, hmm, html_text, infill, phrases, quality, secrets, simhash, suffix, tokenfile,
+)
 from docketflow.llm.registry import ORACLES, QUERIES, query, table
 from docketflow.session import scratch_path
 
@@ -76,3 +78,11 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op11_infill", infill.ORACLE)
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return infill.digests(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@query("op13_phrases", phrases.ORACLE)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch_path(spark, "collocations")
+    with phrases.Mined(table(spark, sf_dir, "documents", "text", "lang")) as mined:
+        phrases.collocations(mined).write.parquet(folder)
+    return spark.read.parquet(folder)
