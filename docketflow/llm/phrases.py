@@ -5,7 +5,8 @@ Everything is counted per language; a null language is ``und``, a null text empt
 
 The occurrence relation of length k lists where a frequent phrase of k words starts, sorted by piece and position. It is
 persisted in runs: a row holds some RUN_WORDS words of consecutive pieces (a longer piece is not cut), so a reader may
-split the table anywhere and never parts a piece. Each length takes four steps:
+split the table anywhere and never parts a piece. Words are numbers in compressed bytes, starts are bits. A relation is
+removed when the next one is written. Each length takes four steps:
 
 1. merge-join of the relation with itself by piece and adjacent position: k words start where the (k-1)-word phrases at a
    position and at the next one are both frequent (a zero word separates pieces, so nothing joins across them);
@@ -28,6 +29,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -44,64 +46,94 @@ SCALE = 1_000
 RUN_WORDS = 1 << 18
 NO_LANGUAGE = "und"
 
-_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-_UNITS = re.compile(r"[^\x20\x09.,;:!?\x0A-\x0D]+|[.,;:!?\x0A-\x0D]+")
-_ENDS = frozenset(".,;:!?\n\v\f\r")
-
-_RUN = "run long, words array<int>, names array<struct<lang: string, word: string, n: long>>"
-_RUN_ARROW = pa.schema([("run", pa.int64()), ("words", pa.list_(pa.int32())), ("names", pa.list_(
+_LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
+_UNITS = re.compile(rb"[^\x20\x09.,;:!?\x0A-\x0D]+|[.,;:!?\x0A-\x0D]+")
+_END = re.compile(rb"[.,;:!?\x0A-\x0D]")
+_ENDS = frozenset(b".,;:!?\n\v\f\r")
+SLICE_BYTES = 1 << 20
+#: A word's number as a key: four bytes, the highest first.
+ID_BYTES = 4
+MOST_WORDS = 1 << 31
+
+_RUN = "run long, words binary, names array<struct<lang: string, word: string, n: long>>"
+_RUN_ARROW = pa.schema([("run", pa.int64()), ("words", pa.binary()), ("names", pa.list_(
     pa.struct([("lang", pa.string()), ("word", pa.string()), ("n", pa.int64())])))])
+_RELATION = "run long, words binary, starts binary"
+_RELATION_ARROW = pa.schema([("run", pa.int64()), ("words", pa.binary()), ("starts", pa.binary())])
+
+
+def _packed(numbers: np.ndarray) -> bytes:
+    """32-bit numbers, the bytes of equal weight together, compressed."""
+    return zstandard.compress(numbers.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<i4").ravel()
+
+
+def _packed_starts(starts: np.ndarray, size: int) -> bytes:
+    flags = np.zeros(size, bool)
+    flags[starts] = True
+    return zstandard.compress(np.packbits(flags).tobytes(), 1)
+
+
+def _unpacked_starts(data: bytes) -> np.ndarray:
+    return np.flatnonzero(np.unpackbits(np.frombuffer(zstandard.decompress(data), np.uint8)))
+
 
+class _Codes(dict):
+    """Numbers of the words of one language in a run, given as they are first met; of what ends a piece: 0."""
 
-def units(text: str) -> list[str]:
-    """The words of a text, with a separator of the first characters ``.,;:!?`` or a line end between pieces."""
-    return _UNITS.findall(text.translate(_LOWER))
+    def __init__(self, names: list[tuple[str, bytes]], lang: str):
+        super().__init__()
+        self._names, self._lang = names, lang
+
+    def __missing__(self, word: bytes) -> int:
+        code = 0
+        if word[0] not in _ENDS:
+            self._names.append((self._lang, word))
+            code = len(self._names)
+        self[word] = code
+        return code
 
 
 class _Run:
-    """Words of consecutive pieces, numbered from 1 as they are first met; zero ends a piece."""
-
-    def __init__(self, number: int):
-        self.number, self._codes, self._names, self._of = number, [0], [], {}
-
-    def add(self, lang: str, words: list[str], full: int) -> Iterator[_Run]:
-        """Appends a text; yields a run whenever it is full at the end of a piece, and goes on with the next one."""
-        known = self._of.setdefault(lang, {})
-        for word in words:
-            if word[0] in _ENDS:
-                if len(self._codes) > full:
-                    yield self._closed()
-                    known = self._of.setdefault(lang, {})
-                elif self._codes[-1]:
-                    self._codes.append(0)
-                continue
-            code = known.get(word)
-            if code is None:
-                self._names.append((lang, word))
-                code = known[word] = len(self._names)
-            self._codes.append(code)
-        if self._codes[-1]:
-            self._codes.append(0)
-        if len(self._codes) > full:
-            yield self._closed()
-
-    def _closed(self) -> _Run:
-        done = _Run(self.number)
-        done._codes, done._names = self._codes, self._names
-        self.number, self._codes, self._names, self._of = self.number + 1, [0], [], {}
-        return done
-
-    def batch(self) -> pa.RecordBatch | None:
-        if not self._names:
-            return None
-        codes = np.array(self._codes, np.int32)
-        counts = np.bincount(codes, minlength=len(self._names) + 1)[1:]
-        names = pa.StructArray.from_arrays(
-            [pa.array([a for a, _ in self._names]), pa.array([b for _, b in self._names]), pa.array(counts, pa.int64())],
-            ["lang", "word", "n"])
-        return pa.RecordBatch.from_arrays([
-            pa.array([self.number], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(codes)], pa.int32()), pa.array(codes)),
-            pa.ListArray.from_arrays(pa.array([0, len(names)], pa.int32()), names)], schema=_RUN_ARROW)
+    """Words of consecutive pieces, numbered from 1 as they are first met; zeros between pieces."""
+
+    def __init__(self, number: int, full: int):
+        self.number, self._full = number, full
+        self._start()
+
+    def _start(self) -> None:
+        self._parts, self._size, self._names, self._codes = [np.zeros(1, np.int32)], 1, [], {}
+
+    def add(self, lang: str, text: str) -> Iterator[pa.RecordBatch]:
+        """Appends a text, in slices that end with a piece; gives the run whenever it is full, and goes on with the next."""
+        data, at = text.encode("utf-8", "replace").translate(_LOWER), 0
+        while at < len(data):
+            end = _END.search(data, at + SLICE_BYTES)
+            to = end.start() if end else len(data)
+            codes = self._codes.get(lang)
+            if codes is None:
+                codes = self._codes[lang] = _Codes(self._names, lang)
+            words = _UNITS.findall(data, at, to)
+            self._parts += [np.fromiter(map(codes.__getitem__, words), np.int32, len(words)), np.zeros(1, np.int32)]
+            self._size, at = self._size + len(words) + 1, to
+            if self._size > self._full:
+                yield from self.close()
+
+    def close(self) -> Iterator[pa.RecordBatch]:
+        if self._names:
+            words = np.concatenate(self._parts)
+            counts = np.bincount(words, minlength=len(self._names) + 1)[1:]
+            names = pa.StructArray.from_arrays([
+                pa.array([lang for lang, _ in self._names]), pa.array([word.decode() for _, word in self._names]),
+                pa.array(counts, pa.int64())], ["lang", "word", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([self.number], pa.int64()), pa.array([_packed(words)], pa.binary()),
+                                              pa.ListArray.from_arrays(pa.array([0, len(names)], pa.int32()), names)], schema=_RUN_ARROW)
+        self.number += 1
+        self._start()
 
 
 def runs(docs: DataFrame, text: str = "text", lang: str = "lang", run_words: int = RUN_WORDS) -> DataFrame:
@@ -111,111 +143,103 @@ def runs(docs: DataFrame, text: str = "text", lang: str = "lang", run_words: int
     """
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
-        run = _Run((context.partitionId() if context else 0) << 33)
+        run = _Run((context.partitionId() if context else 0) << 33, run_words)
         for part in slices(batches):
             for language, value in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                for done in run.add(NO_LANGUAGE if language is None else language, units(value or ""), run_words):
-                    yield done.batch()
-        if (rest := run.batch()) is not None:
-            yield rest
+                yield from run.add(NO_LANGUAGE if language is None else language, value or "")
+        yield from run.close()
 
     given = docs.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")).where("text <> ''")
     return given.mapInArrow(make, _RUN)
 
 
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
-    """The rows of a relation: number, then its lists as arrays (null: none)."""
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """The rows of a relation: run, words, starts; and further columns as they are."""
     for batch in batches:
-        for i in range(batch.num_rows):
-            yield [batch.column(0)[i].as_py(), *[_array(c[i]) for c in batch.columns[1:]]]
+        for run, words, starts, *rest in zip(*batch.columns):
+            yield run.as_py(), _unpacked(words.as_py()), _unpacked_starts(starts.as_py()), *rest
 
 
-def _array(value: pa.ListScalar) -> np.ndarray | None:
-    return value.values.to_numpy(zero_copy_only=False) if value.is_valid else None
+def _array(value: pa.ListScalar) -> np.ndarray:
+    return value.values.to_numpy(zero_copy_only=False)
 
 
 def _groups(words: np.ndarray, starts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """For phrases of ``size`` words at ``starts``: the first start of each distinct one, and the group of every start.
 
-    Groups are numbered by their words; the codes of longer and longer prefixes stay below 2^63 as word numbers and
-    groups of a run stay below 2^31.
+    Groups are numbered by their words, prefix by prefix; word numbers and groups of a run stay below 2^31, so a group and
+    the next word fit 63 bits.
     """
     group, first = words[starts].astype(np.int64), np.zeros(0, np.int64)
-    for i in range(1, size + 1):
-        _, first, group = np.unique(group, return_index=True, return_inverse=True)
-        if i < size:
-            group = group.astype(np.int64) << 31 | words[starts + i]
+    for i in range(1, size):
+        _, first, group = np.unique(group << 31 | words[starts + i], return_index=True, return_inverse=True)
     return starts[first], group
 
 
-def _starts(words: np.ndarray, before: np.ndarray, size: int) -> np.ndarray:
-    """Merge-join by adjacent position: where phrases of ``size`` - 1 words start at a position and at the next one."""
-    return before[:-1][np.diff(before) == 1] if size > 1 else before
+def _starts(before: np.ndarray) -> np.ndarray:
+    """Merge-join by adjacent position: where one phrase of the relation starts, and another one at the next word."""
+    return before[:-1][np.diff(before) == 1]
 
 
 def occurrences(relation: DataFrame, size: int) -> DataFrame:
-    """run, group (its number in the run), w (the words' numbers), n: the distinct phrases of ``size`` words of every run."""
-    schema = pa.schema([("run", pa.int64()), ("group", pa.int32()), ("w", pa.list_(pa.int32())), ("n", pa.int64())])
+    """run, group (its number in the run), w (the words' keys), n: the distinct phrases of ``size`` words of every run."""
+    schema = pa.schema([("run", pa.int64()), ("group", pa.int32()), ("w", pa.binary()), ("n", pa.int64())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, words, before in _rows(batches):
-            first, group = _groups(words, _starts(words, before, size), size)
-            if not len(first):
-                continue
-            flat = words[first[:, None] + np.arange(size)].ravel().astype(np.int32)
-            yield pa.RecordBatch.from_arrays([
-                pa.array(np.full(len(first), number)), pa.array(np.arange(len(first), dtype=np.int32)),
-                pa.ListArray.from_arrays(pa.array(np.arange(len(first) + 1, dtype=np.int32) * size), pa.array(flat)),
-                pa.array(np.bincount(group, minlength=len(first)))], schema=schema)
+        for run, words, before in _rows(batches):
+            first, group = _groups(words, _starts(before), size)
+            times = np.bincount(group, minlength=len(first))
+            for at in range(0, len(first), 65_536):
+                part = first[at:at + 65_536]
+                keys = pa.py_buffer(words[part[:, None] + np.arange(size)].astype(">i4").tobytes())
+                keys = pa.FixedSizeBinaryArray.from_buffers(pa.binary(ID_BYTES * size), len(part), [None, keys])
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.full(len(part), run)), pa.array(np.arange(at, at + len(part), dtype=np.int32)),
+                    keys.cast(pa.binary()), pa.array(times[at:at + 65_536])], schema=schema)
 
-    return relation.select("run", "words", "starts").mapInArrow(count, "run long, group int, w array<int>, n long")
+    return relation.select("run", "words", "starts").mapInArrow(count, "run long, group int, w binary, n long")
 
 
 def shrunk(relation: DataFrame, kept: DataFrame, size: int) -> DataFrame:
     """The relation of length ``size``: run, words, starts; words of no kept phrase are gone. ``kept`` has run, group."""
-    schema = pa.schema([("run", pa.int64()), ("words", pa.list_(pa.int32())), ("starts", pa.list_(pa.int32()))])
-
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, words, before, groups in _rows(batches):
-            starts = _starts(words, before, size)
+        for run, words, before, groups in _rows(batches):
+            starts = _starts(before)
             _, group = _groups(words, starts, size)
-            yield _relation(schema, number, words, starts[np.isin(group, groups)], size)
+            held = np.zeros(len(starts) + 1, bool)
+            held[_array(groups)] = True
+            yield _relation(run, words, starts[held[group]], size)
 
     mine = kept.groupBy(F.col("run").alias("of")).agg(F.collect_list("group").alias("groups"))
-    return relation.join(mine, F.col("run") == F.col("of")).select("run", "words", "starts", "groups") \
-        .mapInArrow(keep, "run long, words array<int>, starts array<int>")
+    return relation.join(mine, F.col("run") == F.col("of")).select("run", "words", "starts", "groups").mapInArrow(keep, _RELATION)
 
 
-def _relation(schema: pa.Schema, number: int, words: np.ndarray, starts: np.ndarray, size: int) -> pa.RecordBatch:
+def _relation(run: int, words: np.ndarray, starts: np.ndarray, size: int) -> pa.RecordBatch:
     """One run with only the words that its phrases cover; a zero stands where others were."""
     cover = np.zeros(len(words) + 1, np.int32)
     np.add.at(cover, starts, 1)
     np.add.at(cover, starts + size, -1)
     held = np.cumsum(cover[:-1]) > 0
-    words = np.where(held, words, 0)
     stays = held | np.concatenate([[True], held[:-1]])
-    place = np.cumsum(stays) - 1
-    rest, at = words[stays], place[starts].astype(np.int32)
-    return pa.RecordBatch.from_arrays([
-        pa.array([number], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(rest)], pa.int32()), pa.array(rest.astype(np.int32))),
-        pa.ListArray.from_arrays(pa.array([0, len(at)], pa.int32()), pa.array(at))], schema=schema)
+    rest, at = np.where(held, words, 0)[stays], (np.cumsum(stays) - 1)[starts]
+    return pa.RecordBatch.from_arrays([pa.array([run], pa.int64()), pa.array([_packed(rest)], pa.binary()),
+                                       pa.array([_packed_starts(at, len(rest))], pa.binary())], schema=_RELATION_ARROW)
 
 
 def _numbered(run_table: DataFrame, known: DataFrame) -> DataFrame:
-    """The relation of length 1: run, words (numbers of frequent words, others 0), starts. ``known`` has run, place, id."""
-    schema = pa.schema([("run", pa.int64()), ("words", pa.list_(pa.int32())), ("starts", pa.list_(pa.int32()))])
-
+    """The relation of length 1: run, words (numbers of frequent words, others 0), starts. ``known`` has run, place, no."""
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for run, codes, places, ids in _rows(batches):
-            table = np.zeros(max(codes.max(), places.max()) + 1, np.int32)
-            table[places] = ids
-            words = table[codes]
-            yield _relation(schema, run, words, np.flatnonzero(words), 1)
-
-    pairs = known.groupBy(F.col("run").alias("of")).agg(F.collect_list(F.struct("place", "id")).alias("pairs"))
+        for batch in batches:
+            for run, codes, places, numbers in zip(*batch.columns):
+                codes, places = _unpacked(codes.as_py()), _array(places)
+                table = np.zeros(max(codes.max(), places.max()) + 1, np.int32)
+                table[places] = _array(numbers)
+                words = table[codes]
+                yield _relation(run.as_py(), words, np.flatnonzero(words), 1)
+
+    pairs = known.groupBy(F.col("run").alias("of")).agg(F.collect_list(F.struct("place", "no")).alias("pairs"))
     return run_table.join(pairs, F.col("run") == F.col("of")) \
-        .select("run", "words", F.col("pairs.place").alias("places"), F.col("pairs.id").alias("ids")) \
-        .mapInArrow(number, "run long, words array<int>, starts array<int>")
+        .select("run", "words", F.col("pairs.place").alias("places"), F.col("pairs.no").alias("numbers")).mapInArrow(number, _RELATION)
 
 
 class Mined:
@@ -231,11 +255,12 @@ class Mined:
         counted = self._stored(places.groupBy("lang", "word").agg(F.sum("n").alias("a")), "words")
         #: lang, n: all word occurrences
         self.totals = self._stored(counted.groupBy("lang").agg(F.sum("a").alias("n")), "totals")
-        #: lang, word, a, id of the frequent words; ids are exact: dealt once, from 1, to the words in order, and stored
-        self.words = self._stored(_with_ids(counted.where(F.col("a") >= least)), "numbers")
-        known = places.join(self.words.select("lang", "word", "id"), ["lang", "word"]).select("run", "place", "id")
+        #: lang, word, a, no, id (no as a key) of the frequent words; dealt once, from 1, in order, and stored, so exact
+        self.words = self._stored(_with_numbers(counted.where(F.col("a") >= least)), "numbers")
+        known = places.join(self.words.select("lang", "word", "no"), ["lang", "word"]).select("run", "place", "no")
         relation = self._stored(_numbered(run_table, known), "relation-1")
-        groups = [self.words.select(F.array("id").alias("w"), "a")]
+        self._remove("runs")
+        groups = [self.words.select(F.col("id").alias("w"), "a")]
         for size in range(2, longest + 1):
             met = occurrences(relation, size)
             found = self._stored(met.groupBy("w").agg(F.sum("n").alias("a")).where(F.col("a") >= least), f"groups-{size}")
@@ -243,12 +268,16 @@ class Mined:
             if size < longest:
                 kept = met.join(found.select("w"), "w", "left_semi").select("run", "group")
                 relation = self._stored(shrunk(relation, kept, size), f"relation-{size}")
-        #: w, a: the word numbers and occurrences of every frequent phrase of 1 to ``longest`` words
+            self._remove(f"relation-{size - 1}")
+        #: w, a: the words' keys and the occurrences of every frequent phrase of 1 to ``longest`` words
         self.groups = reduce(DataFrame.unionByName, groups)
 
     def _stored(self, rows: DataFrame, name: str) -> DataFrame:
         rows.write.parquet(f"{self.folder}/{name}")
-        return self.spark.read.parquet(f"{self.folder}/{name}")
+        return self.spark.read.schema(rows.schema).parquet(f"{self.folder}/{name}")
+
+    def _remove(self, name: str) -> None:
+        remove_path(self.spark, f"{self.folder}/{name}")
 
     def close(self) -> None:
         remove_path(self.spark, self.folder)
@@ -260,22 +289,33 @@ class Mined:
         self.close()
 
 
-def _with_ids(words: DataFrame) -> DataFrame:
-    """Numbers from 1 without gaps, as 32-bit integers; more than 2^31 frequent words are an error, not a wrap."""
-    return number_rows(words, [], ["lang", "word"], "id").withColumn("id", F.expr("cast(id as int)"))
+def _with_numbers(words: DataFrame) -> DataFrame:
+    """Numbers from 1 without gaps, and their keys; more frequent words than numbers are an error, not a wrap."""
+    numbered = number_rows(words, [], ["lang", "word"], "no")
+    fits = F.when(F.col("no") < MOST_WORDS, F.col("no")).otherwise(F.raise_error(F.lit("too many frequent words")).cast("long"))
+    return numbered.withColumn("no", fits.cast("int")).withColumn("id", F.unhex(F.lpad(F.hex("no"), 2 * ID_BYTES, "0")))
+
+
+def _size(phrase: Column) -> Column:
+    return F.floor(F.length(phrase) / ID_BYTES).cast("int")
+
+
+def _part(phrase: Column, at: Column, size: Column) -> Column:
+    """``size`` words of a phrase from the ``at``-th, counted from 0."""
+    return F.substr(phrase, at * ID_BYTES + 1, size * ID_BYTES)
 
 
 def scored(mined: Mined) -> DataFrame:
     """w, lang, a, l, r, n, score of every candidate: the cut with the lowest score, the first of equals."""
-    phrases = mined.groups.where(F.size("w") > 1)
-    cuts = phrases.select("w", "a", F.explode(F.sequence(F.lit(1), F.size("w") - 1)).alias("k"))
+    w = F.col("w")
+    phrases = mined.groups.where(_size(w) > 1)
+    cuts = phrases.select("w", "a", F.explode(F.sequence(F.lit(1), _size(w) - 1)).alias("k"))
     parts = mined.groups
-    cuts = cuts.select("w", "a", "k", F.slice("w", F.lit(1), F.col("k")).alias("head"),
-                       F.slice("w", F.col("k") + 1, F.size("w") - F.col("k")).alias("rest"))
-    cuts = cuts.join(parts.select(F.col("w").alias("head"), F.col("a").alias("l")), "head") \
-        .join(parts.select(F.col("w").alias("rest"), F.col("a").alias("r")), "rest")
-    langs = mined.words.select(F.col("id"), "lang").join(mined.totals, "lang")
-    cuts = cuts.join(langs, F.col("w")[0] == F.col("id"))
+    cuts = cuts.select("w", "a", "k", _part(w, F.lit(0), F.col("k")).alias("head"), _part(w, F.col("k"), _size(w) - F.col("k")).alias("rest"))
+    cuts = cuts.join(parts.select(w.alias("head"), F.col("a").alias("l")), "head") \
+        .join(parts.select(w.alias("rest"), F.col("a").alias("r")), "rest")
+    langs = mined.words.select("id", "lang").join(mined.totals, "lang")
+    cuts = cuts.join(langs, _part(w, F.lit(0), F.lit(1)) == F.col("id"))
     lowest = F.min_by(F.struct("l", "r", "score"), F.struct("score", "k"))
     best = cuts.withColumn("score", score(F.col("a"), F.col("l"), F.col("r"), F.col("n"))) \
         .groupBy("w", "lang", "a", "n").agg(lowest.alias("best"))
@@ -291,9 +331,10 @@ def score(a: Column, l: Column, r: Column, n: Column) -> Column:  # noqa: E741
 
 def covered(mined: Mined, cover: int = COVER) -> DataFrame:
     """w of the phrases that lie contiguously in a longer one with 100 * f(longer) >= ``cover`` * f(phrase)."""
-    longer = mined.groups.where(F.size("w") > 2)
-    inner = F.flatten(F.transform(F.sequence(F.lit(2), F.size("w") - 1), lambda size: F.transform(
-        F.sequence(F.lit(1), F.size("w") - size + 1), lambda at: F.slice("w", at, size))))
+    w = F.col("w")
+    longer = mined.groups.where(_size(w) > 2)
+    inner = F.flatten(F.transform(F.sequence(F.lit(2), _size(w) - 1), lambda size: F.transform(
+        F.sequence(F.lit(0), _size(w) - size), lambda at: _part(w, at, size))))
     most = longer.select("a", F.explode(inner).alias("w")).groupBy("w").agg(F.max("a").alias("most"))
     return mined.groups.join(most, "w").where(F.col("most") * 100 >= F.col("a") * cover).select("w")
 
@@ -306,7 +347,8 @@ def collocations(mined: Mined, top: int = TOP, cover: int = COVER) -> DataFrame:
     left = scored(mined).join(covered(mined, cover), "w", "left_anti")
     near = F.rank().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a")))
     near = left.withColumn("near", near).where(F.col("near") <= top).drop("near")
-    spelled = near.select(F.struct(*near.columns).alias("kept"), F.posexplode("w").alias("at", "id")) \
+    spelled = near.select(F.struct(*near.columns).alias("kept"), F.posexplode(F.transform(
+        F.sequence(F.lit(0), _size(F.col("w")) - 1), lambda i: _part(F.col("w"), i, F.lit(1)))).alias("at", "id")) \
         .join(mined.words.select("id", "word"), "id") \
         .groupBy("kept").agg(F.array_sort(F.collect_list(F.struct("at", "word"))).alias("spelled"))
     rows = spelled.select("kept.*", F.array_join("spelled.word", " ").alias("phrase"))

@@ -4,6 +4,7 @@ import collections
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -64,11 +65,15 @@ def test_ties_cover_and_top(spark):
     assert [r[2] for r in want if r[0] == "zz"] == ["p q", "r s", "t u"]
 
 
-def test_runs_keep_pieces_whole():
-    run = phrases._Run(0)
-    done = list(run.add("en", phrases.units("a b c d, e f. g"), 2))
-    assert [list(x._codes) for x in done] == [[0, 1, 2, 3, 4], [0, 1, 2], [0, 1, 0]]
-    assert run._codes == [0] and run.number == 3 and run.batch() is None
+def test_runs_keep_pieces_whole(monkeypatch):
+    monkeypatch.setattr(phrases, "SLICE_BYTES", 5)
+    run = phrases._Run(0, 2)
+    done = list(run.add("en", "A b c d, e f. g")) + list(run.close())
+    assert [phrases._unpacked(x.column(1)[0].as_py()).tolist() for x in done] == [[0, 1, 2, 3, 4, 0], [0, 0, 1, 2, 0], [0, 0, 1, 0]]
+    assert [[n["word"] for n in x.column(2)[0].as_py()] for x in done] == [["a", "b", "c", "d"], ["e", "f"], ["g"]]
+    numbers = np.array([0, 1, 70_000, 2**31 - 1], np.int32)
+    assert phrases._unpacked(phrases._packed(numbers)).tolist() == numbers.tolist()
+    assert phrases._unpacked_starts(phrases._packed_starts(np.array([0, 9]), 11)).tolist() == [0, 9]
 
 
 def test_empty_and_large_products(spark):
