@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docketflow.llm import (
-    ann, bpe, decontam, hmm, html_text, infill, phrases, quality, secrets, simhash, suffix, tokenfile,
+    ann, bpe, decontam, hmm, html_text, infill, phrases, quality, secrets, simhash, sketch, suffix, tokenfile,
 )
 from docketflow.llm.registry import ORACLES, QUERIES, query, table
 from docketflow.session import scratch_path
@@ -80,6 +80,11 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return infill.digests(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+@query("op12_fingerprint")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketch.versions(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 @query("op13_phrases", phrases.ORACLE)
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_path(spark, "collocations")

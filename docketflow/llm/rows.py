@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 SLICE_ROWS = 512
+SLICE_BYTES = 4_000_000
 
 
 def slices(batches: Iterable[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
@@ -18,6 +21,19 @@ def slices(batches: Iterable[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterato
             yield batch.slice(at, rows)
 
 
+def by_bytes(batches: Iterable[pa.RecordBatch], column: int = 1, rows: int = SLICE_ROWS,
+             most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most ``rows`` rows and ``most`` bytes of a text column, or of one row."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        ends, at = np.cumsum(sizes), 0
+        while at < batch.num_rows:
+            full = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right"))
+            to = max(at + 1, min(full, at + rows))
+            yield batch.slice(at, to - at)
+            at = to
+
+
 def map_rows(df: DataFrame, work: Callable[..., tuple], schema: str, make: Callable[[], object] | None = None,
              keep: bool = False) -> DataFrame:
     """One output row per input row: ``work(*values)`` gives the columns of ``schema``.
