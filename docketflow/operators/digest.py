@@ -14,9 +14,14 @@ from pyspark.sql import functions as F
 from docketflow.fixed_values import MESSAGE_BLOCKS, NO_CATEGORY
 from docketflow.functions.text import html_unescape, is_mentioned
 from docketflow.operators.ordering import first_per_key, number_rows
+from docketflow.session import cut_lineage
 
 LINES_PER_PART = 500
+#: Lines of one category and court that one task may number; beyond it they are numbered in ranges.
+LINES_IN_A_TASK = 500_000
 _ORDER = ["doc_order", "span_pos"]
+#: What a case is known by, whatever its place; places may repeat.
+_KEY = ["category", "case_string"]
 
 
 def _named(name: Column, url: Column) -> Column:
@@ -42,7 +47,7 @@ def digest_cases(entities: DataFrame) -> DataFrame:
     """The first case object of every category and case string, without the no-category group."""
     named = entities.where(F.col("category") != NO_CATEGORY).withColumn("case_string", case_string(
         F.col("case_name"), F.col("court_id"), F.col("thing_searched"), F.col("absolute_url")))
-    return first_per_key(named, ["category", "case_string"], [F.asc(c) for c in _ORDER])
+    return first_per_key(named, _KEY, [F.asc(c) for c in (*_ORDER, "absolute_url")])
 
 
 def _shown_thing(name: Column, thing: Column) -> Column:
@@ -95,28 +100,30 @@ def ordered_categories(cases: DataFrame) -> DataFrame:
     return category_order(cases).withColumn("place", place.cast("bigint"))
 
 
-def numbered_lines(cases: DataFrame) -> DataFrame:
-    """Place of every case in the digest: category, court, document order; and inside its court.
+def numbered_lines(cases: DataFrame, lines_in_a_task: int = LINES_IN_A_TASK) -> DataFrame:
+    """Cases with the place of their category, their court as text and ``line_no``, their number inside category and court.
 
-    Only the keys are numbered and kept; texts are joined to them later. A court is
-    one stretch of the order, so the number inside it is a difference of places.
+    Lines follow the document order, then the case string, so equal places give no line twice. The cases are kept in the
+    shared folder and counted once. Where a category and court hold more than ``lines_in_a_task``, only keys are numbered,
+    in ranges, and joined back by the case's key; a court is one stretch of the order, so its number is a difference.
     """
-    places = ordered_categories(cases).select("category", "place")
-    court = F.coalesce("court_id", F.lit("")).alias("court")
-    keys = cases.select("category", court, *_ORDER).join(places, "category")
-    numbered = number_rows(keys, [], ["place", "court", *_ORDER], "line")
-    first = numbered.groupBy("category", "court").agg((F.min("line") - 1).alias("before"))
-    return numbered.join(first, ["category", "court"]) \
-        .select("category", "place", "court", *_ORDER, (F.col("line") - F.col("before")).alias("line_no"))
-
-
-def _with_numbers(cases: DataFrame, numbered: DataFrame) -> DataFrame:
-    return cases.join(numbered.drop("court"), ["category", *_ORDER])
+    held = cut_lineage(cases)
+    places = ordered_categories(held).select("category", "place")
+    rows = held.withColumn("court", F.coalesce("court_id", F.lit(""))).join(places, "category")
+    inside, order = ["category", "court"], [*_ORDER, "case_string"]
+    sizes = held.groupBy("category", F.coalesce("court_id", F.lit(""))).agg(F.count(F.lit(1)).alias("n"))
+    if (sizes.agg(F.max("n")).first()[0] or 0) <= lines_in_a_task:
+        line = F.row_number().over(Window.partitionBy(*inside).orderBy(*order))
+        return rows.withColumn("line_no", line.cast("bigint"))
+    numbered = number_rows(rows.select(*inside, "place", *order), [], ["place", "court", *order], "line")
+    first = numbered.groupBy(*inside).agg((F.min("line") - 1).alias("before"))
+    lines = numbered.join(first, inside).select(*_KEY, (F.col("line") - F.col("before")).alias("line_no"))
+    return rows.join(lines, _KEY)
 
 
 def court_order(cases: DataFrame) -> DataFrame:
     """Cases numbered inside (category, court), in document order."""
-    return _with_numbers(cases, numbered_lines(cases)).drop("place")
+    return numbered_lines(cases).drop("place", "court")
 
 
 def _sections(numbered_cases: DataFrame, line: str, lines_per_part: int, unescape) -> DataFrame:
@@ -130,7 +137,7 @@ def _sections(numbered_cases: DataFrame, line: str, lines_per_part: int, unescap
 def court_sections(cases: DataFrame, line: str = "link_line", lines_per_part: int = LINES_PER_PART,
                    unescape=html_unescape) -> DataFrame:
     """Bulleted text of every (category, court), in parts of bounded size."""
-    return _sections(_with_numbers(cases, numbered_lines(cases)), line, lines_per_part, unescape)
+    return _sections(numbered_lines(cases), line, lines_per_part, unescape)
 
 
 def message_blocks(cases: DataFrame, intro: str | None = None, lines_per_part: int = LINES_PER_PART,
@@ -152,7 +159,7 @@ def message_blocks(cases: DataFrame, intro: str | None = None, lines_per_part: i
         F.lit(" ("), (F.col("part_no") + 1).cast("string"), F.lit(")"))).otherwise(F.lit("")), F.lit(":*\n\n"), F.col("body"))
     first = courts.select("category", F.col("court").alias("court_id"), (F.col("base") + F.when(F.col("opens"), 3).otherwise(1))
                           .alias("first_block"))
-    sections = _sections(_with_numbers(cases, numbered), "link_line", lines_per_part, unescape) \
+    sections = _sections(numbered, "link_line", lines_per_part, unescape) \
         .join(first, ["category", "court_id"]).select(
             (F.col("first_block") + F.col("part_no")).alias("block_no"), F.lit("section").alias("kind"), "category",
             "court_id", "part_no", body.alias("text"))

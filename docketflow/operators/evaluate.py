@@ -36,15 +36,20 @@ def wrong_positives(scored: DataFrame, label: str = "label") -> DataFrame:
 
 
 def span_counts(gold: DataFrame, predicted: DataFrame, key: str = "sent_id") -> DataFrame:
-    """True positives, false positives and misses per class.
+    """True positives, false positives and misses per class, of spans (key, start, end, tag) from two sources."""
+    columns = [key, "start", "end", "tag"]
+    return side_counts(gold.select(*columns, F.lit(True).alias("is_gold")).unionByName(
+        predicted.select(*columns, F.lit(False).alias("is_gold"))), key)
+
 
-    Spans (key, start, end, tag) count as found when all four agree. One
-    aggregation over both sides takes the place of a full outer join.
+def side_counts(both: DataFrame, key: str = "sent_id") -> DataFrame:
+    """The same of one table of spans that says of each whether it is gold.
+
+    Spans count as found when key, start, end and tag agree. One aggregation over
+    both sides takes the place of a full outer join, and the table is read once.
     """
-    columns = [key, "start", "end", "tag"]
-    both = gold.select(*columns, F.lit(1).alias("g"), F.lit(0).alias("p")).unionByName(
-        predicted.select(*columns, F.lit(0).alias("g"), F.lit(1).alias("p")))
-    spans = both.groupBy(*columns).agg(F.max("g").alias("g"), F.max("p").alias("p"))
+    g, p = F.max(F.col("is_gold").cast("int")).alias("g"), F.max((~F.col("is_gold")).cast("int")).alias("p")
+    spans = both.groupBy(key, "start", "end", "tag").agg(g, p)
     return spans.groupBy("tag").agg(
         F.sum(F.col("g") * F.col("p")).alias("tp"), F.sum((1 - F.col("g")) * F.col("p")).alias("fp"),
         F.sum(F.col("g") * (1 - F.col("p"))).alias("fn"))

@@ -11,6 +11,7 @@ from docketflow.fixed_values import (
     ARCHIVE_HOST, BARE_CASE_NAME, BARE_CASE_SENTENCE, CANDIDATE_WORDS, FEED_CLASS_TYPE, FEED_LOOKBACK_DAYS,
 )
 from docketflow.functions import parse
+from docketflow.functions.text import strip_whitespace
 from docketflow.schemas import DOCKET_KEY
 
 
@@ -27,10 +28,20 @@ def lookback_start(run_date: dt.date, days: int = FEED_LOOKBACK_DAYS) -> dt.date
     return run_date - dt.timedelta(days=days)
 
 
+def is_since(time: Column, start: dt.date | str) -> Column:
+    day = start if isinstance(start, str) else start.isoformat()
+    return time > F.lit(f"{day} 00:00:00").cast("timestamp_ntz")
+
+
+def is_blank(text: Column) -> Column:
+    """Nothing but white space; a null is not blank, it is missing."""
+    return strip_whitespace(text) == ""
+
+
 def since(docket: DataFrame, start: dt.date | str) -> DataFrame:
     """Entries published strictly after midnight of ``start``; pruned by month where stored so."""
     day = start if isinstance(start, str) else start.isoformat()
-    later = docket.where(F.col("pub_date") > F.lit(f"{day} 00:00:00").cast("timestamp_ntz"))
+    later = docket.where(is_since(F.col("pub_date"), start))
     return later.where(F.col("pub_month") >= day[:7]) if "pub_month" in docket.columns else later
 
 
@@ -57,10 +68,14 @@ def candidates(
     return without_match(since(docket, start).where(is_candidate(F.col("document_type"))), log, DOCKET_KEY)
 
 
+def addressed(results: DataFrame, host: str = ARCHIVE_HOST) -> DataFrame:
+    """Search results with whole addresses."""
+    return results.withColumn("absolute_url", parse.absolute_url(F.col("absolute_url"), host))
+
+
 def unseen_documents(results: DataFrame, log: DataFrame, host: str = ARCHIVE_HOST) -> DataFrame:
     """Search results whose address is in the log under no prediction type."""
-    addressed = results.withColumn("absolute_url", parse.absolute_url(F.col("absolute_url"), host))
-    return without_match(addressed, log, ["absolute_url"])
+    return without_match(addressed(results, host), log, ["absolute_url"])
 
 
 def classification_text(rows: DataFrame, name: str = "to_classify") -> DataFrame:
@@ -83,7 +98,11 @@ def to_alert_shape(rows: DataFrame, order_column: str, *keep: str, substring: bo
         parse.entry_address(F.col("guid")).alias("absolute_url"), sentence.alias("description"), "document_type")
 
 
+def counts(**steps: Column) -> list[Column]:
+    """How many rows meet each condition: for an aggregation, or for metrics gathered beside a write."""
+    return [F.count_if(condition).alias(name) for name, condition in steps.items()]
+
+
 def funnel(rows: DataFrame, **steps: Column) -> DataFrame:
     """Counts of several conditions in one pass over the rows."""
-    return rows.agg(F.count(F.lit(1)).alias("n_rows"),
-                    *[F.count_if(condition).alias(name) for name, condition in steps.items()])
+    return rows.agg(F.count(F.lit(1)).alias("n_rows"), *counts(**steps))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docketflow.operators.ordering import first_per_key
+from docketflow.operators.ordering import first_per_key, number_rows
 from docketflow.operators.select import with_match, without_match
 from docketflow.schemas import DOCKET_KEY
 from docketflow.session import remove_path
@@ -99,9 +99,9 @@ def purge_removed(docket: DataFrame, predictions: DataFrame, scraped_until=None)
     return without_match(rows, predictions, DOCKET_KEY)
 
 
-def purge_docket(table: Table, predictions: DataFrame, scraped_until=None) -> None:
-    """Rewrite the partitions that lose entries; emptied ones leave the table."""
-    removed, path = staged(table.placed(purge_removed(table.read(), predictions, scraped_until)))
+def purge_docket(table: Table, predictions: DataFrame, scraped_until=None, only: list[tuple[str, ...]] | None = None) -> None:
+    """Rewrite the partitions that lose entries; emptied ones leave the table. ``only`` limits the purge to partitions."""
+    removed, path = staged(table.placed(purge_removed(table.read(only), predictions, scraped_until)))
     touched = table.touched(removed)
     if touched:
         table.replace(purge_keep(table.read(touched), predictions, scraped_until), touched)
@@ -126,3 +126,32 @@ def entry_children(docket: DataFrame, log: DataFrame) -> DataFrame:
     """
     matched = docket.join(log, DOCKET_KEY)
     return matched.unionByName(without_match(docket, log, DOCKET_KEY), allowMissingColumns=True)
+
+
+CHILDREN_PER_PART = 1_000
+
+
+def nested_children(docket: DataFrame, class_log: DataFrame, entity_log: DataFrame,
+                    per_part: int = CHILDREN_PER_PART) -> DataFrame:
+    """Every entry with its log rows nested in order: ``classes`` and ``entities``, arrays of structs.
+
+    Rows are numbered over all children of an entry's key, classes first, by type and
+    value, and packed in parts of ``per_part``: a hot key gives more rows (``part_no``
+    from 0), never a longer array. An entry without children has one row with empty
+    arrays. Entries that share a key each get its children.
+    """
+    value = ["prediction_type", "prediction_value", "prediction_substring"]
+    classes = class_log.select(*DOCKET_KEY, F.lit(0).alias("kind"), "prediction_type",
+                               F.col("prediction_value").cast("string"), F.lit(None).cast("string").alias(value[2]))
+    children = classes.unionByName(entity_log.select(*DOCKET_KEY, F.lit(1).alias("kind"), *value)).na.drop(subset=DOCKET_KEY)
+    numbered = number_rows(children, DOCKET_KEY, ["kind", *value], "no")
+    part = F.floor((F.col("no") - 1) / per_part).alias("part_no")
+    packed = numbered.groupBy(*DOCKET_KEY, part).agg(F.array_sort(F.collect_list(F.struct("no", "kind", *value))).alias("rows"))
+    joined = docket.join(packed, DOCKET_KEY, "left").withColumn("rows", F.coalesce("rows", F.array().cast(packed.schema["rows"].dataType)))
+
+    def of(kind: int, *fields: str) -> Column:
+        return F.transform(F.filter("rows", lambda r: r["kind"] == kind), lambda r: F.struct(*[r[f].alias(f) for f in fields]))
+    class_rows = F.transform(of(0, *value[:2]), lambda r: F.struct(
+        r[value[0]].alias(value[0]), r[value[1]].cast("boolean").alias(value[1])))
+    return joined.select(*docket.columns, F.coalesce("part_no", F.lit(0)).cast("bigint").alias("part_no"),
+                         class_rows.alias("classes"), of(1, *value).alias("entities"))

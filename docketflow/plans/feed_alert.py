@@ -6,7 +6,7 @@ import dataclasses
 import datetime as dt
 from typing import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from docketflow import schemas
@@ -64,6 +64,17 @@ def run(docket: DataFrame, predictions: DataFrame, start: dt.date | str, order_c
     return from_scored(score_candidates(docket, predictions, start, scorer), order_column, tagger)
 
 
+#: What a run notes of each batch below ``counts``: rows looked at, of these candidates, candidates after the start and
+#: blank descriptions; rows scored, of these positive.
+COUNTS = ["n_rows", "n_candidates", "n_recent", "n_blank", "n_scored", "n_positive"]
+
+
+def _looked_at(start: dt.date | str) -> dict[str, Column]:
+    wanted = select.is_candidate(F.col("document_type"))
+    return {"n_rows": F.lit(True), "n_candidates": wanted, "n_recent": wanted & select.is_since(F.col("pub_date"), start),
+            "n_blank": select.is_blank(F.col("description"))}
+
+
 def publish(docket: DataFrame, warehouse: Warehouse, start: dt.date | str, order_column: str, scorer: Scorer,
             tagger: Tagger, root: str, run: str, batch_id: int, intro: str = FEED_INTRO,
             predictions: DataFrame | None = None) -> bool:
@@ -72,19 +83,28 @@ def publish(docket: DataFrame, warehouse: Warehouse, start: dt.date | str, order
     Candidates are entries without a row in the class log (or in ``predictions``, a
     larger set that holds it). The scored rows are written first, under the run and
     the batch, and a replayed batch takes them up again; so it writes the same outbox,
-    and the logs, to which only missing keys are added, stay as they are.
+    and the logs, to which only missing keys are added, stay as they are. The counts of
+    the funnel are gathered while the scored rows are written, and written beside them.
     """
     spark = docket.sparkSession
     log = warehouse.table("predictions")
-    folder = f"{root}/scored/run={run}/batch_id={batch_id}"
+    place = f"run={run}/batch_id={batch_id}"
+    folder = f"{root}/scored/{place}"
     if not is_complete(spark, folder):
-        seen = log.read() if predictions is None else predictions
-        score_candidates(docket, seen, start, scorer).write.mode("overwrite").parquet(folder)
+        # Keys hold the publication time, so older rows of the log can match nothing, and their months are not opened.
+        seen = select.since(log.read(), start) if predictions is None else predictions
+        looked_at, kept = Observation(), Observation()
+        found = score_candidates(docket.observe(looked_at, *select.counts(**_looked_at(start))), seen, start, scorer)
+        found.observe(kept, *select.counts(n_scored=F.lit(True), n_positive=F.col("predicted_class") == 1)) \
+            .write.mode("overwrite").parquet(folder)
+        counts = {**looked_at.get, **kept.get}
+        spark.createDataFrame([tuple(counts[c] for c in COUNTS)], ", ".join(f"{c} long" for c in COUNTS)).coalesce(1) \
+            .write.mode("overwrite").parquet(f"{root}/counts/{place}")
     scored = spark.read.parquet(folder)
     if scored.isEmpty():
         return False
     alert = from_scored(scored, order_column, tagger)
     log.append(alert.class_log, "log_key")
     warehouse.table("ner_predictions").append(alert.entity_log, "log_key")
-    digest.outbox(alert.blocks(intro)).write.mode("overwrite").parquet(f"{root}/outbox/run={run}/batch_id={batch_id}")
+    digest.outbox(alert.blocks(intro)).write.mode("overwrite").parquet(f"{root}/outbox/{place}")
     return True

@@ -8,7 +8,7 @@ from docketflow.fixed_values import FEED_CLASS_TYPE, FEED_INTRO, SEARCH_CLASS_TY
 from docketflow.operators import digest, evaluate, scoring, select, state, tagging
 from docketflow.plans import feed_alert, search_alert
 from docketflow.plans.adapters import (
-    SQL_WORDS, WORD_CLASS, docket, predictions, search_results, sentences, table, with_views,
+    SQL_WORDS, WORD_CLASS, docket, predictions, raw_tags, search_results, sentences, table, with_views,
 )
 from docketflow.plans.queries_feed import START, _SQL_CANDIDATE, _SQL_SEEN
 from docketflow.plans.registry import query
@@ -458,15 +458,11 @@ def _sql_span_counts() -> str:
 
 
 def _span_counts(spark, d):
-    from docketflow.plans.adapters import raw_tags
-    both = sentences(spark, d).select(
-        "sent_id", F.explode(F.concat(
-            F.transform(S.decode_spans(F.col("words"), F.col("tags")), lambda s: F.struct(F.lit("gold").alias("side"),
-                                                                                         s.alias("s"))),
-            F.transform(S.decode_spans(F.col("words"), raw_tags(F.col("words"), OTHER_WORD_CLASS)),
-                        lambda s: F.struct(F.lit("predicted").alias("side"), s.alias("s"))))).alias("x"))
-    rows = both.select("sent_id", "x.side", "x.s.*")
-    return evaluate.span_counts(rows.where(F.col("side") == "gold"), rows.where(F.col("side") == "predicted"))
+    def side(tags, is_gold):
+        return F.transform(S.decode_spans(F.col("words"), tags), lambda s: F.struct(
+            s["start"].alias("start"), s["end"].alias("end"), s["tag"].alias("tag"), F.lit(is_gold).alias("is_gold")))
+    both = F.concat(side(F.col("tags"), True), side(raw_tags(F.col("words"), OTHER_WORD_CLASS), False))
+    return evaluate.side_counts(sentences(spark, d).select("sent_id", F.explode(both).alias("s")).select("sent_id", "s.*"))
 
 
 _F1 = _sql_ratio("2 * tp", "(2 * tp + fp + fn)")

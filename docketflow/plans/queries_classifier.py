@@ -6,11 +6,12 @@ import math
 
 from pyspark.sql import functions as F
 
-from docketflow.operators import corpus, evaluate, scoring
+from docketflow.operators import corpus, evaluate, scoring, training
 from docketflow.plans.adapters import table
 from docketflow.plans.queries_alerts import _SQL_FORMS, _sql_ratio
 from docketflow.plans.queries_corpus import _sql_split
 from docketflow.plans.registry import query
+from docketflow.session import scratch_path
 
 _COUNTS = f"""
 counts AS (SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, unnest({_SQL_FORMS}) AS word FROM documents)
@@ -90,3 +91,42 @@ def classifier_comparison(spark, d):
         .unionByName(rule.withColumn("scorer", F.lit("keyword"))).join(labels, "doc_id")
     part = F.when(F.col("split") == "train", "train").otherwise("held out")
     return evaluate.classifier_metrics(both.withColumn("part", part), by=["scorer", "part"])
+
+
+# --- trained by iterations ----------------------------------------------------------------------------------------
+
+def _trained(spark, d):
+    """Fit on the labelled training split, save, load, and score every document."""
+    path = scratch_path(spark, "classifier")
+    documents = table(spark, d, "documents").select("doc_id", "text")
+    train = documents.join(_labels(spark, d).where(F.col("split") == "train").select("doc_id", "label"), "doc_id")
+    training.train(train, "text", path)
+    return training.trained_score(spark, path, documents, "text")
+
+
+@query("trained_classifier_scores", """
+SELECT doc_id, CASE WHEN doc_id IN (SELECT doc_id FROM labels) THEN 'labelled' ELSE 'not labelled' END AS kind,
+  true AS has_class_of_likelihood FROM documents""")
+def trained_classifier_scores(spark, d):
+    """Every document has a likelihood, and the class that it means."""
+    known = table(spark, d, "labels").select("doc_id").distinct().withColumn("kind", F.lit("labelled"))
+    fits = (F.col("likelihood").between(0, 1)) & ((F.col("likelihood") > 0.5) == (F.col("predicted_class") == 1))
+    return _trained(spark, d).join(known, "doc_id", "left").select(
+        "doc_id", F.coalesce("kind", F.lit("not labelled")).alias("kind"), fits.alias("has_class_of_likelihood"))
+
+
+@query("trained_classifier_report", f"""
+WITH labelled AS (SELECT doc_id, quality AS label, {_sql_split("doc_id::varchar")} AS split FROM labels),
+r AS (SELECT CASE WHEN split = 'train' THEN 'train' ELSE 'held out' END AS part, label, (NOT text ILIKE '%|%')::int AS rule
+  FROM documents JOIN labelled USING (doc_id))
+SELECT part, count(*) AS n, round(avg((rule = label)::int), 6) AS rule_accuracy, true AS beats_rule FROM r GROUP BY 1""")
+def trained_classifier_report(spark, d):
+    """Whether it is right more often than the keyword rule, on the texts it was fitted on and on the others."""
+    rule = scoring.keyword_score(table(spark, d, "documents"), "text", ["|"]) \
+        .select("doc_id", (1 - F.col("predicted_class")).alias("rule"))
+    rows = _trained(spark, d).select("doc_id", "predicted_class").join(_labels(spark, d), "doc_id").join(rule, "doc_id")
+    part = F.when(F.col("split") == "train", "train").otherwise("held out").alias("part")
+    right = lambda c: F.avg((F.col(c) == F.col("label")).cast("int"))
+    return rows.groupBy(part).agg(
+        F.count(F.lit(1)).alias("n"), F.round(right("rule"), 6).alias("rule_accuracy"),
+        (right("predicted_class") > right("rule")).alias("beats_rule"))

@@ -103,8 +103,8 @@ SELECT case_number, pub_date, case_name, positive AS prediction_value, CASE WHEN
 def stream_feed_alert(spark, d):
     """The feed run over landed entries: what is left in the docket after the purges, and what the logs say of it."""
     warehouse, path = _warehouse(spark), _landed(_one_per_key(spark, d).select(*schemas.DOCKET.names), "entries")
-    alerts.start_feed_run(_stream(spark, path), START, feed_scorer, feed_tagger, warehouse, scratch_path(spark, "alerts"),
-                          scratch_path(spark, "offsets")).awaitTermination()
+    alerts.run_feed(_stream(spark, path), START, feed_scorer, feed_tagger, warehouse, scratch_path(spark, "alerts"),
+                    scratch_path(spark, "offsets"))
     classes = warehouse.table("predictions").read().select(*schemas.DOCKET_KEY, "prediction_value")
     entities = warehouse.table("ner_predictions").read().groupBy(*schemas.DOCKET_KEY).agg(
         F.count(F.lit(1)).alias("n_entities"), F.count("prediction_substring").alias("n_named"))
@@ -120,8 +120,7 @@ def feed_run_empty(spark, d):
     warehouse, root = _warehouse(spark), scratch_path(spark, "alerts")
     entries = _one_per_key(spark, d).where(~F.coalesce(select.is_candidate(F.col("document_type")), F.lit(False)))
     path = _landed(entries.select(*schemas.DOCKET.names), "entries")
-    alerts.start_feed_run(_stream(spark, path), START, feed_scorer, feed_tagger, warehouse, root,
-                          scratch_path(spark, "offsets")).awaitTermination()
+    alerts.run_feed(_stream(spark, path), START, feed_scorer, feed_tagger, warehouse, root, scratch_path(spark, "offsets"))
     logged = warehouse.table("predictions").read().select(*schemas.DOCKET_KEY, F.lit("logged").alias("case_name"))
     return warehouse.table("rss_docket_entries").read().select(*schemas.DOCKET_KEY, "case_name").unionByName(logged)
 

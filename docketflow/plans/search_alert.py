@@ -15,6 +15,7 @@ from docketflow.fixed_values import (
     SEARCH_ALERT_CAP, SEARCH_CLASS_TYPE, SEARCH_ENTITY_TYPE, SEARCH_INTRO, SEARCH_LOOKBACK_DAYS, SEARCH_PHRASE,
 )
 from docketflow.operators import digest, select, state, tagging
+from docketflow.operators.ordering import number_rows
 from docketflow.plans.feed_alert import Alert, Scorer, Tagger
 from docketflow.session import is_complete
 from docketflow.sources import search_results
@@ -56,8 +57,10 @@ def landed_results(spark: SparkSession, path: str, run_date: dt.date, phrase: st
     if cap is not None:
         sizes = found.groupBy("page_no", "page_path").agg(F.count(F.lit(1)).alias("n_records"))
         found = found.join(search_results.kept_pages(sizes, cap).select("page_no", "page_path"), ["page_no", "page_path"], "left_semi")
-    # Pages hold far fewer than a million results, so this is their order.
-    return found.withColumn("doc_order", F.col("page_no") * 1_000_000 + F.col("pos")).drop("page_no", "page_path", "pos")
+    # Pages are numbered anew, since several may have no number or share one. They hold far fewer than a million results.
+    place = ["page_no", "page_path"]
+    pages = number_rows(found.select(*place).distinct(), [], place, "page")
+    return found.join(pages, place).withColumn("doc_order", F.col("page") * 1_000_000 + F.col("pos")).drop(*place, "page", "pos")
 
 
 def publish(results: DataFrame, warehouse: Warehouse, scorer: Scorer, tagger: Tagger, root: str, run: str, batch_id: int,
@@ -67,7 +70,8 @@ def publish(results: DataFrame, warehouse: Warehouse, scorer: Scorer, tagger: Ta
     log = warehouse.table("courtlistener_predictions")
     folder = f"{root}/scored/run={run}/batch_id={batch_id}"
     if not is_complete(spark, folder):
-        scorer(select.unseen_documents(results, log.read()), "description").write.mode("overwrite").parquet(folder)
+        unseen = log.sketch().unseen(select.addressed(results))
+        scorer(unseen, "description").write.mode("overwrite").parquet(folder)
     scored = spark.read.parquet(folder)
     if scored.isEmpty():
         return False

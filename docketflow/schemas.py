@@ -44,6 +44,8 @@ def ddl(schema: T.StructType) -> list[str]:
 
 
 FEED_ITEM = _struct(("title", _S), ("link", _S), ("description", _S), ("guid", _S), ("pubDate", _S))
+# The last column takes what cannot be parsed.
+FEED_SNAPSHOT = T.StructType([*FEED_ITEM.fields, T.StructField("_corrupt_record", _S, True)])
 
 SEARCH_RESULT = _struct(("absolute_url", _S), ("caseName", _S), ("court_id", _S), ("description", _S),
                         ("dateFiled", _NTZ))

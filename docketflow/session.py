@@ -75,6 +75,35 @@ def remove_path(spark: SparkSession, path: str) -> None:
     files.delete(place, True)
 
 
+def file_names(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder, sorted; none if there is no such folder."""
+    files, place = _file_system(spark, path)
+    return sorted(f.getPath().getName() for f in files.listStatus(place)) if files.exists(place) else []
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Make ``text`` the content of a small file, as one step: a reader finds all of it or none."""
+    files, place = _file_system(spark, path)
+    draft = spark._jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.tmp")
+    out = files.create(draft, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    if not files.rename(draft, place):
+        raise OSError(f"cannot write {path}")
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """The content of a small file; None if there is none."""
+    files, place = _file_system(spark, path)
+    if not files.exists(place):
+        return None
+    stream = files.open(place)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
 def is_complete(spark: SparkSession, path: str) -> bool:
     """Whether a folder holds the result of a finished write."""
     files, place = _file_system(spark, f"{path}/_SUCCESS")

@@ -13,6 +13,9 @@ from docketflow.functions import parse
 from docketflow.functions.text import html_unescape
 
 _COURT_IN_PATH = r"/court=([^/]+)/"
+_CORRUPT = schemas.FEED_SNAPSHOT.names[-1]
+BROKEN = "broken"
+BROKEN_CHARS = 200
 
 
 def courts(spark: SparkSession) -> DataFrame:
@@ -25,13 +28,23 @@ def courts(spark: SparkSession) -> DataFrame:
     return both.withColumn("feed_url", F.replace(F.lit(FEED_URL), F.lit("{court}"), F.col("court")))
 
 
+def _reader(reader):
+    """Options of both readers: what cannot be parsed becomes a row of its own and never fails the read."""
+    return reader.format("xml").option("rowTag", "item").option("mode", "PERMISSIVE") \
+        .option("columnNameOfCorruptRecord", _CORRUPT).schema(schemas.FEED_SNAPSHOT)
+
+
 def read_feed_snapshots(spark: SparkSession, path: str) -> DataFrame:
-    """Entries of landed snapshots ``<path>/court=<code>/*.xml``, one row per ``<item>``."""
-    return _feed_columns(spark.read.format("xml").option("rowTag", "item").schema(schemas.FEED_ITEM).load(path))
+    """Entries of landed snapshots ``<path>/court=<code>/*.xml``, one row per ``<item>``.
+
+    A snapshot that is cut off or malformed gives the entries before the fault, and one row whose ``broken``
+    holds the beginning of the file; of whole entries ``broken`` is null.
+    """
+    return _feed_columns(_reader(spark.read).load(path))
 
 
 def stream_feed_snapshots(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
-    reader = spark.readStream.format("xml").option("rowTag", "item").schema(schemas.FEED_ITEM)
+    reader = _reader(spark.readStream)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
     return _feed_columns(reader.load(path))
@@ -43,10 +56,15 @@ def _feed_columns(items: DataFrame) -> DataFrame:
         "title", "link", "description", "guid", F.col("pubDate").alias("published"),
         F.regexp_extract("_metadata.file_path", _COURT_IN_PATH, 1).alias("court"),
         parse.ntz_from_seconds(F.unix_micros(landed) / F.lit(1_000_000)).alias("scrape_date"),
-        F.col("_metadata.file_path").alias("snapshot"),
+        F.col("_metadata.file_path").alias("snapshot"), F.substring(_CORRUPT, 1, BROKEN_CHARS).alias(BROKEN),
     )
 
 
+def whole_entries(entries: DataFrame) -> DataFrame:
+    """Entries without the rows that stand for broken snapshots."""
+    return entries.where(F.col(BROKEN).isNull()) if BROKEN in entries.columns else entries
+
+
 def normalise_entries(
     entries: DataFrame, unescape: Callable[[Column], Column] = html_unescape, keep: tuple[str, ...] = ()
 ) -> DataFrame:
@@ -54,7 +72,9 @@ def normalise_entries(
 
     Needs title, link, description, guid, court, scrape_date and either
     ``pub_date`` or the feed's ``published`` text. ``keep`` names extra columns.
+    Broken snapshots give no rows.
     """
+    entries = whole_entries(entries)
     pub_date = F.col("pub_date") if "pub_date" in entries.columns else parse.feed_time(F.col("published"))
     clean = entries.withColumns({
         "title": unescape(F.col("title")), "description": unescape(F.col("description")), "pub_date": pub_date,
@@ -72,7 +92,10 @@ def normalise_entries(
 
 
 def feed_quarantine(entries: DataFrame, unescape: Callable[[Column], Column] = html_unescape) -> DataFrame:
-    """One row per entry and rule it breaks: guid, court, rule, offending text."""
+    """One row per entry and rule it breaks: guid, court, rule, offending text.
+
+    A broken snapshot is one row, of the rule ``snapshot``.
+    """
     description = unescape(F.col("description"))
     number_text = parse.entry_number_text(description)
     seq_text = parse.entry_seq_text(description)
@@ -85,6 +108,8 @@ def feed_quarantine(entries: DataFrame, unescape: Callable[[Column], Column] = h
         "pub_date": (when_parsed.isNull(), published),
         "case_number": (F.coalesce(parse.case_number(F.col("title")), F.lit("")) == "", F.col("title")),
     }
+    broken = F.col(BROKEN) if BROKEN in entries.columns else F.lit(None).cast("string")
+    checks = {rule: (bad & broken.isNull(), text) for rule, (bad, text) in checks.items()} | {"snapshot": (broken.isNotNull(), broken)}
     rows = F.array(*[F.when(bad, F.struct(F.lit(rule).alias("rule"), text.alias("text")))
                      for rule, (bad, text) in checks.items()])
     return entries.select("guid", "court", F.explode(F.array_compact(rows)).alias("q")).select("guid", "court", "q.*")

@@ -11,7 +11,7 @@ from docketflow.plans.queries_streaming import _warehouse
 from docketflow.plans.queries_feed import START
 from docketflow.session import scratch_path
 from docketflow.sources import artifacts, corpora, search_results, tabular
-from docketflow.streaming.alerts import start_feed_alert, start_feed_run
+from docketflow.streaming.alerts import run_feed, start_feed_alert
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -102,8 +102,7 @@ def test_empty_run_purges_nothing(spark):
     path = scratch_path(spark, "entries")
     entries.write.parquet(path)
     stream = spark.readStream.schema(entries.schema).parquet(path)
-    start_feed_run(stream, START, feed_scorer, feed_tagger, warehouse, scratch_path(spark, "alerts"),
-                   scratch_path(spark, "offsets")).awaitTermination()
+    run_feed(stream, START, feed_scorer, feed_tagger, warehouse, scratch_path(spark, "alerts"), scratch_path(spark, "offsets"))
     held = warehouse.table("rss_docket_entries").read()
     assert held.count() == entries.select(*schemas.DOCKET_KEY).distinct().count() > 0
 
