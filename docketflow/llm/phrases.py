@@ -10,13 +10,13 @@ removed when the next one is written. Each length takes four steps:
 
 1. merge-join of the relation with itself by piece and adjacent position: k words start where the (k-1)-word phrases at a
    position and at the next one are both frequent (a zero word separates pieces, so nothing joins across them);
-2. group-count: a run sends each of its distinct phrases once, with its count, and Spark adds the counts up; a phrase that
-   is a third of all text sends one row a run;
+2. group-count: a run sends each of its distinct phrases once, with its count, to the bucket of the phrase's hash, packed
+   with the others for that bucket, and the buckets add up; a phrase that is a third of all text sends one count a run;
 3. groups of at least ``least`` occurrences are kept, under exact keys: the words' numbers, themselves kept in a table;
-4. semi-join: what a run sent is joined with the kept groups; the numbers of the survivors go back to their run, which
-   writes the relation of length k.
+4. semi-join with the frequent groups: the bucket tells every run which of the phrases it sent are among them, a bit each,
+   and the run writes the relation of length k.
 
-Join sides are left to Spark's own size checks. Counts are longs; scores are worked out in 38-digit decimals, in integers.
+The number of buckets follows the corpus, so a bucket's size does not. Join sides are left to Spark's own size checks. Counts are longs; scores are worked out in 38-digit decimals, in integers.
 
 Repeated rows count as often as they occur; ids take no part. Extra columns don't matter. An empty table gives no rows.
 """
@@ -43,7 +43,9 @@ LEAST = 100
 TOP = 2_000
 COVER = 100
 SCALE = 1_000
-RUN_WORDS = 1 << 18
+RUN_WORDS = 1 << 20
+#: Words of the corpus for each bucket in which phrases are counted; a bucket has at most about as many phrases.
+PHRASES_A_BUCKET = 1 << 20
 NO_LANGUAGE = "und"
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -181,37 +183,111 @@ def _starts(before: np.ndarray) -> np.ndarray:
     return before[:-1][np.diff(before) == 1]
 
 
-def occurrences(relation: DataFrame, size: int) -> DataFrame:
-    """run, group (its number in the run), w (the words' keys), n: the distinct phrases of ``size`` words of every run."""
-    schema = pa.schema([("run", pa.int64()), ("group", pa.int32()), ("w", pa.binary()), ("n", pa.int64())])
+def _buckets(words: np.ndarray, before: np.ndarray, size: int, buckets: int):
+    """The distinct phrases of a run dealt out by a hash of their words.
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    (phrases by bucket as rows of word numbers, their counts, where each bucket begins; starts, the place of every start's
+    phrase in that order). The same run gives the same order every time.
+    """
+    starts = _starts(before)
+    first, group = _groups(words, starts, size)
+    keys = words[first[:, None] + np.arange(size)].reshape(-1, size)
+    bucket = _hashed(keys, buckets)
+    order = np.argsort(bucket, kind="stable")
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    times = np.bincount(group, minlength=len(first))[order]
+    return keys[order], times, np.searchsorted(bucket[order], np.arange(buckets + 1)), starts, place[group]
+
+
+def _hashed(keys: np.ndarray, buckets: int) -> np.ndarray:
+    value = np.zeros(len(keys), np.uint64)
+    for column in keys.T:
+        value = (value ^ column.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        value ^= value >> np.uint64(29)
+    return (value % np.uint64(buckets)).astype(np.int64)
+
+
+def _sent(keys: np.ndarray, times: np.ndarray) -> bytes:
+    """Phrases and counts, column by column; the first words ascend and are sent as differences."""
+    columns = np.vstack([keys.T, times]).astype(np.int64)
+    columns[0, 1:] -= columns[0, :-1].copy()
+    return _packed(columns.ravel())
+
+
+def _received(data: bytes, size: int) -> tuple[np.ndarray, np.ndarray]:
+    columns = _unpacked(data).reshape(size + 1, -1).astype(np.int64)
+    columns[0] = np.cumsum(columns[0])
+    return columns[:size].T, columns[size]
+
+
+def occurrences(relation: DataFrame, size: int, buckets: int) -> DataFrame:
+    """bucket, run, data: the distinct phrases of ``size`` words of every run and how often it has them, packed."""
+    schema = pa.schema([("bucket", pa.int32()), ("run", pa.int64()), ("data", pa.binary())])
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for run, words, before in _rows(batches):
-            first, group = _groups(words, _starts(before), size)
-            times = np.bincount(group, minlength=len(first))
-            for at in range(0, len(first), 65_536):
-                part = first[at:at + 65_536]
-                keys = pa.py_buffer(words[part[:, None] + np.arange(size)].astype(">i4").tobytes())
-                keys = pa.FixedSizeBinaryArray.from_buffers(pa.binary(ID_BYTES * size), len(part), [None, keys])
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(np.full(len(part), run)), pa.array(np.arange(at, at + len(part), dtype=np.int32)),
-                    keys.cast(pa.binary()), pa.array(times[at:at + 65_536])], schema=schema)
+            keys, times, cuts, _, _ = _buckets(words, before, size, buckets)
+            full = np.flatnonzero(np.diff(cuts))
+            if len(full):
+                data = [_sent(keys[cuts[b]:cuts[b + 1]], times[cuts[b]:cuts[b + 1]]) for b in full]
+                yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(np.full(len(full), run)),
+                                                  pa.array(data, pa.binary())], schema=schema)
 
-    return relation.select("run", "words", "starts").mapInArrow(count, "run long, group int, w binary, n long")
+    return relation.select("run", "words", "starts").mapInArrow(send, "bucket int, run long, data binary")
 
 
-def shrunk(relation: DataFrame, kept: DataFrame, size: int) -> DataFrame:
-    """The relation of length ``size``: run, words, starts; words of no kept phrase are gone. ``kept`` has run, group."""
+def counted(met: DataFrame, size: int, least: int) -> DataFrame:
+    """Group-count of each bucket: bucket, run, kept (bits: which of the run's phrases are frequent), groups (w, a).
+
+    Every phrase lies in one bucket, whose number of phrases is set by the number of buckets. A bucket's frequent phrases
+    are in its first row; runs without any have no row.
+    """
+    schema = pa.schema([("bucket", pa.int32()), ("run", pa.int64()), ("kept", pa.binary()),
+                        ("groups", pa.list_(pa.struct([("w", pa.binary()), ("a", pa.int64())])))])
+
+    def count(table: pa.Table) -> pa.Table:
+        keys, times = zip(*(_received(x.as_py(), size) for x in table.column("data")))
+        ends = np.cumsum([len(t) for t in times])
+        keys, times = np.concatenate(keys), np.concatenate(times)
+        group, first = keys[:, 0], np.zeros(0, np.int64)
+        for i in range(1, size):
+            _, first, group = np.unique(group << 31 | keys[:, i], return_index=True, return_inverse=True)
+        total = np.zeros(len(first), np.int64)
+        np.add.at(total, group, times)
+        frequent = total >= least
+        held, found = frequent[group], np.flatnonzero(frequent)
+        if not len(found):
+            return schema.empty_table()
+        w = [row.tobytes() for row in keys[first[found]].astype(">i4")]
+        groups = [[{"w": x, "a": y} for x, y in zip(w, total[found].tolist())]]
+        rows = [(run, held[a:b]) for run, a, b in zip(table.column("run").to_pylist(), [0, *ends[:-1]], ends) if held[a:b].any()]
+        bucket = table.column("bucket")[0].as_py()
+        return pa.Table.from_arrays([
+            pa.array([bucket] * len(rows), pa.int32()), pa.array([run for run, _ in rows], pa.int64()),
+            pa.array([np.packbits(bits).tobytes() for _, bits in rows], pa.binary()),
+            pa.array(groups + [[]] * (len(rows) - 1), schema.field("groups").type)], schema=schema)
+
+    return met.groupBy("bucket").applyInArrow(count, "bucket int, run long, kept binary, groups array<struct<w: binary, a: long>>")
+
+
+def shrunk(relation: DataFrame, kept: DataFrame, size: int, buckets: int) -> DataFrame:
+    """The relation of length ``size``, by a semi-join with what each run kept: run, words, starts.
+
+    Words of no kept phrase are gone. ``kept`` has run, bucket, kept.
+    """
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for run, words, before, groups in _rows(batches):
-            starts = _starts(before)
-            _, group = _groups(words, starts, size)
-            held = np.zeros(len(starts) + 1, bool)
-            held[_array(groups)] = True
-            yield _relation(run, words, starts[held[group]], size)
+        for run, words, before, numbers, bits in _rows(batches):
+            keys, _, cuts, starts, place = _buckets(words, before, size, buckets)
+            held = np.zeros(len(keys), bool)
+            for bucket, flags in zip(numbers.as_py(), bits.as_py()):
+                a, b = cuts[bucket], cuts[bucket + 1]
+                held[a:b] = np.unpackbits(np.frombuffer(flags, np.uint8), count=b - a)
+            yield _relation(run, words, starts[held[place]], size)
 
-    mine = kept.groupBy(F.col("run").alias("of")).agg(F.collect_list("group").alias("groups"))
-    return relation.join(mine, F.col("run") == F.col("of")).select("run", "words", "starts", "groups").mapInArrow(keep, _RELATION)
+    mine = kept.groupBy(F.col("run").alias("of")).agg(F.collect_list(F.struct("bucket", "kept")).alias("mine"))
+    return relation.join(mine, F.col("run") == F.col("of")) \
+        .select("run", "words", "starts", F.col("mine.bucket").alias("buckets"), F.col("mine.kept").alias("kept")).mapInArrow(keep, _RELATION)
 
 
 def _relation(run: int, words: np.ndarray, starts: np.ndarray, size: int) -> pa.RecordBatch:
@@ -252,22 +328,21 @@ class Mined:
         run_table = self._stored(runs(docs, text, lang, run_words), "runs")
         places = run_table.select("run", F.posexplode("names").alias("at", "name")) \
             .select("run", (F.col("at") + 1).alias("place"), "name.lang", "name.word", "name.n")
-        counted = self._stored(places.groupBy("lang", "word").agg(F.sum("n").alias("a")), "words")
+        words = self._stored(places.groupBy("lang", "word").agg(F.sum("n").alias("a")), "words")
         #: lang, n: all word occurrences
-        self.totals = self._stored(counted.groupBy("lang").agg(F.sum("a").alias("n")), "totals")
+        self.totals = self._stored(words.groupBy("lang").agg(F.sum("a").alias("n")), "totals")
         #: lang, word, a, no, id (no as a key) of the frequent words; dealt once, from 1, in order, and stored, so exact
-        self.words = self._stored(_with_numbers(counted.where(F.col("a") >= least)), "numbers")
+        self.words = self._stored(_with_numbers(words.where(F.col("a") >= least)), "numbers")
         known = places.join(self.words.select("lang", "word", "no"), ["lang", "word"]).select("run", "place", "no")
         relation = self._stored(_numbered(run_table, known), "relation-1")
         self._remove("runs")
         groups = [self.words.select(F.col("id").alias("w"), "a")]
+        buckets = (self.totals.agg(F.sum("n")).first()[0] or 0) // PHRASES_A_BUCKET + 1
         for size in range(2, longest + 1):
-            met = occurrences(relation, size)
-            found = self._stored(met.groupBy("w").agg(F.sum("n").alias("a")).where(F.col("a") >= least), f"groups-{size}")
-            groups.append(found)
+            found = self._stored(counted(occurrences(relation, size, buckets), size, least), f"groups-{size}")
+            groups.append(found.select(F.explode("groups").alias("g")).select("g.w", "g.a"))
             if size < longest:
-                kept = met.join(found.select("w"), "w", "left_semi").select("run", "group")
-                relation = self._stored(shrunk(relation, kept, size), f"relation-{size}")
+                relation = self._stored(shrunk(relation, found.select("run", "bucket", "kept"), size, buckets), f"relation-{size}")
             self._remove(f"relation-{size - 1}")
         #: w, a: the words' keys and the occurrences of every frequent phrase of 1 to ``longest`` words
         self.groups = reduce(DataFrame.unionByName, groups)

@@ -52,8 +52,9 @@ def made(seed, n, words="a b c d aa é x\x1cy C".split(), seps=(" ", " ", " ", "
     return [(rng.choice(["en", "de", None]), "".join(rng.choice(words) + rng.choice(seps) for _ in range(rng.randint(0, 90)))) for _ in range(n)]
 
 
-@pytest.mark.parametrize("run_words,least", [(3, 8), (50, 30)])
-def test_equals_counting(spark, run_words, least):
+@pytest.mark.parametrize("run_words,least,bucket", [(3, 8, 400), (50, 30, 1 << 20)])
+def test_equals_counting(spark, run_words, least, bucket, monkeypatch):
+    monkeypatch.setattr(phrases, "PHRASES_A_BUCKET", bucket)
     rows = made(1, 150) + [(None, None), ("en", ""), ("en", " . "), ("xx", "once only"), ("en", "a a a a a a a " * 200), ("en", "a b c d e\n" * 40)]
     assert mined(spark, rows, least, run_words=run_words) == plain(rows, least)
 
