@@ -1,29 +1,35 @@
 r"""Secret scan that looks below nested encodings.
 
-Base findings are those of the text itself. Beyond them a worklist decodes layers: the text with its percent escapes
-resolved, with its ``\uXXXX``, ``\u{X}``, ``\UXXXXXXXX`` and ``\xXX`` escapes resolved, and the content of every base64
-run, also of one wrapped over lines, unpacked when it is zlib, gzip, bz2 or xz data. Such content is read as Latin-1, a
-character a byte, whatever it holds: all patterns are ASCII, so text in UTF-8 or beside binary data gives the same findings. Every new layer is scanned and
-decoded in turn until no new layer appears; layers seen before (same content from the same place) are not taken up again,
-so data that decode to themselves end. Each character of a layer carries the range of the original text it comes from, so
-findings map back.
-
-Compressed data are unpacked to the end of their last member and read in windows of some WINDOW characters. A window ends
-behind a character that no finding and no encoded run can hold, so nothing is cut; only an unbroken run longer than a
-window makes it grow. Data made to explode end where a run has given MAX_GROWTH bytes for each character of the text, more
-than deflate can give in one go; the other decodings only shrink their text, so their layers are not counted. A null text is treated as empty. Rows are independent; repeated rows give equal results.
+Base findings are those of the text itself. Beyond them a worklist decodes layers:
+
+* the text with its percent escapes resolved, and with its ``\uXXXX``, ``\u{X}``, ``\UXXXXXXXX`` and ``\xXX`` escapes;
+* the bytes of every base64 run, also of one wrapped over lines of any width, read from each of its first four characters:
+  a run may be glued to a path, a sign or letters, which shifts it;
+* zlib, gzip, bz2 and xz data, wherever in a run their first bytes appear, to the end of their last member;
+* stretches of such bytes that are ASCII in UTF-16 or UTF-32, as plain text.
+
+Bytes are read as Latin-1, a character each, whatever they hold: all patterns are ASCII, so text in UTF-8 or beside binary
+data gives the same findings. Every new layer is scanned and decoded in turn until no new layer appears; layers seen before
+(same content from the same place) are not taken up again, so data that decode to themselves end. Each character of a layer
+carries the range of the original text it comes from, so findings map back.
+
+Compressed data are read in windows of some WINDOW characters. A window ends behind a character that no finding and no
+encoded run can hold, so nothing is cut; only an unbroken run longer than a window makes it grow. A text whose layers
+amount to MAX_DECODED bytes, which takes data made to explode, is left there and marked: ``stopped`` is true. All others are
+read to the end. A null text is treated as empty. Rows are independent; repeated rows give equal results.
 """
 
 from __future__ import annotations
 
 import binascii
 import bz2
+import functools
 import hashlib
 import itertools
 import lzma
 import re
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -33,7 +39,7 @@ from pyspark.sql.types import StringType
 from docketflow.llm.rows import map_rows
 
 KINDS = ("assign", "access", "hex")
-MAX_GROWTH = 2_000
+MAX_DECODED = 1 << 30
 CHUNK = 1_000_000
 WINDOW = 8_000_000
 MIN_BASE64 = 18
@@ -45,10 +51,14 @@ _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2})+")
 _ONE = re.compile(r"\\u\{([0-9A-Fa-f]+)\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})")
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{%d,}={0,2}" % MIN_BASE64)
-_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{40,}\r?\n)+[A-Za-z0-9+/_-]+={0,2}")
+_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]+[ \t]*\r?\n[ \t]*)+[A-Za-z0-9+/_-]+={0,2}")
+#: How compressed data begin in base64: gzip, bz2, xz, zlib.
+_MAGIC = re.compile(rb"H4sI|Qlpo|/Td6WF|e[AFJN]")
+#: ASCII in UTF-32 or UTF-16, in either byte order.
+_WIDE = re.compile("(?:[^\0]\0{3}){8,}[^\0]?|(?:[^\0]\0){8,}[^\0]?")
 _URLSAFE = bytes.maketrans(b"-_", b"+/")
 #: By byte: whether no finding and no encoded run can hold it.
-_BREAKS = np.array([not re.match(rb"""[A-Za-z0-9+/_.=%\\{}:"'\x20\r\n-]""", bytes([i])) for i in range(256)])
+_BREAKS = np.array([not re.match(rb"""[A-Za-z0-9+/_.=%\\{}:"'\x20\t\r\n\0-]""", bytes([i])) for i in range(256)])
 
 Span = tuple[int, str, int]
 
@@ -167,58 +177,94 @@ def _windows(chunks: Iterable[bytes]) -> Iterator[str]:
         yield b"".join(held).decode("latin-1")
 
 
-def _contents(data: bytes, begin: int, end: int, room: int) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
-    """Layers of compressed data, of what is compressed inside them, and so on; ``room`` bytes at most."""
-    known = {hashlib.sha256(data).digest()}
+class _Room:
+    """How many bytes may still be decoded."""
+
+    def __init__(self, left: int = MAX_DECODED):
+        self.left = left
+
+    def take(self, size: int) -> bool:
+        self.left -= size
+        return self.left > 0
+
+
+def _contents(encoded: Callable[[], Iterator[bytes]], begin: int, end: int, room: _Room) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+    """Layers of compressed data, of what is compressed inside them, and so on."""
+    known: set[bytes] = set()
     for depth in itertools.count(1):
-        chunks, whole, empty = iter([data]), hashlib.sha256(), True
+        chunks, whole, empty = encoded(), hashlib.sha256(), True
         for _ in range(depth):
             chunks = _unpack(chunks)
 
         def counted(chunks=chunks, whole=whole):
-            nonlocal room, empty
+            nonlocal empty
             for chunk in chunks:
-                empty, room = False, room - len(chunk)
+                empty = False
                 whole.update(chunk)
                 yield chunk
-                if room <= 0:
+                if not room.take(len(chunk)):
                     return
 
         for text in _windows(counted()):
-            yield text, np.broadcast_to(begin, len(text)), np.broadcast_to(end, len(text))
-        if empty or room <= 0 or whole.digest() in known:   # some data unpack to themselves
+            for one in itertools.chain([text], (made for made, _ in _wide(text))):
+                yield one, np.broadcast_to(begin, len(one)), np.broadcast_to(end, len(one))
+        if empty or room.left <= 0 or whole.digest() in known:   # some data unpack to themselves
             return
         known.add(whole.digest())
 
 
-def _base64(text, begin, end, room):
-    """The bytes of each base64 run; and, if they are compressed, an iterator over the layers inside."""
-    for m in [*_WRAPPED.finditer(text), *_BASE64.finditer(text)]:
-        body = "".join(m[0].split()).rstrip("=").encode().translate(_URLSAFE)
-        if len(body) % 4 == 1:
-            continue
-        try:
-            data = binascii.a2b_base64(body + b"=" * (-len(body) % 4))
-        except binascii.Error:
-            continue
-        signs = np.frombuffer(m[0].encode(), np.uint8)
-        at = m.start() + np.flatnonzero((signs != 10) & (signs != 13) & (signs != 61))
-        first, last = np.arange(len(data)) * 8 // 6, -(-np.arange(1, len(data) + 1) * 8 // 6)
-        ends = end[at[np.minimum(last, len(body)) - 1]].copy()
-        ends[-1] = end[m.end() - 1]   # padding belongs to the last character
-        yield data.decode("latin-1"), begin[at[first]], ends
-        if _packer(data):
-            yield _contents(data, begin[m.start()], end[m.end() - 1], room)
+def _decoded(body: bytes, at: int) -> Iterator[bytes]:
+    """The bytes of a base64 run from a place on, in growing stretches."""
+    size = 256
+    while at < len(body):
+        part = body[at:at + size]
+        part = part[:-1] if len(part) % 4 == 1 else part
+        if not part:
+            return
+        yield binascii.a2b_base64(part + b"=" * (-len(part) % 4))
+        at, size = at + size, min(4 * size, CHUNK)
+
 
+def _wide(text: str) -> Iterator[tuple[str, np.ndarray]]:
+    """The plain text of each stretch of wide characters, and where its characters are."""
+    for m in _WIDE.finditer(text) if "\0" in text else ():
+        yield m[0].replace("\0", ""), m.start() + np.flatnonzero(np.frombuffer(m[0].encode("latin-1"), np.uint8))
 
-def layers(text: str):
+
+def _base64(text, begin, end, room):
+    """The bytes of each base64 run from its first four characters on; and an iterator over the layers of compressed data."""
+    for m in itertools.chain(_WRAPPED.finditer(text), _BASE64.finditer(text)):
+        signs = np.frombuffer(m[0].encode(), np.uint8)
+        kept = np.flatnonzero((signs > 32) & (signs != 61))
+        if len(kept) < MIN_BASE64:
+            continue
+        at, raw = m.start() + kept, signs[kept].tobytes()
+        body = raw.translate(_URLSAFE)
+        for shift in range(4):
+            data = b"".join(_decoded(body, shift))
+            first = shift + np.arange(len(data)) * 8 // 6
+            last = shift - (-np.arange(1, len(data) + 1) * 8 // 6)
+            ends = end[at[np.minimum(last, len(body)) - 1]].copy()
+            ends[-1] = end[m.end() - 1]   # padding belongs to the last character
+            begins = begin[at[first]]
+            plain = data.decode("latin-1")
+            yield plain, begins, ends
+            for made, places in _wide(plain):
+                yield made, begins[places], ends[places]
+        for magic in _MAGIC.finditer(body):
+            place = magic.start()
+            if next(_unpack(_decoded(body, place)), None):
+                yield _contents(functools.partial(_decoded, body, place), begin[at[place]], end[m.end() - 1], room)
+
+
+def layers(text: str, room: _Room | None = None):
     """Every decoded layer below ``text`` as (text, begin, end), each once."""
-    if not ("%" in text or "\\" in text or _BASE64.search(text)):
+    room = room or _Room()
+    if not ("%" in text or "\\" in text or _BASE64.search(text) or _WRAPPED.search(text)):
         return
     whole = np.arange(len(text))
     waiting, seen = [(text, whole, whole + 1)], {(text, 0, len(text))}
-    room = MAX_GROWTH * len(text)
-    while waiting:
+    while waiting and room.left > 0:
         layer = waiting.pop()
         if isinstance(layer, Iterator):   # compressed data: one window at a time
             made = [m] if (m := next(layer, None)) else []
@@ -237,34 +283,36 @@ def layers(text: str):
                 continue
             seen.add(mark)
             yield one
+            if not room.take(len(one[0])):
+                return
             waiting.append(one)
 
 
-def scan(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
-    """(base findings, all findings) of a text, each by start, then kind, then end."""
+def scan(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]], bool]:
+    """(base findings, all findings) of a text, each by start, then kind, then end; and whether it was left unread."""
     text = text or ""
     order = lambda x: (x[1], KINDS.index(x[0]), x[2])
     base = sorted(matches(text), key=order)
-    found = set(base)
-    for layer, begin, end in layers(text):
+    found, room = set(base), _Room(MAX_DECODED)
+    for layer, begin, end in layers(text, room):
         found.update((kind, int(begin[s]), int(end[e - 1])) for kind, s, e in matches(layer))
-    return base, sorted(found, key=order)
+    return base, sorted(found, key=order), room.left <= 0
 
 
 def _joined(spans) -> str:
     return ",".join(f"{kind}:{start}:{end}" for kind, start, end in spans)
 
 
-def _digest(text: str | None) -> tuple[int, int, int, str, str]:
-    base, spans = scan(text)
+def _digest(text: str | None) -> tuple[int, int, int, str, str, bool]:
+    base, spans, stopped = scan(text)
     counts = [sum(kind == x for x, _, _ in base) for kind in KINDS]
-    return (*counts, hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(spans))
+    return (*counts, hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(spans), stopped)
 
 
 def digests(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, n_assign, n_access, n_hex, base_sha256, spans of every row."""
+    """key, n_assign, n_access, n_hex, base_sha256, spans, stopped of every row."""
     return map_rows(docs.select(key, text), _digest,
-                    "n_assign long, n_access long, n_hex long, base_sha256 string, spans string", keep=True)
+                    "n_assign long, n_access long, n_hex long, base_sha256 string, spans string, stopped boolean", keep=True)
 
 
 def mask(text: str | None) -> str | None:

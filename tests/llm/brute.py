@@ -104,3 +104,17 @@ def nearest(ids, vectors, k):
         order = sorted((j for j in range(len(ids)) if j != i), key=lambda j: (-round(scores[i, j], 12), ids[j]))[:k]
         out[key] = [(ids[j], scores[i, j]) for j in order]
     return out
+
+
+_SECRETS = [
+    ("assign", re.compile(r"""(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|"""
+                          r"""[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?[ ]*[:=][ ]*["']?([A-Za-z0-9+/_.=-]+)"""), 1, 8),
+    ("access", re.compile("(AKIA[A-Z0-9]+)"), 1, 16), ("hex", re.compile("([0-9a-f]+)"), 1, 32)]
+
+
+def secrets(text):
+    """(counts by kind, sha256 of the spans) of the text itself, without layers."""
+    found = [(m.start(), i, kind, m.end()) for i, (kind, pattern, group, least) in enumerate(_SECRETS)
+             for m in pattern.finditer(text or "") if len(m[group]) >= least]
+    counts = [sum(x[2] == kind for x in found) for kind, *_ in _SECRETS]
+    return (*counts, hashlib.sha256(",".join(f"{kind}:{a}:{b}" for a, _, kind, b in sorted(found)).encode()).hexdigest())

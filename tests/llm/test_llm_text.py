@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import time
 import urllib.parse
 import zlib
 
@@ -112,6 +113,57 @@ def test_layers_are_not_counted():
     assert [x[0] for x in secrets.scan(text)[1]] == ["assign"] and secrets.mask(text).endswith("<assign>")
 
 
+SECRET = b"password=hunter2hunter2"
+
+
+@pytest.mark.parametrize("glue", ["https://h.example/a/", "-", "a", "ab", "abc", "x=", "data:text/plain;base64,", "/", "_"])
+@pytest.mark.parametrize("pack", [bytes, zlib.compress, __import__("gzip").compress, __import__("bz2").compress, __import__("lzma").compress])
+def test_runs_at_any_place(glue, pack):
+    made = base64.b64encode(pack(b"some = thing, " + SECRET)).decode()
+    text = f"see {glue}{made} end"
+    found = [x for x in secrets.scan(text)[1] if x[0] == "assign"]
+    assert found and all(4 <= a < b <= 4 + len(glue) + len(made) for _, a, b in found)
+    assert "hunter2" not in secrets.mask(text) and len(secrets.mask(text)) < len(text)
+
+
+@pytest.mark.parametrize("width", [4, 5, 20, 39, 64, 76])
+@pytest.mark.parametrize("end", ["\n", "\r\n", "\n  "])
+def test_lines_of_any_width(width, end):
+    made = base64.b64encode(b"some = thing, " + SECRET).decode()
+    text = "x\n\n" + end.join(made[i:i + width] for i in range(0, len(made), width)) + "\n\ny"
+    assert [x[0] for x in secrets.scan(text)[1]] == ["assign"]
+
+
+@pytest.mark.parametrize("code", ["utf-16", "utf-16-le", "utf-16-be", "utf-32"])
+@pytest.mark.parametrize("pack", [bytes, zlib.compress])
+def test_wide_characters(code, pack):
+    text = base64.b64encode(pack("some = thing, password=hunter2hunter2, end".encode(code))).decode()
+    (kind, start, stop), = secrets.scan(text)[1]
+    assert kind == "assign" and 0 <= start < stop <= len(text)
+
+
+@pytest.mark.parametrize("module,size", [("bz2", 1 << 20), ("lzma", 5 << 20), ("bz2", 60 << 20), ("gzip", 40 << 20)])
+def test_secrets_far_behind(module, size):
+    text = base64.b64encode(__import__(module).compress(b"\0" * size + SECRET)).decode()
+    found = secrets.scan(text)
+    assert ("assign", 0, len(text)) in found[1] and not found[2]
+
+
+def test_data_made_to_explode_are_marked(monkeypatch):
+    monkeypatch.setattr(secrets, "MAX_DECODED", 3 << 20)
+    bomb = base64.b64encode(__import__("lzma").compress(b"z" * (8 << 20))).decode()
+    assert secrets.scan(f"token=abcdefgh1 {bomb}")[1:] == ([("assign", 0, 15)], True)
+    assert secrets.scan("token=abcdefgh1")[2] is False
+
+
+def test_base_of_the_whole_table(spark):
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text").collect()}
+    got = queries.op2(spark, FOLDER).collect()
+    assert len(got) == len(texts) and not any(r["stopped"] for r in got)
+    for r in got:
+        assert (r["n_assign"], r["n_access"], r["n_hex"], r["base_sha256"]) == brute.secrets(texts[r["doc_id"]])
+
+
 def test_secret_rows(spark):
     rows = [(1, None, "s"), (2, "", "s"), (2, "token=abcdefgh1", "s"), (None, "x " * 50_000 + "secret: abcdefgh", "s")]
     got = secrets.digests(spark.createDataFrame(rows, "doc_id long, text string, spans string")).collect()
@@ -241,6 +293,45 @@ def test_page_without_article():
     assert html_text.extract(PAGE % body).split("\n")[0::2] == ["Head", "Short."]
 
 
+LONG = "A long paragraph of the story goes on and on, with many words in it. " * 3
+STORY = [LONG.strip(), "Short line of it.", LONG.strip() + " More."]
+BODY = "".join(f"<p>{x}</p>" for x in STORY)
+NOISY = "<nav><a href=/>Home</a></nav>%s<div class='cookie-notice'><p>We use cookies, and say so in a long sentence here.</p></div><footer>Foot</footer>"
+
+
+@pytest.mark.parametrize("page", [
+    BODY, f"<div>{BODY}</div>", f"<div id=content>{BODY}</div>", f"<section>{BODY}</section>", f"<table><tr><td>{BODY}</td></tr></table>",
+    f'<div class="has-sidebar">{BODY}</div>', f'<div class="layout with-sidebar">{BODY}</div>', f'<div id="search-results">{BODY}</div>',
+    f'<div class="page no-cookie">{BODY}</div>', f'<div class="menu-planner">{BODY}</div>', f'<div class="share-price">{BODY}</div>',
+    f'<div class="sidebar">{BODY}</div>', f'<div class="widget content">{BODY}</div>', f'<div id="alert">{BODY}</div>',
+    f'<div><div class="sidebar-left"><p>Beside it.</p></div><div>{BODY}</div></div>',
+    f'<div>{BODY}</div><div class="related-posts"><ul><li>Other story of them</li></ul></div>',
+    f'<div>{BODY}</div><section id="comments"><p>{LONG}</p></section>', f'<div>{BODY}</div><div role="complementary">{LONG}</div>',
+    f'<div>{BODY}</div><div hidden>{LONG}</div>', f'<div>{BODY}</div><div style="display: none">{LONG}</div>',
+    f'<div>{BODY}</div><aside><p>{LONG}</p></aside>', f'<div>{BODY}</div><form><p>{LONG}</p></form>',
+    f'<div>{BODY}</div><span class="ad">Buy <span>it</span> now</span>',
+    f'<div class="search-results"><article>{BODY}</article></div>', f'<div class="sidebar"><main>{BODY}</main></div>',
+    f'<main><div class="related-work">{BODY}</div></main>', f'<main>{BODY}<div class="newsletter-signup">Join us</div></main>'])
+def test_pages_of_many_forms(page):
+    for made in (page, NOISY % page, f"<html><body class='nav-open sidebar'>{NOISY % page}</body></html>"):
+        assert html_text.extract(made).split("\n") == STORY
+
+
+def test_several_articles():
+    page = NOISY % "".join(f"<article><h2>Head {i}</h2><p>{LONG}</p></article>" for i in range(3))
+    assert html_text.extract(page).split("\n") == [x for i in range(3) for x in (f"Head {i}", LONG.strip())]
+    teaser = f"<article><p>{LONG * 9}</p></article><article><a href=x>Other</a></article>"
+    assert html_text.extract(teaser) == (LONG * 9).strip()
+
+
+@pytest.mark.parametrize("page", ["<b>" * 20_000 + "<p>text</p>" * 10, "<article>" + "<b>x " * 20_000, "<h1>" * 20_000 + "<p>a</p>" * 1_000,
+                                  "<div>" * 20_000 + "text", "<p><div>" + "<h2>x" * 20_000, "<i><p>" * 20_000 + "x"])
+def test_open_tags_take_time_in_proportion(page):
+    begin = time.perf_counter()
+    assert html_text.extract(page)
+    assert time.perf_counter() - begin < 5
+
+
 def test_awkward_pages(spark):
     assert html_text.extract(None) == html_text.extract("") == html_text.extract("<nav>only</nav>") == ""
     long = "<article>" + "<p>word &amp; word</p>" * 20_000 + "<p>" + "x" * 300_000
