@@ -102,9 +102,10 @@ def _variants(nodes: DataFrame, max_bits: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(values), place, np.int8)), pa.array(values),
                                                       pa.array(np.repeat(part, len(flips)))], names=["place", "value", "fp"])
 
-    # Eight bytes a fingerprint look small to the planner, which would leave the work to a few tasks.
+    # Eight bytes a fingerprint look small to the planner, which would leave the work to a few tasks. The nodes come
+    # grouped by fingerprint; dealing them out by the fingerprint again would be left out as needless.
     tasks = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return nodes.select("fp").repartition(tasks, "fp").mapInArrow(emit, "place byte, value long, fp long")
+    return nodes.select("fp").repartition(tasks, F.xxhash64("fp")).mapInArrow(emit, "place byte, value long, fp long")
 
 
 def _forest(fps: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
@@ -141,7 +142,7 @@ def links(nodes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     met = _variants(nodes, max_bits).repartition("place", "value").sortWithinPartitions("place", "value")
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = [np.zeros(0, np.int8), np.zeros(0, np.int64), np.zeros(0, np.int64)]
+        kept: list[list[np.ndarray]] = []   # batches that may all belong to one bucket
 
         def work(place, value, fp):
             starts = np.flatnonzero(np.concatenate([[True], (value[1:] != value[:-1]) | (place[1:] != place[:-1])]))
@@ -154,18 +155,25 @@ def links(nodes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
             a, b = np.array(found, np.int64).reshape(-1, 2).T
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
+        def joined():
+            return (np.concatenate(x) for x in zip(*kept))
+
         for batch in batches:
-            new = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            place, value, fp = (np.concatenate([x, y]) for x, y in zip(kept, new))
+            place, value, fp = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
             if not len(fp):
                 continue
+            if kept and (kept[-1][0][-1], kept[-1][1][-1]) != (place[0], value[0]):
+                yield work(*joined())
+                kept = []
             changed = np.flatnonzero((value[1:] != value[:-1]) | (place[1:] != place[:-1]))
             cut = int(changed[-1]) + 1 if len(changed) else 0
-            kept = [place[cut:], value[cut:], fp[cut:]]
             if cut:
-                yield work(place[:cut], value[:cut], fp[:cut])
-        if len(kept[2]):
-            yield work(*kept)
+                kept.append([place[:cut], value[:cut], fp[:cut]])
+                yield work(*joined())
+                kept = []
+            kept.append([place[cut:], value[cut:], fp[cut:]])
+        if kept:
+            yield work(*joined())
 
     return met.mapInArrow(runs, "a long, b long")
 

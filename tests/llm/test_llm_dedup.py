@@ -4,6 +4,7 @@ import random
 
 import pytest
 from llm import brute
+from pyspark.sql import functions as F
 
 from docketflow.llm import components, decontam, queries, simhash, suffix
 
@@ -34,6 +35,25 @@ def test_simhash_groups(spark, texts):
     assert {r["doc_id"]: (r["fp"] % 2**64, r["component"]) for r in got} == dict(enumerate(zip(prints, roots)))
 
 
+def test_simhash_emission_is_dealt_to_all_tasks(spark):
+    nodes = spark.range(5_000).select(F.xxhash64("id").alias("fp")).groupBy("fp").agg(F.count("*").alias("n"))
+    rows = simhash._variants(nodes, 3).groupBy(F.spark_partition_id().alias("p")).count().collect()
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert len(rows) == tasks and max(r["count"] for r in rows) < 2 * sum(r["count"] for r in rows) / tasks
+
+
+def test_simhash_bucket_over_many_batches(spark):
+    """Buckets come in batches of 3 rows."""
+    texts = [f"a b c d e f g h i j k l m n o p q r s t u v w x y z {i % 40}" for i in range(60)]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        got = simhash.groups(frame(spark, list(enumerate(texts)), "doc_id long, text string"), max_bits=2).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert {r["doc_id"]: r["component"] for r in got} == dict(enumerate(brute.groups(texts, 2)[1]))
+
+
 @pytest.mark.parametrize("bits", [0, 1, 2, 4])
 def test_simhash_other_distances(spark, texts, bits):
     got = simhash.groups(frame(spark, list(enumerate(texts)), "doc_id long, text string"), max_bits=bits)
