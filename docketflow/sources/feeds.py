@@ -52,11 +52,13 @@ def stream_feed_snapshots(spark: SparkSession, path: str, max_files: int | None
 
 def _feed_columns(items: DataFrame) -> DataFrame:
     landed = F.col("_metadata.file_modification_time")
+    # What cannot be parsed has no fields; asking for them also keeps the reader from being asked for the fault alone.
+    broken = F.when(F.col("title").isNull() & F.col("guid").isNull(), F.substring(_CORRUPT, 1, BROKEN_CHARS))
     return items.select(
         "title", "link", "description", "guid", F.col("pubDate").alias("published"),
         F.regexp_extract("_metadata.file_path", _COURT_IN_PATH, 1).alias("court"),
         parse.ntz_from_seconds(F.unix_micros(landed) / F.lit(1_000_000)).alias("scrape_date"),
-        F.col("_metadata.file_path").alias("snapshot"), F.substring(_CORRUPT, 1, BROKEN_CHARS).alias(BROKEN),
+        F.col("_metadata.file_path").alias("snapshot"), broken.alias(BROKEN),
     )
 
 
