@@ -12,7 +12,8 @@ removed when the next one is written. Each length takes four steps:
    position and at the next one are both frequent (a zero word separates pieces, so nothing joins across them);
 2. group-count: a run sends each of its distinct phrases once, with its count, to the bucket of the phrase's hash, packed
    with the others for that bucket, and the buckets add up; a phrase that is a third of all text sends one count a run;
-3. groups of at least ``least`` occurrences are kept, under exact keys: the words' numbers, themselves kept in a table;
+3. groups of at least ``least`` occurrences are kept, under exact keys: the words' numbers, which come from the same count
+   of single words and are kept in a table;
 4. semi-join with the frequent groups: the bucket tells every run which of the phrases it sent are among them, a bit each,
    and the run writes the relation of length k.
 
@@ -24,18 +25,20 @@ Repeated rows count as often as they occur; ids take no part. Extra columns don'
 from __future__ import annotations
 
 import re
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docketflow.llm.rows import slices
-from docketflow.operators.ordering import number_rows, top_per_group
+from docketflow.operators.ordering import running_total, top_per_group
 from docketflow.session import remove_path, scratch_path
 
 LONGEST = 5
@@ -44,7 +47,7 @@ TOP = 2_000
 COVER = 100
 SCALE = 1_000
 RUN_WORDS = 1 << 20
-#: Words of the corpus for each bucket in which phrases are counted; a bucket has at most about as many phrases.
+#: Bytes of packed words for each bucket in which phrases are counted; a bucket has at most about as many phrases.
 PHRASES_A_BUCKET = 1 << 20
 NO_LANGUAGE = "und"
 
@@ -57,9 +60,9 @@ SLICE_BYTES = 1 << 20
 ID_BYTES = 4
 MOST_WORDS = 1 << 31
 
-_RUN = "run long, words binary, names array<struct<lang: string, word: string, n: long>>"
-_RUN_ARROW = pa.schema([("run", pa.int64()), ("words", pa.binary()), ("names", pa.list_(
-    pa.struct([("lang", pa.string()), ("word", pa.string()), ("n", pa.int64())])))])
+_RUN = "run long, words binary, langs array<string>, lang_of binary, hashes binary, counts binary, spelled binary"
+_RUN_ARROW = pa.schema([("run", pa.int64()), ("words", pa.binary()), ("langs", pa.list_(pa.string())), ("lang_of", pa.binary()),
+                        ("hashes", pa.binary()), ("counts", pa.binary()), ("spelled", pa.binary())])
 _RELATION = "run long, words binary, starts binary"
 _RELATION_ARROW = pa.schema([("run", pa.int64()), ("words", pa.binary()), ("starts", pa.binary())])
 
@@ -87,14 +90,14 @@ def _unpacked_starts(data: bytes) -> np.ndarray:
 class _Codes(dict):
     """Numbers of the words of one language in a run, given as they are first met; of what ends a piece: 0."""
 
-    def __init__(self, names: list[tuple[str, bytes]], lang: str):
+    def __init__(self, names: list[tuple[int, bytes]], lang_no: int):
         super().__init__()
-        self._names, self._lang = names, lang
+        self._names, self._lang_no = names, lang_no
 
     def __missing__(self, word: bytes) -> int:
         code = 0
         if word[0] not in _ENDS:
-            self._names.append((self._lang, word))
+            self._names.append((self._lang_no, word))
             code = len(self._names)
         self[word] = code
         return code
@@ -118,7 +121,7 @@ class _Run:
             to = end.start() if end else len(data)
             codes = self._codes.get(lang)
             if codes is None:
-                codes = self._codes[lang] = _Codes(self._names, lang)
+                codes = self._codes[lang] = _Codes(self._names, len(self._codes))
             words = _UNITS.findall(data, at, to)
             self._parts += [np.fromiter(map(codes.__getitem__, words), np.int32, len(words)), np.zeros(1, np.int32)]
             self._size, at = self._size + len(words) + 1, to
@@ -127,21 +130,23 @@ class _Run:
 
     def close(self) -> Iterator[pa.RecordBatch]:
         if self._names:
-            words = np.concatenate(self._parts)
-            counts = np.bincount(words, minlength=len(self._names) + 1)[1:]
-            names = pa.StructArray.from_arrays([
-                pa.array([lang for lang, _ in self._names]), pa.array([word.decode() for _, word in self._names]),
-                pa.array(counts, pa.int64())], ["lang", "word", "n"])
-            yield pa.RecordBatch.from_arrays([pa.array([self.number], pa.int64()), pa.array([_packed(words)], pa.binary()),
-                                              pa.ListArray.from_arrays(pa.array([0, len(names)], pa.int32()), names)], schema=_RUN_ARROW)
+            words, langs = np.concatenate(self._parts), list(self._codes)
+            lang_of = np.fromiter((no for no, _ in self._names), np.int32, len(self._names))
+            seeds = [xxhash.xxh32_intdigest(lang) for lang in langs]
+            hashes = np.fromiter((xxhash.xxh32_intdigest(word, seeds[no]) for no, word in self._names), np.uint32, len(self._names))
+            values = [_packed(lang_of), _packed(hashes.view(np.int32)), _packed(np.bincount(words, minlength=len(lang_of) + 1)[1:]),
+                      zstandard.compress(b"\n".join(word for _, word in self._names), 1)]
+            yield pa.RecordBatch.from_arrays([
+                pa.array([self.number], pa.int64()), pa.array([_packed(words)], pa.binary()), pa.array([langs], pa.list_(pa.string())),
+                *[pa.array([v], pa.binary()) for v in values]], schema=_RUN_ARROW)
         self.number += 1
         self._start()
 
 
 def runs(docs: DataFrame, text: str = "text", lang: str = "lang", run_words: int = RUN_WORDS) -> DataFrame:
-    """The texts as runs: ``words`` are places in ``names``, from 1, and 0 between pieces; ``names`` has the run's counts.
+    """The texts as runs: ``words`` are places, from 1, in the list of the run's distinct words, and 0 between pieces.
 
-    A run's number is the task's partition and a running number, so a task that is run again makes the same runs.
+    Of every distinct word there are the language (a place in ``langs``), a hash, its count and its spelling. A run's number is the task's partition and a running number, so a task that is run again makes the same runs.
     """
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
@@ -302,20 +307,87 @@ def _relation(run: int, words: np.ndarray, starts: np.ndarray, size: int) -> pa.
                                        pa.array([_packed_starts(at, len(rest))], pa.binary())], schema=_RELATION_ARROW)
 
 
-def _numbered(run_table: DataFrame, known: DataFrame) -> DataFrame:
-    """The relation of length 1: run, words (numbers of frequent words, others 0), starts. ``known`` has run, place, no."""
-    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _dealt(lang_of: bytes, hashes: bytes, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A run's distinct words by bucket and language: their order, where each stretch begins and ends, and its bucket and language."""
+    lang, bucket = _unpacked(lang_of), _unpacked(hashes).view(np.uint32) % np.uint32(min(buckets, (1 << 32) - 1))
+    order = np.lexsort((lang, bucket))
+    lang, bucket = lang[order], bucket[order].astype(np.int64)
+    cuts = np.flatnonzero(np.concatenate([[True], (lang[1:] != lang[:-1]) | (bucket[1:] != bucket[:-1]), [True]]))
+    return order, cuts, bucket[cuts[:-1]], lang[cuts[:-1]]
+
+
+def word_counts(run_table: DataFrame, buckets: int, least: int) -> DataFrame:
+    """Group-count of the words, in buckets by their hash: bucket, run, lang, places, words, totals.
+
+    Runs send their distinct words with their counts. ``places`` says of each that a run sent where it stands among the
+    bucket's frequent ones, from 1, or 0. A bucket's first row lists these (lang, word, a) and the occurrences of all its
+    words by language.
+    """
+    sent = pa.schema([("bucket", pa.int64()), ("run", pa.int64()), ("lang", pa.string()), ("counts", pa.binary()), ("spelled", pa.binary())])
+    word = pa.struct([("lang", pa.string()), ("word", pa.string()), ("a", pa.int64())])
+    total = pa.struct([("lang", pa.string()), ("n", pa.int64())])
+    schema = pa.schema([("bucket", pa.int64()), ("run", pa.int64()), ("lang", pa.string()), ("places", pa.binary()),
+                        ("words", pa.list_(word)), ("totals", pa.list_(total))])
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for run, codes, places, numbers in zip(*batch.columns):
-                codes, places = _unpacked(codes.as_py()), _array(places)
-                table = np.zeros(max(codes.max(), places.max()) + 1, np.int32)
-                table[places] = _array(numbers)
-                words = table[codes]
-                yield _relation(run.as_py(), words, np.flatnonzero(words), 1)
+            for run, langs, lang_of, hashes, counts, spelled in zip(*(c.to_pylist() for c in batch.columns)):
+                order, cuts, bucket, lang = _dealt(lang_of, hashes, buckets)
+                counts, spelled = _unpacked(counts)[order], np.array(zstandard.decompress(spelled).split(b"\n"), object)[order]
+                ends = list(zip(cuts, cuts[1:]))
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(bucket), pa.array([run] * len(ends), pa.int64()), pa.array([langs[i] for i in lang]),
+                    pa.array([_packed(counts[a:b]) for a, b in ends], pa.binary()),
+                    pa.array([zstandard.compress(b"\n".join(spelled[a:b]), 1) for a, b in ends], pa.binary())], schema=sent)
+
+    def count(table: pa.Table) -> pa.Table:
+        rows = [(run, lang, zstandard.decompress(spelled).split(b"\n"), _unpacked(counts).tolist())
+                for run, lang, counts, spelled in zip(*(table.column(c).to_pylist() for c in ("run", "lang", "counts", "spelled")))]
+        met: dict[tuple[str, bytes], int] = defaultdict(int)
+        for _, lang, words, counts in rows:
+            for one, n in zip(words, counts):
+                met[lang, one] += n
+        totals: Counter = Counter()
+        for (lang, _), n in met.items():
+            totals[lang] += n
+        frequent = sorted(key for key, n in met.items() if n >= least)
+        place = {key: i for i, key in enumerate(frequent, 1)}
+        places = [np.fromiter((place.get((lang, one), 0) for one in words), np.int32, len(words)) for _, lang, words, _ in rows]
+        kept = [i for i, p in enumerate(places) if p.any() or not i]
+        lists = [[{"lang": lang, "word": one.decode(), "a": met[lang, one]} for lang, one in frequent]]
+        sums = [[{"lang": lang, "n": n} for lang, n in totals.items()]]
+        return pa.Table.from_arrays([
+            pa.array([table.column("bucket")[0].as_py()] * len(kept), pa.int64()), pa.array([rows[i][0] for i in kept], pa.int64()),
+            pa.array([rows[i][1] for i in kept], pa.string()), pa.array([_packed(places[i]) for i in kept], pa.binary()),
+            pa.array(lists + [[]] * (len(kept) - 1), pa.list_(word)), pa.array(sums + [[]] * (len(kept) - 1), pa.list_(total))], schema=schema)
+
+    return run_table.select("run", "langs", "lang_of", "hashes", "counts", "spelled") \
+        .mapInArrow(send, "bucket long, run long, lang string, counts binary, spelled binary").groupBy("bucket") \
+        .applyInArrow(count, "bucket long, run long, lang string, places binary, "
+                      "words array<struct<lang: string, word: string, a: long>>, totals array<struct<lang: string, n: long>>")
+
 
-    pairs = known.groupBy(F.col("run").alias("of")).agg(F.collect_list(F.struct("place", "no")).alias("pairs"))
-    return run_table.join(pairs, F.col("run") == F.col("of")) \
-        .select("run", "words", F.col("pairs.place").alias("places"), F.col("pairs.no").alias("numbers")).mapInArrow(number, _RELATION)
+def _numbered(run_table: DataFrame, answers: DataFrame, buckets: int) -> DataFrame:
+    """The relation of length 1: run, words (numbers of frequent words, others 0), starts.
+
+    ``answers`` has run, bucket, lang, places, and base: the number before the first of the bucket's words.
+    """
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for run, codes, langs, lang_of, hashes, mine in zip(*(c.to_pylist() for c in batch.columns)):
+                order, cuts, bucket, lang = _dealt(lang_of, hashes, buckets)
+                stretch = {(b, langs[i]): (x, y) for b, i, x, y in zip(bucket.tolist(), lang.tolist(), cuts, cuts[1:])}
+                table = np.zeros(len(order) + 1, np.int32)
+                for one in mine:
+                    a, b = stretch[one["bucket"], one["lang"]]
+                    places = _unpacked(one["places"])
+                    table[1 + order[a:b]] = np.where(places, places + one["base"], 0)
+                words = table[_unpacked(codes)]
+                yield _relation(run, words, np.flatnonzero(words), 1)
+
+    mine = answers.groupBy(F.col("run").alias("of")).agg(F.collect_list(F.struct("bucket", "lang", "places", "base")).alias("mine"))
+    return run_table.join(mine, F.col("run") == F.col("of")).select("run", "words", "langs", "lang_of", "hashes", "mine") \
+        .mapInArrow(number, _RELATION)
 
 
 class Mined:
@@ -325,19 +397,22 @@ class Mined:
                  run_words: int = RUN_WORDS):
         self.spark, self.longest = docs.sparkSession, longest
         self.folder = scratch_path(self.spark, "phrases")
-        run_table = self._stored(runs(docs, text, lang, run_words), "runs")
-        places = run_table.select("run", F.posexplode("names").alias("at", "name")) \
-            .select("run", (F.col("at") + 1).alias("place"), "name.lang", "name.word", "name.n")
-        words = self._stored(places.groupBy("lang", "word").agg(F.sum("n").alias("a")), "words")
+        run_table = self._stored(runs(docs, text, lang, run_words).withColumn("size", F.length("words")), "runs")
+        # Compressed words take a byte or two each.
+        buckets = (run_table.agg(F.sum("size")).first()[0] or 0) // PHRASES_A_BUCKET + 1
+        met = self._stored(word_counts(run_table, buckets, least), "groups-1")
         #: lang, n: all word occurrences
-        self.totals = self._stored(words.groupBy("lang").agg(F.sum("a").alias("n")), "totals")
-        #: lang, word, a, no, id (no as a key) of the frequent words; dealt once, from 1, in order, and stored, so exact
-        self.words = self._stored(_with_numbers(words.where(F.col("a") >= least)), "numbers")
-        known = places.join(self.words.select("lang", "word", "no"), ["lang", "word"]).select("run", "place", "no")
-        relation = self._stored(_numbered(run_table, known), "relation-1")
+        self.totals = self._stored(met.select(F.explode("totals").alias("t")).groupBy("t.lang").agg(F.sum("t.n").alias("n")), "totals")
+        sizes = met.where(F.size("words") > 0).select("bucket", F.size("words").alias("size"))
+        bases = self._stored(running_total(sizes, [], ["bucket"], F.col("size"), "upto")
+                             .select("bucket", (F.col("upto") - F.col("size")).alias("base")), "bases")
+        listed = met.select("bucket", F.posexplode("words").alias("at", "x")).join(bases, "bucket")
+        #: lang, word, a, no, id (no as a key) of the frequent words: numbers from 1, stored, so they are exact
+        self.words = self._stored(_with_keys(listed.select("x.lang", "x.word", "x.a", (F.col("base") + F.col("at") + 1).alias("no"))), "numbers")
+        answers = met.select("run", "bucket", "lang", "places").join(bases, "bucket")
+        relation = self._stored(_numbered(run_table, answers, buckets), "relation-1")
         self._remove("runs")
         groups = [self.words.select(F.col("id").alias("w"), "a")]
-        buckets = (self.totals.agg(F.sum("n")).first()[0] or 0) // PHRASES_A_BUCKET + 1
         for size in range(2, longest + 1):
             found = self._stored(counted(occurrences(relation, size, buckets), size, least), f"groups-{size}")
             groups.append(found.select(F.explode("groups").alias("g")).select("g.w", "g.a"))
@@ -349,6 +424,8 @@ class Mined:
 
     def _stored(self, rows: DataFrame, name: str) -> DataFrame:
         rows.write.parquet(f"{self.folder}/{name}")
+        # Spark removes the shuffle files of what nobody holds any more when the driver's memory is cleared.
+        self.spark.sparkContext._jvm.System.gc()
         return self.spark.read.schema(rows.schema).parquet(f"{self.folder}/{name}")
 
     def _remove(self, name: str) -> None:
@@ -364,11 +441,10 @@ class Mined:
         self.close()
 
 
-def _with_numbers(words: DataFrame) -> DataFrame:
-    """Numbers from 1 without gaps, and their keys; more frequent words than numbers are an error, not a wrap."""
-    numbered = number_rows(words, [], ["lang", "word"], "no")
+def _with_keys(words: DataFrame) -> DataFrame:
+    """Words with the keys of their numbers; more frequent words than there are numbers are an error, not a wrap."""
     fits = F.when(F.col("no") < MOST_WORDS, F.col("no")).otherwise(F.raise_error(F.lit("too many frequent words")).cast("long"))
-    return numbered.withColumn("no", fits.cast("int")).withColumn("id", F.unhex(F.lpad(F.hex("no"), 2 * ID_BYTES, "0")))
+    return words.withColumn("no", fits.cast("int")).withColumn("id", F.unhex(F.lpad(F.hex("no"), 2 * ID_BYTES, "0")))
 
 
 def _size(phrase: Column) -> Column:
