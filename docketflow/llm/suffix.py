@@ -43,6 +43,8 @@ CHUNK_BYTES = 1_900_000
 SHARD_BYTES = 300_000
 #: Ranges that the digests of a split minimum are dealt to, for each of its parts.
 PIECES = 8
+#: Parts up to which that holds; beyond them a part more gives a quarter of a range.
+MANY_PARTS = 64
 #: Suffixes of a segment that are compared one after the other.
 STRETCH = 64
 
@@ -316,6 +318,11 @@ def repeated(shards: DataFrame, length: int, chunk: int) -> DataFrame:
     return shards.mapInArrow(work, _RANGES)
 
 
+def ranges_of(parts: int) -> int:
+    """Ranges in which the windows of a minimum of so many parts meet: several a part, then fewer, so rows don't grow as fast."""
+    return min(PIECES * parts, PIECES * MANY_PARTS + parts // 4)
+
+
 def merged(shards: DataFrame, length: int, chunk: int) -> DataFrame:
     """The ranges that windows repeated in another part of a split minimum cover."""
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -329,10 +336,11 @@ def merged(shards: DataFrame, length: int, chunk: int) -> DataFrame:
                 sizes = [len(v) for v, _ in made]
                 at = np.concatenate([np.arange(n, dtype=np.int32) for n in sizes])
                 owner = np.repeat(np.arange(len(members), dtype=np.int32), sizes)
-                piece = (value % np.uint64(members[0][5] * PIECES)).astype(np.int64)
-                for p in np.unique(piece):
-                    one = np.flatnonzero(piece == p)
-                    rows.append((low, int(p), part, [row[2] for row in members], owner[one].astype("<i4").tobytes(),
+                piece = (value % np.uint64(ranges_of(members[0][5]))).astype(np.int64)
+                order = np.argsort(piece, kind="stable")
+                for one in np.split(order, np.flatnonzero(np.diff(piece[order])) + 1):
+                    owners, of = np.unique(owner[one], return_inverse=True)
+                    rows.append((low, int(piece[one[0]]), part, [members[i][2] for i in owners], of.astype("<i4").tobytes(),
                                  value[one].tobytes(), check[one].tobytes(), at[one].astype("<i4").tobytes()))
             kinds = (pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.binary()), *[pa.binary()] * 4)
             names = ["low", "piece", "part", "sids", "owner", "value", "check", "at"]
@@ -347,20 +355,17 @@ def merged(shards: DataFrame, length: int, chunk: int) -> DataFrame:
         at = np.concatenate([np.frombuffer(x, "<i4") for x in group["at"]])
         owner = np.concatenate([np.frombuffer(x, "<i4") + n for x, n in zip(group["owner"], before)])
         part = np.repeat(group["part"].to_numpy(), sizes)
+        # Each window is looked up once among the windows of all parts; those that meet others are compared by their check.
+        everything = np.sort(value)
+        met = np.searchsorted(everything, value, side="right") - np.searchsorted(everything, value) > 1
+        some = np.flatnonzero(met)
+        some = some[np.lexsort((part[some], check[some], value[some]))]
         hit = np.zeros(len(value), bool)
-        ordered = {}
-        for p in np.unique(part):
-            mine = np.flatnonzero(part == p)
-            ordered[p] = mine[np.lexsort((check[mine], value[mine]))]
-        for p, mine in ordered.items():
-            for q, other in ordered.items():
-                if p != q:
-                    place = np.searchsorted(value[other], value[mine])
-                    last = np.searchsorted(value[other], value[mine], side="right")
-                    one = (place < last) & (check[other[np.minimum(place, len(other) - 1)]] == check[mine])
-                    hit[mine[one]] = True
-                    for i in np.flatnonzero((last - place > 1) & ~one):
-                        hit[mine[i]] |= bool((check[other[place[i]:last[i]]] == check[mine[i]]).any())
+        if len(some):
+            v, c, p = value[some], check[some], part[some]
+            starts = np.flatnonzero(np.concatenate([[True], (v[1:] != v[:-1]) | (c[1:] != c[:-1])]))
+            ends = np.append(starts[1:], len(some))
+            hit[some] = np.repeat(p[starts] != p[ends - 1], ends - starts)
         found = np.flatnonzero(hit)
         found = found[np.lexsort((at[found], owner[found]))]
         out = []
