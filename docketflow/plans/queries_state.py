@@ -16,7 +16,7 @@ from docketflow.plans.queries_alerts import (
 )
 from docketflow.plans.queries_feed import START, _SQL_CANDIDATE, RUN_DATE
 from docketflow.plans.queries_files import SEARCH_DATE
-from docketflow.plans.queries_streaming import _ONE_PER_KEY, _keyed_events, _landed_feeds, _warehouse
+from docketflow.plans.queries_streaming import _ONE_PER_KEY, _keyed_events, _landed, _landed_feeds, _stream, _warehouse
 from docketflow.plans.registry import ORACLES, query
 from docketflow.schemas import DOCKET, DOCKET_KEY
 from docketflow.session import scratch_path
@@ -132,6 +132,20 @@ def stream_first_seen(spark, d):
     return spark.read.parquet(path).where(F.col("user_id").isNotNull()).select("user_id", "event_type", F.col("ts").alias("day"))
 
 
+@query("stream_docket_repeats", with_views("docket", """
+SELECT case_number, pub_date, case_name, scrape_date + INTERVAL (entry_id) SECOND AS scrape_date FROM docket
+QUALIFY row_number() OVER (PARTITION BY case_number, pub_date ORDER BY entry_id DESC) = 1"""))
+def stream_docket_repeats(spark, d):
+    """Every entry is landed twice, the later scrape anywhere among the files, and keys repeat; months are split by key."""
+    seconds = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.col("entry_id").cast("decimal(18,6)"))
+    entries = docket(spark, d).withColumn("scrape_date", F.col("scrape_date") + seconds)
+    stale = entries.withColumns({"scrape_date": F.col("scrape_date") - F.expr("interval 2 days"), "case_name": F.lit("stale")})
+    target = _warehouse(spark, 2).table("rss_docket_entries")
+    path = _landed(entries.unionByName(stale).select(*DOCKET.names).repartition(8, F.xxhash64("guid", "scrape_date")), "entries")
+    ingest.start_docket(_stream(spark, path), target, scratch_path(spark, "offsets")).awaitTermination()
+    return target.read().select(*DOCKET_KEY, "case_name", "scrape_date")
+
+
 # --- logs with a key sketch ---------------------------------------------------------------------------------------
 
 @query("unseen_by_sketch", ORACLES["unseen_urls"])
