@@ -34,6 +34,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,6 +50,8 @@ CLASS_PRIOR, MOVE_PRIOR = 8.0, 1.0
 #: Tokens' worth of room that every class has for unknown words.
 UNKNOWN_SHARE = 0.5
 CLASS_SLICE = 1_024
+#: Tasks whose sums are added up together before the shares are.
+TASKS_A_SHARE = 256
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _END = b" "
@@ -88,7 +91,6 @@ def blocks(docs: DataFrame, held: str, key: str, text: str, block_chars: int = B
              pa.binary(), pa.list_(pa.binary()), pa.binary(), pa.list_(pa.int64())]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
         part, made = TaskContext.get().partitionId(), 0
         keys, marks, texts, chars, vocabulary = [], [], [], 0, _Vocabulary({_END: 0})
 
@@ -251,19 +253,24 @@ def _round(made: DataFrame, model: Model) -> tuple[Model, float]:
                 steps = _Steps(sizes)
                 got = expected(sent.value, np.frombuffer(row["classes"], "<i4")[tokens[steps.take]], steps)
                 starts, moves, emissions, total = starts + got[0], moves + got[1], emissions + got[2], total + got[3]
+        share = (TaskContext.get().partitionId() if TaskContext.get() else 0) // TASKS_A_SHARE
         parts = [(-1, np.concatenate([[total], starts, moves.ravel()]))]
         parts += [(at // CLASS_SLICE, emissions[at:at + CLASS_SLICE].ravel()) for at in range(0, CLASSES + 1, CLASS_SLICE)]
-        yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in parts], pa.int32()),
+        yield pa.RecordBatch.from_arrays([pa.array([share] * len(parts), pa.int32()), pa.array([p[0] for p in parts], pa.int32()),
                                           pa.array([p[1].astype("<f8" if p[0] < 0 else "<f4").tobytes() for p in parts], pa.binary())],
-                                         names=["part", "counts"])
-
-    def add(group: pd.DataFrame) -> pd.DataFrame:
-        part = int(group["part"].iloc[0])
-        total = sum(np.frombuffer(x, "<f8" if part < 0 else "<f4").astype(float) for x in group["counts"])
-        return pd.DataFrame({"part": [part], "counts": [np.asarray(total).astype("<f8").tobytes()]})
-
-    rows = made.select("held", "sizes", "tokens", "classes").mapInArrow(count, "part int, counts binary") \
-        .groupBy("part").applyInPandas(add, "part int, counts binary").collect()
+                                         names=["share", "part", "counts"])
+
+    def adding(narrow: bool):
+        def add(group: pd.DataFrame) -> pd.DataFrame:
+            part = int(group["part"].iloc[0])
+            total = sum(np.frombuffer(x, "<f4" if narrow and part >= 0 else "<f8").astype(float) for x in group["counts"])
+            return pd.DataFrame({"part": [part], "counts": [np.asarray(total).astype("<f8").tobytes()]})
+        return add
+
+    # In two levels, so that no task adds up one row from every task there was.
+    shares = made.select("held", "sizes", "tokens", "classes").mapInArrow(count, "share int, part int, counts binary") \
+        .groupBy("share", "part").applyInPandas(adding(narrow=True), "part int, counts binary")
+    rows = shares.groupBy("part").applyInPandas(adding(narrow=False), "part int, counts binary").collect()
     sums = {r["part"]: np.frombuffer(r["counts"], "<f8") for r in rows}
     sent.destroy()
     head = sums.get(-1, np.zeros(1 + states + states * states))
