@@ -59,7 +59,8 @@ def stream_latest_state(spark, d):
     checkpoint = scratch_path(spark, "offsets")
     for half in (0, 1):
         events.where(F.col("event_id") % 2 == half).write.option("maxRecordsPerFile", 20_000).mode("append").parquet(path)
-        stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 3).parquet(path)
+        stream = spark.readStream.schema(events.schema) \
+            .option("maxFilesPerTrigger", ingest.files_per_batch(spark, path, 3)).parquet(path)
         stream_state.start_latest(stream, target, ["user_id", "day"], ["ts", "event_id"], checkpoint).awaitTermination()
     return target.read()
 

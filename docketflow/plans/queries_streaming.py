@@ -31,7 +31,7 @@ def _landed(df, label: str) -> str:
 
 def _stream(spark, path: str):
     schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(path)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", ingest.files_per_batch(spark, path, 2)).parquet(path)
 
 
 def _warehouse(spark, parts: int = 1) -> Warehouse:

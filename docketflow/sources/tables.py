@@ -140,13 +140,23 @@ class Table:
             self.spark.sql(f"ALTER TABLE {self.name} DROP IF EXISTS {', '.join(gone)}")
         self.spark.catalog.refreshTable(self.name)
         root = self.location()
-        others = [root, *[f"{root}/{_VERSIONS}/{name}" for name in file_names(self.spark, f"{root}/{_VERSIONS}")]]
-        for values in intent["written"] + intent["emptied"]:
-            for other in others:
-                if other != version:
-                    remove_path(self.spark, f"{other}/{self._folder(tuple(values))}")
+        replaced = set(map(tuple, intent["written"] + intent["emptied"]))
+        for values in replaced.intersection(self._in_folder(root)):
+            remove_path(self.spark, f"{root}/{self._folder(values)}")
+        for name in file_names(self.spark, f"{root}/{_VERSIONS}"):
+            if (other := f"{root}/{_VERSIONS}/{name}") != version:
+                self._remove_replaced(other, replaced)
         remove_path(self.spark, f"{root}/{_INTENT}")
 
+    def _remove_replaced(self, version: str, replaced: set[tuple[str, ...]]) -> None:
+        """Remove the replaced partitions of an older version; one that holds nothing else goes as a whole."""
+        here = set(self._in_folder(version))
+        if here <= replaced:
+            remove_path(self.spark, version)
+        else:
+            for values in here & replaced:
+                remove_path(self.spark, f"{version}/{self._folder(values)}")
+
     def _spec(self, values: tuple[str, ...]) -> str:
         return "PARTITION (" + ", ".join(f"`{c}` = '{v}'" for c, v in zip(self.partition_by, values)) + ")"
 

@@ -2,19 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from docketflow.functions.text import html_unescape
 from docketflow.operators import state
 from docketflow.schemas import DOCKET_KEY
-from docketflow.session import remove_path
+from docketflow.session import file_names, remove_path
 from docketflow.sources.feeds import feed_quarantine, normalise_entries
 from docketflow.sources.tables import Table, staged
 
 POSITION = "batch_position"
 
+#: Batches one run deals its backlog into: each rewrites the partitions it touches, so a number that grew with the backlog
+#: would make the run quadratic.
+RUN_BATCHES = 4
+
+
+def files_per_batch(spark: SparkSession, path: str, least: int) -> int:
+    """Files a batch takes from a landing folder: ``least``, or as many as give the run at most RUN_BATCHES batches."""
+    landed = [name for name in file_names(spark, path) if not name.startswith(("_", "."))]
+    return max(least, -(-len(landed) // RUN_BATCHES))
+
 
 def run_id(batch: DataFrame) -> str:
     """Name of the stream a batch belongs to; it outlives restarts and changes with a new checkpoint."""

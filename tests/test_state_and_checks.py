@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 
 from docketflow import schemas
 from docketflow.operators import automaton, digest, gate, state, tagging, training
-from docketflow.plans.queries_streaming import _warehouse
+from docketflow.plans.queries_streaming import _stream, _warehouse
 from docketflow.session import file_names
 from docketflow.sources import feeds
 from docketflow.sources.tables import Table
+from docketflow.streaming import ingest
 
 
 def log_rows(spark, addresses, value=True):
@@ -152,3 +153,26 @@ def test_training_takes_nulls_and_unknown_words(spark, tmp_path):
     asked = spark.createDataFrame([(1, "good FINE day"), (2, "bad"), (3, None), (4, "unknown")], "doc_id int, text string")
     got = {r.doc_id: (r.predicted_class, r.likelihood) for r in training.trained_score(spark, str(tmp_path / "m"), asked, "text").collect()}
     assert got[1][0] == 1 and got[2][0] == 0 and len(got) == 4 and all(0 <= p <= 1 for _, p in got.values())
+
+
+def test_batches_of_a_run_do_not_grow_with_its_files(spark, tmp_path):
+    for files, taken in ((3, 2), (8, 2), (21, 6)):
+        path = str(tmp_path / f"landed{files}")
+        spark.range(100).repartition(files).write.parquet(path)
+        assert ingest.files_per_batch(spark, path, 2) == taken
+        batches = []
+        stream = _stream(spark, path).writeStream.foreachBatch(lambda batch, number: batches.append(batch.count()))
+        stream.option("checkpointLocation", str(tmp_path / f"offsets{files}")).trigger(availableNow=True).start().awaitTermination()
+        assert sum(batches) == 100 and len(batches) <= ingest.RUN_BATCHES
+
+
+def test_versions_without_partitions_are_removed(spark):
+    table = _warehouse(spark).table("courtlistener_predictions")
+    for turn in range(3):
+        rows = log_rows(spark, [f"u{i}" for i in range(30)], turn == 2)
+        table.replace(rows, table.partitions_of(rows))
+    assert len(file_names(spark, f"{table.location()}/_versions")) == 1
+    some = rows.where(F.substring(F.md5("absolute_url"), 1, 1) < "8")
+    table.replace(some, table.partitions_of(some))
+    assert len(file_names(spark, f"{table.location()}/_versions")) == 2   # the older one still holds the other partitions
+    assert held(table) == [(a, True) for a in sorted(f"u{i}" for i in range(30))]
