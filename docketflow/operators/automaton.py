@@ -1,26 +1,31 @@
 """Dictionary tagging by an automaton over the phrases: one pass over each text, whatever the number of phrases.
 
-The phrases are put into a trie with failure links, built once in each Python task from a table that is broadcast after
-its size is checked. Beyond that size the dictionary is dealt out by the first word of its phrases, and the word groups
+The phrases are put into a trie with failure links, three steps a word, built once in each Python task from a table that is
+broadcast after its size is checked. Beyond that size the dictionary is dealt out by the first word of its phrases, and the word groups
 of the texts with it: :func:`docketflow.operators.tagging.dictionary_matches`. Both give the same matches.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docketflow.functions.spans import SPAN_TYPE
 from docketflow.operators.tagging import dictionary_matches, phrase_form
+from docketflow.session import cut_lineage
 
-#: Phrases and characters a task may hold as an automaton; some 100 bytes of memory for each character.
+#: Phrases and characters a task may hold as an automaton; some 100 bytes of memory for each word.
 MAX_PHRASES = 500_000
 MAX_CHARACTERS = 10_000_000
 
+#: Texts whose matches a task holds at a time, and phrases it reads at a time.
+_TEXTS = 256
+_PHRASES = 10_000
+
 _BREAKS = str.maketrans("\n\t\r", "   ")
 _DROP = str.maketrans("", "", ".,;:!?()")
 
@@ -31,49 +36,64 @@ def dictionary(gazetteer: DataFrame) -> DataFrame:
         .where((F.col("gram") != "") & F.col("tag").isNotNull())
 
 
+#: A word outside all phrases.
+_OTHER = "   "
+
+
+def _code(number: int) -> str:
+    """A word's number as three signs; each place has signs of its own, so matches begin and end with words.
+
+    No node of the trie has more than 256 branches, which are searched one by one.
+    """
+    return chr(0x100 + (number >> 16)) + chr(0x200 + (number >> 8 & 255)) + chr(0x300 + (number & 255))
+
+
 class Automaton:
-    """Leftmost, then longest matches of phrases in a text, by words."""
+    """Leftmost, then longest matches of phrases in a text, by words; phrases of fewer than 2^24 words."""
 
-    def __init__(self, phrases: list[tuple[str, str]]):
+    def __init__(self, phrases: Iterable[tuple[str, str]]):
         import ahocorasick
-        self._trie = ahocorasick.Automaton()
-        for gram, tag in phrases:
-            # Blanks around a phrase let it match whole words only; neighbours share one.
-            self._trie.add_word(f" {gram} ", (len(gram), gram.count(" ") + 1, tag))
-        self._empty = not phrases
-        if phrases:
+        self._trie = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        self._codes: dict[str, str] = {}
+        self._counts, self._tags, self._names = array("i"), array("i"), {}
+        for at, (gram, tag) in enumerate(phrases):
+            steps = [self._codes.get(w) or self._codes.setdefault(w, _code(len(self._codes))) for w in gram.split(" ")]
+            self._trie.add_word("".join(steps), at)
+            self._counts.append(len(steps))
+            self._tags.append(self._names.setdefault(tag, len(self._names)))
+        self._names = list(self._names)
+        if self._counts:
             self._trie.make_automaton()
 
     def tag(self, text: str) -> list[tuple[int, int, str, str]]:
         """(start, end, text, tag) of every match; places count words."""
         words = [w for w in text.translate(_BREAKS).split(" ") if w]
-        if self._empty or not words:
+        if not self._counts or not words:
             return []
-        forms = [w.translate(_DROP).lower() for w in words]
-        starts = np.cumsum([0, *[len(f) + 1 for f in forms]])
-        best: dict[int, tuple[int, str]] = {}
-        for end, (size, count, tag) in self._trie.iter(f" {' '.join(forms)} "):
-            at = end - size - 1   # where the phrase begins, the blank in front left out
-            if best.get(at, (0,))[0] < count:
-                best[at] = (count, tag)
+        best: dict[int, int] = {}
+        for last, phrase in self._trie.iter("".join([self._codes.get(w.translate(_DROP).lower(), _OTHER) for w in words])):
+            start = (last + 1) // 3 - self._counts[phrase]
+            if start not in best or self._counts[best[start]] < self._counts[phrase]:
+                best[start] = phrase
         found, upto = [], 0
-        for at in sorted(best):
-            place, (count, tag) = int(np.searchsorted(starts, at)), best[at]
-            if place >= upto:
-                upto = place + count
-                found.append((place, upto, " ".join(words[place:upto]), tag))
+        for start in sorted(best):
+            if start >= upto:
+                upto = start + self._counts[best[start]]
+                found.append((start, upto, " ".join(words[start:upto]), self._names[self._tags[best[start]]]))
         return found
 
 
 def automaton_spans(df: DataFrame, text_column: str, phrases: DataFrame, name: str = "spans") -> DataFrame:
     """Adds the matches as an array; ``phrases`` (gram, tag) is collected, so its size has to be checked before."""
-    held = df.sparkSession.sparkContext.broadcast([tuple(r) for r in phrases.select("gram", "tag").collect()])
+    held = df.sparkSession.sparkContext.broadcast(phrases.select("gram", "tag").toArrow())
 
     @F.pandas_udf(f"array<{SPAN_TYPE}>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        automaton = Automaton(held.value)
+        automaton = Automaton(row for part in held.value.to_batches(_PHRASES) for row in zip(*[c.to_pylist() for c in part.columns]))
         for texts in batches:
-            yield pd.Series([[dict(zip(("start", "end", "text", "tag"), s)) for s in automaton.tag(t or "")] for t in texts])
+            for at in range(0, len(texts), _TEXTS):   # an Arrow batch may hold far more matches than a task's memory should
+                yield pd.Series([[dict(zip(("start", "end", "text", "tag"), s)) for s in automaton.tag(t or "")]
+                                 for t in texts.iloc[at:at + _TEXTS]])
 
     return df.withColumn(name, run(F.col(text_column)))
 
@@ -81,7 +101,7 @@ def automaton_spans(df: DataFrame, text_column: str, phrases: DataFrame, name: s
 def tag_documents(df: DataFrame, key: str, text_column: str, gazetteer: DataFrame, max_phrases: int = MAX_PHRASES,
                   max_characters: int = MAX_CHARACTERS) -> DataFrame:
     """Rows key, start, end, text, tag of a dictionary table's matches: by automaton, or dealt out if it is too large."""
-    phrases = dictionary(gazetteer)
+    phrases = cut_lineage(dictionary(gazetteer))
     n, size = phrases.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("gram")), F.lit(0))).first()
     if n > max_phrases or size > max_characters:
         return dictionary_matches(df, key, text_column, gazetteer)

@@ -97,10 +97,12 @@ def dictionary_matches(df: DataFrame, key: str, text_column: str, gazetteer: Dat
     split = df.select(F.col(key), words(F.col(text_column)).alias("w"))
     places = split.select(key, F.posexplode(F.transform("w", match_form)).alias("i", "word"))
     near = places.join(begins, "word").groupBy(key).agg(F.collect_list(F.struct("i", "n")).alias("near"))
-    grams = split.join(near, key).select(key, "w", F.explode("near").alias("c")) \
-        .where(F.col("c.i") + F.col("c.n") <= F.size("w")) \
-        .select(key, F.col("c.i").alias("start"), (F.col("c.i") + F.col("c.n")).alias("end"),
-                F.slice("w", F.col("c.i") + 1, F.col("c.n")).alias("part"))
+    def gram(c: Column) -> Column:
+        return F.struct(c["i"].alias("start"), (c["i"] + c["n"]).alias("end"), F.slice("w", c["i"] + 1, c["n"]).alias("part"))
+
+    # Cut inside the row: a row for each candidate would carry the whole text until it is cut.
+    inside = F.filter("near", lambda c: c["i"] + c["n"] <= F.size("w"))
+    grams = split.join(near, key).select(key, F.explode(F.transform(inside, gram)).alias("g")).select(key, "g.*")
     found = grams.select(key, "start", "end", F.array_join("part", " ").alias("text"),
                          F.array_join(F.transform("part", match_form), " ").alias("gram")) \
         .join(table, "gram").select(key, F.struct("start", "end", "text", "tag").alias("hit"))

@@ -7,7 +7,7 @@ from pyspark.sql import types as T
 
 from docketflow.fixed_values import FEED_ENTITY_TYPE, SEARCH_CLASS_TYPE
 from docketflow.functions import parse
-from docketflow.functions.text import match_form, words
+from docketflow.functions.text import let, match_form, words
 from docketflow.operators import automaton, digest, gate, select, state, tagging
 from docketflow.plans import feed_alert, search_alert
 from docketflow.plans.adapters import docket, predictions, search_results, table, with_views
@@ -264,7 +264,7 @@ def automaton_tagger(spark, d):
     """Some twelve phrases of three or five words from each document, looked up in all documents."""
     documents = table(spark, d, "documents").select("doc_id", "text")
     forms = F.filter(F.transform(words(F.col("text")), match_form), lambda f: f != "")
-    stretches = F.transform(F.sequence(F.lit(1), F.lit(25), F.lit(2)), lambda i: F.slice(forms, i, 2 + i % 4))
+    stretches = let(forms, lambda held: F.transform(F.sequence(F.lit(1), F.lit(25), F.lit(2)), lambda i: F.slice(held, i, 2 + i % 4)))
     phrases = documents.select(F.explode(stretches).alias("w")).where(F.size("w") > 0) \
         .select(F.array_join("w", " ").alias("phrase"), F.concat(F.lit("P"), F.size("w").cast("string")).alias("tag")).distinct()
     return _span_rows(automaton.tag_documents(documents, "doc_id", "text", phrases), "doc_id")

@@ -176,3 +176,12 @@ def test_versions_without_partitions_are_removed(spark):
     table.replace(some, table.partitions_of(some))
     assert len(file_names(spark, f"{table.location()}/_versions")) == 2   # the older one still holds the other partitions
     assert held(table) == [(a, True) for a in sorted(f"u{i}" for i in range(30))]
+
+
+def test_automaton_takes_three_steps_a_word():
+    names = [f"{'long' * 10}{i}" for i in range(300)]
+    phrases = [(f"{a} {b}", "P") for a, b in zip(names, names[1:])] + [(names[0], "Q"), (f"{names[7]}  {names[9]}", "R")]
+    made = automaton.Automaton(iter(phrases))
+    assert made._trie.get_stats()["nodes_count"] <= 3 * 2 * len(phrases)
+    assert made.tag(f"x {names[0]}, {names[1]} {names[7].upper()} - {names[9]}") == [
+        (1, 3, f"{names[0]}, {names[1]}", "P"), (3, 6, f"{names[7].upper()} - {names[9]}", "R")]
