@@ -18,7 +18,7 @@ from docketflow.plans.queries_feed import DOCKET_COLUMNS, START, _SQL_CANDIDATE,
 from docketflow.plans.registry import ORACLES, query
 from docketflow.session import scratch_path
 from docketflow.sources import corpora, feeds
-from docketflow.sources.tables import Table, Warehouse
+from docketflow.sources.tables import Table, Warehouse, staged
 from docketflow.streaming import alerts, ingest
 
 
@@ -201,8 +201,8 @@ def tables_created(spark, d):
     target.replace(entries, target.touched(target.placed(entries)))
     made = [F.lit(v).alias(c) for c, v in {"predicted_class": 1, "likelihood": 1.0, "span_pos": 0, "category": "CAR",
                                            "thing_searched": "car"}.items()]
-    scored = entries.select(*schemas.DOCKET_KEY, *made)
-    found = search_results(spark, d).select("absolute_url", *made)
+    scored, _ = staged(entries.select(*schemas.DOCKET_KEY, *made), "scored")   # each is appended four times
+    found, _ = staged(search_results(spark, d).select("absolute_url", *made), "found")
     for prefix, rows, keys in (("", scored, schemas.DOCKET_KEY), ("courtlistener_", found, ["absolute_url"])):
         for _ in range(2):   # what is logged twice stays logged once
             tables[f"{prefix}predictions"].append(state.class_log_rows(rows, keys, FEED_CLASS_TYPE), "log_key")

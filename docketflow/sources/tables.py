@@ -189,12 +189,22 @@ class Table:
         with new checkpoints destroy nothing. Only partitions of the rows are read;
         of a log with a key sketch only those that may hold one of them.
         """
-        sketch = self.sketch() if self._has_sketch() else None
+        if self._has_sketch():
+            self._append_with_sketch(rows, key)
+            return
+        # One plan: what is left of each key meets the log's keys where it was shuffled to, and nothing is stored between.
+        held = self.partitions()
+        opened = [p for p in self.partitions_of(rows) if p in set(held)] if held else []
+        new = self.placed(rows.dropDuplicates([key]))
+        fresh = new.join(self.read(opened).select(key), key, "left_anti") if opened else new
+        fresh.select(*new.columns).write.insertInto(self.name)
+
+    def _append_with_sketch(self, rows: DataFrame, key: str) -> None:
+        sketch = self.sketch()
         new, path = staged(self.placed(rows.dropDuplicates([key])))
-        opened = self.touched(new if sketch is None else sketch.possible(new))
+        opened = self.touched(sketch.possible(new))
         fresh = new.join(self.read(opened).select(key), key, "left_anti").select(*new.columns)
-        if sketch is not None:
-            sketch.add(fresh)
+        sketch.add(fresh)
         fresh.write.insertInto(self.name)
         remove_path(self.spark, path)
 

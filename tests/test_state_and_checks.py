@@ -183,5 +183,5 @@ def test_automaton_takes_three_steps_a_word():
     phrases = [(f"{a} {b}", "P") for a, b in zip(names, names[1:])] + [(names[0], "Q"), (f"{names[7]}  {names[9]}", "R")]
     made = automaton.Automaton(iter(phrases))
     assert made._trie.get_stats()["nodes_count"] <= 3 * 2 * len(phrases)
-    assert made.tag(f"x {names[0]}, {names[1]} {names[7].upper()} - {names[9]}") == [
-        (1, 3, f"{names[0]}, {names[1]}", "P"), (3, 6, f"{names[7].upper()} - {names[9]}", "R")]
+    assert made.tag(f"x {names[0]}, {names[1]} {names[7].upper()} , {names[9]}") == [
+        (1, 3, f"{names[0]}, {names[1]}", "P"), (3, 6, f"{names[7].upper()} , {names[9]}", "R")]
