@@ -17,9 +17,9 @@ from docketflow.fixed_values import (
 from docketflow.operators import digest, select, state, tagging
 from docketflow.operators.ordering import number_rows
 from docketflow.plans.feed_alert import Alert, Scorer, Tagger
-from docketflow.session import is_complete
+from docketflow.session import is_complete, remove_path
 from docketflow.sources import search_results
-from docketflow.sources.tables import Warehouse
+from docketflow.sources.tables import Warehouse, staged
 
 URL_KEY = ["absolute_url"]
 
@@ -54,6 +54,7 @@ def landed_results(spark: SparkSession, path: str, run_date: dt.date, phrase: st
     found = search_results.search_by_description(
         search_results.explode_pages(search_results.read_search_pages(spark, path)).withColumnRenamed("dateFiled", "date_filed"),
         phrase, filed_after=select.lookback_start(run_date, lookback_days))
+    found, _ = staged(found, "search")   # pages are opened and parsed once
     if cap is not None:
         sizes = found.groupBy("page_no", "page_path").agg(F.count(F.lit(1)).alias("n_records"))
         found = found.join(search_results.kept_pages(sizes, cap).select("page_no", "page_path"), ["page_no", "page_path"], "left_semi")
@@ -70,8 +71,10 @@ def publish(results: DataFrame, warehouse: Warehouse, scorer: Scorer, tagger: Ta
     log = warehouse.table("courtlistener_predictions")
     folder = f"{root}/scored/run={run}/batch_id={batch_id}"
     if not is_complete(spark, folder):
-        unseen = log.sketch().unseen(select.addressed(results))
+        found, path = staged(select.addressed(results), "found")   # the sketch asks for it several times
+        unseen = log.sketch().unseen(found)
         scorer(unseen, "description").write.mode("overwrite").parquet(folder)
+        remove_path(spark, path)
     scored = spark.read.parquet(folder)
     if scored.isEmpty():
         return False
