@@ -108,12 +108,16 @@ def label_tool_export(spark, d):
 
 @query("sentence_keys", """SELECT true AS same, true AS all_read""")
 def sentence_keys(spark, d):
-    """One corpus in files of two packings: the same sentences have the same keys, and so the same splits."""
+    """One corpus in files of two packings: the same sentences have the same keys, and so the same splits.
+
+    One packing is in as few files as their size allows, a single one for a small corpus; the other in five or more.
+    """
     tagged = corpus.repaired_export(sentences(spark, d)).withColumn("split", F.lit("all"))
     keys = []
-    for n in (1, 5):
+    many = max(5, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    for packed in (tagged.hint("rebalance"), tagged.repartition(many)):
         path = scratch_path(spark, "corpus")
-        corpora.write_corpus(tagged.repartition(n), path)
+        corpora.write_corpus(packed, path)
         keys.append(corpora.read_corpus(spark, path).groupBy(F.col("sent_id").alias("k"), corpus.split_name(F.col("sent_id"))
                                                               .alias("s")).agg(F.count(F.lit(1)).alias("n")))
     differ = keys[0].exceptAll(keys[1]).unionByName(keys[1].exceptAll(keys[0])).agg(F.count(F.lit(1)).alias("n"))
