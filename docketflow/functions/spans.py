@@ -7,6 +7,8 @@ character offsets where offsets matter and plain strings elsewhere.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -23,10 +25,22 @@ def _indices(array: Column) -> Column:
     return F.when(size > 0, F.sequence(F.lit(0), size - 1)).otherwise(F.array().cast("array<int>"))
 
 
+#: Sentences whose results a task holds at a time; an Arrow batch may hold 10,000 of any length.
+_SENTENCES = 256
+
+
+def _pieces(*columns: pd.Series) -> Iterator[tuple[pd.Series, ...]]:
+    """A batch in pieces of a bounded number of rows."""
+    for at in range(0, len(columns[0]), _SENTENCES):
+        yield tuple(c.iloc[at:at + _SENTENCES] for c in columns)
+
+
 @F.pandas_udf(T.ArrayType(T.IntegerType()))
-def _running_ends(lengths: pd.Series) -> pd.Series:
+def _running_ends(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Where each word ends when one character separates it from the next."""
-    return lengths.map(lambda n: np.cumsum(n + 1) - 1 if n is not None else None)
+    for batch in batches:
+        for (lengths,) in _pieces(batch):
+            yield lengths.map(lambda n: np.cumsum(n + 1) - 1 if n is not None else None)
 
 
 def with_offsets(words: Column) -> Column:
@@ -43,7 +57,8 @@ def with_offsets(words: Column) -> Column:
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
-def _biluo(starts: pd.Series, ends: pd.Series, span_starts: pd.Series, span_ends: pd.Series, labels: pd.Series) -> pd.Series:
+def _biluo(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """Tags from starts and ends of the tokens, and starts, ends and labels of the spans."""
     def tags(first, last, a, b, names):
         if first is None or a is None:
             return None
@@ -57,7 +72,9 @@ def _biluo(starts: pd.Series, ends: pd.Series, span_starts: pd.Series, span_ends
                 made[i], made[j] = (f"B-{name}", f"L-{name}") if i < j else (f"U-{name}", f"U-{name}")
         return made
 
-    return pd.Series([tags(*row) for row in zip(starts, ends, span_starts, span_ends, labels)])
+    for batch in batches:
+        for piece in _pieces(*batch):
+            yield pd.Series([tags(*row) for row in zip(*piece)])
 
 
 def biluo_tags(tokens: Column, spans: Column) -> Column:
@@ -126,14 +143,16 @@ def has_marker_text(words: Column, marker: tuple[str, str]) -> Column:
 
 def _marker_hits(marker: tuple[str, str]):
     @F.pandas_udf(T.ArrayType(T.BooleanType()))
-    def hits(rows: pd.Series) -> pd.Series:
+    def hits(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         def mark(words):
             if words is None:
                 return None
             second = words == marker[1]
             before = np.maximum.accumulate(np.where(second, -1, np.arange(len(words)))) if len(words) else np.zeros(0, int)
             return second & (before >= 0) & (words[before] == marker[0])
-        return rows.map(mark)
+        for batch in batches:
+            for (rows,) in _pieces(batch):
+                yield rows.map(mark)
     return hits
 
 

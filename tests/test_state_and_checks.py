@@ -3,10 +3,13 @@
 import datetime as dt
 import random
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from docketflow import schemas
+from docketflow.functions import spans
 from docketflow.operators import automaton, digest, gate, state, tagging, training
 from docketflow.plans.queries_streaming import _stream, _warehouse
 from docketflow.session import file_names
@@ -185,3 +188,15 @@ def test_automaton_takes_three_steps_a_word():
     assert made._trie.get_stats()["nodes_count"] <= 3 * 2 * len(phrases)
     assert made.tag(f"x {names[0]}, {names[1]} {names[7].upper()} , {names[9]}") == [
         (1, 3, f"{names[0]}, {names[1]}", "P"), (3, 6, f"{names[7].upper()} , {names[9]}", "R")]
+
+
+def test_tags_of_a_large_batch_go_out_in_pieces():
+    held = pd.Series([np.array([0, 2], "int32")] * 700 + [None])
+    tags = spans._biluo.func(iter([(held, held + 1, held.map(lambda a: None if a is None else a[:1]),
+                                    held.map(lambda a: None if a is None else a[:1] + 1), pd.Series([["x"]] * 701))]))
+    ends = spans._running_ends.func(iter([held]))
+    hits = spans._marker_hits(("a", "b")).func(iter([pd.Series([np.array(["a", "b", "c"], object)] * 700 + [None])]))
+    for made, first in ((tags, ["U-x", "O"]), (ends, [0, 3]), (hits, [False, True, False])):
+        pieces = list(made)
+        assert [len(p) for p in pieces] == [256, 256, 189]
+        assert list(pieces[0].iloc[0]) == first and pieces[-1].iloc[-1] is None
