@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from docketflow.fixed_values import ARCHIVE_HOST, ARCHIVE_PREFIXES
-from docketflow.functions.text import strip_whitespace
+from docketflow.functions.text import let, strip_whitespace
 
 # Zone names of feed dates and their offset from UTC in hours.
 ZONE_HOURS = {
@@ -88,21 +88,26 @@ def feed_time(text: Column) -> Column:
 
     Independent of the session time zone: the zone is applied by arithmetic.
     """
-    body = strip_whitespace(F.regexp_replace(text, r"^\s*[A-Za-z]{3,9},\s*", ""))
-    zone = F.upper(F.regexp_extract(body, r"\s([A-Za-z]{1,4}|[+-]\d{4})$", 1))
-    stamp = F.regexp_extract(body, r"^(\d{1,2} [A-Za-z]{3} \d{4} \d{2}:\d{2}(?::\d{2})?)", 1)
-    stamp = F.when(F.length(F.regexp_extract(stamp, r"(:\d{2}){2}$", 0)) > 0, stamp) \
-        .otherwise(F.concat(stamp, F.lit(":00")))
+    return let(strip_whitespace(F.regexp_replace(text, r"^\s*[A-Za-z]{3,9},\s*", "")), _utc_time)
+
+
+def _utc_time(body: Column) -> Column:
+    stamp = let(F.regexp_extract(body, r"^(\d{1,2} [A-Za-z]{3} \d{4} \d{2}:\d{2}(?::\d{2})?)", 1), lambda found: F.when(
+        F.length(F.regexp_extract(found, r"(:\d{2}){2}$", 0)) > 0, found).otherwise(F.concat(found, F.lit(":00"))))
     # Read as if UTC: the literal zone keeps the session zone out of the result.
     seconds = F.unix_seconds(F.try_to_timestamp(F.concat(stamp, F.lit(" +0000")), F.lit("d MMM yyyy HH:mm:ss Z")))
+    offset = let(F.upper(F.regexp_extract(body, r"\s([A-Za-z]{1,4}|[+-]\d{4})$", 1)), _offset_minutes)
+    return ntz_from_seconds(seconds - offset * 60)
+
+
+def _offset_minutes(zone: Column) -> Column:
     numeric = zone.rlike(r"^[+-]\d{4}$")
     sign = F.when(F.startswith(zone, F.lit("-")), -1).otherwise(1)
     minutes = F.substring(zone, 2, 2).try_cast("int") * 60 + F.substring(zone, 4, 2).try_cast("int")
     named = F.lit(None).cast("int")
     for name, hours in ZONE_HOURS.items():
         named = F.when(zone == name, F.lit(hours * 60)).otherwise(named)
-    offset = F.when(numeric, sign * minutes).when(zone == "", F.lit(0)).otherwise(named)
-    return ntz_from_seconds(seconds - offset * 60)
+    return F.when(numeric, sign * minutes).when(zone == "", F.lit(0)).otherwise(named)
 
 
 def ntz_from_seconds(seconds: Column) -> Column:

@@ -45,9 +45,11 @@ def start_ingest(entries: DataFrame, docket: Table, quarantine_path: str, checkp
     """
     def write(batch: DataFrame, batch_id: int) -> None:
         rows, path = stored_batch(batch)
-        state.upsert_docket(docket, normalise_entries(rows, unescape, keep=(POSITION,)), POSITION)
+        docketed, parsed = staged(normalise_entries(rows, unescape, keep=(POSITION,)), "entries")   # the upsert reads them twice
+        state.upsert_docket(docket, docketed, POSITION)
         feed_quarantine(rows, unescape).write.mode("overwrite") \
             .parquet(f"{quarantine_path}/run={run_id(batch)}/batch_id={batch_id}")
+        remove_path(batch.sparkSession, parsed)
         remove_path(batch.sparkSession, path)
 
     return _start(entries, write, checkpoint)

@@ -200,3 +200,21 @@ def test_tags_of_a_large_batch_go_out_in_pieces():
         pieces = list(made)
         assert [len(p) for p in pieces] == [256, 256, 189]
         assert list(pieces[0].iloc[0]) == first and pieces[-1].iloc[-1] is None
+
+
+def test_ingest_parses_a_batch_once_before_its_upsert(spark, tmp_path, monkeypatch):
+    rows = [("1:21-cr-00001 USA v. A &amp; B", "https://x?7", "[Order]", "g", "Mon, 07 Jun 2021 19:09:30 GMT", "c1")]
+    fields = "title string, link string, description string, guid string, published string, court string"
+    landed = str(tmp_path / "landed")
+    spark.createDataFrame(rows, fields).withColumn("scrape_date", F.lit("2021-06-08").cast("timestamp_ntz")).write.parquet(landed)
+    plans, plain = [], state.upsert_docket
+
+    def noted(table, batch, position):
+        plans.append(batch._jdf.queryExecution().toString())
+        plain(table, batch, position)
+    monkeypatch.setattr(state, "upsert_docket", noted)
+    target = _warehouse(spark).table("rss_docket_entries")
+    ingest.start_ingest(_stream(spark, landed), target, str(tmp_path / "aside"), str(tmp_path / "offsets")).awaitTermination()
+    assert len(plans) == 1 and "html_unescape" not in plans[0]
+    assert [tuple(r) for r in target.read().select("case_name", "pub_date").collect()] == [
+        ("USA v. A & B", dt.datetime(2021, 6, 7, 19, 9, 30))]
