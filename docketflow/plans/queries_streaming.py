@@ -131,7 +131,7 @@ SELECT md5(case_number || '|' || strftime(pub_date, '%Y-%m-%d %H:%M:%S') || '|{F
 def log_after_restart(spark, d):
     """Two runs with checkpoints of their own over different files; both number their batches from 0."""
     warehouse, root = _warehouse(spark), scratch_path(spark, "alerts")
-    entries = _one_per_key(spark, d)
+    entries, _ = staged(_one_per_key(spark, d), "docket")   # both runs take theirs from it
     for part in (F.col("court") < "c2", F.col("court") >= "c2"):
         stream = _stream(spark, _landed(entries.where(part), "entries"))
         alerts.start_feed_alert(stream, START, "entry_id", feed_scorer, feed_tagger, warehouse, root,
