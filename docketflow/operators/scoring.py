@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from docketflow.fixed_values import CLS_ID, MAX_TOKENS, PAD_ID, SEP_ID
 from docketflow.functions.text import let, match_form, words
-from docketflow.session import cut_lineage
+from docketflow.sources.tables import staged
 
 FIRST_WORD_ID = 1000
 VOCABULARY = 29000
@@ -123,9 +123,12 @@ def linear_factory(weights: dict[str, float], bias: float = 0.0, max_tokens: int
 
 
 def word_counts(documents: DataFrame, key: str, text_column: str) -> DataFrame:
-    """(key, word, n): how often each word, in match form, occurs in each text; combined before the shuffle."""
+    """(key, word, n): how often each word, in match form, occurs in each text.
+
+    Texts are dealt out by their key before they are cut, so words are counted where they are and only texts travel.
+    """
     cut = F.split(F.translate(text_column, "\n\t\r", "   "), " ")   # as `words` does, with its blanks left out below
-    split = documents.select(key, F.explode(cut).alias("w")).select(key, match_form(F.col("w")).alias("word"))
+    split = documents.select(key, text_column).repartition(key).select(key, F.explode(cut).alias("w")).select(key, match_form(F.col("w")).alias("word"))
     return split.where(F.col("word") != "").groupBy(key, "word").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -139,9 +142,10 @@ def class_counts(counts: DataFrame, labels: DataFrame, key: str) -> DataFrame:
 def bayes_weights(by_class: DataFrame) -> DataFrame:
     """(word, weight): log odds of class 1, counts raised by one; the totals are one row.
 
-    The counts are kept in the shared folder, since both the totals and the weights read them.
+    The counts are kept in the shared folder, since both the totals and the weights read them. Their size is known there,
+    so a vocabulary that Spark finds small enough goes to the texts, and no count is shuffled by its word.
     """
-    by_class = cut_lineage(by_class)
+    by_class, _ = staged(by_class, "by_class")
     totals = by_class.agg(F.sum("n0").alias("t0"), F.sum("n1").alias("t1"), F.count(F.lit(1)).alias("v")).first()
     t0, t1, v = (float(x or 0) for x in totals)
     weight = F.log((F.col("n1") + 1) / F.lit(t1 + v)) - F.log((F.col("n0") + 1) / F.lit(t0 + v))

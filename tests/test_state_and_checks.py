@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from docketflow import schemas
 from docketflow.functions import spans
-from docketflow.operators import automaton, digest, gate, state, tagging, training
+from docketflow.operators import automaton, digest, gate, scoring, state, tagging, training
+from docketflow.plans import queries_streaming
 from docketflow.plans.queries_streaming import _stream, _warehouse
 from docketflow.session import file_names
 from docketflow.sources import feeds
@@ -218,3 +219,26 @@ def test_ingest_parses_a_batch_once_before_its_upsert(spark, tmp_path, monkeypat
     assert len(plans) == 1 and "html_unescape" not in plans[0]
     assert [tuple(r) for r in target.read().select("case_name", "pub_date").collect()] == [
         ("USA v. A & B", dt.datetime(2021, 6, 7, 19, 9, 30))]
+
+
+def test_words_are_counted_where_their_texts_are(spark):
+    texts = spark.createDataFrame([(1, "a b, a"), (1, "a"), (2, "B"), (3, None), (None, "a")], "k long, text string")
+    counts = scoring.word_counts(texts, "k", "text")
+    assert {tuple(r) for r in counts.collect()} == {(1, "a", 3), (1, "b", 1), (2, "b", 1), (None, "a", 1)}
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "k long, label int")
+    scored = scoring.bayes_score(counts, scoring.bayes_weights(scoring.class_counts(counts, labels, "k")), "k", 0.0)
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert len(dealt) == 1 and "hashpartitioning(k#" in dealt[0] and "word" not in dealt[0]
+    assert {(r["k"], r["predicted_class"]) for r in scored.collect()} == {(1, 1), (2, 0), (None, 1)}
+
+
+def test_runs_over_two_parts_make_the_docket_once(spark, monkeypatch):
+    landed, plain = [], queries_streaming._landed
+
+    def noted(df, label):
+        landed.append(" ".join(df.inputFiles()))
+        return plain(df, label)
+    monkeypatch.setattr(queries_streaming, "_landed", noted)
+    queries_streaming.log_after_restart(spark, "/root/testdata/sf0.001")
+    assert len(landed) == 2 and not any("orders.parquet" in files for files in landed)
