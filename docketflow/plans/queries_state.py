@@ -133,16 +133,25 @@ def stream_first_seen(spark, d):
     return spark.read.parquet(path).where(F.col("user_id").isNotNull()).select("user_id", "event_type", F.col("ts").alias("day"))
 
 
+#: Entries whose two scrapes one task lands.
+ROWS_A_WRITER = 250_000
+
+
 @query("stream_docket_repeats", with_views("docket", """
 SELECT case_number, pub_date, case_name, scrape_date + INTERVAL (entry_id) SECOND AS scrape_date FROM docket
 QUALIFY row_number() OVER (PARTITION BY case_number, pub_date ORDER BY entry_id DESC) = 1"""))
 def stream_docket_repeats(spark, d):
     """Every entry is landed twice, the later scrape anywhere among the files, and keys repeat; months are split by key."""
     seconds = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.col("entry_id").cast("decimal(18,6)"))
-    entries = docket(spark, d).withColumn("scrape_date", F.col("scrape_date") + seconds)
-    stale = entries.withColumns({"scrape_date": F.col("scrape_date") - F.expr("interval 2 days"), "case_name": F.lit("stale")})
+    entries = docket(spark, d)
+    files = max(8, -(-entries.count() // ROWS_A_WRITER))
+    # The docket is parsed once: each entry gives both of its scrapes.
+    both = entries.withColumn("stale", F.explode(F.array(F.lit(False), F.lit(True))))
+    landed = both.withColumns({
+        "scrape_date": F.col("scrape_date") + seconds - F.when(F.col("stale"), F.expr("interval 2 days")).otherwise(F.expr("interval 0 days")),
+        "case_name": F.when(F.col("stale"), "stale").otherwise(F.col("case_name"))})
     target = _warehouse(spark, 2).table("rss_docket_entries")
-    path = _landed(entries.unionByName(stale).select(*DOCKET.names).repartition(8, F.xxhash64("guid", "scrape_date")), "entries")
+    path = _landed(landed.select(*DOCKET.names).repartition(files, F.xxhash64("guid", "scrape_date")), "entries")
     ingest.start_docket(_stream(spark, path), target, scratch_path(spark, "offsets")).awaitTermination()
     return target.read().select(*DOCKET_KEY, "case_name", "scrape_date")
 

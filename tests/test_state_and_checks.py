@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from docketflow import schemas
 from docketflow.functions import spans
 from docketflow.operators import automaton, digest, gate, scoring, state, tagging, training
-from docketflow.plans import queries_streaming
+from docketflow.plans import queries_state, queries_streaming
 from docketflow.plans.queries_streaming import _stream, _warehouse
 from docketflow.session import file_names
 from docketflow.sources import feeds
@@ -242,3 +242,20 @@ def test_runs_over_two_parts_make_the_docket_once(spark, monkeypatch):
     monkeypatch.setattr(queries_streaming, "_landed", noted)
     queries_streaming.log_after_restart(spark, "/root/testdata/sf0.001")
     assert len(landed) == 2 and not any("orders.parquet" in files for files in landed)
+
+
+def test_entries_that_land_twice_are_parsed_once(spark, tmp_path, monkeypatch):
+    day = dt.datetime(2021, 6, 1)
+    spark.createDataFrame([(1, "Ann", 3), (2, None, 4)], "c_custkey long, c_name string, c_nationkey int") \
+        .write.parquet(str(tmp_path / "customer.parquet"))
+    spark.createDataFrame([(3, 1, "O", day, "1-URGENT"), (7, 1, "O", day, "2-HIGH"), (50, 2, "F", day, "5-LOW"), (11, None, "O", day, None)],
+                          "o_orderkey long, o_custkey long, o_orderstatus string, o_orderdate timestamp_ntz, o_orderpriority string") \
+        .write.parquet(str(tmp_path / "orders.parquet"))
+    landed, plain = [], queries_state._landed
+    monkeypatch.setattr(queries_state, "_landed", lambda df, label: landed.append(df) or plain(df, label))
+    found = queries_state.stream_docket_repeats(spark, str(tmp_path))
+    assert {(r.case_number, r.case_name, r.scrape_date) for r in found.collect()} == {
+        ("1:21-sw-00001", "USA v. Ann", day + dt.timedelta(days=1, seconds=7)), ("1:21-sc-00002", None, day + dt.timedelta(days=1, seconds=50))}
+    assert sorted((r.scrape_date - day).total_seconds() for r in landed[0].select("scrape_date").collect()) \
+        == sorted(86400 * d + s for d in (1, -1) for s in (3, 7, 50))
+    assert landed[0]._jdf.queryExecution().optimizedPlan().toString().count("Join Inner") == 1
