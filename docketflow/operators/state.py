@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 from docketflow.operators.ordering import first_per_key, number_rows
 from docketflow.operators.select import with_match, without_match
 from docketflow.schemas import DOCKET_KEY
-from docketflow.session import remove_path
-from docketflow.sources.tables import Table, staged
+from docketflow.sources.tables import Table
 
 
 
@@ -101,11 +100,9 @@ def purge_removed(docket: DataFrame, predictions: DataFrame, scraped_until=None)
 
 def purge_docket(table: Table, predictions: DataFrame, scraped_until=None, only: list[tuple[str, ...]] | None = None) -> None:
     """Rewrite the partitions that lose entries; emptied ones leave the table. ``only`` limits the purge to partitions."""
-    removed, path = staged(table.placed(purge_removed(table.read(only), predictions, scraped_until)))
-    touched = table.touched(removed)
+    touched = table.partitions_of(purge_removed(table.read(only), predictions, scraped_until))   # keys and times alone are read
     if touched:
         table.replace(purge_keep(table.read(touched), predictions, scraped_until), touched)
-    remove_path(table.spark, path)
 
 
 def entries_with_counts(docket: DataFrame, class_log: DataFrame, entity_log: DataFrame) -> DataFrame:

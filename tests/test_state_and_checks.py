@@ -6,6 +6,7 @@ import random
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from docketflow import schemas
@@ -259,3 +260,18 @@ def test_entries_that_land_twice_are_parsed_once(spark, tmp_path, monkeypatch):
     assert sorted((r.scrape_date - day).total_seconds() for r in landed[0].select("scrape_date").collect()) \
         == sorted(86400 * d + s for d in (1, -1) for s in (3, 7, 50))
     assert landed[0]._jdf.queryExecution().optimizedPlan().toString().count("Join Inner") == 1
+
+
+def test_purge_writes_only_what_it_keeps(spark, monkeypatch):
+    target = _warehouse(spark).table("rss_docket_entries")
+    day, later = dt.datetime(2021, 6, 1), dt.datetime(2021, 7, 1)
+    keys = spark.createDataFrame([("1", day), ("2", day), (None, day), ("3", later), ("4", dt.datetime(2021, 8, 1))],
+                                 "case_number string, pub_date timestamp_ntz")
+    entries = keys.select(*[F.col(f.name) if f.name in schemas.DOCKET_KEY else F.lit(None).cast(f.dataType).alias(f.name)
+                            for f in schemas.DOCKET.fields])
+    target.replace(entries, target.partitions_of(entries))
+    written, plain = [], DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, path, *a, **k: written.append(path) or plain(self, path, *a, **k))
+    state.purge_docket(target, keys.where(F.col("case_number").isin("1", "3")))
+    assert sorted((r.case_number, r.pub_date) for r in target.read().collect()) == [("1", day), ("3", later)]
+    assert len(written) == 1 and "_versions" in written[0]
