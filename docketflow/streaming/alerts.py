@@ -24,25 +24,29 @@ def start_candidates(docket: DataFrame, known: DataFrame, start: dt.date, wareho
     """Note every candidate once, under a type of its own: nothing is scored here.
 
     Candidates are entries without a known prediction; noted ones are not noted again. The
-    known keys are stored once, by month; a batch opens the months of its own candidates.
+    known keys that a candidate can have, those after ``start``, are stored once, by month; a batch
+    opens the months of its own candidates, and meets them once: what is left is stored for the log.
     """
     log = warehouse.table("predictions")
     keys = schemas.DOCKET_KEY
     months = "pub_month"
     path = scratch_path(docket.sparkSession, "known")
-    known.where(F.col("prediction_type") == FEED_CLASS_TYPE).select(*keys).distinct() \
-        .withColumn(months, F.date_format("pub_date", "yyyy-MM")).where(F.col(months).isNotNull()) \
+    select.since(known.where(F.col("prediction_type") == FEED_CLASS_TYPE).select(*keys), start).distinct() \
+        .withColumn(months, F.date_format("pub_date", "yyyy-MM")) \
         .hint("rebalance", F.col(months)).write.partitionBy(months).parquet(path)
     spark = docket.sparkSession
     stored = T.StructType([*[known.schema[k] for k in keys], T.StructField(months, T.StringType())])
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        rows, folder = staged(select.since(batch, start).where(select.is_candidate(F.col("document_type"))), "candidates")
+        candidates = select.since(batch, start).where(select.is_candidate(F.col("document_type"))).select(*keys)
+        rows, folder = staged(candidates, "candidates")
         touched = [r[0] for r in rows.select(F.date_format("pub_date", "yyyy-MM")).distinct().collect()]
         seen = spark.read.schema(stored).parquet(path).where(F.col(months).isin(touched))
-        found = select.without_match(rows, seen, keys).withColumns(
-            {"predicted_class": F.lit(None).cast("int"), "likelihood": F.lit(None).cast("double")})
-        log.append(state.class_log_rows(found, keys, CANDIDATE_TYPE), "log_key")
+        # Stored keys are distinct already. The log reads its new rows twice: for their partitions and for the rows.
+        found, left = staged(rows.join(seen.select(*keys), keys, "left_anti"), "found")
+        scored = found.withColumns({"predicted_class": F.lit(None).cast("int"), "likelihood": F.lit(None).cast("double")})
+        log.append(state.class_log_rows(scored, keys, CANDIDATE_TYPE), "log_key")
+        remove_path(spark, left)
         remove_path(spark, folder)
 
     return _start(docket, write, checkpoint)

@@ -17,7 +17,7 @@ from docketflow.plans.queries_streaming import _stream, _warehouse
 from docketflow.session import file_names
 from docketflow.sources import feeds
 from docketflow.sources.tables import Table
-from docketflow.streaming import ingest
+from docketflow.streaming import alerts, ingest
 
 
 def log_rows(spark, addresses, value=True):
@@ -275,3 +275,27 @@ def test_purge_writes_only_what_it_keeps(spark, monkeypatch):
     state.purge_docket(target, keys.where(F.col("case_number").isin("1", "3")))
     assert sorted((r.case_number, r.pub_date) for r in target.read().collect()) == [("1", day), ("3", later)]
     assert len(written) == 1 and "_versions" in written[0]
+
+
+def test_candidates_of_a_batch_meet_the_known_once(spark, tmp_path, monkeypatch):
+    before, at, later = dt.datetime(2021, 5, 1), dt.datetime(2021, 6, 1), dt.datetime(2021, 7, 1)
+    rows = [("a", later, "Warrant"), ("a", later, "warrant"), ("b", later, "Warrant"), ("c", before, "Warrant"), ("d", at, "Warrant"),
+            ("e", later, None), ("f", None, "Warrant"), (None, later, "Warrant"), ("g", later, "Order"), ("h", later, "Unseal")]
+    path = str(tmp_path / "landed")
+    for part in (rows[:4], rows[4:], rows[:3], rows[:3] + [("i", later, "Warrant")]):
+        spark.createDataFrame(part, "case_number string, pub_date timestamp_ntz, document_type string").coalesce(1) \
+            .write.mode("append").parquet(path)
+    known = spark.createDataFrame([("b", later, "swornot"), ("b", later, "swornot"), ("c", before, "swornot"), ("h", None, "swornot"),
+                                   (None, later, "swornot"), ("a", later, "other")],
+                                  "case_number string, pub_date timestamp_ntz, prediction_type string")
+    plans, stored, append, write = [], [], Table.append, DataFrameWriter.parquet
+    monkeypatch.setattr(Table, "append", lambda self, rows, key: plans.append(
+        rows._jdf.queryExecution().optimizedPlan().toString()) or append(self, rows, key))
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, to, *a, **k: stored.append(to) or write(self, to, *a, **k))
+    warehouse = _warehouse(spark)
+    alerts.start_candidates(_stream(spark, path), known, dt.date(2021, 6, 1), warehouse, str(tmp_path / "offsets")).awaitTermination()
+    logged = [(r.case_number, r.pub_date) for r in warehouse.table("predictions").read().collect()]
+    assert sorted(logged, key=str) == sorted([("a", later), (None, later), ("h", later), ("i", later)], key=str)
+    assert len(plans) == 2 and not any("Join" in plan for plan in plans)
+    months = [to for to in stored if "/known-" in to]
+    assert len(months) == 1 and [n for n in file_names(spark, months[0]) if "=" in n] == ["pub_month=2021-07"]
