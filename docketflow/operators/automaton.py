@@ -1,8 +1,8 @@
 """Dictionary tagging by an automaton over the phrases: one pass over each text, whatever the number of phrases.
 
 The phrases are put into a trie with failure links, three steps a word, built once in each Python task from a table that is
-broadcast after its size is checked. Beyond that size the dictionary is dealt out by the first word of its phrases, and the word groups
-of the texts with it: :func:`docketflow.operators.tagging.dictionary_matches`. Both give the same matches.
+broadcast after its size is checked. Beyond that size every share of the texts gets the phrases it can use:
+:func:`docketflow.operators.large_dictionary.tag_by_shares`. Both give the same matches.
 """
 
 from __future__ import annotations
@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docketflow.functions.spans import SPAN_TYPE
-from docketflow.operators.tagging import dictionary_matches, phrase_form
+from docketflow.operators.large_dictionary import tag_by_shares
+from docketflow.operators.tagging import phrase_form
 from docketflow.session import cut_lineage
 
 #: Phrases and characters a task may hold as an automaton; some 100 bytes of memory for each word.
@@ -100,10 +101,10 @@ def automaton_spans(df: DataFrame, text_column: str, phrases: DataFrame, name: s
 
 def tag_documents(df: DataFrame, key: str, text_column: str, gazetteer: DataFrame, max_phrases: int = MAX_PHRASES,
                   max_characters: int = MAX_CHARACTERS) -> DataFrame:
-    """Rows key, start, end, text, tag of a dictionary table's matches: by automaton, or dealt out if it is too large."""
+    """Rows key, start, end, text, tag of a dictionary table's matches: by automaton, or by shares if it is too large."""
     phrases = cut_lineage(dictionary(gazetteer))
     n, size = phrases.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("gram")), F.lit(0))).first()
     if n > max_phrases or size > max_characters:
-        return dictionary_matches(df, key, text_column, gazetteer)
+        return tag_by_shares(df, key, text_column, phrases)
     found = automaton_spans(df.select(key, text_column), text_column, phrases)
     return found.select(key, F.explode("spans").alias("s")).select(key, "s.*")

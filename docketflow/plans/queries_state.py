@@ -7,7 +7,7 @@ from pyspark.sql import types as T
 
 from docketflow.fixed_values import FEED_ENTITY_TYPE, SEARCH_CLASS_TYPE
 from docketflow.functions import parse
-from docketflow.functions.text import let, match_form, words
+from docketflow.functions.text import let, match_form
 from docketflow.operators import automaton, digest, gate, select, state, tagging
 from docketflow.plans import feed_alert, search_alert
 from docketflow.plans.adapters import docket, predictions, search_results, table, with_views
@@ -268,11 +268,21 @@ _STRETCHES = f"""SELECT DISTINCT array_to_string(w, ' ') AS phrase, 'P' || len(w
     SELECT list_filter({_SQL_FORMS}, lambda f: f <> '') AS forms FROM documents))) WHERE len(w) > 0"""
 
 
+#: What stands between two words, with the words of signs alone that stand there too.
+_BETWEEN = r"[ \n\t\r][ \n\t\r.,;:!?()]*[ \n\t\r]|[ \n\t\r]"
+
+
+def first_forms(text, most):
+    """The first forms of a text that are not empty; nothing is made of the words behind them."""
+    begun = F.slice(F.split(text, _BETWEEN, most + 2), 1, most + 1)   # only the first, or the text's last, may have an empty form
+    return F.slice(F.filter(F.transform(begun, match_form), lambda f: f != ""), 1, most)
+
+
 @query("automaton_tagger", _sql_fold(_STRETCHES, "documents", "doc_id"))
 def automaton_tagger(spark, d):
     """Some twelve phrases of three or five words from each document, looked up in all documents."""
     documents = table(spark, d, "documents").select("doc_id", "text")
-    forms = F.filter(F.transform(words(F.col("text")), match_form), lambda f: f != "")
+    forms = first_forms(F.col("text"), 27)
     stretches = let(forms, lambda held: F.transform(F.sequence(F.lit(1), F.lit(25), F.lit(2)), lambda i: F.slice(held, i, 2 + i % 4)))
     phrases = documents.select(F.explode(stretches).alias("w")).where(F.size("w") > 0) \
         .select(F.array_join("w", " ").alias("phrase"), F.concat(F.lit("P"), F.size("w").cast("string")).alias("tag")).distinct()

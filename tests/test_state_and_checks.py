@@ -2,6 +2,8 @@
 
 import datetime as dt
 import random
+import re
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 
 from docketflow import schemas
 from docketflow.functions import spans
-from docketflow.operators import automaton, digest, gate, scoring, state, tagging, training
+from docketflow.operators import automaton, digest, gate, large_dictionary, scoring, state, tagging, training
 from docketflow.plans import queries_state, queries_streaming
 from docketflow.plans.queries_streaming import _stream, _warehouse
 from docketflow.session import file_names
@@ -128,6 +130,58 @@ def test_automaton_equals_the_joined_dictionary(spark):
     assert automaton.tag_documents(df, "k", "t", phrases.limit(0)).count() == 0
 
 
+def test_shares_equal_the_automaton(spark, monkeypatch):
+    rng = random.Random(5)
+    signs = ["a", "b", "c", "A.", "b,", "...", "é", "(c)", "x\xa0y"]
+    rows = [(rng.choice([i, None, 7]), "".join(rng.choice(signs) + rng.choice([" ", "  ", "\n", "\t"]) for _ in range(rng.randint(0, 60)))) for i in range(150)]
+    long = [rng.choice("ab") for _ in range(40)]
+    df = spark.createDataFrame([*rows, *rows[:20], (900, None), (901, ""), *[(i, "q " * i + " ".join(long + long)) for i in range(20)]], "k int, t string")
+    named = [(" ".join(rng.choice(signs) for _ in range(rng.randint(1, 6))), rng.choice(["X", "Y\n"])) for _ in range(40)]
+    named += [(" ".join(long[:n]), f"L{n}") for n in range(7, 41, 3)] + [(" ".join(long[2:n]), f"M{n}") for n in range(9, 33)]
+    phrases = spark.createDataFrame([*named, ("", "X"), ("a", None)], "phrase string, tag string")
+    fast = Counter(tuple(r) for r in automaton.tag_documents(df, "k", "t", phrases).collect())
+    assert len(fast) > 1000 and any(r[0] is None for r in fast) and {"L40", "M32"} & {r[4] for r in fast}
+    assert Counter(tuple(r) for r in automaton.tag_documents(df, "k", "t", phrases, max_phrases=1).collect()) == fast
+    held = automaton.dictionary(phrases)   # many small shares, filters that let nearly everything through
+    assert Counter(tuple(r) for r in large_dictionary.tag_by_shares(df, "k", "t", held, 2_000, 16).collect()) == fast
+    for name, value in (("_SLICE_WORDS", 4), ("_PIECE", 300), ("_QUESTIONS", 50), ("_FORMS", 3)):
+        monkeypatch.setattr(large_dictionary, name, value)
+    sent = large_dictionary._filters(large_dictionary._keyed(held, 3), {k: 64 for k in [*range(1, 9), 16, 32]})
+    whole = large_dictionary._keyed(held, 3).collect()
+    assert all(large_dictionary._maybe(sent[r.k], np.array([r.h]).view(np.uint64)).all() for r in whole)
+
+
+def test_shares_take_equal_digests_apart(monkeypatch):
+    monkeypatch.setattr(large_dictionary._Digests, "_mixed", staticmethod(lambda sums: sums * np.uint64(0)))
+    share = large_dictionary._Share(["a b", "b c", "b", "a b c d", "c"], list("VWXYZ"))
+    piece = large_dictionary._Piece(["A, b c", None, "b c", "...", "c a b"], share.forms.known, share.forms.hashes)
+    begins, ends, found = share.hits(piece)
+    assert [(b, e, share.tags[p]) for b, e, p in zip(begins, ends, found)] == [(0, 2, "V"), (2, 3, "Z"), (3, 5, "W"), (6, 7, "Z"), (7, 9, "V")]
+
+
+def test_a_large_dictionary_sends_no_words(spark):
+    """The texts are shuffled once and whole, beside packed questions: no row for a word or a word group."""
+    rng = random.Random(3)
+    rows = [(i, " ".join("w%d" % rng.randint(0, 5_000) for _ in range(400))) for i in range(300)]
+    df = spark.createDataFrame(rows, "k int, t string")
+    phrases = spark.createDataFrame([(" ".join(t.split(" ")[i:i + 3]), "P") for _, t in rows for i in range(0, 30, 3)], "phrase string, tag string")
+    found = automaton.tag_documents(df, "k", "t", phrases, max_phrases=1)
+    assert found.count() >= 3_000
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "collect_list" not in plan
+
+
+def test_first_words_of_a_text(spark):
+    forms = ["a", "b", "...", "C.", ",", "(d", "é"]
+    rng = random.Random(4)
+    texts = ["".join(rng.choice(forms) + rng.choice([" ", "  ", "\n", " \t", "\r"]) for _ in range(rng.randint(0, 70))) for _ in range(300)]
+    texts += ["... " * 200 + "a b", " ".join(["a"] * 28), " ".join(["x"] * 27) + " ...", "", " ", ".", " . ", "a ", " a", ". a", "a .", None, ". " * 30_000 + "z"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "k int, text string")
+    want = [[f for f in (w.translate(str.maketrans("", "", ".,;:!?()")).lower() for w in re.split("[ \n\t\r]+", t or "")) if f][:27] for t in texts]
+    got = {r.k: r.forms for r in df.select("k", queries_state.first_forms(F.col("text"), 27).alias("forms")).collect()}
+    assert [got[i] or [] for i in range(len(texts))] == want
+
+
 def test_cases_at_equal_places_are_one_line_each(spark):
     rows = [(1, 0, "CAR", "c1", f"n{i}", f"u{i}", None) for i in range(4)] + [(1, 0, "CAR", None, "n9", "u9", None)]
     entities = spark.createDataFrame(rows, "doc_order long, span_pos int, category string, court_id string, "
